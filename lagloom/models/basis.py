@@ -321,23 +321,22 @@ def fit_bases(
     result on the driver is as large as the specification."""
     keys = [group] if group else []
     rows = df.where(F.col(group).isin(list(specs))) if group else df
-    probs = sorted({p for s in specs.values() for p in s.probs()})
-    ends = rows.groupBy(*keys).agg(
-        F.min(col).cast("double").alias("lo"), F.max(col).cast("double").alias("hi")
-    )
+    probs = sorted({0.0, 1.0, *(p for s in specs.values() for p in s.probs())})
     found: dict[str, dict] = {}
-    for r in ends.collect():
-        found[r[group] if group else ""] = {"lo": r.lo, "hi": r.hi}
-    if probs:
-        names = {f"q{i}": p for i, p in enumerate(probs)}
-        for r in exact_percentiles(rows, keys, col, names).collect():
-            found[r[group] if group else ""].update({p: r[n] for n, p in names.items()})
+    if len(probs) == 2:
+        ends = rows.groupBy(*keys).agg(
+            F.min(col).cast("double").alias("q0"), F.max(col).cast("double").alias("q1")
+        )
+    else:
+        ends = exact_percentiles(rows, keys, col, {f"q{i}": p for i, p in enumerate(probs)})
+    for r in ends.collect():  # one row per named population
+        found[r[group] if group else ""] = {p: r[f"q{i}"] for i, p in enumerate(probs)}
     out = {}
     for name, spec in specs.items():
-        if name not in found or found[name]["lo"] is None:
+        if name not in found or found[name][0.0] is None:
             raise ValueError(f"no values of {col!r} for population {name!r}")
         f = found[name]
-        out[name] = build_basis(spec, f["lo"], f["hi"], [f[p] for p in spec.probs()])
+        out[name] = build_basis(spec, f[0.0], f[1.0], [f[p] for p in spec.probs()])
     return out
 
 

@@ -156,18 +156,33 @@ def exact_percentiles(
     upto = w.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.withColumn("_to", F.sum("_c").over(upto))
 
-    def order_statistic(rank: str) -> Column:
-        # The value whose cumulative count first reaches `rank` (from 1).
-        hit = F.expr(f"_to >= {rank} and _to - _c < {rank}")
-        miss = F.raise_error(F.lit("percentile bracket missed its rank"))
-        return F.max(F.when(hit, F.coalesce("_v", miss.cast("double"))))
-
-    aggs = []
+    # Wanted ranks (from 1): two per probability, lower and upper neighbour.
+    wanted = []
     for name in names:
-        p = float(probs[name])
-        position = f"({p!r}D * (_size - 1))"
-        lo = order_statistic(f"(floor({position}) + 1)")
-        hi = order_statistic(f"least(floor({position}) + 2, _size)")
-        frac = F.max(F.expr(f"{position} - floor({position})"))
-        aggs.append((lo + (hi - lo) * frac).alias(name))
-    return ranked.groupBy(*keys).agg(*aggs)
+        at = f"({float(probs[name])!r}D * (_size - 1))"
+        wanted += [f"floor({at}) + 1", f"least(floor({at}) + 2, _size)"]
+    hits = ranked.withColumn("_ranks", F.expr(f"array({', '.join(wanted)})")).withColumn(
+        "_hit",
+        F.expr(
+            "filter(transform(_ranks, (r, i) -> case when r <= _to and r > _to - _c then i end),"
+            " i -> i is not null)"
+        ),
+    )
+    miss = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+    found = (
+        hits.where(F.size("_hit") > 0)
+        .select(*keys, "_size", F.explode("_hit").alias("_i"), F.coalesce("_v", miss).alias("_v"))
+        .groupBy(*keys)
+        .agg(
+            F.first("_size").alias("_size"),
+            # Two entries per probability.
+            F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"),
+        )
+    )
+    out = []
+    for i, name in enumerate(names):
+        at = F.expr(f"{float(probs[name])!r}D * (_size - 1)")
+        lo = F.element_at("_m", F.lit(2 * i))
+        hi = F.element_at("_m", F.lit(2 * i + 1))
+        out.append((lo + (hi - lo) * (at - F.floor(at))).alias(name))
+    return found.select(*keys, *out)

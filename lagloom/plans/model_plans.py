@@ -3,12 +3,13 @@ sets and smooth trends."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from lagloom.functions import dates, factors
 from lagloom.functions.transforms import log_spaced_lags
 from lagloom.models import predict
-from lagloom.models.basis import BasisSpec, fit_bases, fit_basis, lag_basis, strata
+from lagloom.models.basis import BasisSpec, build_basis, fit_bases, fit_basis, lag_basis, strata
 from lagloom.models.cox import cox_design, cox_step, fit_cox
 from lagloom.models.crossbasis import CrossBasis, crossbasis, history_cells
 from lagloom.models.fitted import tidy
@@ -136,11 +137,14 @@ _TEMP_LAG, _OZONE_LAG = 21, 10
 
 
 class _DailyModel:
-    """Daily counts on lagged x (spline) and z (threshold), season and weekday."""
+    """Daily counts on lagged x (spline) and z (threshold), season and weekday.
+
+    Use as a context: the daily series is kept in memory inside it."""
 
     def __init__(self, spark, folder):
         self.spark = spark
-        base = _weekday(fx.daily(spark, folder).where("day is not null"))
+        self.base = _weekday(fx.daily(spark, folder)).persist(StorageLevel.MEMORY_AND_DISK)
+        base = self.base
         self.lags = BasisSpec("ns", knots=tuple(log_spaced_lags(_TEMP_LAG, 3)))
         self.x = crossbasis(
             base, "x", _TEMP_LAG, BasisSpec("bs", df=6, degree=3), self.lags, "x"
@@ -149,9 +153,12 @@ class _DailyModel:
             base, "z", _OZONE_LAG, BasisSpec("thr", at=(40.3,), side="h"),
             BasisSpec("strata", breaks=(2, 6)), "z",
         )
-        bounds = base.agg(F.min("time").alias("a"), F.max("time").alias("b"), F.count("*")).first()
-        years = max(1, round((bounds.b - bounds.a) / 365.25))
-        season = fit_basis(base, "time", BasisSpec("ns", df=7 * years))
+        ends = base.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
+        # Percentiles of a complete index are equally spaced.
+        df = 7 * max(1, round((ends.b - ends.a) / 365.25))
+        knots = tuple(ends.a + (ends.b - ends.a) * i / df for i in range(1, df))
+        spec = BasisSpec("ns", knots=knots, boundary=(float(ends.a), float(ends.b)))
+        season = build_basis(spec, ends.a, ends.b, knots)
         rows = self.x.on_series(base, "time", "x", out="cb_x")
         rows = self.z.on_series(rows, "time", "z", out="cb_z")
         self.rows = rows.withColumn("season", season.column("time"))
@@ -165,6 +172,12 @@ class _DailyModel:
         }
         self.spec = GlmSpec("y", "quasipoisson", tuple(self.terms.values()), name="spline")
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.base.unpersist()
+
     def fit(self):
         return fit_glm(self.rows, self.spec)
 
@@ -179,78 +192,79 @@ def _effect_columns(out, *extra):
 
 @analysis()
 def dlnm_poisson(spark, folder):
-    return _tidy_columns(tidy(spark, [_DailyModel(spark, folder).fit()]))
+    with _DailyModel(spark, folder) as m:
+        return _tidy_columns(tidy(spark, [m.fit()]))
 
 
 @analysis()
 def dlnm_overall(spark, folder):
-    m = _DailyModel(spark, folder)
-    fit = m.fit()
-    x = predict.overall_effects(spark, m.x, fit, m.grid(), cen=25.0)
-    z = predict.overall_effects(spark, m.z, fit, [*map(float, range(0, 56)), 40.3, 50.3])
-    return _effect_columns(
-        x.withColumn("exposure", F.lit("x")).unionByName(z.withColumn("exposure", F.lit("z"))),
-        "exposure",
-    )
+    with _DailyModel(spark, folder) as m:
+        fit = m.fit()
+        x = predict.overall_effects(spark, m.x, fit, m.grid(), cen=25.0)
+        z = predict.overall_effects(spark, m.z, fit, [*map(float, range(0, 56)), 40.3, 50.3])
+        return _effect_columns(
+            x.withColumn("exposure", F.lit("x")).unionByName(z.withColumn("exposure", F.lit("z"))),
+            "exposure",
+        )
 
 
 @analysis()
 def dlnm_slice(spark, folder):
-    m = _DailyModel(spark, folder)
-    out = predict.lag_effects(
-        spark, m.x, m.fit(), [10.0, 20.0, 32.0], cen=25.0, level=0.99
-    )
-    title = F.concat_ws(" ", F.lit("Exposure ="), F.col("at").cast("int").cast("string"))
-    return _effect_columns(out.withColumn("label", title), "lag", "label")
+    with _DailyModel(spark, folder) as m:
+        out = predict.lag_effects(
+            spark, m.x, m.fit(), [10.0, 20.0, 32.0], cen=25.0, level=0.99
+        )
+        title = F.concat_ws(" ", F.lit("Exposure ="), F.col("at").cast("int").cast("string"))
+        return _effect_columns(out.withColumn("label", title), "lag", "label")
 
 
 @analysis()
 def dlnm_at_lags(spark, folder):
-    m = _DailyModel(spark, folder)
-    out = predict.lag_effects(spark, m.x, m.fit(), m.grid(), lags=[0, 5, 20], cen=25.0)
-    return _effect_columns(out, "lag")
+    with _DailyModel(spark, folder) as m:
+        out = predict.lag_effects(spark, m.x, m.fit(), m.grid(), lags=[0, 5, 20], cen=25.0)
+        return _effect_columns(out, "lag")
 
 
 @analysis()
 def dlnm_surface(spark, folder):
-    m = _DailyModel(spark, folder)
-    return _effect_columns(predict.lag_effects(spark, m.x, m.fit(), m.grid(), cen=25.0), "lag")
+    with _DailyModel(spark, folder) as m:
+        return _effect_columns(predict.lag_effects(spark, m.x, m.fit(), m.grid(), cen=25.0), "lag")
 
 
 @analysis()
 def dlnm_cumulative(spark, folder):
-    m = _DailyModel(spark, folder)
-    out = predict.cumulative_effects(spark, m.x, m.fit(), m.grid(5.0), cen=25.0)
-    return _effect_columns(out, "lag")
+    with _DailyModel(spark, folder) as m:
+        out = predict.cumulative_effects(spark, m.x, m.fit(), m.grid(5.0), cen=25.0)
+        return _effect_columns(out, "lag")
 
 
 @analysis()
 def dlnm_compare(spark, folder):
     """Three exposure bases in the same model, effects stacked."""
-    m = _DailyModel(spark, folder)
-    rows = m.rows
-    out = predict.overall_effects(spark, m.x, m.fit(), m.grid(), cen=25.0)
-    for name, spec, cen in (
-        ("polynomial", BasisSpec("poly", degree=4), 25.0),
-        ("double threshold", BasisSpec("thr", at=(25.0,), side="d"), None),
-    ):
-        cb = crossbasis(rows, "x", _TEMP_LAG, spec, m.lags, "alt")
-        other = cb.on_series(rows, "time", "x", out="cb_alt")
-        changed = m.spec.update(
-            drop=("x",), add=(Term("alt", "cb_alt", tuple(cb.terms)),), name=name
-        )
-        fit = fit_glm(other, changed)
-        out = out.unionByName(predict.overall_effects(spark, cb, fit, m.grid(), cen=cen))
-    return _effect_columns(out)
+    with _DailyModel(spark, folder) as m:
+        rows = m.rows
+        out = predict.overall_effects(spark, m.x, m.fit(), m.grid(), cen=25.0)
+        for name, spec, cen in (
+            ("polynomial", BasisSpec("poly", degree=4), 25.0),
+            ("double threshold", BasisSpec("thr", at=(25.0,), side="d"), None),
+        ):
+            cb = crossbasis(rows, "x", _TEMP_LAG, spec, m.lags, "alt")
+            other = cb.on_series(rows, "time", "x", out="cb_alt")
+            changed = m.spec.update(
+                drop=("x",), add=(Term("alt", "cb_alt", tuple(cb.terms)),), name=name
+            )
+            fit = fit_glm(other, changed)
+            out = out.unionByName(predict.overall_effects(spark, cb, fit, m.grid(), cen=cen))
+        return _effect_columns(out)
 
 
 @analysis()
 def dlnm_score_rows(spark, folder):
-    m = _DailyModel(spark, folder)
-    scored = predict.score_rows(m.rows, m.x, m.fit(), "cb_x", cen=25.0)
-    return scored.where("cb_x is not null").select(
-        dates.iso("day").alias("day"), rounded("log_effect", 6).alias("log_effect")
-    )
+    with _DailyModel(spark, folder) as m:
+        scored = predict.score_rows(m.rows, m.x, m.fit(), "cb_x", cen=25.0)
+        return scored.where("cb_x is not null").select(
+            dates.iso("day").alias("day"), rounded("log_effect", 6).alias("log_effect")
+        )
 
 
 @analysis(
@@ -410,23 +424,29 @@ _TAUS = [0.1, 0.25, 0.5, 0.75, 0.9]
 
 
 @analysis(
-    f"with {BIRTHS} "
+    f"with {BIRTHS}, q as ("
     + " union all ".join(
-        f"select {t}::double as tau, round(quantile_cont(price, {t}) / 1000, 2) as estimate from births"
-        for t in _TAUS
+        f"select {t}::double as tau, quantile_disc(price, {t}) as q from births" for t in _TAUS
     )
+    + """)
+    select tau, round(any_value(q) / 1000, 1) as estimate,
+      round(sum((price - q) * (tau - case when price < q then 1 else 0 end)) / 1000, 4) as loss
+    from births cross join q group by 1"""
 )
 def quantile_intercept(spark, folder):
+    """Intercept-only fits: percentiles, with the minimised check loss."""
     rows = fx.births(spark, folder).select(
         F.lit("model").alias("model"), (F.col("price") / 1000).alias("y"),
         F.array(F.lit(1.0)).alias("x"),
     )
     fits = fit_quantile(rows, ["intercept"], _TAUS)
     out = spark.createDataFrame(
-        [(t, float(f.coef[0])) for t, f in zip(_TAUS, fits, strict=True)],
-        "tau double, estimate double",
+        [(t, float(f.coef[0]), float(-f.loglik)) for t, f in zip(_TAUS, fits, strict=True)],
+        "tau double, estimate double, loss double",
+    )
+    return out.select(
+        "tau", rounded("estimate", 1).alias("estimate"), rounded("loss", 4).alias("loss")
     )
-    return out.withColumn("estimate", rounded("estimate", 2))
 
 
 @analysis()
