@@ -86,7 +86,9 @@ def _arrays(prefix: str, p: int) -> Column:
     return F.array(*[F.col(f"{prefix}{i}") for i in range(p)])
 
 
-def _time_table(rows: DataFrame, p: int, ties: str, bucket_width: float | None) -> DataFrame:
+def _time_table(
+    rows: DataFrame, p: int, ties: str, entry: bool, bucket_width: float | None
+) -> DataFrame:
     """Time-level rows: risk sums, tied-event sums and the running baseline."""
     x = [F.get("x", F.lit(i)) for i in range(p)]
     w, e = F.col("w"), F.col("event")
@@ -100,7 +102,7 @@ def _time_table(rows: DataFrame, p: int, ties: str, bucket_width: float | None)
         *[F.sum(F.when(died, xi).otherwise(0.0)).alias(f"ex_{i}") for i, xi in enumerate(x)],
         F.sum(F.when(died, F.col("eta")).otherwise(0.0)).alias("ee"),
     )
-    if bucket_width is not None or _has_entry(rows):
+    if entry:
         late = (
             rows.where(F.col("entry").isNotNull())
             .groupBy("model", "stratum", F.col("entry").alias("time"))
@@ -170,10 +172,6 @@ def _time_table(rows: DataFrame, p: int, ties: str, bucket_width: float | None)
     return running_sums(risk, keys, "time", {"lived": "c"}, bucket)
 
 
-def _has_entry(rows: DataFrame) -> bool:
-    return "_entry_used" in rows.columns
-
-
 def cox_step(
     design: DataFrame,
     betas: dict[str, np.ndarray],
@@ -199,9 +197,7 @@ def cox_step(
     rows = rows.withColumn("x", F.expr(f"array({', '.join(moved)})"))
     rows = rows.withColumn("eta", F.expr(" + ".join(f"x[{i}] * _b[{i}]" for i in range(p))))
     rows = rows.withColumn("w", F.exp("eta")).drop("_b", "_c")
-    if entry:
-        rows = rows.withColumn("_entry_used", F.lit(True))
-    times = _time_table(rows, p, ties, bucket_width).persist(StorageLevel.MEMORY_AND_DISK)
+    times = _time_table(rows, p, ties, entry, bucket_width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def at_times(_: str, c: dict[str, np.ndarray]) -> np.ndarray:
             s, e = c["s1"], c["d1"]
