@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.models.fitted import Fitted
-from lagloom.models.moments import pack, solve_information, sum_vectors, unpack
+from lagloom.models.moments import keep, pack, solve_information, sum_vectors, unpack, whole
 from lagloom.operators.scans import running_sums
 
 
@@ -29,8 +29,9 @@ def cox_design(
     stratum: Column | None = None,
     entry: str | None = None,
 ) -> DataFrame:
-    """Complete rows as (model, stratum, entry, exit, event, x). `parts` are
-    array or numeric columns, joined to one array."""
+    """Rows as (model, stratum, entry, exit, event, x); `parts` are array
+    columns, joined to one array. Rows whose array is missing or has a missing
+    element are left out by the fit."""
     rows = df.select(
         (model if model is not None else F.lit("model")).alias("model"),
         (stratum if stratum is not None else F.lit("")).cast("string").alias("stratum"),
@@ -43,8 +44,6 @@ def cox_design(
         F.col("exit").isNotNull()
         & F.col("event").isNotNull()
         & F.col("stratum").isNotNull()
-        & F.col("x").isNotNull()
-        & ~F.exists("x", lambda v: v.isNull())
         & (F.col("entry").isNotNull() if entry else F.lit(True))
         & (F.col("entry").isNull() | (F.col("entry") < F.col("exit")))
     )
@@ -192,7 +191,7 @@ def cox_step(
         "model string, _b array<double>, _c array<double>",
     )
     # One row per model of the specification.
-    rows = design.join(F.broadcast(table), "model")
+    rows = design.where(whole("x")).join(F.broadcast(table), "model")
     moved = [f"x[{i}] - _c[{i}]" for i in range(p)]
     rows = rows.withColumn("x", F.expr(f"array({', '.join(moved)})"))
     rows = rows.withColumn("eta", F.expr(" + ".join(f"x[{i}] * _b[{i}]" for i in range(p))))
@@ -262,12 +261,12 @@ def fit_cox(
     width = {m: len(v) for m, v in labels.items()}
     p = max(width.values())
     short = any(w < p for w in width.values())
-    padded = design.withColumn(
-        "x", F.expr(f"concat(x, array_repeat(0D, {p} - size(x)))") if short else F.col("x")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    if short:
+        design = design.withColumn("x", F.expr(f"concat(x, array_repeat(0D, {p} - size(x)))"))
+    padded = keep(design)
     try:
         sizes = sum_vectors(
-            padded.select("model", "x", "event"),
+            padded.where(whole("x")).select("model", "x", "event"),
             lambda _, c: pack(c["x"].sum(0), c["x"].shape[0], c["event"].sum()),
         )
         count = {m: int(v[p]) for m, v in sizes.items()}

@@ -6,12 +6,11 @@ import math
 from dataclasses import dataclass, replace
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.models.fitted import Fitted
-from lagloom.models.moments import pack, solve_information, sum_vectors, unpack
+from lagloom.models.moments import keep, pack, sum_vectors, unpack, whitening
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -128,7 +127,8 @@ class GlmSpec:
         return ["intercept", *[label for t in self.terms for label in t.labels]]
 
     def design(self, df: DataFrame) -> DataFrame:
-        """Complete rows as (model, y, offset, w, x)."""
+        """Rows as (model, y, offset, w, x). A row with a missing part has a
+        NaN somewhere and is left out by the fit."""
         parts: list[Column] = [F.array(F.lit(1.0))]
         for t in self.terms:
             parts.append(
@@ -136,19 +136,13 @@ class GlmSpec:
             )
         offset = F.col(self.offset) if self.offset else F.lit(0.0)
         weight = F.col(self.weight) if self.weight else F.lit(1.0)
-        rows = df.select(
+        missing = F.array_repeat(F.lit(float("nan")), len(self.labels))
+        return df.select(
             F.lit(self.name).alias("model"),
             F.col(self.response).cast("double").alias("y"),
             offset.cast("double").alias("offset"),
             weight.cast("double").alias("w"),
-            F.concat(*parts).alias("x"),
-        )
-        return rows.where(
-            F.col("x").isNotNull()
-            & ~F.exists("x", lambda v: v.isNull())
-            & F.col("y").isNotNull()
-            & F.col("offset").isNotNull()
-            & F.col("w").isNotNull()
+            F.coalesce(F.concat(*parts), missing).alias("x"),
         )
 
 
@@ -162,12 +156,15 @@ def fit_design(
     """Fit every model of a design (model, y, offset, w, x) together: one job
     per iteration for all of them. `labels` names the columns of each model."""
     fam = FAMILIES[family]
-    beta: dict[str, np.ndarray] = {}
     width = {m: len(v) for m, v in labels.items()}
 
-    def step(betas: dict[str, np.ndarray]):
+    def step(betas: dict[str, np.ndarray], turn: dict[str, np.ndarray]):
+        """Sums at the coefficients `betas` of the turned columns x T."""
+
         def block(model: str, c: dict[str, np.ndarray]) -> np.ndarray:
             x, y, w = c["x"], c["y"], c["w"]
+            if model in turn:
+                x = x @ turn[model]
             if model in betas:
                 eta = x @ betas[model] + c["offset"]
                 mu = fam.mean(eta)
@@ -185,30 +182,38 @@ def fit_design(
                 len(y), np.sum(w),
             )
 
-        return sum_vectors(design, block)
+        return sum_vectors(design, block, drop_incomplete=True)
 
+    # The first pass finds the columns to work in; later passes use them.
+    turn = {}
+    for m, vec in step({}, {}).items():
+        turn[m] = whitening(vec[: width[m] ** 2].reshape(width[m], width[m]))
+    beta: dict[str, np.ndarray] = {}
     last: dict[str, float] = {}
     done: dict[str, Fitted] = {}
     for iteration in range(max_iter):
-        sums = step(beta)
+        sums = step(beta, turn)
         for m, vec in sums.items():
-            p = width[m]
-            gram, xz, dev, pearson, ll, n, sw = unpack(vec, (p, p), (p,), (), (), (), (), ())
-            sol, inv = solve_information(gram, xz)
+            t = turn[m]
+            r = t.shape[1]
+            gram, xz, dev, pearson, ll, n, _ = unpack(vec, (r, r), (r,), (), (), (), (), ())
+            inv = np.linalg.inv(gram)
             settled = m in last and abs(dev - last[m]) <= tol * (abs(dev) + 0.1)
             if m in beta and (settled or iteration == max_iter - 1) and m not in done:
-                rank = int(np.sum(np.isfinite(np.diag(inv))))
-                df_resid = n - rank
+                df_resid = n - r
                 phi = pearson / df_resid if fam.scaled and df_resid > 0 else 1.0
                 if fam.name == "gaussian":
                     ll = -0.5 * n * (math.log(2 * math.pi * max(dev, 1e-300) / n) + 1.0)
+                cov = t @ inv @ t.T * phi
+                aliased = ~t.any(axis=1)
+                cov[aliased, :] = cov[:, aliased] = np.nan
                 done[m] = Fitted(
-                    m, labels[m], beta[m], inv * phi, int(n), ll, dev, phi, df_resid,
+                    m, labels[m], t @ beta[m], cov, int(n), ll, dev, phi, df_resid,
                     iterations=iteration, converged=settled, use_t=fam.scaled,
                 )
             last[m] = dev
             if m not in done:
-                beta[m] = sol
+                beta[m] = inv @ xz
         if set(done) == set(sums):
             break
     return done
@@ -217,12 +222,12 @@ def fit_design(
 def fit_glm(df: DataFrame, spec: GlmSpec, tol: float = 1e-10, max_iter: int = 50) -> Fitted:
     """Fit one model. The design rows are kept in memory or on executor disk
     over the iterations."""
-    design = spec.design(df).persist(StorageLevel.MEMORY_AND_DISK)
+    design = keep(spec.design(df))
     try:
         fits = fit_design(design, {spec.name: spec.labels}, spec.family, tol, max_iter)
     finally:
         design.unpersist()
-    if not fits:
+    if not fits or fits[spec.name].n == 0:
         raise ValueError("no complete rows to fit")
     return fits[spec.name]
 

@@ -3,26 +3,21 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.models.fitted import Fitted
-from lagloom.models.moments import pack, solve_information, sum_vectors, unpack
+from lagloom.models.moments import keep, pack, solve_information, sum_vectors, unpack, whole
 
 
 def clogit_design(df: DataFrame, set_col: str, case: str, parts: list[Column]) -> DataFrame:
-    """Complete rows as (set, case, x)."""
+    """Rows as (set, case, x); rows with a missing array or element are left
+    out by the fit."""
     rows = df.select(
         F.col(set_col).alias("set"), F.col(case).cast("double").alias("case"),
         F.concat(*parts).alias("x"),
     )
-    return rows.where(
-        F.col("set").isNotNull()
-        & F.col("case").isNotNull()
-        & F.col("x").isNotNull()
-        & ~F.exists("x", lambda v: v.isNull())
-    )
+    return rows.where(F.col("set").isNotNull() & F.col("case").isNotNull())
 
 
 def _set_sums(rows: DataFrame, p: int) -> DataFrame:
@@ -55,11 +50,11 @@ def fit_clogit(
     """Newton steps, each one aggregate by set and one global sum."""
     p = len(labels)
     upper = np.triu_indices(p)
-    kept = design.persist(StorageLevel.MEMORY_AND_DISK)
+    kept = keep(design)
 
     def step(beta: np.ndarray):
         terms = " + ".join(f"x[{i}] * {float(b)!r}D" for i, b in enumerate(beta))
-        rows = kept.withColumn("eta", F.expr(terms)).withColumn("w", F.exp("eta"))
+        rows = kept.where(whole("x")).withColumn("eta", F.expr(terms)).withColumn("w", F.exp("eta"))
 
         def block(_: str, c: dict[str, np.ndarray]) -> np.ndarray:
             mean = c["s1"] / c["s0"][:, None]

@@ -11,7 +11,8 @@ from itertools import combinations_with_replacement
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Above this many partitions, partial vectors are first added up in Spark and
@@ -19,6 +20,25 @@ from pyspark.sql import functions as F
 _DRIVER_PARTS = 32
 
 
+def whole(x: str = "x") -> Column:
+    """True for an array with no null (and no infinite) element: a search for
+    a value that is not there ends in null when an element is null. Apply it to
+    stored designs; a filter on a freshly made basis would make Spark compute
+    the basis twice in one oversized generated method."""
+    return F.array_contains(F.col(x), float("inf")) == F.lit(False)
+
+
+def keep(design: DataFrame) -> DataFrame:
+    """Persist a design for repeated passes. A design in fewer partitions than
+    the session has cores is spread over all of them first."""
+    kept = design.persist(StorageLevel.MEMORY_AND_DISK)
+    cores = design.sparkSession.sparkContext.defaultParallelism
+    if kept.rdd.getNumPartitions() >= cores:
+        return kept
+    kept.unpersist()
+    return design.repartition(cores).persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def as_matrix(column: pa.Array) -> np.ndarray:
     """A list<double> column without nulls as a matrix."""
     if isinstance(column, pa.ChunkedArray):
@@ -49,13 +69,23 @@ def _emit(totals: dict) -> pa.RecordBatch:
     )
 
 
+def _complete(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    bad = np.zeros(len(next(iter(cols.values()))), bool)
+    for v in cols.values():
+        bad |= np.isnan(v).any(axis=1) if v.ndim == 2 else np.isnan(v)
+    return {k: v[~bad] for k, v in cols.items()} if bad.any() else cols
+
+
 def sum_vectors(
-    df: DataFrame, block: Callable[[str, dict[str, np.ndarray]], np.ndarray]
+    df: DataFrame,
+    block: Callable[[str, dict[str, np.ndarray]], np.ndarray],
+    drop_incomplete: bool = False,
 ) -> dict[str, np.ndarray]:
     """Sum over all rows of `block(model, columns)`, per model.
 
     `df` has a string column `model`; list columns reach `block` as matrices
-    and other columns as vectors. The number of models and the vector length
+    and other columns as vectors; nulls become NaN, and with `drop_incomplete`
+    rows with a NaN are left out. The number of models and the vector length
     are set by the specification, not by the data."""
 
     def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,6 +106,8 @@ def sum_vectors(
                 else:
                     hit = codes == code
                     part = {k: v[hit] for k, v in cols.items()}
+                if drop_incomplete:
+                    part = _complete(part)
                 _merge(totals, model, block(model, part))
         yield _emit(totals)
 
@@ -137,27 +169,44 @@ def gram_sql(df: DataFrame, cols: list[str], keys: list[str], weight: str | None
     return one.select(*keys, F.explode(F.array(*cells)).alias("c")).select(*keys, "c.*")
 
 
-def solve_information(info: np.ndarray, score: np.ndarray, tol: float = 1e-9):
-    """Solution and inverse of a symmetric system by a scaled sweep. Columns
-    that depend on earlier ones are aliased: solution 0, inverse NaN there."""
-    p = len(score)
-    d = np.sqrt(np.maximum(np.diag(info), 0.0))
-    live = d > 0
-    scale = np.where(live, 1.0 / np.where(live, d, 1.0), 0.0)
-    a = info * np.outer(scale, scale)
+def independent_columns(gram: np.ndarray, tol: float = 1e-12) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of the columns that do not depend on earlier ones, by a sweep
+    of the scaled matrix, and the scale of every column."""
+    d = np.sqrt(np.maximum(np.diag(gram), 0.0))
+    scale = np.where(d > 0, 1.0 / np.where(d > 0, d, 1.0), 0.0)
+    work = gram * np.outer(scale, scale)
     kept = []
-    work = a.copy()
-    for j in range(p):
+    for j in range(len(d)):
         # Remaining variance of column j given the kept columns before it.
-        if not live[j] or work[j, j] < tol:
-            continue
-        kept.append(j)
-        work = work - np.outer(work[:, j], work[j]) / work[j, j]
-    kept = np.array(kept, int)
+        if d[j] > 0 and work[j, j] > tol:
+            kept.append(j)
+            work = work - np.outer(work[:, j], work[j]) / work[j, j]
+    return np.array(kept, int), scale
+
+
+def whitening(gram: np.ndarray, tol: float = 1e-12) -> np.ndarray:
+    """Matrix T such that the columns of X T are nearly orthonormal; one column
+    per independent column of X. Sums over X T keep their precision when X is
+    close to collinear."""
+    kept, scale = independent_columns(gram, tol)
+    out = np.zeros((len(scale), len(kept)))
+    if len(kept):
+        sub = gram[np.ix_(kept, kept)] * np.outer(scale[kept], scale[kept])
+        values, vectors = np.linalg.eigh(sub)
+        values = np.maximum(values, 1e-14 * values.max())
+        out[kept] = scale[kept][:, None] * vectors / np.sqrt(values)
+    return out
+
+
+def solve_information(info: np.ndarray, score: np.ndarray, tol: float = 1e-12):
+    """Solution and inverse of a symmetric system. Columns that depend on
+    earlier ones are aliased: solution 0, inverse NaN there."""
+    p = len(score)
+    kept, scale = independent_columns(info, tol)
     inv = np.full((p, p), np.nan)
     sol = np.zeros(p)
     if len(kept):
-        sub = np.linalg.inv(a[np.ix_(kept, kept)])
+        sub = np.linalg.inv(info[np.ix_(kept, kept)] * np.outer(scale[kept], scale[kept]))
         inv[np.ix_(kept, kept)] = sub * np.outer(scale[kept], scale[kept])
         sol[kept] = scale[kept] * (sub @ (scale[kept] * score[kept]))
     return sol, inv

@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from lagloom.functions.tails import normal_quantile
@@ -21,6 +20,7 @@ from lagloom.models.fitted import Fitted
 from lagloom.models.moments import (
     as_matrix,
     as_vector,
+    keep,
     pack,
     solve_information,
     sum_vectors,
@@ -180,7 +180,7 @@ def fit_quantile(
     more than `BAND_ROWS` rows lie on the fit itself, as with a coarsely
     rounded response; the coefficients are then those of the smoothed loss."""
     p = len(labels)
-    kept = design.select("model", "y", "x").persist(StorageLevel.MEMORY_AND_DISK)
+    kept = keep(design.select("model", "y", "x"))
     try:
         def least_squares(_: str, c):
             x, y = c["x"], c["y"]
