@@ -30,6 +30,7 @@ from lagloom.models.moments import (
 # Most band rows taken for the exact step, per quantile.
 BAND_ROWS = 20_000
 _WIDTHS = 40
+_EDGES = 1000
 
 
 def _smooth(design: DataFrame, taus, start, scale, n, p) -> dict[float, np.ndarray]:
@@ -64,9 +65,10 @@ def _smooth(design: DataFrame, taus, start, scale, n, p) -> dict[float, np.ndarr
     return betas
 
 
-def _vertex(y, x, g, tau: float, start: np.ndarray) -> np.ndarray:
+def _vertex(y, x, g, tau: float, start: np.ndarray) -> np.ndarray | None:
     """Exact minimiser of sum rho_tau(y - x b) - g'b by moving along edges
-    between points that fit as many rows exactly as there are columns."""
+    between points that fit as many rows exactly as there are columns; None
+    when it is not reached, as can happen with heavily tied rows."""
     n, p = x.shape
     scale = np.std(y) + 1e-12
     # A tiny fixed shift keeps tied rows apart during the search.
@@ -82,8 +84,8 @@ def _vertex(y, x, g, tau: float, start: np.ndarray) -> np.ndarray:
         if len(basis) == p:
             break
     if len(basis) < p:
-        return start
-    for _ in range(50 * p + 20 * n):
+        return None
+    for _ in range(_EDGES):
         inverse = np.linalg.pinv(x[basis])
         b = inverse @ y[basis]
         r = y - x @ b
@@ -102,11 +104,11 @@ def _vertex(y, x, g, tau: float, start: np.ndarray) -> np.ndarray:
             reach = np.where(np.abs(speed) > 1e-7, r / speed, -1.0)
         ahead = np.flatnonzero(reach > 0)
         if not len(ahead):
-            return b
+            return None
         ahead = ahead[np.argsort(reach[ahead])]
         gain = slopes[edge] + np.cumsum(np.abs(speed[ahead]))
         basis[leave] = int(ahead[min(np.searchsorted(gain, 0.0), len(ahead) - 1)])
-    return b
+    return None
 
 
 def _survey(design, betas, known, widths, p):
@@ -176,9 +178,9 @@ def fit_quantile(
     """Fit a design (model, y, x) at several quantiles. Errors come from the
     kernel sandwich with the Hall-Sheather bandwidth.
 
-    `converged` tells whether the exact solution was confirmed. It is not when
-    more than `BAND_ROWS` rows lie on the fit itself, as with a coarsely
-    rounded response; the coefficients are then those of the smoothed loss."""
+    `converged` tells whether the exact solution was confirmed. It may not be
+    with a coarsely rounded response, where a large share of the rows lies on
+    the fit itself; the coefficients are then those of the smoothed loss."""
     p = len(labels)
     kept = keep(design.select("model", "y", "x"))
     try:
@@ -220,8 +222,14 @@ def fit_quantile(
             if not bands:
                 break
             for t, (y, x, g) in _band(kept, bands, p).items():
+                corner = _vertex(y, x, g, t, betas[t])
+                if corner is None:
+                    open_taus.remove(t)
+                    continue
                 known[t] = bands[t]
-                betas[t] = _vertex(y, x, g, t, betas[t])
+                betas[t] = corner
+            if not open_taus:
+                break
 
         def residual_size(_: str, c):
             r = [c["y"] - c["x"] @ betas[t] for t in taus]
