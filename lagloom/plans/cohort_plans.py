@@ -36,7 +36,8 @@ def first_k_rows(spark, folder):
 
 @analysis(
     """select o_custkey, o_orderkey from orders where o_custkey in
-    (select o_custkey from orders group by 1 having count(*) between 2 and 10)"""
+    (select o_custkey from orders group by 1 having count(*) between 2 and 10)""",
+    name="group_size_filter",
 )
 def group_size_filter_rows(spark, folder):
     rows = fx.person_period(spark, folder).select("o_custkey", "o_orderkey")
@@ -76,7 +77,8 @@ def history_wide(spark, folder):
 @analysis(
     f"""with {_HIST} select s.o_custkey, cast(i as bigint) as lag, round(x, 8) as x
     from subj s cross join range({L}) t(i)
-    left join hist h on h.o_custkey = s.o_custkey and h.lag = i"""
+    left join hist h on h.o_custkey = s.o_custkey and h.lag = i""",
+    name="history_long",
 )
 def history_long_rows(spark, folder):
     return history_long(histories(spark, folder), "o_custkey").select(

@@ -52,7 +52,8 @@ def gram_small(spark, folder):
     c as (select s.area, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) as slope
           from s join m on m.area = s.area group by 1)
     select m.area, n, round(slope, 5) as slope, round(my - slope * mx, 5) as intercept
-    from m join c on c.area = m.area"""
+    from m join c on c.area = m.area""",
+    name="wls_line",
 )
 def wls_by_area(spark, folder):
     rows = fx.births(spark, folder).withColumn("w", 1 + F.col("discount"))
