@@ -250,7 +250,7 @@ def fit_cox(
     ties: str = "efron",
     entry: bool = False,
     bucket_width: float | None = None,
-    tol: float = 1e-9,
+    tol: float = 1e-10,
     max_iter: int = 30,
 ) -> dict[str, Fitted]:
     """Fit all models of a design together, each Newton step in one pass.
@@ -293,8 +293,11 @@ def fit_cox(
                     continue
                 current[m] = trial[m]
                 sol, inv = solve_information(info, score)
-                settled = old is not None and abs(loglik - old[0]) <= tol * (abs(loglik) + 1e-3)
+                # Half the Newton decrement is the gain the next step would bring.
+                settled = 0.5 * float(score @ sol) <= tol * (abs(loglik) + 1e-3)
                 best[m] = (loglik, score, info)
+                if settled:
+                    current[m] = current[m] + sol
                 if settled or iteration == max_iter - 1:
                     k = width[m]
                     done[m] = Fitted(

@@ -95,7 +95,13 @@ def _vertex(y, x, g, tau: float, start: np.ndarray) -> np.ndarray | None:
         slopes = np.concatenate([1.0 - tau - pull, tau + pull])
         edge = int(np.argmin(slopes))
         if slopes[edge] >= -1e-9 * (1.0 + np.abs(pull).max()):
-            return inverse @ given[basis]
+            # Optimal. Along a level edge the minimum is not unique: take the
+            # solution with the smallest first coefficient.
+            lean = np.concatenate([inverse[0], -inverse[0]])
+            level = np.flatnonzero((slopes <= 1e-7) & (lean < -1e-9))
+            if not len(level):
+                return inverse @ given[basis]
+            edge = int(level[0])
         leave = edge % p
         direction = inverse[:, leave] * (1.0 if edge < p else -1.0)
         speed = x @ direction
@@ -104,7 +110,7 @@ def _vertex(y, x, g, tau: float, start: np.ndarray) -> np.ndarray | None:
             reach = np.where(np.abs(speed) > 1e-7, r / speed, -1.0)
         ahead = np.flatnonzero(reach > 0)
         if not len(ahead):
-            return None
+            return inverse @ given[basis] if slopes[edge] >= 0 else None
         ahead = ahead[np.argsort(reach[ahead])]
         gain = slopes[edge] + np.cumsum(np.abs(speed[ahead]))
         basis[leave] = int(ahead[min(np.searchsorted(gain, 0.0), len(ahead) - 1)])

@@ -13,25 +13,34 @@ from lagloom.plans.sql_text import ARMS
 _KEYS = ["outcome", "study"]
 
 
-def _effect(df, keys, digits=8):
+def _effect(df, keys, digits=11):
     return df.select(
         *keys, rounded("yi", digits).alias("yi"), rounded("vi", digits).alias("vi")
     )
 
 
-def _sql(yi: str, vi: str, source: str, keys: str = "outcome, study") -> str:
+# Prices are given in units of 1,300, so that rounded means are never exact
+# decimal halves.
+_UNIT = 1300
+
+
+def _sql(yi: str, vi: str, source: str, keys: str = "outcome, study", digits: int = 11) -> str:
     return (
-        f"with {ARMS} select {keys}, round({yi}, 8) + 0 as yi, round({vi}, 8) + 0 as vi "
+        f"with {ARMS} select {keys}, round({yi}, {digits}) + 0 as yi, "
+        f"round({vi}, {digits}) + 0 as vi "
         f"from {source}"
     )
 
 
-@analysis(_sql("mean / 1000", "sd / 1000 * sd / 1000 / n", "arms where n >= 2", "outcome, study, arm"))
+@analysis(
+    _sql(f"mean / {_UNIT}", f"sd / {_UNIT} * sd / {_UNIT} / n", "arms where n >= 2",
+         "outcome, study, arm", 8)
+)
 def effect_mean(spark, folder):
     rows = fx.arms(spark, folder).where("n >= 2").withColumns(
-        {"mean": F.col("mean") / 1000, "sd": F.col("sd") / 1000}
+        {"mean": F.col("mean") / _UNIT, "sd": F.col("sd") / _UNIT}
     )
-    return _effect(effects.mean_effect(rows), [*_KEYS, "arm"])
+    return _effect(effects.mean_effect(rows), [*_KEYS, "arm"], 8)
 
 
 _ADD1 = "(case when event = 0 or event = n then 0.5::double else 0 end)"
@@ -55,13 +64,14 @@ def effect_cor(spark, folder):
 
 
 @analysis(
-    _sql("(mean_e - mean_c) / 1000",
-         "(sd_e * sd_e / n_e + sd_c * sd_c / n_c) / 1000000", "studies")
+    _sql(f"(mean_e - mean_c) / {_UNIT}",
+         f"(sd_e * sd_e / n_e + sd_c * sd_c / n_c) / {_UNIT * _UNIT}", "studies", digits=8)
 )
 def effect_md(spark, folder):
     out = effects.mean_difference(fx.studies(spark, folder))
     return _effect(
-        out.withColumns({"yi": F.col("yi") / 1000, "vi": F.col("vi") / 1000000}), _KEYS
+        out.withColumns({"yi": F.col("yi") / _UNIT, "vi": F.col("vi") / (_UNIT * _UNIT)}),
+        _KEYS, 8,
     )
 
 
@@ -78,11 +88,11 @@ _CELLS = """, c0 as (select *, case when event_e = 0 or event_c = 0 or event_e =
 
 @analysis(
     f"""with {ARMS} {_CELLS}
-    select outcome, study, 'RR' as measure, round(ln(a / (a + b)) - ln(c / (c + d)), 8) as yi,
-      round(1 / a - 1 / (a + b) + 1 / c - 1 / (c + d), 8) as vi from cells
+    select outcome, study, 'RR' as measure, round(ln(a / (a + b)) - ln(c / (c + d)), 11) as yi,
+      round(1 / a - 1 / (a + b) + 1 / c - 1 / (c + d), 11) as vi from cells
     union all
-    select outcome, study, 'OR', round(ln(a * d / (b * c)), 8),
-      round(1 / a + 1 / b + 1 / c + 1 / d, 8) from cells"""
+    select outcome, study, 'OR', round(ln(a * d / (b * c)), 11),
+      round(1 / a + 1 / b + 1 / c + 1 / d, 11) from cells"""
 )
 def effect_rr_or(spark, folder):
     s = fx.studies(spark, folder)
@@ -98,14 +108,14 @@ _IRR = """, r0 as (select *, case when event_e = 0 or event_c = 0 then 0.5::doub
 
 
 @analysis(
-    f"with {ARMS} {_IRR} select outcome, study, round(yi, 8) as yi, round(vi, 8) as vi from irr"
+    f"with {ARMS} {_IRR} select outcome, study, round(yi, 11) as yi, round(vi, 11) as vi from irr"
 )
 def effect_irr(spark, folder):
     return _effect(effects.rate_ratio(fx.studies(spark, folder)), _KEYS)
 
 
 @analysis(
-    f"with {ARMS} {_IRR} select outcome, study, round(yi, 8) as yi, round(vi, 8) as vi from irr"
+    f"with {ARMS} {_IRR} select outcome, study, round(yi, 11) as yi, round(vi, 11) as vi from irr"
 )
 def effect_hr(spark, folder):
     """Log ratios recovered from a published ratio and its 95% interval."""
