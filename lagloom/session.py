@@ -1,11 +1,10 @@
-"""Session helpers shared by the tests, the benchmark and the fitting loops."""
+"""Local session for the tests and the benchmark."""
 
 from __future__ import annotations
 
 import os
-import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
@@ -21,21 +20,3 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkS
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
-
-
-def _checkpoint_ready(spark: SparkSession) -> None:
-    """Use the checkpoint folder of the session; make one only in local mode."""
-    if spark.sparkContext.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        folder = tempfile.mkdtemp(prefix="lagloom-checkpoint-")
-    spark.sparkContext.setCheckpointDir(folder)
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and read it from there."""
-    _checkpoint_ready(df.sparkSession)
-    return df.checkpoint(eager=True)

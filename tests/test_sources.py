@@ -4,7 +4,6 @@ import time
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from lagloom import sources
 
@@ -76,4 +75,3 @@ def test_manual_rows_need_a_key(spark):
 
 def test_named_table(spark):
     assert sources.load_named(spark, "/root/testdata/sf0.001", "region").count() == 5
-    assert F is not None
