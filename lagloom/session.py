@@ -2,10 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the Python workers this package, once per application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(package)
+    # The driver serves the archive for as long as it lives; executors may join late.
+    folder = tempfile.mkdtemp(prefix="lagloom-ship-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = os.path.join(folder, "lagloom.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for at, _, files in os.walk(package):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(at, f)
+                    z.write(path, os.path.relpath(path, root))
+    spark.sparkContext.addPyFile(target)
+    _shipped.add(app)
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""

