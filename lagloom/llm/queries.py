@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lagloom.llm.lines import dedup_lines
+from lagloom.llm.sketches import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -54,3 +55,36 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return docs.select(
         "doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256")
     )
+
+
+@query(r"""
+with recursive word as (
+  select doc_id, list_filter(string_split_regex(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') as w
+  from documents
+), shingle as (
+  select distinct doc_id, unnest(case when len(w) = 0 then []
+    when len(w) < 5 then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as s
+  from word
+), size as (
+  select doc_id, count(*) as n from shingle group by doc_id
+), pair as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingle a join shingle b on a.s = b.s and a.doc_id <> b.doc_id group by all
+), link as (
+  select p.a, p.b from pair p join size x on x.doc_id = p.a join size y on y.doc_id = p.b
+  where 100 * p.c >= 75 * (x.n + y.n - p.c)
+), reach as (
+  select doc_id as node, doc_id as found from documents
+  union select r.node, l.b from reach r join link l on r.found = l.a
+), least as (
+  select node, min(found) as component_id from reach group by node
+)
+select l.node as doc_id, coalesce(s.n, 0) as n_shingles, l.component_id,
+  l.node = l.component_id as kept
+from least l left join size s on s.doc_id = l.node
+""")
+def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
