@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 # str.isspace also holds U+001C to U+001F, which are ordinary symbols there.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
 _WORDS_KEPT = 400_000
+category = unicodedata.category
 
 
 def byte_letters() -> list[str]:
@@ -112,8 +113,15 @@ class Bpe:
     def _word(self, word: str) -> bytes:
         """Packed ids of text without blanks."""
         ids: list[int] = []
-        for piece in self.pieces.findall(word):
-            ids += self.encode_piece(piece)
+        if word.isascii():
+            for piece in self.pieces.findall(word):
+                ids += self.encode_piece(piece)
+        else:
+            # Characters this Python's tables do not know are symbols to the
+            # file's pattern engine; a private-use mark stands in for them.
+            marked = "".join("\ue000" if category(c) == "Cn" else c for c in word)
+            for m in self.pieces.finditer(marked):
+                ids += self.encode_piece(word[m.start() : m.end()])
         return np.array(ids, dtype="<u4").tobytes()
 
     def _plain(self, text: str) -> bytes:

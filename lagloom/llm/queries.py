@@ -5,11 +5,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagloom.llm import bpe, language, quality
 from lagloom.llm.lines import dedup_lines
+from lagloom.llm.neighbours import near_duplicate_vectors
+from lagloom.llm.packing import pack_documents
+from lagloom.llm.secret_scan import BASE, find_secrets
+from lagloom.llm.shards import shuffled_shards
 from lagloom.llm.sketches import near_duplicates
+from lagloom.llm.topk import top_k, valid, whole_numbers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +35,139 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query(r"""
+with v as (
+  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+), pair as (
+  select q.vec_id as query_id, c.vec_id,
+    cast(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) as bigint) as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
+), ranked as (
+  select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
+    vec_id, score
+  from pair
+)
+select query_id, rank, vec_id, score from ranked where rank <= 5
+""")
+def op1_exact_topk(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where(valid(F.col("embedding")))
+    rows = rows.select("vec_id", whole_numbers(F.col("embedding")).alias("vector"))
+    return top_k(rows, rows.where("vec_id % 50 = 0"), k=5)
+
+
+@query()
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.learn(docs)
+    rows = docs.select("doc_id", "text", language.held_out(F.col("doc_id")).alias("held_out"))
+    return language.predict(rows, model)
+
+
+@query()
+def op3_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = _vocabulary("word_bpe_49k.json")
+    coded = bpe.encode_texts(table(spark, folder, "documents").select("doc_id", "text"), path)
+    both = bpe.decode_ids(coded, path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        _sha(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        _sha(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
+@query()
+def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    grade = quality.grade_of(F.col("quality"), F.col("toxic")).alias("grade")
+    graded = table(spark, folder, "labels").select("doc_id", grade)
+    return quality.rate(docs, quality.fit_grades(docs, graded))
+
+
+@query()
+def op5_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    docs = shuffled_shards(table(spark, folder, "documents").select("doc_id", "text"))
+    return docs.select(
+        "doc_id",
+        "size",
+        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        "shard",
+        "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+
+
+@query()
+def op6_packing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    packed = pack_documents(docs, _vocabulary("byte_bpe_50k.json"), keep_ids=False)
+    return packed.select(
+        F.col("doc").alias("doc_id"),
+        "start",
+        "length",
+        F.col("crc").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+@query()
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = find_secrets(table(spark, folder, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["kind"].isin(*[r.kind for r in BASE]))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(
+            F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+        )
+
+    return found.select(
+        "doc_id",
+        *[count(r.kind).alias(f"n_{r.kind}") for r in BASE],
+        _sha(joined(base)).alias("base_sha256"),
+        joined(F.col("spans")).alias("spans"),
+    )
+
+
+@query(r"""
+with recursive v as (
+  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as v from embeddings
+  where embedding is not null and label is not null
+    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, x -> x <> 0)) > 0
+), link as (
+  select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
+  where list_cosine_similarity(a.v, b.v) >= 0.93
+), reach as (
+  select vec_id as node, vec_id as found from embeddings
+  union select r.node, l.b from reach r join link l on r.found = l.a
+)
+select r.node as vec_id, coalesce(any_value(n.n), 0) as n_links, min(r.found) as component_id,
+  r.node = min(r.found) as kept
+from reach r left join (select a, count(*) as n from link group by a) n on n.a = r.node
+group by r.node
+""")
+def op8_embedding_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, folder, "embeddings"))
+
+
 @query(r"""
 with parts as (
   select doc_id, string_split(coalesce(text, ''), chr(10)) as lines from documents
