@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # What the pattern engine of the vocabulary file takes as blank;
 # str.isspace also holds U+001C to U+001F, which are ordinary symbols there.
@@ -210,7 +211,7 @@ def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "ids")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").cast("string").alias("ids"))
     head = rows.drop("ids").schema
-    return rows.mapInArrow(_encoded(vocabulary), head.add("ids", "array<int>"))
+    return rows.mapInArrow(_encoded(vocabulary), head.add("ids", ArrayType(IntegerType())))
 
 
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
@@ -218,5 +219,5 @@ def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFra
     to null, no ids to an empty text. A column named decoded is replaced."""
     rest = [c for c in encoded.columns if c not in (ids, "decoded")]
     rows = encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`"))
-    schema = rows.schema
-    return rows.mapInArrow(_decoded(vocabulary), schema.add("decoded", "string"))
+    schema = StructType([*rows.schema.fields, StructField("decoded", StringType())])
+    return rows.mapInArrow(_decoded(vocabulary), schema)

@@ -143,13 +143,11 @@ def score_text(model: dict, cache: dict, text: str | None) -> tuple[str, float]:
     langs = model["langs"]
     if not found or not langs:
         return UNKNOWN, 0.0
-    rows = list(map(cache.get, found))
-    if None in rows:
-        words = model["words"]
-        for w in {w for w, r in zip(found, rows, strict=True) if r is None}:
-            known = words.get(w)
-            cache[w] = backed_off(model, w) if known is None else known
-        rows = list(map(cache.__getitem__, found))
+    words = model["words"]
+    for w in set(found).difference(cache):
+        known = words.get(w)
+        cache[w] = backed_off(model, w) if known is None else known
+    rows = list(map(cache.__getitem__, found))
     total = np.sum(np.array(rows), axis=0)
     best = int(np.argmax(total))
     return langs[best], float(1.0 / np.exp(total - total[best]).sum())

@@ -229,11 +229,11 @@ def _block_counts(key, left: pa.Table, right: pa.Table) -> pa.Table:
     ids, out = left.column("node").to_numpy(), np.zeros(len(left), dtype=np.int64)
     if len(left) and len(right):
         x = np.array(_rows(left.column("v").combine_chunks()))
-        y = np.array(_rows(right.column("v").combine_chunks()))
+        y = np.array(_rows(right.column("w").combine_chunks()))
         x /= np.sqrt((x * x).sum(axis=1))[:, None]
         y /= np.sqrt((y * y).sum(axis=1))[:, None]
         linked = x @ y.T >= SIMILAR
-        linked &= ids[:, None] != right.column("node").to_numpy()[None, :]
+        linked &= ids[:, None] != right.column("other").to_numpy()[None, :]
         out = linked @ right.column("copies").to_numpy()
     return pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], names=["node", "n"])
 
@@ -246,12 +246,18 @@ def _counted(members: DataFrame) -> DataFrame:
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     )
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = cut.select("component", F.col("block").alias("i"), every.alias("j"), "node", "v")
-    right = cut.select("component", every.alias("i"), F.col("block").alias("j"), "node", "v", "copies")
-    keys = ["component", "i", "j"]
+    left = cut.select(F.col("component").alias("c"), F.col("block").alias("i"), every.alias("j"), "node", "v")
+    right = cut.select(
+        F.col("component").alias("rc"),
+        every.alias("ri"),
+        F.col("block").alias("rj"),
+        F.col("node").alias("other"),
+        F.col("v").alias("w"),
+        "copies",
+    )
     return (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
+        left.groupBy("c", "i", "j")
+        .cogroup(right.groupBy("rc", "ri", "rj"))
         .applyInArrow(_block_counts, "node long, n long")
         .groupBy("node")
         .agg(F.sum("n").alias("n"))
@@ -366,7 +372,7 @@ def near_duplicate_vectors(
         keep *= 2
         lists = lists.withColumn("fresh", F.lit(True))
     members = labels.join(dense, "component", "left_semi").join(nodes, "node")
-    counted = _counted(members.select("component", "node", "v", "copies"))
+    counted = _counted(scratch(members.select("component", "node", "v", "copies"), "dense-members"))
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     listed = (
         both.join(nodes.select(F.col("node").alias("b"), "copies"), "b")

@@ -47,12 +47,12 @@ def _vocabulary(name: str) -> str:
 
 @query(r"""
 with v as (
-  select vec_id, list_transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as v
+  select vec_id, list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
   from embeddings
-  where embedding is not null and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), pair as (
   select q.vec_id as query_id, c.vec_id,
-    cast(list_sum(list_transform(generate_series(1, len(q.v)), i -> q.v[i] * c.v[i])) as bigint) as score
+    cast(list_sum(list_transform(generate_series(1, len(q.v)), lambda i: q.v[i] * c.v[i])) as bigint) as score
   from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id
 ), ranked as (
   select query_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as integer) as rank,
@@ -148,10 +148,10 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(r"""
 with recursive v as (
-  select vec_id, label, list_transform(embedding, x -> cast(x as double)) as v from embeddings
+  select vec_id, label, list_transform(embedding, lambda x: cast(x as double)) as v from embeddings
   where embedding is not null and label is not null
-    and len(list_filter(embedding, x -> x is null or not isfinite(x))) = 0
-    and len(list_filter(embedding, x -> x <> 0)) > 0
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and len(list_filter(embedding, lambda x: x <> 0)) > 0
 ), link as (
   select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id
   where list_cosine_similarity(a.v, b.v) >= 0.93

@@ -11,6 +11,7 @@ from functools import cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from lagloom.llm.automaton import Dfa
 from lagloom.llm.shared import with_replaced
@@ -111,6 +112,9 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
     return Scanner(rules)
 
 
+_SPANS = ArrayType(StructType().add("kind", StringType()).add("start", IntegerType()).add("end", IntegerType()))
+
+
 def _scan(rules: tuple[Rule, ...]):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = scanner(rules)
@@ -138,8 +142,8 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     replaced."""
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "spans")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
-    schema = rows.schema
-    return rows.mapInArrow(_scan(rules), schema.add("spans", "array<struct<kind:string,start:int,end:int>>"))
+    schema = StructType([*rows.schema.fields, StructField("spans", _SPANS)])
+    return rows.mapInArrow(_scan(rules), schema)
 
 
 def masked(found: DataFrame, text: str = "text") -> DataFrame:

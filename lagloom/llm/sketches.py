@@ -5,10 +5,13 @@ its `SKETCH` smallest values. Documents with equal shingle sets are one node.
 Inverted lists of retained values propose pairs: a pair at the wanted similarity
 shares most of its sketch, so only the rarest values of each sketch are listed
 (enough of them that such a pair must share one), which keeps passages that many
-documents quote out of the lists. Lists are not paired out: members meet the
-list's hub first, components form, and only members of different components are
-paired afterwards. The sketch of the union estimates each pair, and the full
-sets confirm it."""
+documents quote out of the lists. Lists are not paired out: each node first
+joins the largest of its lists, whose members are compared in blocks, where the
+sketches' overlap filters and the full sets confirm, and a block returns only
+links that connect it. Lists that still span components are grouped again by
+their members' smallest hashed values; pairs that met in no group are joined at
+their smallest common value, rated by the sketch of the union and confirmed on
+the full sets."""
 
 from __future__ import annotations
 
@@ -18,9 +21,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from lagloom.llm.components import components
 from lagloom.llm.shared import drop_scratch, scratch, small_side
@@ -30,16 +32,15 @@ SIMILAR = (75, 100)
 # Values kept per document, and the smallest of them used for the first look.
 SKETCH = 128
 HEAD = 16
-# A pair at similarity 0.75 shares on average 0.75 of the union's sketch; with
-# 128 values less than SHARED of it has a chance below 1e-6. For the 16 values
-# of the head, a quarter at least is shared but for a chance of 1e-5.
-SHARED = 0.55
+# Of the 16 values of the head, a pair at similarity 0.75 shares a quarter at
+# least but for a chance of 1e-5.
 HEAD_SHARED = 0.25
+# Standard deviations that the overlap of two sketches may stay below its mean.
+DEVIATIONS = 4.6
 # The estimate from the union's sketch may fall short by this much.
 SLACK = 0.2
-# Pairs across components that are looked at, per list entry, before another
-# round of hubs is tried.
-PAIRS_PER_ENTRY = 4
+# Nodes compared at once inside a group.
+BLOCK = 512
 
 # Odd multipliers that mix five word hashes into one.
 _MIX = np.array(
@@ -142,6 +143,117 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[at] == a).sum())
 
 
+def needed_overlap(n: np.ndarray) -> np.ndarray:
+    """Values that the sketch of a set of size `n` shares at least with that of
+    any partner: 0.75 of the set while both sketches hold whole sets, otherwise
+    the mean of the draw from the union less DEVIATIONS."""
+    share = SIMILAR[0] / SIMILAR[1]
+    k = np.minimum(n, SKETCH)
+    spread = np.sqrt(k * share * (1 - share) * np.maximum(0.0, 1 - k * share / np.maximum(n, 1)))
+    drawn = np.floor(share * k - DEVIATIONS * spread)
+    return np.where(n <= share * SKETCH, np.ceil(share * n), drawn)
+
+
+def _needed(n: Column) -> Column:
+    """`needed_overlap` in SQL functions."""
+    share = SIMILAR[0] / SIMILAR[1]
+    k = F.least(n, F.lit(SKETCH))
+    spread = F.sqrt(k * share * (1 - share) * F.greatest(F.lit(0.0), 1 - k * share / n))
+    drawn = F.floor(share * k - DEVIATIONS * spread)
+    return F.when(n <= share * SKETCH, F.ceil(share * n)).otherwise(drawn)
+
+
+def _reaches(common, na, nb):
+    return SIMILAR[1] * common >= SIMILAR[0] * (na + nb - common)
+
+
+def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Common sketch values of every left with every right set, as products of
+    indicator matrices over a slice of the values at a time."""
+    parts = [s[:SKETCH] for s in sets]
+    owner = np.repeat(np.arange(len(sets)), [len(p) for p in parts])
+    _, column, counts = np.unique(np.concatenate(parts), return_inverse=True, return_counts=True)
+    twice = counts[column] > 1
+    owner, column = owner[twice], column[twice]
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    if not len(column):
+        return out
+    _, column = np.unique(column, return_inverse=True)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = 2048
+    for at in range(0, int(column[-1]) + 1, width):
+        lo, hi = np.searchsorted(column, [at, at + width])
+        has = np.zeros((len(sets), width), dtype=np.float32)
+        has[owner[lo:hi], column[lo:hi] - at] = 1
+        out += has[left] @ has[right].T
+    return out
+
+
+def linked_in_block(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect what is similar: between the two sides if there are
+    two, else among all. Pairs already connected here are not looked at again."""
+    across = side.min() != side.max()
+    left = np.flatnonzero(side == side.min())
+    right = np.flatnonzero(side == side.max())
+    n = np.array([len(s) for s in sets])
+    common = _overlaps(sets, left, right)
+    need = needed_overlap(n)
+    na, nb = n[left][:, None], n[right][None, :]
+    ok = common >= np.maximum(need[left][:, None], need[right][None, :])
+    ok &= SIMILAR[1] * np.minimum(na, nb) >= SIMILAR[0] * np.maximum(na, nb)
+    whole = (na <= SKETCH) & (nb <= SKETCH)
+    ok &= ~whole | _reaches(common, na, nb)
+    if not across:
+        ok = np.triu(ok, 1)
+    i, j = np.nonzero(ok)
+    best = np.argsort(-common[i, j] / (n[left[i]] + n[right[j]]), kind="stable")
+    leader = list(range(len(nodes)))
+
+    def lead(x: int) -> int:
+        while leader[x] != x:
+            leader[x] = leader[leader[x]]
+            x = leader[x]
+        return x
+
+    links = []
+    for x, y, sure in zip(left[i[best]].tolist(), right[j[best]].tolist(), whole[i, j][best].tolist(), strict=True):
+        p, q = lead(x), lead(y)
+        if p != q and (sure or _reaches(_common(sets[x], sets[y]), n[x], n[y])):
+            leader[q] = p
+            links.append((int(nodes[x]), int(nodes[y])))
+    return links
+
+
+def _compare_block(key: tuple, rows: pa.Table) -> pa.Table:
+    links = []
+    if len(rows) > 1:
+        links = linked_in_block(
+            rows.column("node").to_numpy(),
+            _hashes(rows.column("set").combine_chunks()),
+            rows.column("block").to_numpy(),
+        )
+    a, b = zip(*links, strict=True) if links else ([], [])
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+def _grouped_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links inside the groups (g, node), by blocks of about BLOCK nodes."""
+    sizes = groups.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    cut = (
+        groups.join(sizes, "g")
+        .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    )
+    return (
+        cut.join(sets.select(F.col("doc").alias("node"), "set"), "node")
+        .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
+        .groupBy("g", "i", "j")
+        .applyInArrow(_compare_block, "a long, b long")
+    )
+
+
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Similarity by the sketch of the union; exact where both sketches are
     the whole sets."""
@@ -156,7 +268,7 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 est[i] = _common(a, b) / len(union)
             else:
                 c = _common(a, b)
-                est[i] = 2.0 if SIMILAR[1] * c >= SIMILAR[0] * (len(a) + len(b) - c) else 0.0
+                est[i] = 2.0 if _reaches(c, len(a), len(b)) else 0.0
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), batch.column(1), pa.array(est)], names=["a", "b", "est"]
         )
@@ -187,24 +299,25 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
     ).select("node", F.explode("sketch").alias("value"))
     values = scratch(values.distinct(), "retained")
     known = values.groupBy("value").count().where("count > 1")
-    sizes = F.least(F.col("n"), F.lit(SKETCH))
     shared = values.join(known, "value")
     by_rarity = Window.partitionBy("node")
-    ranked = shared.join(held.select("node", sizes.alias("k")), "node").select(
+    ranked = shared.join(held.select("node", "n"), "node").select(
         "node",
         "value",
         # Values that no other node retains come first in the order by rarity.
         (
-            F.col("k")
+            F.least("n", F.lit(SKETCH))
             - F.count("*").over(by_rarity)
             + F.row_number().over(by_rarity.orderBy("count", "value"))
         ).alias("place"),
-        "k",
+        "n",
     )
-    wanted = F.col("k") - F.ceil(F.lit(SHARED) * F.col("k")) + 1
-    listed = scratch(ranked.where(F.col("place") <= wanted).select("value", "node"), "lists")
+    wanted = F.least("n", F.lit(SKETCH)) - _needed(F.col("n")) + 1
+    listed = ranked.where(F.col("place") <= wanted).select("value", "node", "n")
+    listed = scratch(listed, "prefixes")
     drop_scratch(values)
-    return listed
+    sizes = listed.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
+    return scratch(listed.join(sizes, "value"), "lists")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -253,49 +366,48 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         "sets",
     )
 
-    edges = nodes.limit(0).select(F.col("node").alias("a"), F.col("node").alias("b"))
-    entries = lists.count()
-    by_component = lists.withColumn("component", F.col("node"))
-    left = None
-    for turn in range(64):
-        if not entries:
-            break
-        counted = by_component.groupBy("value", "component").count()
-        across = counted.groupBy("value").agg(
-            ((F.sum("count") ** 2 - F.sum(F.col("count") ** 2)) / 2).alias("pairs")
-        )
-        now = across.agg(F.sum("pairs")).first()[0] or 0.0
-        if not now:
-            break
-        last = now <= PAIRS_PER_ENTRY * entries or (left is not None and now > 0.8 * left)
-        left = now
-        if last:
-            x, y = by_component.alias("x"), by_component.alias("y")
-            pairs = x.join(
-                y, (F.col("x.value") == F.col("y.value")) & (F.col("x.component") < F.col("y.component"))
-            ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        else:
-            # Another hub in each turn: the member with the smallest seeded hash.
-            hubs = by_component.groupBy("value").agg(
-                F.min_by(F.struct("node", "component"), F.xxhash64(F.lit(turn), "node")).alias("hub")
-            )
-            pairs = (
-                by_component.join(hubs, "value")
-                .where(F.col("component") != F.col("hub.component"))
-                .select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-            )
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges = scratch(edges.unionByName(_verify(pairs, sketches, sets)), "links")
-        labels = components(edges)
-        if last:
-            break
-        by_component = scratch(
-            lists.join(labels, "node", "left").select(
-                "value", "node", F.coalesce("component", "node").alias("component")
-            ),
-            "list-components",
-        )
-    labels = components(edges)
+    # The largest list of each node first, then what still spans components.
+    largest = lists.groupBy("node").agg(F.max(F.struct("size", "value")).getField("value").alias("g"))
+    largest = scratch(largest, "groups")
+    links = scratch(_grouped_links(largest, sets), "links")
+    joined = components(links)
+    open_ = lists.join(joined, "node", "left").join(largest, "node")
+    open_ = open_.withColumn("component", F.coalesce("component", "node"))
+    spans = (
+        open_.groupBy("value")
+        .agg(F.min("component") < F.max("component"), F.min("g") < F.max("g"))
+        .toDF("value", "components", "groups")
+        .where("components and groups")
+        .select("value")
+    )
+    open_ = scratch(open_.join(spans, "value").select("value", "node", "n", "g", "component"), "open-lists")
+    per_node = scratch(
+        open_.groupBy("node").agg(
+            F.min_by("value", F.xxhash64(F.lit(1), "value")).alias("g1"),
+            F.min_by("value", F.xxhash64(F.lit(2), "value")).alias("g2"),
+            F.collect_set("value").alias("values"),
+        ),
+        "open-groups",
+    )
+    again = per_node.select("node", F.col("g1").alias("g")).unionByName(
+        per_node.select("node", F.col("g2").alias("g"))
+    )
+    x, y = (open_.join(per_node, "node").alias(c) for c in ("x", "y"))
+    met = F.lit(False)
+    for g in ("g", "g1", "g2"):
+        met = met | (F.col(f"x.{g}") == F.col(f"y.{g}"))
+    first = F.array_min(F.array_intersect("x.values", "y.values"))
+    pairs = x.join(
+        y,
+        (F.col("x.value") == F.col("y.value"))
+        & (F.col("x.node") < F.col("y.node"))
+        & (F.col("x.component") != F.col("y.component"))
+        & (F.least("x.n", "y.n") * SIMILAR[1] >= F.greatest("x.n", "y.n") * SIMILAR[0])
+        & ~met
+        & (F.col("x.value") == first),
+    ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    more = _grouped_links(again, sets).unionByName(_verify(pairs.distinct(), sketches, sets))
+    labels = components(links.unionByName(more))
     named = nodes.select("mark", "node").join(labels, "node", "left").select(
         "mark", F.coalesce("component", "node").alias("component")
     )
@@ -322,9 +434,6 @@ def _verify(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame
     close = (
         pairs.join(side("a"), "a")
         .join(side("b"), "b")
-        .where(
-            (F.least("na", "nb") * SIMILAR[1] >= F.greatest("na", "nb") * SIMILAR[0])
-        )
         .select("a", "b", "na", "nb", "sa", "sb")
     )
     rated = scratch(close.mapInArrow(_estimates, "a long, b long, est double"), "estimates")
@@ -335,6 +444,6 @@ def _verify(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame
         .join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
         .join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
         .withColumn("both", F.size(F.array_intersect("x", "y")))
-        .where(SIMILAR[1] * F.col("both") >= SIMILAR[0] * (F.size("x") + F.size("y") - F.col("both")))
+        .where(_reaches(F.col("both"), F.size("x"), F.size("y")))
     )
     return sure.unionByName(full.select("a", "b")).distinct()
