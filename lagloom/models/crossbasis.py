@@ -119,8 +119,9 @@ class CrossBasis:
         cells = F.collect_list(F.struct(F.col(t).alias("t"), F.col("_v").alias("b"))).over(w)
         rows = rows.withColumn("_cells", cells).where(F.col("_block") == F.col("_home"))
         whole = (
-            f"size(_cells) = {self.max_lag + 1} and _cells[0].t = {t} - {self.max_lag} "
-            "and not exists(_cells, c -> c.b is null)"
+            f"size(_cells) = {self.max_lag + 1} and not exists(_cells, c -> c.b is null) and "
+            # Every place holds its own time: a repeated day does not hide a gap.
+            f"not exists(transform(_cells, (c, i) -> c.t = {t} - {self.max_lag} + i), ok -> not ok)"
         )
         bases = "reverse(transform(_cells, c -> c.b))"
         return (

@@ -198,19 +198,20 @@ def density(
     return at.select(by, "x", shape.alias("density"), "bandwidth")
 
 
-def scatter_points(
-    df: DataFrame, key: str, cols: Sequence[str], cap: int | None = None
-) -> DataFrame:
-    """Complete rows for a scatter. Above `cap` rows a share of about `cap`
-    rows is kept by a hash of the key, the same rows on every run."""
-    rows = df.dropna(subset=list(cols)).select(key, *cols)
-    if cap is None:
-        return rows
-    n = rows.agg(F.count("*").alias("n")).scalar()
-    # First eight hex digits of the digest: a uniform number below 2^32.
-    u = F.conv(F.substring(F.md5(F.col(key).cast("string")), 1, 8), 16, 10).cast("long")
-    share = F.least(F.lit(1.0), F.lit(float(cap)) / F.greatest(n, F.lit(1)))
-    return rows.where(u < share * float(2**32))
+def scatter_points(df: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
+    """All complete rows for a scatter."""
+    return df.dropna(subset=list(cols)).select(key, *cols)
+
+
+def binned_scatter(df: DataFrame, x: Column, y: Column, width_x: float, width_y: float) -> DataFrame:
+    """Counts of complete rows on a grid: what a scatter of any number of rows
+    shows. Cells are closed on the left and named by their lower corner."""
+    cell = [F.floor(v / w) * F.lit(float(w)) for v, w in ((x, width_x), (y, width_y))]
+    return (
+        df.where(x.isNotNull() & y.isNotNull())
+        .groupBy(cell[0].alias("x"), cell[1].alias("y"))
+        .agg(F.count("*").alias("n"))
+    )
 
 
 def correlations(df: DataFrame, cols: Sequence[str], na: str = "pairwise") -> DataFrame:

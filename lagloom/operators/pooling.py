@@ -386,7 +386,9 @@ def explained(with_mods: DataFrame, without: DataFrame) -> DataFrame:
 
 def likelihood_ratio(small: DataFrame, large: DataFrame) -> DataFrame:
     """Likelihood-ratio test of nested ML fits per outcome, with AIC and BIC.
-    One more parameter than coefficients: tau^2."""
+    One more parameter than coefficients: tau^2. Fits on different studies are
+    not nested: such an outcome keeps its row, with null test values.
+    """
     def side(df: DataFrame, tag: str) -> DataFrame:
         free = F.col("p") + 1
         return df.select(
@@ -400,8 +402,9 @@ def likelihood_ratio(small: DataFrame, large: DataFrame) -> DataFrame:
 
     from lagloom.functions.tails import chi2_p
 
-    out = side(small, "small").join(side(large, "large"), "outcome").where("k_small = k_large")
+    out = side(small, "small").join(side(large, "large"), "outcome")
     stat = F.greatest(F.lit(0.0), 2 * (F.col("loglik_large") - F.col("loglik_small")))
+    stat = F.when(F.col("k_small") == F.col("k_large"), stat)
     out = out.withColumn("lrt", stat).withColumn(
         "lrt_df", F.col("df_large") - F.col("df_small")
     )

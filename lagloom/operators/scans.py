@@ -91,11 +91,30 @@ def numbered(
     )
 
 
-# Groups up to this size are ranked over all their values; larger groups are
-# ranked only between two bracketing values from a quantile sketch.
-BRACKET_ABOVE = 1_000_000
-_SKETCH = 100_000
-_MARGIN = 5.0 / _SKETCH
+# Cells per power of two in the two searches for a rank. A group's first cells
+# number at most about 2^8 times the binary orders its values span; the second
+# search divides one of them into 2^18.
+_CELLS = (2**8, 2**26)
+
+
+def value_cell(x: Column, per_octave: int) -> Column:
+    """A whole number that never falls as `x` rises: `per_octave` cells for
+    every power of two. Continuous in between, so an exponent that rounding puts
+    one off at a power of two gives the same cell."""
+    size = F.abs(x)
+    exponent = F.least(F.lit(1023.0), F.floor(F.log2(size)).cast("double"))
+    inside = exponent + size / F.pow(F.lit(2.0), exponent) + 1100.0
+    cell = F.when(size == float("inf"), F.lit(2200.0)).otherwise(inside)
+    cell = (F.signum(x) * F.floor(cell * per_octave)).cast("long")
+    # Not a number sorts last.
+    return F.when(F.isnan(x), F.lit(2**62)).when(x == 0, F.lit(0)).otherwise(cell)
+
+
+def _on(left: Sequence[str], right: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right, strict=True):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
 
 
 def exact_percentiles(
@@ -105,78 +124,75 @@ def exact_percentiles(
     `probs` (output name -> probability), nulls skipped.
 
     The built-in exact percentile holds every distinct value of a group in one
-    task. Here a sketch brackets each wanted rank, rows outside the brackets
-    collapse into counts during partial aggregation, and only the values inside
-    a bracket are ranked. A bracket that misses its rank fails the query rather
-    than giving a near value."""
+    task. Here rows are counted by (key, value) first, which spreads any group.
+    Each wanted rank is then searched from coarse to fine: counts by value cell
+    say which cell holds it, a second division narrows the cell, and only the
+    values of that are put in order. No exchange carries rows by key alone."""
     keys = list(keys)
     names = list(probs)
-    x = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_x"))
-    edges = [max(probs[n] - _MARGIN, 0.0) for n in names]
-    edges += [min(probs[n] + _MARGIN, 1.0) for n in names]
-    base = x.groupBy(*keys).agg(
-        F.count("*").alias("_n"),
-        F.percentile_approx("_x", edges, _SKETCH).alias("_e"),
-    )
-    k = len(names)
-    brackets = base.select(
-        *[F.col(c).alias(f"_k_{c}") for c in keys],
-        F.col("_n").alias("_size"),
-        F.slice("_e", 1, k).alias("_lo"),
-        F.slice("_e", k + 1, k).alias("_hi"),
-    )
-    if keys:
-        on = F.lit(True)
-        for c in keys:
-            on = on & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-        rows = x.join(brackets, on)
-    else:
-        one = brackets.select(F.struct("*").alias("s"))
-        rows = x.withColumn("_s", one.scalar()).select("*", "_s.*").drop("_s")
-    # Segments: values inside a bracket stay apart; each gap between brackets
-    # is one row, keyed by the number of brackets wholly below it.
-    below = " + ".join(f"int(_x > _hi[{i}])" for i in range(k))
-    inside = " or ".join(f"(_x >= _lo[{i}] and _x <= _hi[{i}])" for i in range(k))
-    rows = rows.withColumn("_keep", F.expr(f"_size <= {BRACKET_ABOVE} or {inside}"))
     counts = (
-        rows.withColumns(
-            {
-                "_v": F.when(F.col("_keep"), F.col("_x")),
-                "_gap": F.when(~F.col("_keep"), F.expr(below)),
-            }
-        )
-        .groupBy(*keys, "_v", "_gap")
-        .agg(
-            F.count("*").alias("_c"),
-            F.min("_x").alias("_at"),
-            F.first("_size").alias("_size"),
+        df.where(F.col(value).isNotNull())
+        .select(*keys, F.col(value).cast("double").alias("_x"))
+        .groupBy(*keys, "_x")
+        .agg(F.count("*").alias("_c"))
+        .withColumn("_cell", value_cell(F.col("_x"), _CELLS[0]))
+    )
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = whole.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = (
+        counts.groupBy(*keys, "_cell")
+        .agg(F.sum("_c").alias("_n"))
+        .withColumns(
+            {"_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "_size": F.sum("_n").over(whole)}
         )
     )
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    upto = w.orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = counts.withColumn("_to", F.sum("_c").over(upto))
-
     # Wanted ranks (from 1): two per probability, lower and upper neighbour.
     wanted = []
     for name in names:
         at = f"({float(probs[name])!r}D * (_size - 1))"
         wanted += [f"floor({at}) + 1", f"least(floor({at}) + 2, _size)"]
-    hits = ranked.withColumn("_ranks", F.expr(f"array({', '.join(wanted)})")).withColumn(
-        "_hit",
-        F.expr(
-            "filter(transform(_ranks, (r, i) -> case when r <= _to and r > _to - _c then i end),"
-            " i -> i is not null)"
-        ),
+    sought = (
+        cells.select("*", F.posexplode(F.expr(f"array({', '.join(wanted)})")).alias("_i", "_rank"))
+        .where("_rank > _before and _rank <= _before + _n")
+        .select(
+            *[F.col(c).alias(f"_k_{c}") for c in keys],
+            F.col("_cell").alias("_at"),
+            "_i",
+            (F.col("_rank") - F.col("_before")).alias("_rank"),
+            "_size",
+        )
+    )
+    renamed = [f"_k_{c}" for c in keys]
+    near = (
+        counts.join(sought, _on([*keys, "_cell"], [*renamed, "_at"]))
+        .drop("_cell", "_at", *renamed)
+        .withColumn("_fine", value_cell(F.col("_x"), _CELLS[1]))
+    )
+    target = Window.partitionBy(*keys, "_i")
+    upto = target.orderBy("_fine").rowsBetween(Window.unboundedPreceding, 0)
+    fine = (
+        near.groupBy(*keys, "_i", "_fine")
+        .agg(F.sum("_c").alias("_n"), F.first("_rank").alias("_rank"))
+        .withColumn("_to", F.sum("_n").over(upto))
+        .where("_rank <= _to and _rank > _to - _n")
+        .select(
+            *[F.col(c).alias(f"_k_{c}") for c in keys],
+            F.col("_i").alias("_j"),
+            F.col("_fine").alias("_at"),
+            (F.col("_rank") - F.col("_to") + F.col("_n")).alias("_left"),
+        )
     )
-    miss = F.raise_error(F.lit("percentile bracket missed its rank")).cast("double")
+    upto = target.orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
     found = (
-        hits.where(F.size("_hit") > 0)
-        .select(*keys, "_size", F.explode("_hit").alias("_i"), F.coalesce("_v", miss).alias("_v"))
+        near.join(fine, _on([*keys, "_i", "_fine"], [*renamed, "_j", "_at"]))
+        .drop(*renamed)
+        .withColumn("_to", F.sum("_c").over(upto))
+        .where("_left <= _to and _left > _to - _c")
         .groupBy(*keys)
         .agg(
             F.first("_size").alias("_size"),
             # Two entries per probability.
-            F.map_from_entries(F.collect_list(F.struct("_i", "_v"))).alias("_m"),
+            F.map_from_entries(F.collect_list(F.struct("_i", "_x"))).alias("_m"),
         )
     )
     out = []

@@ -152,17 +152,22 @@ def density_grid(spark, folder):
     return d.select("hospital", rounded("x", 6).alias("x"), rounded("density", 8).alias("density"))
 
 
-@analysis(
-    """select event_id, event_type as hospital, value as age_years from events
-    where cast('0x' || substr(md5(cast(event_id as varchar)), 1, 8) as bigint)
-      < least(1, 2000.0::double / (select count(*) from events)) * 4294967296.0::double"""
-)
-def scatter_sample(spark, folder):
+@analysis("select event_id, event_type as hospital, value as age_years from events where value is not null")
+def scatter_points(spark, folder):
     return describe.scatter_points(
-        fx.linelist(spark, folder), "event_id", ["hospital", "age_years"], cap=2000
+        fx.linelist(spark, folder), "event_id", ["hospital", "age_years"]
     )
 
 
+@analysis(
+    """select floor(l_quantity / 5.0) * 5.0 as x, floor(l_extendedprice / 1000.0) * 1000.0 as y,
+    count(*) as n from lineitem group by 1, 2"""
+)
+def scatter_binned(spark, folder):
+    rows = spark.read.parquet(f"{folder}/lineitem.parquet")
+    return describe.binned_scatter(rows, F.col("l_quantity"), F.col("l_extendedprice"), 5.0, 1000.0)
+
+
 @analysis(f"with {BIRTHS} select l_orderkey, l_linenumber, ga, area from eligible")
 def births_excluded(spark, folder):
     return fx.eligible_births(spark, folder).select("l_orderkey", "l_linenumber", "ga", "area")

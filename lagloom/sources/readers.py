@@ -77,11 +77,7 @@ def load_newest(
     chosen = [r.path for r in files.where(F.col("modificationTime") == newest).collect()]
     if not chosen:
         raise FileNotFoundError(path)
-    parts = [load(spark, p, schema, fmt, **options) for p in sorted(chosen)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return load(spark, sorted(chosen), schema, fmt, **options)
 
 
 def load_with_banner(
@@ -94,8 +90,9 @@ def load_with_banner(
     """Delimited files with title lines and a messy header on top.
 
     Lines before the header (the first line that matches `header_pattern`) and
-    the header itself are dropped, per file. The header position is found by
-    byte order within a file, so a file may be read by many tasks."""
+    the header itself are dropped, per file; a later line that matches is data.
+    The header position is found by byte order within a file, so a file may be
+    read by many tasks. A file with lines but without a header fails the query."""
     lines = spark.read.text(path).select(
         "value",
         F.col("_metadata.file_path").alias("_file"),
@@ -109,10 +106,12 @@ def load_with_banner(
         .groupBy("_file")
         .agg(F.min(F.struct("_block", "_line")).alias("_start"))
     )
-    body = lines.join(start, "_file").where(
-        (F.struct("_block", "_line") > F.col("_start"))
-        & ~F.col("_is_header")
-        & (F.trim("value") != "")
+    missing = F.raise_error(F.concat(F.lit("no header line in "), F.col("_file"))).cast("boolean")
+    # One row per file is joined; the hint is left to Spark's size statistics.
+    body = lines.join(start, "_file", "left").where(
+        F.when(F.col("_start").isNull(), missing).otherwise(
+            (F.struct("_block", "_line") > F.col("_start")) & (F.trim("value") != "")
+        )
     )
     parsed = F.from_csv("value", schema, {"sep": sep, "mode": "PERMISSIVE"})
     return body.select(parsed.alias("r")).select("r.*")

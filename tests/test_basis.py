@@ -148,6 +148,12 @@ def test_series_design_needs_no_gap(spark):
     assert [t for t, v in got.items() if v is None] == [0, 1, 7, 8]
 
 
+def test_repeated_day_does_not_hide_a_gap(spark):
+    df = spark.createDataFrame([(t, float(t)) for t in (4, 5, 5, 7)], "t long, x double")
+    cb = CrossBasis(bs.linear(), bs.strata([], True), 2)
+    assert all(r.cb is None for r in cb.on_series(df, "t", "x").collect())
+
+
 def test_constant_exposure_gives_products(spark):
     df = spark.createDataFrame([([4.0] * 6,), ([4.0] * 5,), ([4.0] * 5 + [None],)], "history array<double>")
     cb = CrossBasis(bs.polynomial(2, 8.0), bs.lag_basis(bs.BasisSpec("ns", df=2), 5), 5)

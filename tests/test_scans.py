@@ -32,13 +32,15 @@ def test_numbered_is_row_number_for_a_hot_group(spark):
     assert len(out) == 5000
 
 
-@pytest.mark.parametrize("above", [1_000_000, 1000])
-def test_exact_percentiles(spark, monkeypatch, above):
-    """Both the full ranking and the bracketed ranking of large groups."""
-    monkeypatch.setattr(scans, "BRACKET_ABOVE", above)
+@pytest.mark.parametrize("kind", ["lognormal", "signed", "close"])
+def test_exact_percentiles(spark, kind):
     rng = np.random.default_rng(5)
-    n = 160_000
-    x = np.round(rng.lognormal(size=n), 3)
+    n = 60_000
+    x = {
+        "lognormal": lambda: np.round(rng.lognormal(size=n), 3),
+        "signed": lambda: rng.normal(size=n) * 10.0 ** rng.integers(-300, 300, n) * rng.integers(0, 2, n),
+        "close": lambda: 1000 + 1e-9 * rng.random(n),
+    }[kind]()
     key = np.where(rng.random(n) < 0.7, "hot", "cold")
     import pandas as pd
 
@@ -51,6 +53,26 @@ def test_exact_percentiles(spark, monkeypatch, above):
     np.testing.assert_allclose(list(whole), np.quantile(x, list(probs.values())), rtol=1e-12)
 
 
+def test_value_cells_rise_with_the_value(spark):
+    values = [0.0, 5e-324, 1e-300, 0.1, 0.5, 1 - 2**-53, 1.0, 1 + 2**-52, 8 - 2**-50, 8.0, 1e300, float("inf")]
+    for n in range(-60, 60):
+        values += [2.0**n * (1 - 2**-53), 2.0**n, 2.0**n * (1 + 2**-52)]
+    values = sorted({*values, *[-v for v in values]})
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for per_octave in (2**8, 2**26):
+        cells = df.select("x", scans.value_cell(F.col("x"), per_octave).alias("c")).orderBy("x").collect()
+        assert all(a.c <= b.c for a, b in zip(cells, cells[1:], strict=False))
+
+
+def test_percentiles_send_no_rows_by_key_alone(spark):
+    df = spark.createDataFrame([(i % 2, float(i)) for i in range(1000)], "k int, x double")
+    out = scans.exact_percentiles(df, ["k"], "x", {"p": 0.5})
+    plan = out._jdf.queryExecution().sparkPlan().toString()
+    assert {r.k: r.p for r in out.collect()} == {0: 499.0, 1: 500.0}
+    scan = [line for line in plan.splitlines() if "keys=[k" in line and "_x" in line]
+    assert scan, plan
+
+
 def test_exact_percentiles_small_null_and_constant(spark):
     df = spark.createDataFrame(
         [("a", 1.0), ("a", None), ("a", 4.0), (None, 7.0), ("c", 2.0), ("c", 2.0), ("n", None)],

@@ -65,6 +65,15 @@ def test_banner_lines_are_skipped_per_file(spark, tmp_path):
     assert sorted(map(tuple, df.collect())) == [(1, "x"), (2, "y"), (3, "z")]
 
 
+def test_banner_keeps_rows_like_the_header_and_names_files_without_one(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Title\nid,name\n1,x\nid,again\n2,y\n")
+    rows = sources.load_with_banner(spark, str(tmp_path), r"^id,", "id long, name string").collect()
+    assert sorted(map(tuple, rows), key=repr) == [(1, "x"), (2, "y"), (None, "again")]
+    (tmp_path / "b.csv").write_text("3,z\n")
+    with pytest.raises(Exception, match="no header line"):
+        sources.load_with_banner(spark, str(tmp_path), r"^id,", "id long, name string").collect()
+
+
 def test_manual_rows_need_a_key(spark):
     df = sources.manual_rows(spark, [("s1", 2014), ("s2", 1998)], "study string, year int", "study")
     assert df.count() == 2
