@@ -1,4 +1,90 @@
-"""Placeholder of stages, filled as the operators arrive."""
+"""A training corpus from `documents`, stage by stage.
 
-STAGES: list = []
+STAGES lists (name, function); each function takes (spark, docs, sf_dir) and
+returns a DataFrame whose rows, written as Parquet, are the next stage's docs.
+All stages but the last keep the columns of `documents`: rows that a stage
+rejects go, texts that it changes are replaced together with n_chars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lagloom.llm import language
+from lagloom.llm.lines import dedup_lines
+from lagloom.llm.packing import pack_documents
+from lagloom.llm.secret_scan import find_secrets, masked
+from lagloom.llm.shared import only, scratch, small_side, with_replaced
+from lagloom.llm.sketches import near_duplicates
+from lagloom.session import ship_package
+
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    return only(with_replaced(docs, {"n_chars": F.length("text").cast("long")}), columns)
+
+
+def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; texts that are null or have no letter go.
+    If no document carries a language, nothing is known and all with a text stay."""
+    model = language.learn(docs)
+    if not model["langs"]:
+        return docs.where(F.col("text").isNotNull())
+    predicted = language.predict(docs.withColumn("_scored", F.col("text")), model, "_scored")
+    return only(predicted.where(F.col("lang_pred") != language.UNKNOWN), docs.columns)
+
+
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts less the long lines that many documents share."""
+    return _measured(dedup_lines(docs), docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates, that with the smallest
+    id. Of rows with one id and one text the first stays; a null id is a
+    document of its own."""
+    groups = scratch(near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
+    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    left = docs.join(small_side(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
+    # Repeated ids are rare: only their rows are shuffled.
+    twice = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
+    twice = small_side(scratch(twice.select(F.col("doc_id").alias("_twice")), "repeated-ids"), 16)
+    same = F.col("doc_id") == F.col("_twice")
+    once = left.join(twice, same, "left_anti").unionByName(
+        left.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
+    )
+    return only(once, docs.columns)
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts with each secret replaced by its kind in angle brackets."""
+    return _measured(masked(find_secrets(docs)), docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token ids and their places in sequences of fixed length."""
+    import public_tokenizers
+
+    return pack_documents(docs, public_tokenizers.path(TOKENIZER)).withColumnRenamed("doc", "doc_id")
+
+
+STAGES = [
+    ("language ID", keep_languages),
+    ("line dedup", drop_repeated_lines),
+    ("MinHash near-dedup", drop_near_duplicates),
+    ("secret scans", mask_secrets),
+    ("packing", pack),
+]
+
+# Language ID and packing are not expressible in SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; each one's rows are written and read again."""
+    ship_package(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return docs

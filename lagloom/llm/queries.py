@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lagloom.llm import bpe, language, quality
 from lagloom.llm.lines import dedup_lines
 from lagloom.llm.neighbours import near_duplicate_vectors
@@ -227,3 +228,8 @@ from least l left join size s on s.doc_id = l.node
 """)
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -169,7 +169,8 @@ def top_k(
 
     Rows with a null id or vector, or with a null component, take no part.
     Vectors are compared within one length only. Repeated rows count once, as
-    an id with equal vector. Empty tables give an empty result."""
+    an id with equal vector. Scores are exact; one beyond the range of long is
+    clipped to it. Empty tables give an empty result."""
 
     def cleaned(df: DataFrame) -> DataFrame:
         return (
