@@ -1,177 +1,121 @@
 """Linear quantile regression.
 
-First the check loss, smoothed over a shrinking width, is minimised by Newton
-steps on distributed sums. Then the exact solution is found: far from the fit
-every row is known to lie above or below it, so those rows enter as one sum,
-and only rows within a narrow band of counted size are looked at one by one. A
-pass over all rows confirms that none outside the band has changed sides."""
+The check loss is minimised as a bounded linear program by a primal-dual
+interior-point path. Equal rows are counted first, so ties cost one row each and
+their count is the bound of their dual variable. A row's duals follow from the
+few numbers of the steps taken so far, so nothing is kept per row: each pass
+replays the steps, and only sums reach the driver. The path ends when the loss
+of the coefficients and the lower bound from the duals agree; a fit that does
+not get there is an error."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lagloom.functions.tails import normal_quantile
 from lagloom.models.fitted import Fitted
-from lagloom.models.moments import (
-    as_matrix,
-    as_vector,
-    keep,
-    pack,
-    solve_information,
-    sum_vectors,
-    unpack,
-)
-
-# Most band rows taken for the exact step, per quantile.
-BAND_ROWS = 20_000
-_WIDTHS = 40
-_EDGES = 1000
-
-
-def _smooth(design: DataFrame, taus, start, scale, n, p) -> dict[float, np.ndarray]:
-    """Newton steps on the logistic-smoothed loss, all quantiles per pass."""
-    last = scale * min(0.5, max(((p + math.log(n)) / n) ** 0.4, 1e-4))
-    betas = {t: start.copy() for t in taus}
-    width = scale
-    for _ in range(40):
-        def block(_: str, c, betas=betas, width=width):
+from lagloom.models.moments import keep, pack, solve_information, sum_vectors, unpack
+
+# Relative gap between loss and lower bound at which a fit is accepted.
+GAP = 1e-9
+_STEPS = 200
+# Step lengths tried, and the share of the way to the boundary that is taken.
+_LENGTHS = np.concatenate([np.linspace(1.0, 0.05, 96), 0.05 * 0.7 ** np.arange(1, 30)])
+_INSIDE = 0.98
+
+
+class _Path:
+    """One quantile's steps: (direction, centring, primal and dual length)."""
+
+    def __init__(self, tau: float, start: np.ndarray, offset: float):
+        self.tau, self.start, self.offset = tau, start, offset
+        self.steps: list[tuple[np.ndarray, float, float, float]] = []
+        self.beta = start.copy()
+
+    def state(self, c: dict[str, np.ndarray]):
+        """Duals a (and their slack s) and multipliers z, v of a block of rows."""
+        x, y, w = c["x"], c["y"], c["w"]
+        a = (1 - self.tau) * w
+        s = w - a
+        r = x @ self.start - y
+        z = np.maximum(r, 0.0) + self.offset
+        v = z - r
+        for move, centre, primal, dual in self.steps:
+            da, dz, dv = _direction(x, a, s, z, v, move, centre)
+            a, s, z, v = a + primal * da, s - primal * da, z + dual * dz, v + dual * dv
+        return a, s, z, v
+
+
+def _direction(x, a, s, z, v, move, centre):
+    da = (x @ move + centre * (1 / a - 1 / s) - (z - v)) / (z / a + v / s)
+    return da, (centre - z * da) / a - z, (centre + v * da) / s - v
+
+
+def _solve(rows: DataFrame, taus, start, scale, total, p) -> dict[float, _Path]:
+    """All quantiles at once, two passes a step; `total` is the sum of rows."""
+    paths = {t: _Path(t, start, 0.5 * scale) for t in taus}
+    open_ = list(taus)
+    for _ in range(_STEPS):
+        def sums(_: str, c, chosen=tuple(open_)):
             parts = []
-            for t, b in betas.items():
-                u = np.clip((c["y"] - c["x"] @ b) / width, -40, 40)
-                below = 1.0 / (1.0 + np.exp(u))
-                k = below * (1.0 - below) / width
-                parts += [(c["x"] * k[:, None]).T @ c["x"], c["x"].T @ (t - below)]
+            for t in chosen:
+                path = paths[t]
+                a, s, z, v = path.state(c)
+                q = 1 / (z / a + v / s)
+                r = c["y"] - c["x"] @ path.beta
+                loss = np.sum(c["w"] * r * (t - (r < 0)))
+                bound = np.sum(c["y"] * a) - (1 - t) * np.sum(c["w"] * c["y"])
+                parts += [
+                    (c["x"] * q[:, None]).T @ c["x"], c["x"].T @ (q * (z - v)),
+                    c["x"].T @ (q * (1 / a - 1 / s)), c["x"].T @ a,
+                    np.sum(a * z + s * v), loss, bound, 2 * len(a),
+                ]
             return pack(*parts)
 
-        vec = next(iter(sum_vectors(design, block).values()))
-        pieces = unpack(vec, *([(p, p), (p,)] * len(taus)))
-        largest = 0.0
-        for i, t in enumerate(taus):
-            curve, score = pieces[2 * i], pieces[2 * i + 1]
-            move, _ = solve_information(curve, score)
-            size = math.sqrt(max(float(move @ curve @ move), 0.0) / max(np.sum(curve[0, 0]), 1e-300))
-            if size > 2 * width:
-                move *= 2 * width / size
-            betas[t] = betas[t] + move
-            largest = max(largest, size / width)
-        if width <= last and largest < 1e-3:
-            break
-        width = max(width / 2.0, last)
-    return betas
-
-
-def _vertex(y, x, g, tau: float, start: np.ndarray) -> np.ndarray | None:
-    """Exact minimiser of sum rho_tau(y - x b) - g'b by moving along edges
-    between points that fit as many rows exactly as there are columns; None
-    when it is not reached, as can happen with heavily tied rows."""
-    n, p = x.shape
-    scale = np.std(y) + 1e-12
-    # A tiny fixed shift keeps tied rows apart during the search.
-    given, y = y, y + 1e-8 * scale * np.random.default_rng(7).standard_normal(n)
-    basis: list[int] = []
-    frame = np.zeros((0, p))
-    norm = np.linalg.norm(x, axis=1) + 1e-300
-    for i in np.argsort(np.abs(y - x @ start)):
-        rest = x[i] - frame.T @ (frame @ x[i])
-        if np.linalg.norm(rest) > 1e-8 * norm[i]:
-            frame = np.vstack([frame, rest / np.linalg.norm(rest)])
-            basis.append(int(i))
-        if len(basis) == p:
-            break
-    if len(basis) < p:
-        return None
-    for _ in range(_EDGES):
-        inverse = np.linalg.pinv(x[basis])
-        b = inverse @ y[basis]
-        r = y - x @ b
-        sign = np.where(r > 0, tau, tau - 1.0)
-        sign[basis] = 0.0
-        pull = (sign @ x + g) @ inverse
-        slopes = np.concatenate([1.0 - tau - pull, tau + pull])
-        edge = int(np.argmin(slopes))
-        if slopes[edge] >= -1e-9 * (1.0 + np.abs(pull).max()):
-            # Optimal. Along a level edge the minimum is not unique: take the
-            # solution with the smallest first coefficient.
-            lean = np.concatenate([inverse[0], -inverse[0]])
-            level = np.flatnonzero((slopes <= 1e-7) & (lean < -1e-9))
-            if not len(level):
-                return inverse @ given[basis]
-            edge = int(level[0])
-        leave = edge % p
-        direction = inverse[:, leave] * (1.0 if edge < p else -1.0)
-        speed = x @ direction
-        speed[basis] = 0.0
-        with np.errstate(divide="ignore", invalid="ignore"):
-            reach = np.where(np.abs(speed) > 1e-7, r / speed, -1.0)
-        ahead = np.flatnonzero(reach > 0)
-        if not len(ahead):
-            return inverse @ given[basis] if slopes[edge] >= 0 else None
-        ahead = ahead[np.argsort(reach[ahead])]
-        gain = slopes[edge] + np.cumsum(np.abs(speed[ahead]))
-        basis[leave] = int(ahead[min(np.searchsorted(gain, 0.0), len(ahead) - 1)])
-    return None
-
-
-def _survey(design, betas, known, widths, p):
-    """One pass: per quantile the loss, rows within each width, and rows
-    outside the known band that have changed sides."""
-
-    def block(_: str, c):
-        parts = []
-        for t, b in betas.items():
-            r = c["y"] - c["x"] @ b
-            counts = np.searchsorted(widths, np.sort(np.abs(r)), side="left")
-            inside = np.cumsum(np.bincount(counts, minlength=len(widths) + 1))[: len(widths)]
-            moved = 0
-            if t in known:
-                old = c["y"] - c["x"] @ known[t][0]
-                moved = np.sum((np.abs(old) > known[t][1]) & (np.sign(old) != np.sign(r)))
-            parts += [np.sum(r * (t - (r < 0))), inside, moved]
-        return pack(*parts)
-
-    vec = next(iter(sum_vectors(design, block).values()))
-    pieces = unpack(vec, *([(), (len(widths),), ()] * len(betas)))
-    return {t: pieces[3 * i : 3 * i + 3] for i, t in enumerate(betas)}
-
-
-def _band(design: DataFrame, bands: dict[float, tuple[np.ndarray, float]], p: int):
-    """Rows inside each quantile's band, and the sum that stands for the rows
-    outside it. The band widths were chosen so that the rows are few."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        outside = {t: np.zeros(p) for t in bands}
-        for batch in batches:
-            if not batch.num_rows:
+        shapes = [(p, p), (p,), (p,), (p,), (), (), (), ()]
+        vec = next(iter(sum_vectors(rows, sums).values()))
+        pieces = unpack(vec, *(shapes * len(open_)))
+        moves = {}
+        for i, t in enumerate(list(open_)):
+            curve, pull, push, xa, slack, loss, bound, count = pieces[8 * i : 8 * i + 8]
+            path = paths[t]
+            path.loss = loss
+            if loss - bound <= GAP * abs(loss) + 1e-12 * scale:
+                open_.remove(t)
                 continue
-            y, x = as_vector(batch.column(0)), as_matrix(batch.column(1))
-            for t, (b, width) in bands.items():
-                r = y - x @ b
-                far = np.abs(r) > width
-                outside[t] += np.where(r[far] > 0, t, t - 1.0) @ x[far]
-                yield _rows(t, y[~far], x[~far])
-        for t, g in outside.items():
-            yield _rows(t, np.array([np.nan]), g[None])
-
-    def _rows(t, y, x):
-        return pa.RecordBatch.from_arrays(
-            [pa.array([t] * len(y)), pa.array(y), pa.array(x.tolist(), pa.list_(pa.float64()))],
-            names=["tau", "y", "x"],
-        )
+            last = min(path.steps[-1][2:]) if path.steps else 0.55
+            centre = min(0.8, max(0.05, (1 - last) ** 2)) * slack / count
+            move, _ = solve_information(curve, pull - centre * push + (1 - t) * total - xa)
+            moves[t] = (move, centre)
+        if not open_:
+            return paths
+
+        def reach(_: str, c, moves=moves):
+            parts = []
+            for t, (move, centre) in moves.items():
+                a, s, z, v = paths[t].state(c)
+                da, dz, dv = _direction(c["x"], a, s, z, v, move, centre)
+                for use in (np.maximum(-da / a, da / s), np.maximum(-dz / z, -dv / v)):
+                    # The first length that this row allows.
+                    fits = np.searchsorted(-_LENGTHS * 1.0, -_INSIDE / np.maximum(use, 1e-300))
+                    parts.append(np.bincount(fits, minlength=len(_LENGTHS) + 1))
+            return pack(*parts)
 
-    table = design.select("y", "x").mapInArrow(rows, "tau double, y double, x array<double>")
-    found = table.toArrow()
-    tau, y = as_vector(found.column(0)), as_vector(found.column(1))
-    x = as_matrix(found.column(2))
-    total = np.isnan(y)
-    return {
-        t: (y[(tau == t) & ~total], x[(tau == t) & ~total], x[(tau == t) & total].sum(0))
-        for t in bands
-    }
+        vec = next(iter(sum_vectors(rows, reach).values()))
+        counts = unpack(vec, *([(len(_LENGTHS) + 1,)] * (2 * len(moves))))
+        for i, (t, (move, centre)) in enumerate(moves.items()):
+            at = [int(np.flatnonzero(counts[2 * i + j])[-1]) for j in (0, 1)]
+            if max(at) == len(_LENGTHS):
+                break
+            path = paths[t]
+            primal, dual = float(_LENGTHS[at[0]]), float(_LENGTHS[at[1]])
+            path.steps.append((move, centre, primal, dual))
+            path.beta = path.beta - dual * move
+    raise ValueError(f"quantile fits at {open_} did not reach their lower bound")
 
 
 def fit_quantile(
@@ -179,67 +123,34 @@ def fit_quantile(
     labels: list[str],
     taus: list[float],
     name: str = "quantile",
-    rounds: int = 8,
 ) -> list[Fitted]:
     """Fit a design (model, y, x) at several quantiles. Errors come from the
     kernel sandwich with the Hall-Sheather bandwidth.
 
-    `converged` tells whether the exact solution was confirmed. It may not be
-    with a coarsely rounded response, where a large share of the rows lies on
-    the fit itself; the coefficients are then those of the smoothed loss."""
+    Where the minimum is not unique, the fit is inside the set of solutions."""
     p = len(labels)
-    kept = keep(design.select("model", "y", "x"))
+    counted = design.groupBy("model", "y", "x").agg(F.count("*").cast("double").alias("w"))
+    kept = keep(counted.select("model", "y", "x", "w"))
     try:
         def least_squares(_: str, c):
-            x, y = c["x"], c["y"]
-            return pack(x.T @ x, x.T @ y, y @ y, len(y))
+            x, y, w = c["x"], c["y"], c["w"]
+            xw = x * w[:, None]
+            return pack(xw.T @ x, xw.T @ y, w @ (y * y), w.sum(), xw.sum(0))
 
         sums = sum_vectors(kept, least_squares)
         if not sums:
             raise ValueError("no complete rows to fit")
-        gram, xy, yy, n = unpack(next(iter(sums.values())), (p, p), (p,), (), ())
+        gram, xy, yy, n, total = unpack(next(iter(sums.values())), (p, p), (p,), (), (), (p,))
         start, inv = solve_information(gram, xy)
         if not np.all(np.isfinite(np.diag(inv))):
             raise ValueError("the columns of the design are linearly dependent")
         scale = math.sqrt(max(yy - start @ xy, 0.0) / max(n, 1.0)) or 1.0
-        betas = _smooth(kept, taus, start, scale, n, p)
-        widths = scale * 4.0 * 0.6 ** np.arange(_WIDTHS)[::-1]
-        known: dict[float, tuple[np.ndarray, float]] = {}
-        loss: dict[float, float] = {}
-        exact: set[float] = set()
-        open_taus = list(taus)
-        for _ in range(rounds):
-            seen = _survey(kept, {t: betas[t] for t in open_taus}, known, widths, p)
-            bands = {}
-            for t in list(open_taus):
-                value, inside, moved = seen[t]
-                loss[t] = value
-                if t in known and moved == 0:
-                    exact.add(t)
-                    open_taus.remove(t)
-                    continue
-                fit = np.flatnonzero(inside <= BAND_ROWS)
-                if n <= BAND_ROWS:
-                    bands[t] = (betas[t], math.inf)
-                elif len(fit) and inside[fit[-1]] >= 4 * p:
-                    bands[t] = (betas[t], float(widths[fit[-1]]))
-                else:
-                    open_taus.remove(t)
-            if not bands:
-                break
-            for t, (y, x, g) in _band(kept, bands, p).items():
-                corner = _vertex(y, x, g, t, betas[t])
-                if corner is None:
-                    open_taus.remove(t)
-                    continue
-                known[t] = bands[t]
-                betas[t] = corner
-            if not open_taus:
-                break
+        paths = _solve(kept, taus, start, scale, total, p)
+        betas = {t: paths[t].beta for t in taus}
 
         def residual_size(_: str, c):
             r = [c["y"] - c["x"] @ betas[t] for t in taus]
-            return pack(*[np.sum(np.minimum(np.abs(v), 3 * scale)) for v in r])
+            return pack(*[c["w"] @ np.minimum(np.abs(v), 3 * scale) for v in r])
 
         spread = next(iter(sum_vectors(kept, residual_size).values())) / n
         spread = np.maximum(spread * 1.2533, 1e-12)
@@ -249,7 +160,7 @@ def fit_quantile(
             out = []
             for t, h in zip(taus, width, strict=True):
                 u = (c["y"] - c["x"] @ betas[t]) / h
-                k = np.exp(-0.5 * u * u) / (math.sqrt(2 * math.pi) * h)
+                k = c["w"] * np.exp(-0.5 * u * u) / (math.sqrt(2 * math.pi) * h)
                 out.append((c["x"] * k[:, None]).T @ c["x"])
             return pack(*out)
 
@@ -263,8 +174,8 @@ def fit_quantile(
         _, inv = solve_information(d, np.zeros(p))
         cov = t * (1 - t) * inv @ gram @ inv
         fits.append(
-            Fitted(f"{name}_q{t:g}", labels, betas[t], cov, int(n), loglik=-loss[t],
-                   converged=t in exact)
+            Fitted(f"{name}_q{t:g}", labels, betas[t], cov, int(n), loglik=-paths[t].loss,
+                   converged=True)
         )
     return fits
 

@@ -450,6 +450,31 @@ def quantile_intercept(spark, folder):
     )
 
 
+@analysis(
+    f"with {BIRTHS}, q as ("
+    + " union all ".join(
+        f"select {t}::double as tau, sex, quantile_disc(ga, {t}) as q from births group by sex"
+        for t in _TAUS
+    )
+    + """), fit as (
+      select tau, sex, any_value(q) as q, sum((ga - q) * (tau - case when ga < q then 1 else 0 end)) as loss
+      from births join q using (sex) group by tau, sex)
+    select tau, round(sum(loss), 4) as loss from fit group by tau"""
+)
+def quantile_strata(spark, folder):
+    """Gestational age on sex, a saturated fit on heavily tied rows: the loss is
+    that of the percentiles of each sex."""
+    rows = fx.births(spark, folder).select(
+        F.lit("model").alias("model"), F.col("ga").cast("double").alias("y"),
+        F.array(F.lit(1.0), (F.col("sex") == "O").cast("double")).alias("x"),
+    )
+    fits = fit_quantile(rows, ["intercept", "sexO"], _TAUS)
+    out = spark.createDataFrame(
+        [(t, float(-f.loglik)) for t, f in zip(_TAUS, fits, strict=True)], "tau double, loss double"
+    )
+    return out.select("tau", rounded("loss", 4).alias("loss"))
+
+
 @analysis()
 def quantile_spline(spark, folder):
     """Gestational age on a spline of the last week's exposure with two inner
