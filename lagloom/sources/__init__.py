@@ -7,16 +7,13 @@ from lagloom.sources.readers import (
     load_with_banner,
     manual_rows,
 )
-from lagloom.sources.stata import StataSource, register_stata
 from lagloom.sources.writers import export
 
 __all__ = [
-    "StataSource",
     "export",
     "load",
     "load_named",
     "load_newest",
     "load_with_banner",
     "manual_rows",
-    "register_stata",
 ]

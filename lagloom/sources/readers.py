@@ -8,8 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from lagloom.sources.stata import register_stata
-
 # File suffix -> Spark format name and reader options.
 _FORMATS = {
     "parquet": ("parquet", {}),
@@ -18,24 +16,23 @@ _FORMATS = {
     "csv": ("csv", {"header": "true"}),
     "tsv": ("csv", {"header": "true", "sep": "\t"}),
     "txt": ("text", {}),
-    "dta": ("stata", {}),
 }
 
 
 def load(
     spark: SparkSession,
-    path: str,
+    path: str | list[str],
     schema: StructType | str | None = None,
     fmt: str | None = None,
     **options: str,
 ) -> DataFrame:
-    """Load a table; the format follows the file suffix unless `fmt` is given."""
-    suffix = (fmt or path.rstrip("/").removesuffix("/*").rsplit(".", 1)[-1]).lower()
+    """Load a table, or several files of one; the format follows the (first)
+    file suffix unless `fmt` is given."""
+    first = path if isinstance(path, str) else path[0]
+    suffix = (fmt or first.rstrip("/").removesuffix("/*").rsplit(".", 1)[-1]).lower()
     if suffix not in _FORMATS:
         raise ValueError(f"no reader for .{suffix}; known: {', '.join(_FORMATS)}")
     source, defaults = _FORMATS[suffix]
-    if source == "stata":
-        register_stata(spark)
     reader = spark.read.format(source).options(**{**defaults, **options})
     if schema is not None:
         reader = reader.schema(schema)

@@ -1,8 +1,6 @@
 import os
 import time
 
-import numpy as np
-import pandas as pd
 import pytest
 
 from lagloom import sources
@@ -28,27 +26,6 @@ def test_export_partitioned_and_unknown_suffix(spark, tmp_path):
         sources.load(spark, "t.xlsx")
 
 
-def test_stata_files(spark, tmp_path):
-    folder = tmp_path / "d.dta"
-    folder.mkdir()
-    for part in range(3):
-        pd.DataFrame(
-            {
-                "unique_caseid": [f"{part}-{i}" for i in range(5)],
-                "anemia": np.arange(5, dtype="int8"),
-                "max_temp_monthly": [1.5, np.nan, 3.0, 4.0, 5.0],
-                "climate_date": pd.date_range("2020-01-01", periods=5),
-            }
-        ).to_stata(folder / f"{part}.dta", write_index=False, convert_dates={"climate_date": "td"})
-    df = sources.load(spark, str(folder))
-    assert df.rdd.getNumPartitions() == 3
-    assert df.count() == 15
-    assert dict(df.dtypes)["anemia"] == "bigint"
-    row = df.where("unique_caseid = '2-1'").first()
-    assert row.anemia == 1 and row.max_temp_monthly is None
-    assert str(row.climate_date)[:10] == "2020-01-02"
-
-
 def test_newest_file(spark, tmp_path):
     for i, name in enumerate(["b", "a", "c"]):
         p = tmp_path / f"{name}.csv"
@@ -56,6 +33,10 @@ def test_newest_file(spark, tmp_path):
         os.utime(p, (time.time() - 100 + (50 if name == "a" else i),) * 2)
     df = sources.load_newest(spark, str(tmp_path), fmt="csv")
     assert [tuple(r) for r in df.collect()] == [("a", "1")]
+    # Files of one write share a time: all are read, in one load.
+    os.utime(tmp_path / "c.csv", (os.path.getmtime(tmp_path / "a.csv"),) * 2)
+    df = sources.load_newest(spark, str(tmp_path))
+    assert sorted(tuple(r) for r in df.collect()) == [("a", "1"), ("c", "2")]
 
 
 def test_banner_lines_are_skipped_per_file(spark, tmp_path):
