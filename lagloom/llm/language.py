@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.llm.shared import scratch, small_side
+
 SAMPLE_DOCS = 4_000
 MODEL_ROWS = 150_000
 ORDERS = (4, 3, 2, 1)
@@ -63,6 +65,8 @@ def training_sample(
     ).where(F.col("lang").isNotNull() & ~held_out(F.col("doc")))
     shares = rows.groupBy("lang").agg(F.least(F.lit(1.0), sample_docs / F.count("*")).alias("share"))
     chance = F.pmod(F.xxhash64(F.lit(5), "doc"), F.lit(1 << 20)) / float(1 << 20)
+    # One row per language: a join that moved the texts would meet one hot key.
+    shares = small_side(scratch(shares, "language-shares"), 100)
     return rows.join(shares, "lang").where(chance < F.col("share")).select("lang", "text")
 
 
