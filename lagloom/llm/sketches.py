@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.components import components
-from lagloom.llm.shared import drop_scratch, scratch, small_side
+from lagloom.llm.shared import scratch, small_side
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -280,9 +280,10 @@ def sketch_documents(docs: DataFrame, text: str, doc: str) -> DataFrame:
     ).mapInArrow(_sketch_rows, "doc long, n long, mark binary, head array<long>, sketch array<long>")
 
 
-def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
-    """(value, node): the rarest retained values of every node that may have a
-    partner. A node that shares too few values with others has none."""
+def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value, node, n, size): the rarest retained values of every node that may
+    have a partner, and (node, mark, n, sketch). A node that shares too few values with
+    others is in no list."""
     heads = nodes.select("node", F.size("head").alias("k"), F.explode("head").alias("value"))
     twice = heads.groupBy("value").count().where("count > 1").select("value")
     suspects = (
@@ -292,32 +293,38 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> DataFrame:
         .where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.lit(HEAD_SHARED) * F.col("k"))))
         .select("node")
     )
-    held = scratch(nodes.join(suspects, "node", "left_semi").select("node", "mark", "n"), "suspects")
-    values = held.join(
-        sketches.select(F.col("mark"), "doc", "sketch"),
-        (held.mark == sketches.mark) & (held.node == sketches.doc),
-    ).select("node", F.explode("sketch").alias("value"))
-    values = scratch(values.distinct(), "retained")
+    suspects = small_side(scratch(suspects, "suspects"), 16)
+    held = scratch(nodes.join(suspects, "node", "left_semi").select("node", "mark", "n"), "suspect-nodes")
+    # The only join that may shuffle all sketches. Texts under one id stay apart.
+    kept = scratch(
+        small_side(held, 64)
+        .join(
+            sketches.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "sketch"),
+            (F.col("mark") == F.col("_mark")) & (F.col("node") == F.col("_doc")),
+        )
+        .groupBy("node", "mark")
+        .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        "node-sketches",
+    )
+    values = kept.select("node", "mark", "n", F.explode("sketch").alias("value"))
     known = values.groupBy("value").count().where("count > 1")
-    shared = values.join(known, "value")
-    by_rarity = Window.partitionBy("node")
-    ranked = shared.join(held.select("node", "n"), "node").select(
+    by_rarity = Window.partitionBy("node", "mark")
+    ranked = values.join(known, "value").select(
         "node",
         "value",
+        "n",
         # Values that no other node retains come first in the order by rarity.
         (
             F.least("n", F.lit(SKETCH))
             - F.count("*").over(by_rarity)
             + F.row_number().over(by_rarity.orderBy("count", "value"))
         ).alias("place"),
-        "n",
     )
     wanted = F.least("n", F.lit(SKETCH)) - _needed(F.col("n")) + 1
     listed = ranked.where(F.col("place") <= wanted).select("value", "node", "n")
     listed = scratch(listed, "prefixes")
-    drop_scratch(values)
     sizes = listed.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    return scratch(listed.join(sizes, "value"), "lists")
+    return scratch(listed.join(sizes, "value"), "lists"), kept
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -337,20 +344,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         .agg(F.min("doc").alias("node"), F.first("n").alias("n"), F.first("head").alias("head")),
         "nodes",
     )
-    lists = _inverted_lists(nodes, base)
-    listed = scratch(lists.select("node").distinct(), "listed")
-    sketches = scratch(
-        nodes.select("node", "mark", "n")
-        .join(small_side(listed, 16), "node", "left_semi")
-        .alias("x")
-        .join(
-            base.select(F.col("doc").alias("_doc"), F.col("mark").alias("_mark"), "sketch"),
-            (F.col("_mark") == F.col("x.mark")) & (F.col("_doc") == F.col("x.node")),
-        )
-        .select("node", "n", "sketch")
-        .distinct(),
-        "node-sketches",
-    )
+    lists, sketches = _inverted_lists(nodes, base)
+    listed = small_side(scratch(lists.select("node").distinct(), "listed"), 16)
+    sketches = sketches.join(listed, "node", "left_semi").drop("mark")
     # A set of up to SKETCH values is whole in its sketch; the longer ones are
     # built from the text again, for listed nodes only.
     long_ones = sketches.where(F.col("n") > SKETCH).select("node").distinct()
@@ -389,10 +385,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         ),
         "open-groups",
     )
+    # 32 bits of each retained value are enough to count what two nodes share.
+    short = sketches.groupBy("node").agg(
+        F.first(F.transform("sketch", lambda v: F.shiftright(v, 32).cast("int"))).alias("short"),
+        F.max(_needed(F.col("n"))).alias("need"),
+    )
+    known = per_node.join(short, "node")
     again = per_node.select("node", F.col("g1").alias("g")).unionByName(
         per_node.select("node", F.col("g2").alias("g"))
     )
-    x, y = (open_.join(per_node, "node").alias(c) for c in ("x", "y"))
+    x, y = (open_.join(known, "node").alias(c) for c in ("x", "y"))
     met = F.lit(False)
     for g in ("g", "g1", "g2"):
         met = met | (F.col(f"x.{g}") == F.col(f"y.{g}"))
@@ -404,7 +406,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         & (F.col("x.component") != F.col("y.component"))
         & (F.least("x.n", "y.n") * SIMILAR[1] >= F.greatest("x.n", "y.n") * SIMILAR[0])
         & ~met
-        & (F.col("x.value") == first),
+        & (F.col("x.value") == first)
+        & (F.size(F.array_intersect("x.short", "y.short")) >= F.greatest("x.need", "y.need")),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = _grouped_links(again, sets).unionByName(_verify(pairs.distinct(), sketches, sets))
     labels = components(links.unionByName(more))
