@@ -22,7 +22,8 @@ def clogit_design(df: DataFrame, set_col: str, case: str, parts: list[Column]) -
 
 def _set_sums(rows: DataFrame, p: int) -> DataFrame:
     """Per set: sums of w, x w and x x' w and the case's own x, by partial
-    aggregation. Sets without exactly one case, or with no control, drop out."""
+    aggregation. Sets without a case or without a control say nothing about the
+    coefficients and drop out."""
     x = [F.get("x", F.lit(i)) for i in range(p)]
     is_case = F.col("case") == 1
     upper = [(i, j) for i in range(p) for j in range(i, p)]
@@ -47,10 +48,15 @@ def fit_clogit(
     design: DataFrame, labels: list[str], name: str = "clogit", tol: float = 1e-10,
     max_iter: int = 30,
 ) -> Fitted:
-    """Newton steps, each one aggregate by set and one global sum."""
+    """Newton steps, each one aggregate by set and one global sum. Sets with
+    more than one case need another likelihood: they are an error."""
     p = len(labels)
     upper = np.triu_indices(p)
     kept = keep(design)
+    many = kept.where(whole("x")).groupBy("set").agg(F.sum("case").alias("cases")).where("cases > 1").count()
+    if many:
+        kept.unpersist()
+        raise ValueError(f"{many} matched sets have more than one case")
 
     def step(beta: np.ndarray):
         terms = " + ".join(f"x[{i}] * {float(b)!r}D" for i, b in enumerate(beta))

@@ -175,3 +175,11 @@ def logrank_test(df: DataFrame, time: str, event: str, by: str) -> dict:
     k = len(groups) - 1
     stat = float(z[:k] @ np.linalg.solve(v[:k, :k], z[:k])) if k else 0.0
     return {"statistic": stat, "df": k, "p": float(chi2_upper(stat, k)) if k else 1.0}
+
+
+def logrank_table(df: DataFrame, time: str, event: str, by: str) -> DataFrame:
+    """The log-rank test as one row: statistic, df, p_value."""
+    test = logrank_test(df, time, event, by)
+    return df.sparkSession.createDataFrame(
+        [(test["statistic"], test["df"], test["p"])], "statistic double, df int, p_value double"
+    )

@@ -10,7 +10,7 @@ from lagloom.operators.cohort import bind_history, exposure_histories, history_l
 from lagloom.operators.scans import numbered
 from lagloom.plans import fixtures as fx
 from lagloom.plans.registry import analysis, rounded
-from lagloom.plans.sql_text import SUBJECT
+from lagloom.plans.sql_text import BIRTHS, SUBJECT
 
 L = fx.HISTORY
 
@@ -201,3 +201,57 @@ def logrank_region(spark, folder):
         "g", "h", F.col("observed").cast("long").alias("observed"),
         rounded("expected", 8).alias("expected"), rounded("covariance", 8).alias("covariance"),
     )
+
+
+@analysis(
+    f"""with {BIRTHS},
+    cells as (select birth_type as g, ga as time, count(*) as m,
+                sum(case when ga < 37 then 1 else 0 end) as d from eligible group by 1, 2),
+    grid as (select * from (select distinct g from cells) cross join
+             (select distinct time from cells)),
+    filled as (select grid.g, grid.time, coalesce(m, 0) as m, coalesce(d, 0) as d
+               from grid left join cells c on c.g = grid.g and c.time = grid.time),
+    risk as (select *, sum(m) over (partition by g order by time desc) as ng from filled),
+    tot as (select time, sum(ng)::double as n, sum(d)::double as dd from risk group by 1
+            having sum(d) > 0),
+    rt as (select r.g, r.time, r.ng::double as ng, r.d, n, dd,
+             case when n > 1 then dd * (n - dd) / (n - 1) else 0 end as s
+           from risk r join tot on tot.time = r.time),
+    w as (select time, any_value(n) as n, any_value(s) as s,
+            sum(case when g = 'A' then ng else 0 end) / any_value(n) as pa,
+            sum(case when g = 'N' then ng else 0 end) / any_value(n) as pn,
+            sum(case when g = 'A' then d - ng * dd / n else 0 end) as za,
+            sum(case when g = 'N' then d - ng * dd / n else 0 end) as zn
+          from rt group by 1),
+    v as (select sum(za) as za, sum(zn) as zn, sum(s * pa * (1 - pa)) as vaa,
+            sum(s * pn * (1 - pn)) as vnn, -sum(s * pa * pn) as van from w),
+    t as (select (za * za * vnn - 2 * za * zn * van + zn * zn * vaa) / (vaa * vnn - van * van) as x
+          from v)
+    select round(x, 6) as statistic, 2::integer as df, round(exp(-x / 2), 8) as p_value from t"""
+)
+def logrank_birth_type(spark, folder):
+    """Preterm birth by birth type: the test of three groups."""
+    rows = fx.eligible_births(spark, folder).withColumn("event", (F.col("ga") < 37).cast("int"))
+    out = survival.logrank_table(rows, "ga", "event", "birth_type")
+    return out.select(
+        rounded("statistic", 6).alias("statistic"), "df", rounded("p_value", 8).alias("p_value")
+    )
+
+
+@analysis(
+    f"""with {SUBJECT}, c as (select n_periods as time, count(*) as m, sum(event) as d
+      from subject group by 1),
+    r as (select time, d::double as d, sum(m) over (order by time desc)::double as n from c),
+    k as (select time, n, d, exp(sum(case when d < n then ln(1 - d / n) end)
+        over (order by time)) as surv, max(case when d >= n then 1 else 0 end)
+        over (order by time) as gone from r)
+    select cast(time as double) as time, n::bigint as n_risk, d::bigint as n_event,
+      round(case when gone = 1 then 0 else coalesce(surv, 1) end, 8) as survival from k"""
+)
+def km_all(spark, folder):
+    """The curve of all subjects together."""
+    table = survival.life_table(fx.subjects(spark, folder), "n_periods", "event")
+    return survival.kaplan_meier(table).select(
+        F.col("time").cast("double").alias("time"), F.col("n_risk").cast("long").alias("n_risk"),
+        F.col("n_event").cast("long").alias("n_event"), rounded("survival", 8).alias("survival"),
+    )

@@ -77,6 +77,7 @@ _DOW = Term("dow", "dow_code", tuple(f"dow{d}" for d in _DAYS[1:]))
 
 def _tidy_columns(out):
     nums = ["estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high"]
+    nums += ["exp_estimate", "exp_low", "exp_high"]
     return out.select("model", "term", *[rounded(c, 6).alias(c) for c in nums], "n")
 
 
