@@ -266,14 +266,15 @@ def packed(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     layout = _layout(spark, patterns(stock, capacity) + ([(full, {capacity: 1})] if full else []))
     # Ranks inside a length in two levels: a length may hold a third of all rows.
     bucket = F.pmod(F.xxhash64("doc"), F.lit(1024))
-    cells = pieces.withColumn("_cell", bucket)
+    # One column for both keeps an exchange by length alone from serving either.
+    cells = pieces.withColumn("_cell", F.col("length") * 1024 + bucket)
     sizes = cells.groupBy("length", "_cell").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("length", "_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy("length", "_cell").orderBy("doc", "start", "crc")
+    starts = sizes.select("_cell", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_cell").orderBy("doc", "start", "crc")
     ranked = (
         cells.withColumn("_r", F.row_number().over(inside) - 1)
-        .join(starts, ["length", "_cell"])
+        .join(starts, "_cell")
         .withColumn("_r", F.col("_r") + F.col("_before"))
         .join(F.broadcast(layout), "length")
     )
