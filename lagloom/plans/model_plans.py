@@ -135,7 +135,10 @@ def gaussian_line(spark, folder):
 
 # --- distributed lags on the daily series -----------------------------------------
 
-_TEMP_LAG, _OZONE_LAG = 21, 10
+# Lags of both exposures in days, the threshold of the second and
+# its lag strata, and the centre of the first.
+_TEMP_LAG, _OZONE_LAG = 30, 10
+_THRESHOLD, _STRATA, _CENTRE = 40.3, (2, 6), 25.0
 
 
 class _DailyModel:
@@ -152,8 +155,8 @@ class _DailyModel:
             base, "x", _TEMP_LAG, BasisSpec("bs", df=6, degree=3), self.lags, "x"
         )
         self.z = crossbasis(
-            base, "z", _OZONE_LAG, BasisSpec("thr", at=(40.3,), side="h"),
-            BasisSpec("strata", breaks=(2, 6)), "z",
+            base, "z", _OZONE_LAG, BasisSpec("thr", at=(_THRESHOLD,), side="h"),
+            BasisSpec("strata", breaks=_STRATA), "z",
         )
         ends = base.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
         # Percentiles of a complete index are equally spaced.
@@ -202,8 +205,8 @@ def dlnm_poisson(spark, folder):
 def dlnm_overall(spark, folder):
     with _DailyModel(spark, folder) as m:
         fit = m.fit()
-        x = predict.overall_effects(spark, m.x, fit, m.grid(), cen=25.0)
-        z = predict.overall_effects(spark, m.z, fit, [*map(float, range(0, 56)), 40.3, 50.3])
+        x = predict.overall_effects(spark, m.x, fit, m.grid(), cen=_CENTRE)
+        z = predict.overall_effects(spark, m.z, fit, [*map(float, range(0, 56)), _THRESHOLD, _THRESHOLD + 10])
         return _effect_columns(
             x.withColumn("exposure", F.lit("x")).unionByName(z.withColumn("exposure", F.lit("z"))),
             "exposure",
@@ -214,7 +217,7 @@ def dlnm_overall(spark, folder):
 def dlnm_slice(spark, folder):
     with _DailyModel(spark, folder) as m:
         out = predict.lag_effects(
-            spark, m.x, m.fit(), [10.0, 20.0, 32.0], cen=25.0, level=0.99
+            spark, m.x, m.fit(), [10.0, 20.0, 32.0], cen=_CENTRE, level=0.99
         )
         title = F.concat_ws(" ", F.lit("Exposure ="), F.col("at").cast("int").cast("string"))
         return _effect_columns(out.withColumn("label", title), "lag", "label")
@@ -223,32 +226,41 @@ def dlnm_slice(spark, folder):
 @analysis()
 def dlnm_at_lags(spark, folder):
     with _DailyModel(spark, folder) as m:
-        out = predict.lag_effects(spark, m.x, m.fit(), m.grid(), lags=[0, 5, 20], cen=25.0)
+        out = predict.lag_effects(spark, m.x, m.fit(), m.grid(), lags=[0, 5, 20], cen=_CENTRE)
         return _effect_columns(out, "lag")
 
 
 @analysis()
 def dlnm_surface(spark, folder):
     with _DailyModel(spark, folder) as m:
-        return _effect_columns(predict.lag_effects(spark, m.x, m.fit(), m.grid(), cen=25.0), "lag")
+        return _effect_columns(predict.lag_effects(spark, m.x, m.fit(), m.grid(), cen=_CENTRE), "lag")
 
 
 @analysis()
 def dlnm_cumulative(spark, folder):
     with _DailyModel(spark, folder) as m:
-        out = predict.cumulative_effects(spark, m.x, m.fit(), m.grid(5.0), cen=25.0)
+        out = predict.cumulative_effects(spark, m.x, m.fit(), m.grid(5.0), cen=_CENTRE)
         return _effect_columns(out, "lag")
 
 
 @analysis()
 def dlnm_compare(spark, folder):
-    """Three exposure bases in the same model, effects stacked."""
+    """Three exposure bases in the same model: overall effects (lag null) and
+    effects of one exposure by lag, stacked."""
+
+    def effects(cb, fit, cen):
+        total = predict.overall_effects(spark, cb, fit, m.grid(), cen=cen)
+        by_lag = predict.lag_effects(spark, cb, fit, [_CENTRE + 7.0], cen=cen)
+        return total.withColumn("lag", F.lit(None).cast("int")).unionByName(
+            by_lag.withColumn("lag", F.col("lag").cast("int"))
+        )
+
     with _DailyModel(spark, folder) as m:
         rows = m.rows
-        out = predict.overall_effects(spark, m.x, m.fit(), m.grid(), cen=25.0)
+        out = effects(m.x, m.fit(), _CENTRE)
         for name, spec, cen in (
-            ("polynomial", BasisSpec("poly", degree=4), 25.0),
-            ("double threshold", BasisSpec("thr", at=(25.0,), side="d"), None),
+            ("polynomial", BasisSpec("poly", degree=6), _CENTRE),
+            ("double threshold", BasisSpec("thr", at=(_CENTRE,), side="d"), None),
         ):
             cb = crossbasis(rows, "x", _TEMP_LAG, spec, m.lags, "alt")
             other = cb.on_series(rows, "time", "x", out="cb_alt")
@@ -256,14 +268,14 @@ def dlnm_compare(spark, folder):
                 drop=("x",), add=(Term("alt", "cb_alt", tuple(cb.terms)),), name=name
             )
             fit = fit_glm(other, changed)
-            out = out.unionByName(predict.overall_effects(spark, cb, fit, m.grid(), cen=cen))
-        return _effect_columns(out)
+            out = out.unionByName(effects(cb, fit, cen))
+        return _effect_columns(out, "lag")
 
 
 @analysis()
 def dlnm_score_rows(spark, folder):
     with _DailyModel(spark, folder) as m:
-        scored = predict.score_rows(m.rows, m.x, m.fit(), "cb_x", cen=25.0)
+        scored = predict.score_rows(m.rows, m.x, m.fit(), "cb_x", cen=_CENTRE)
         return scored.where("cb_x is not null").select(
             dates.iso("day").alias("day"), rounded("log_effect", 6).alias("log_effect")
         )
