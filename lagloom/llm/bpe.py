@@ -8,10 +8,11 @@ space between tokens that the file's missing decoder asks for."""
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,12 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 # What the pattern engine of the vocabulary file takes as blank;
 # str.isspace also holds U+001C to U+001F, which are ordinary symbols there.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
-_WORDS_KEPT = 400_000
+_WORDS_KEPT = 600_000
+# A merge is its rank above _SHIFT bits of the merged id; a queue entry has the
+# position there instead.
+_SHIFT = 32
+_PLACE = (1 << _SHIFT) - 1
+_RANK = ~_PLACE
 category = unicodedata.category
 
 
@@ -56,7 +62,7 @@ class Bpe:
         # (left id, right id) as one number -> rank and merged id as one number.
         self.merge: dict[int, int] = {}
         for rank, (a, b) in enumerate(model["merges"]):
-            self.merge.setdefault(vocab[a] << 20 | vocab[b], rank << 20 | vocab[a + b])
+            self.merge.setdefault(vocab[a] << 20 | vocab[b], rank << _SHIFT | vocab[a + b])
         pre = spec["pre_tokenizer"]["pretokenizers"][0]
         self.pieces = regex.compile(pre["pattern"]["Regex"])
         self.special = (
@@ -77,44 +83,53 @@ class Bpe:
         n = len(ids)
         if n < 2:
             return ids
-        merge = self.merge
-        # Queue entries: rank, position, left id, right id in one number each.
+        get = self.merge.get
+        # Queue entries are one number: rank, then position.
         queue = []
-        for i in range(n - 1):
-            hit = merge.get(ids[i] << 20 | ids[i + 1])
+        left = ids[0]
+        for i in range(1, n):
+            right = ids[i]
+            hit = get(left << 20 | right)
             if hit is not None:
-                queue.append((hit >> 20, i, hit & 0xFFFFF, ids[i], ids[i + 1]))
+                queue.append(hit & _RANK | (i - 1))
+            left = right
         if not queue:
             return ids
-        heapq.heapify(queue)
+        heapify(queue)
         after = list(range(1, n + 1))
         before = list(range(-1, n - 1))
-        pop, push = heapq.heappop, heapq.heappush
         while queue:
-            _, i, merged, left, right = pop(queue)
+            entry = heappop(queue)
+            i = entry & _PLACE
             j = after[i]
-            # Stale: one of the two symbols was merged since.
-            if ids[i] != left or j >= n or ids[j] != right:
+            if j >= n:
                 continue
-            ids[i] = merged
+            # Stale: the pair at this position has another rank since, or none.
+            # A symbol merged away is -1, which is in no pair.
+            hit = get(ids[i] << 20 | ids[j])
+            if hit is None or (hit ^ entry) & _RANK:
+                continue
+            merged = ids[i] = hit & _PLACE
             ids[j] = -1
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                hit = merge.get(merged << 20 | ids[k])
+                hit = get(merged << 20 | ids[k])
                 if hit is not None:
-                    push(queue, (hit >> 20, i, hit & 0xFFFFF, merged, ids[k]))
+                    heappush(queue, hit & _RANK | i)
             k = before[i]
             if k >= 0:
-                hit = merge.get(ids[k] << 20 | merged)
+                hit = get(ids[k] << 20 | merged)
                 if hit is not None:
-                    push(queue, (hit >> 20, k, hit & 0xFFFFF, ids[k], merged))
+                    heappush(queue, hit & _RANK | k)
         return [i for i in ids if i >= 0]
 
     def _word(self, word: str) -> bytes:
         """Packed ids of text without blanks."""
         ids: list[int] = []
-        if word.isascii():
+        if word.isascii() and word.isalpha():
+            ids = self.encode_piece(word)
+        elif word.isascii():
             for piece in self.pieces.findall(word):
                 ids += self.encode_piece(piece)
         else:
@@ -123,22 +138,38 @@ class Bpe:
             marked = "".join("\ue000" if category(c) == "Cn" else c for c in word)
             for m in self.pieces.finditer(marked):
                 ids += self.encode_piece(word[m.start() : m.end()])
-        return np.array(ids, dtype="<u4").tobytes()
+        return array("I", ids).tobytes()
+
+    def _learn(self, words: set[str]) -> None:
+        """Ids of words not met before. The file's pattern sets a run of letters
+        and the mark after it apart, so both are looked up on their own."""
+        known = self.words
+        for word in words:
+            stem, mark = word[:-1], word[-1]
+            if mark in ".," and stem.isalpha():
+                for part in (stem, mark):
+                    if part not in known:
+                        known[part] = self._word(part)
+                known[word] = known[stem] + known[mark]
+            elif word not in known:
+                known[word] = self._word(word)
 
     def _plain(self, text: str) -> bytes:
         if not unicodedata.is_normalized("NFC", text):
             text = unicodedata.normalize("NFC", text)
         # Lower case character by character: no rule for a final sigma.
         text = text.replace("Σ", "σ").lower()
-        words = text.split() if not _NOT_BLANK.search(text) else regex.split(r"[^\S\x1c-\x1f]+", text)
+        if _NOT_BLANK.search(text):
+            words = [w for w in regex.split(r"[^\S\x1c-\x1f]+", text) if w]
+        else:
+            words = text.split()
         known = self.words
         try:
             return b"".join(map(known.__getitem__, words))
         except KeyError:
             if len(known) > _WORDS_KEPT:
                 known.clear()
-            for w in set(words).difference(known):
-                known[w] = self._word(w)
+            self._learn(set(words).difference(known))
             return b"".join(map(known.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
