@@ -22,6 +22,9 @@ from lagloom.models.moments import keep, pack, solve_information, sum_vectors, u
 
 # Relative gap between loss and lower bound at which a fit is accepted.
 GAP = 1e-9
+# Weight, in rows, on a small first coefficient: of several minima it picks the
+# one at the lower end.
+_LEAN = 1e-3
 _STEPS = 200
 # Step lengths tried, and the share of the way to the boundary that is taken.
 _LENGTHS = np.concatenate([np.linspace(1.0, 0.05, 96), 0.05 * 0.7 ** np.arange(1, 30)])
@@ -35,6 +38,7 @@ class _Path:
         self.tau, self.start, self.offset = tau, start, offset
         self.steps: list[tuple[np.ndarray, float, float, float]] = []
         self.beta = start.copy()
+        self.gap = math.inf
 
     def state(self, c: dict[str, np.ndarray]):
         """Duals a (and their slack s) and multipliers z, v of a block of rows."""
@@ -59,6 +63,8 @@ def _solve(rows: DataFrame, taus, start, scale, total, p) -> dict[float, _Path]:
     """All quantiles at once, two passes a step; `total` is the sum of rows."""
     paths = {t: _Path(t, start, 0.5 * scale) for t in taus}
     open_ = list(taus)
+    lean = np.zeros(p)
+    lean[0] = _LEAN
     for _ in range(_STEPS):
         def sums(_: str, c, chosen=tuple(open_)):
             parts = []
@@ -84,12 +90,15 @@ def _solve(rows: DataFrame, taus, start, scale, total, p) -> dict[float, _Path]:
             curve, pull, push, xa, slack, loss, bound, count = pieces[8 * i : 8 * i + 8]
             path = paths[t]
             path.loss = loss
-            if loss - bound <= GAP * abs(loss) + 1e-12 * scale:
+            before, path.gap = path.gap, loss + _LEAN * path.beta[0] - bound
+            fine = min(GAP * abs(loss), 1e-2 * _LEAN * scale)
+            # Beyond the wanted gap, steps go on while they still gain.
+            if path.gap <= fine or path.gap <= GAP * abs(loss) and path.gap > 0.7 * before:
                 open_.remove(t)
                 continue
             last = min(path.steps[-1][2:]) if path.steps else 0.55
             centre = min(0.8, max(0.05, (1 - last) ** 2)) * slack / count
-            move, _ = solve_information(curve, pull - centre * push + (1 - t) * total - xa)
+            move, _ = solve_information(curve, pull - centre * push + (1 - t) * total + lean - xa)
             moves[t] = (move, centre)
         if not open_:
             return paths
@@ -127,7 +136,8 @@ def fit_quantile(
     """Fit a design (model, y, x) at several quantiles. Errors come from the
     kernel sandwich with the Hall-Sheather bandwidth.
 
-    Where the minimum is not unique, the fit is inside the set of solutions."""
+    Where the minimum is not unique, the fit leans to the smallest first
+    coefficient."""
     p = len(labels)
     counted = design.groupBy("model", "y", "x").agg(F.count("*").cast("double").alias("w"))
     kept = keep(counted.select("model", "y", "x", "w"))
