@@ -24,7 +24,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 # What the pattern engine of the vocabulary file takes as blank;
 # str.isspace also holds U+001C to U+001F, which are ordinary symbols there.
 _NOT_BLANK = regex.compile(r"[\x1c-\x1f]")
-_WORDS_KEPT = 600_000
+_WORDS_KEPT = 500_000
 # A merge is its rank above _SHIFT bits of the merged id; a queue entry has the
 # position there instead.
 _SHIFT = 32

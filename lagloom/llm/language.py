@@ -88,7 +88,7 @@ def learn(
         .persist()
     )
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    model: dict = {"langs": langs, "words": {}, "grams": []}
+    model: dict = {"langs": langs, "words": ({}, None), "grams": []}
     if langs:
         model["words"] = _frequencies(words.select("lang", F.col("word").alias("token"), "n"), langs, model_rows)
         edged = F.concat(F.lit(_EDGE), "word", F.lit(_EDGE))
@@ -109,8 +109,9 @@ def learn(
     return model
 
 
-def _frequencies(counts: DataFrame, langs: list[str], rows: int) -> dict[str, np.ndarray]:
-    """token -> log frequency in each language, for the `rows` most frequent."""
+def _frequencies(counts: DataFrame, langs: list[str], rows: int) -> tuple[dict[str, int], np.ndarray]:
+    """token -> row, and rows of log frequencies by language, for the `rows`
+    most frequent tokens."""
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     top = (
         counts.groupBy("token")
@@ -127,16 +128,17 @@ def _frequencies(counts: DataFrame, langs: list[str], rows: int) -> dict[str, np
     )
     size = np.array([totals.get(v, 0) for v in langs]) + _SMOOTH * max(1, len(table))
     logs = np.log((table + _SMOOTH) / size)
-    return dict(zip(top.column("token").to_pylist(), logs, strict=True))
+    # Row numbers instead of one array per token keep the workers' copies small.
+    return dict(zip(top.column("token").to_pylist(), range(len(logs)), strict=True)), logs.astype(np.float32)
 
 
 def backed_off(model: dict, word: str) -> np.ndarray:
     """Scores of an unseen word by its longest known character n-grams."""
     edged = f"{_EDGE}{word}{_EDGE}"
-    for order, known in zip(ORDERS, model["grams"], strict=True):
+    for order, (known, logs) in zip(ORDERS, model["grams"], strict=True):
         found = [known[g] for i in range(len(edged) - order + 1) if (g := edged[i : i + order]) in known]
         if found:
-            return np.mean(found, axis=0)
+            return logs[found].mean(axis=0)
     return np.zeros(len(model["langs"]))
 
 
@@ -147,12 +149,12 @@ def score_text(model: dict, cache: dict, text: str | None) -> tuple[str, float]:
     langs = model["langs"]
     if not found or not langs:
         return UNKNOWN, 0.0
-    words = model["words"]
+    words, logs = model["words"]
     for w in set(found).difference(cache):
         known = words.get(w)
-        cache[w] = backed_off(model, w) if known is None else known
+        cache[w] = backed_off(model, w) if known is None else logs[known]
     rows = list(map(cache.__getitem__, found))
-    total = np.sum(np.array(rows), axis=0)
+    total = np.sum(np.array(rows), axis=0, dtype=float)
     best = int(np.argmax(total))
     return langs[best], float(1.0 / np.exp(total - total[best]).sum())
 

@@ -32,7 +32,7 @@ END_ID = 1
 
 # Token ids by piece of text, per worker; forgotten when full.
 _CHUNKS: dict[str, bytes] = {}
-_CHUNKS_KEPT = 600_000
+_CHUNKS_KEPT = 300_000
 _LOADED: dict[str, object] = {}
 _FIRST = "\ud800"
 

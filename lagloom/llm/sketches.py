@@ -53,7 +53,7 @@ _LOWER = bytes.maketrans(
 _SHIFT = np.uint64(29)
 # Words hashed before, per worker; forgotten when full.
 _WORDS: dict[bytes, int] = {}
-_WORDS_KEPT = 300_000
+_WORDS_KEPT = 150_000
 
 
 def _word_hashes(words: list[bytes]) -> np.ndarray:
