@@ -3,11 +3,13 @@
 Equal vectors of a label are one node. Sorted random signatures give a first
 neighbour graph; then neighbours of a node's neighbours are compared with each
 other and every node keeps its best, turn by turn, until little changes. Lists
-in which every neighbour is a near-duplicate are saturated: they are enlarged,
-and what stays saturated is compared with its whole component, in blocks. An
-audit against brute force on a sample of nodes decides whether another pass
-with longer lists is needed. Candidates are rated on 8-bit vectors; links are
-confirmed on the full vectors in double precision."""
+in which every neighbour is a near-duplicate are saturated. Saturated nodes are
+put into balls, and each block of them is compared with all nodes of its label
+that the radius bound cannot rule out, in and outside its component: every link
+with a saturated end is found. For the links between other nodes an audit
+against brute force decides whether another pass with longer lists is needed.
+Candidates are rated on 8-bit vectors; links are confirmed on the full vectors
+in double precision."""
 
 from __future__ import annotations
 
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.components import components
-from lagloom.llm.shared import partitions_for, scratch
+from lagloom.llm.shared import partitions_for, scratch, small_side
 from lagloom.llm.topk import valid
 
 SIMILAR = 0.93
@@ -32,6 +34,9 @@ STILL = 0.01
 AUDITED = 200
 RECALL = 0.99
 BLOCK = 512
+CHUNK = 4096
+# Cosine within which saturated nodes share a ball.
+BALL = 0.96
 # Ratings on 8-bit vectors are off by less than this.
 COARSE = 0.02
 
@@ -224,85 +229,207 @@ def _links(lists: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _block_counts(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """For each left node: copies of right nodes linked to it, itself left out."""
-    ids, out = left.column("node").to_numpy(), np.zeros(len(left), dtype=np.int64)
-    if len(left) and len(right):
-        x = np.array(_rows(left.column("v").combine_chunks()))
-        y = np.array(_rows(right.column("w").combine_chunks()))
-        x /= np.sqrt((x * x).sum(axis=1))[:, None]
-        y /= np.sqrt((y * y).sum(axis=1))[:, None]
-        linked = x @ y.T >= SIMILAR
-        linked &= ids[:, None] != right.column("other").to_numpy()[None, :]
-        out = linked @ right.column("copies").to_numpy()
-    return pa.table([pa.array(ids, pa.int64()), pa.array(out, pa.int64())], names=["node", "n"])
+def _units(column: pa.ChunkedArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows and unit vectors of each length."""
+    vectors = _rows(column.combine_chunks()) if len(column) else []
+    by_dim: dict[int, list[int]] = {}
+    for i, v in enumerate(vectors):
+        by_dim.setdefault(len(v), []).append(i)
+    out = {}
+    for dim, at in by_dim.items():
+        m = np.array([vectors[i] for i in at])
+        out[dim] = np.array(at), m / np.sqrt((m * m).sum(axis=1))[:, None]
+    return out
+
+
+def _chunks(nodes: DataFrame, rows: int) -> DataFrame:
+    """`nodes` with the number of a chunk of about `rows` rows in its label."""
+    sizes = nodes.groupBy("label").agg(F.ceil(F.count("*") / rows).cast("int").alias("chunks"))
+    return nodes.join(small_side(sizes, 64), "label").withColumn(
+        "chunk", F.pmod(F.xxhash64(F.lit(5), "node"), F.col("chunks")).cast("int")
+    )
+
+
+def _in_balls(key: tuple[pa.Scalar, ...], members: pa.Table) -> pa.Table:
+    """Centres and radii (angles) of balls that cover a block of nodes."""
+    centres, radii = [], []
+    for _, m in _units(members.column("v")).values():
+        while len(m):
+            sims = m @ m[0]
+            near = sims >= BALL
+            near[0] = True
+            centres.append(m[0].tolist())
+            radii.append(float(np.arccos(np.clip(sims[near].min(), -1, 1))))
+            m = m[~near]
+    n = len(centres)
+    return pa.table(
+        [
+            pa.array([key[0].as_py()] * n, pa.int64()),
+            pa.array([key[1].as_py()] * n, pa.int32()),
+            pa.array(centres, pa.list_(pa.float64())),
+            pa.array(radii, pa.float64()),
+        ],
+        names=["component", "block", "centre", "radius"],
+    )
+
 
+def _in_reach(key, balls: pa.Table, chunk: pa.Table) -> pa.Table:
+    """Nodes of a chunk that may be linked to a node of a block."""
+    parts, blocks, nodes = [], [], []
+    ids, component = chunk.column("node").to_numpy(), balls.column("component").to_numpy()
+    block, radius = balls.column("block").to_numpy(), balls.column("radius").to_numpy()
+    right = _units(chunk.column("v"))
+    for dim, (at, centres) in _units(balls.column("centre")).items():
+        if dim not in right:
+            continue
+        rows, y = right[dim]
+        # Angles are a metric: a link leads no farther than its own angle.
+        reach = np.cos(np.minimum(np.arccos(SIMILAR) + radius[at] + 1e-6, np.pi))
+        for lo in range(0, len(at), BLOCK):
+            i, j = np.nonzero(centres[lo : lo + BLOCK] @ y.T >= reach[lo : lo + BLOCK, None])
+            parts.append(component[at[lo + i]])
+            blocks.append(block[at[lo + i]])
+            nodes.append(ids[rows[j]])
+    empty = [np.zeros(0, dtype=np.int64)]
+    return pa.table(
+        [
+            pa.array(np.concatenate(parts or empty), pa.int64()),
+            pa.array(np.concatenate(blocks or empty), pa.int32()),
+            pa.array(np.concatenate(nodes or empty), pa.int64()),
+        ],
+        names=["component", "block", "other"],
+    ).group_by(["component", "block", "other"]).aggregate([])
+
+
+def _block_links(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    """(a, null, n): copies linked to a node, itself left out, of saturated left
+    nodes and of right nodes that are not saturated; (a, b, null): edges that
+    connect what the links between left and right connect."""
+    if not len(left) or not len(right):
+        return pa.table([pa.array([], pa.int64())] * 3, names=["a", "b", "n"])
+    (_, x), (_, y) = (*_units(left.column("v")).values(), *_units(right.column("w")).values())
+    ids, others = left.column("node").to_numpy(), right.column("other").to_numpy()
+    linked = x @ y.T >= SIMILAR
+    # Least id that is reached, over and back until nothing changes.
+    lead, led, most = ids, others, np.iinfo(np.int64).max
+    while True:
+        led_now = np.minimum(led, np.where(linked, lead[:, None], most).min(axis=0))
+        lead_now = np.minimum(lead, np.where(linked, led_now[None, :], most).min(axis=1))
+        if (led_now == led).all() and (lead_now == lead).all():
+            break
+        lead, led = lead_now, led_now
+    ends = np.concatenate([ids, others])
+    leads = np.concatenate([lead, led])
+    moved = ends != leads
+    linked &= ids[:, None] != others[None, :]
+    loose = ~right.column("saturated").to_numpy(zero_copy_only=False)
+    counted = np.concatenate([ids, others[loose]])
+    n = np.concatenate([linked @ right.column("copies").to_numpy(), left.column("copies").to_numpy() @ linked[:, loose]])
+    some = n > 0
+    return pa.table(
+        [
+            pa.array(np.concatenate([counted[some], ends[moved]]), pa.int64()),
+            pa.concat_arrays([pa.nulls(int(some.sum()), pa.int64()), pa.array(leads[moved], pa.int64())]),
+            pa.concat_arrays([pa.array(n[some], pa.int64()), pa.nulls(int(moved.sum()), pa.int64())]),
+        ],
+        names=["a", "b", "n"],
+    )
 
-def _counted(members: DataFrame) -> DataFrame:
-    """(node, n): links of every node inside its component, by blocks of about
-    BLOCK nodes against each other; nothing is paired out."""
+
+def _saturated_links(nodes: DataFrame, full: DataFrame, labels: DataFrame) -> DataFrame:
+    """(a, b, n) of `_block_links` for all links with an end in `full`."""
+    members = nodes.join(full, "node").join(labels, "node")
     sizes = members.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    cut = members.join(sizes, "component").withColumn(
-        "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    members = scratch(
+        members.join(sizes, "component").withColumn(
+            "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        ),
+        "saturated",
     )
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = cut.select(F.col("component").alias("c"), F.col("block").alias("i"), every.alias("j"), "node", "v")
-    right = cut.select(
-        F.col("component").alias("rc"),
-        every.alias("ri"),
-        F.col("block").alias("rj"),
-        F.col("node").alias("other"),
-        F.col("v").alias("w"),
-        "copies",
+    balls = members.groupBy("component", "block").applyInArrow(
+        _in_balls, "component long, block int, centre array<double>, radius double"
+    )
+    # All nodes of a component have one label.
+    of = members.groupBy("component").agg(F.first("label").alias("label"))
+    cut = _chunks(nodes.join(members.select("label").distinct(), "label", "left_semi"), CHUNK)
+    chunks = cut.select("label", "chunk").distinct()
+    held = balls.join(of, "component").join(chunks, "label")
+    near = scratch(
+        held.toDF(*[f"b_{c}" if c in ("label", "chunk") else c for c in held.columns])
+        .groupBy("b_label", "b_chunk")
+        .cogroup(
+            cut.select("label", "chunk", "node", "v").toDF("nl", "nc", "node", "v").groupBy("nl", "nc")
+        )
+        .applyInArrow(_in_reach, "component long, block int, other long"),
+        "in-reach",
+    )
+    cuts = near.groupBy("component", "block").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("cuts"))
+    left = members.join(cuts, ["component", "block"]).select(
+        "component", "block", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)).alias("cut"), "node", "v", "copies"
+    )
+    right = (
+        near.join(cuts, ["component", "block"])
+        .join(nodes.select(F.col("node").alias("other"), F.col("v").alias("w"), "copies"), "other")
+        .join(full.select(F.col("node").alias("other"), F.lit(True).alias("saturated")), "other", "left")
+        .select(
+            F.col("component").alias("rc"),
+            F.col("block").alias("rb"),
+            F.pmod(F.xxhash64(F.lit(7), "other"), F.col("cuts")).cast("int").alias("ru"),
+            "other",
+            "w",
+            "copies",
+            F.coalesce("saturated", F.lit(False)).alias("saturated"),
+        )
     )
     return (
-        left.groupBy("c", "i", "j")
-        .cogroup(right.groupBy("rc", "ri", "rj"))
-        .applyInArrow(_block_counts, "node long, n long")
-        .groupBy("node")
-        .agg(F.sum("n").alias("n"))
+        left.groupBy("component", "block", "cut")
+        .cogroup(right.groupBy("rc", "rb", "ru"))
+        .applyInArrow(_block_links, "a long, b long, n long")
     )
 
 
-def _audit(nodes: DataFrame, links: DataFrame, labels: DataFrame, dense: DataFrame) -> float:
-    """Share of the links of AUDITED nodes (a fixed number, by hash) that were
-    found, against brute force over all rows of their labels. Inside a component
-    that is compared in full every link counts as found."""
-    sample = nodes.orderBy(F.xxhash64(F.lit(23), "node")).limit(AUDITED).select("node", "label", "v").collect()
-    probes: dict = {}
-    for r in sample:
-        v = np.array(r["v"], dtype=float)
-        probes.setdefault((r["label"], len(v)), []).append((r["node"], v / np.sqrt(v @ v)))
-    shared = nodes.sparkSession.sparkContext.broadcast(probes)
-
-    def true_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: ([p[0] for p in ps], np.array([p[1] for p in ps])) for k, ps in shared.value.items()}
-        for batch in batches:
-            a, b = [], []
-            for node, label, v in zip(
-                batch.column(0).to_pylist(), batch.column(1).to_pylist(), _rows(batch.column(2)), strict=True
-            ):
-                hit = known.get((label, len(v)))
-                if hit is not None:
-                    for i in np.flatnonzero(hit[1] @ (v / np.sqrt(v @ v)) >= SIMILAR):
-                        if hit[0][i] != node:
-                            a.append(min(node, hit[0][i]))
-                            b.append(max(node, hit[0][i]))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    truth = nodes.select("node", "label", "v").mapInArrow(true_links, "a long, b long").distinct()
-    whole = labels.join(dense, "component").select("node", "component")
-    r = (
-        truth.join(links.withColumn("listed", F.lit(1)), ["a", "b"], "left")
-        .join(whole.select(F.col("node").alias("a"), F.col("component").alias("x")), "a", "left")
-        .join(whole.select(F.col("node").alias("b"), F.col("component").alias("y")), "b", "left")
-        .agg(
-            F.count("*").alias("all"),
-            F.count(F.when(F.col("listed").isNotNull() | (F.col("x") == F.col("y")), 1)).alias("found"),
+def _true_links(key, probes: pa.Table, chunk: pa.Table) -> pa.Table:
+    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    ids, others = probes.column("node").to_numpy(), chunk.column("node").to_numpy()
+    right = _units(chunk.column("v"))
+    for dim, (at, x) in _units(probes.column("v")).items():
+        if dim in right:
+            rows, y = right[dim]
+            i, j = np.nonzero(x @ y.T >= SIMILAR)
+            apart = ids[at[i]] != others[rows[j]]
+            a.append(ids[at[i]][apart])
+            b.append(others[rows[j]][apart])
+    return pa.table([pa.array(np.concatenate(c), pa.int64()) for c in (a, b)], names=["a", "b"])
+
+
+def _audit(loose: DataFrame, links: DataFrame) -> float:
+    """Share of the links found of about AUDITED nodes, drawn by hash from `loose`
+    (those not saturated), among `loose`, against brute force."""
+    total = loose.count()
+    share = AUDITED / max(total, 1)
+    drawn = loose.where(
+        F.pmod(F.xxhash64(F.lit(23), "node"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))
+    )
+    left = _chunks(drawn, BLOCK).withColumnRenamed("chunk", "part")
+    right = _chunks(loose, CHUNK)
+    left = left.join(right.select("label", "chunk").distinct(), "label")
+    right = right.join(left.select("label", "part").distinct(), "label")
+    truth = scratch(
+        left.select("label", "part", "chunk", "node", "v")
+        .toDF("pl", "pp", "pc", "node", "v")
+        .groupBy("pl", "pp", "pc")
+        .cogroup(
+            right.select("label", "part", "chunk", "node", "v")
+            .toDF("cl", "cp", "cc", "node", "v")
+            .groupBy("cl", "cp", "cc")
         )
-        .first()
+        .applyInArrow(_true_links, "a long, b long"),
+        "true-links",
     )
-    return r["found"] / r["all"] if r["all"] else 1.0
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    found = truth.join(both.withColumn("listed", F.lit(1.0)), ["a", "b"], "left")
+    recall = found.agg(F.avg(F.coalesce("listed", F.lit(0.0))).alias("recall")).first()["recall"]
+    return 1.0 if recall is None else recall
 
 
 def near_duplicate_vectors(
@@ -356,26 +483,33 @@ def near_duplicate_vectors(
             if lists.where("fresh").count() <= STILL * keep * size:
                 break
         links = scratch(_links(lists, nodes), "links")
-        labels = scratch(components(links), "vector-components")
-        # Saturated: the whole list is near; its component is compared in full.
-        full = (
+        # Saturated: the whole list is near, so links may be missing from it.
+        full = scratch(
             lists.groupBy("a")
             .agg(F.count("*").alias("n"), F.min("sim").alias("low"))
             .where((F.col("n") >= keep) & (F.col("low") >= SIMILAR - COARSE))
+            .select(F.col("a").alias("node")),
+            "full",
         )
-        dense = (
-            labels.join(full, F.col("node") == F.col("a"), "left_semi").select("component").distinct()
-        )
-        dense = scratch(dense, "dense")
-        if keep >= size or _audit(nodes, links, labels, dense) >= RECALL:
+        loose = nodes.select("node", "label", "v").join(full, "node", "left_anti")
+        if keep >= size or _audit(scratch(loose, "loose"), links) >= RECALL:
             break
         keep *= 2
         lists = lists.withColumn("fresh", F.lit(True))
-    members = labels.join(dense, "component", "left_semi").join(nodes, "node")
-    counted = _counted(scratch(members.select("component", "node", "v", "copies"), "dense-members"))
+    # A node may be full of ratings just below a link and have none.
+    lone = full.select("node", F.col("node").alias("component"))
+    first = components(links)
+    groups = first.unionByName(lone.join(first, "node", "left_anti"))
+    exact = scratch(_saturated_links(nodes, full, groups), "saturated-links")
+    counted = exact.where("b is null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
+    labels = scratch(
+        components(links.unionByName(exact.where("b is not null").select("a", "b"))), "vector-components"
+    )
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     listed = (
-        both.join(nodes.select(F.col("node").alias("b"), "copies"), "b")
+        both.join(full.select(F.col("node").alias("a")), "a", "left_anti")
+        .join(full.select(F.col("node").alias("b")), "b", "left_anti")
+        .join(nodes.select(F.col("node").alias("b"), "copies"), "b")
         .groupBy(F.col("a").alias("node"))
         .agg(F.sum("copies").alias("m"))
     )
@@ -388,7 +522,7 @@ def near_duplicate_vectors(
             "label",
             "v",
             F.coalesce("component", "node").alias("component"),
-            (F.coalesce("n", "m", F.lit(0)) + F.col("copies") - 1).alias("links"),
+            (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0)) + F.col("copies") - 1).alias("links"),
         )
     )
     linked = good.select("id", "label", "v").join(per_node, ["label", "v"]).select("id", "links", "component")

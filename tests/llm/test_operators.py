@@ -444,3 +444,29 @@ def test_embeddings(spark):
     assert near_duplicate_vectors(df.limit(0)).count() == 0
 
 
+def linked_by_hand(vectors):
+    """(vec_id, n_links, component_id) of vectors of one label."""
+    unit = np.array(vectors) / np.linalg.norm(vectors, axis=1)[:, None]
+    links = unit @ unit.T >= 0.93
+    np.fill_diagonal(links, False)
+    lead = np.arange(len(unit))
+    while True:
+        now = np.minimum(lead, np.where(links, lead[None, :], len(unit)).min(axis=1))
+        if (now == lead).all():
+            return [(i, int(links[i].sum()), int(lead[i])) for i in range(len(unit))]
+        lead = now
+
+
+def test_embedding_clumps_are_linked_to_each_other(spark):
+    """Lists of 12 fill with the own clump of 30; links between clumps count."""
+    rng = np.random.default_rng(3)
+    data = []
+    for _ in range(8):
+        c, d = np.linalg.qr(rng.normal(size=(32, 2)))[0].T
+        for turn in (0.0, 0.31):
+            centre = np.cos(turn) * c + np.sin(turn) * d
+            data += [(centre + rng.normal(size=32) * 0.012).tolist() for _ in range(30)]
+    df = spark.createDataFrame([(i, v, 0) for i, v in enumerate(data)], "vec_id long, embedding array<double>, label int")
+    want = linked_by_hand(data)
+    assert len({c for _, _, c in want}) == 8
+    assert rows(near_duplicate_vectors(df), "vec_id", "n_links", "component_id") == sorted(want, key=repr)
