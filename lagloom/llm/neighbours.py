@@ -32,6 +32,7 @@ SPAN = 5
 TURNS = 5
 STILL = 0.01
 AUDITED = 200
+SEEN = 500
 RECALL = 0.99
 BLOCK = 512
 CHUNK = 4096
@@ -403,32 +404,43 @@ def _true_links(key, probes: pa.Table, chunk: pa.Table) -> pa.Table:
 
 
 def _audit(loose: DataFrame, links: DataFrame) -> float:
-    """Share of the links found of about AUDITED nodes, drawn by hash from `loose`
-    (those not saturated), among `loose`, against brute force."""
+    """Mean share of its links that a node has found, over nodes drawn by hash
+    from `loose` (those not saturated) and links among `loose`, against brute
+    force. The draw starts at AUDITED nodes and grows until SEEN true links were
+    seen or every node was drawn."""
     total = loose.count()
     share = AUDITED / max(total, 1)
-    drawn = loose.where(
-        F.pmod(F.xxhash64(F.lit(23), "node"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))
-    )
-    left = _chunks(drawn, BLOCK).withColumnRenamed("chunk", "part")
-    right = _chunks(loose, CHUNK)
-    left = left.join(right.select("label", "chunk").distinct(), "label")
-    right = right.join(left.select("label", "part").distinct(), "label")
-    truth = scratch(
-        left.select("label", "part", "chunk", "node", "v")
-        .toDF("pl", "pp", "pc", "node", "v")
-        .groupBy("pl", "pp", "pc")
-        .cogroup(
-            right.select("label", "part", "chunk", "node", "v")
-            .toDF("cl", "cp", "cc", "node", "v")
-            .groupBy("cl", "cp", "cc")
+    while True:
+        drawn = loose.where(
+            F.pmod(F.xxhash64(F.lit(23), "node"), F.lit(1 << 30)) < int(min(share, 1.0) * (1 << 30))
         )
-        .applyInArrow(_true_links, "a long, b long"),
-        "true-links",
-    )
+        left = _chunks(drawn, BLOCK).withColumnRenamed("chunk", "part")
+        right = _chunks(loose, CHUNK)
+        left = left.join(right.select("label", "chunk").distinct(), "label")
+        right = right.join(left.select("label", "part").distinct(), "label")
+        truth = scratch(
+            left.select("label", "part", "chunk", "node", "v")
+            .toDF("pl", "pp", "pc", "node", "v")
+            .groupBy("pl", "pp", "pc")
+            .cogroup(
+                right.select("label", "part", "chunk", "node", "v")
+                .toDF("cl", "cp", "cc", "node", "v")
+                .groupBy("cl", "cp", "cc")
+            )
+            .applyInArrow(_true_links, "a long, b long"),
+            "true-links",
+        )
+        if share >= 1 or truth.count() >= SEEN:
+            break
+        share *= 8
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     found = truth.join(both.withColumn("listed", F.lit(1.0)), ["a", "b"], "left")
-    recall = found.agg(F.avg(F.coalesce("listed", F.lit(0.0))).alias("recall")).first()["recall"]
+    recall = (
+        found.groupBy("a")
+        .agg(F.avg(F.coalesce("listed", F.lit(0.0))).alias("recall"))
+        .agg(F.avg("recall").alias("recall"))
+        .first()["recall"]
+    )
     return 1.0 if recall is None else recall
 
 

@@ -17,7 +17,7 @@ from lagloom.llm.automaton import Dfa
 from lagloom.llm.bpe import Bpe, decode_ids, encode_texts
 from lagloom.llm.components import components
 from lagloom.llm.lines import dedup_lines
-from lagloom.llm.neighbours import near_duplicate_vectors
+from lagloom.llm.neighbours import _audit, near_duplicate_vectors
 from lagloom.llm.packing import fullest, pack_documents, patterns
 from lagloom.llm.packing import encode_texts as packed_ids
 from lagloom.llm.secret_scan import BASE, Scanner, find_secrets, masked
@@ -470,3 +470,14 @@ def test_embedding_clumps_are_linked_to_each_other(spark):
     want = linked_by_hand(data)
     assert len({c for _, _, c in want}) == 8
     assert rows(near_duplicate_vectors(df), "vec_id", "n_links", "component_id") == sorted(want, key=repr)
+
+
+def test_embedding_audit_weighs_nodes_alike(spark):
+    """A group whose many links are all found does not hide ten missed pairs."""
+    rng = np.random.default_rng(11)
+    far = rng.normal(size=(11, 64))
+    data = [(far[0] + rng.normal(size=64) * 0.05).tolist() for _ in range(60)]
+    data += [(v + rng.normal(size=64) * 0.05).tolist() for v in far[1:] for _ in range(2)]
+    loose = spark.createDataFrame([(i, 0, v) for i, v in enumerate(data)], "node long, label int, v array<double>")
+    links = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a long, b long")
+    assert abs(_audit(loose, links) - 0.75) < 1e-9
