@@ -41,10 +41,17 @@ BASE = (
 )
 # Published shapes of other credentials. Tails are left open and
 # filtered by length: counted repeats multiply the automaton's states.
+# A key block goes on over its headers and base64 lines (also with breaks written
+# as backslash and letter) to the END line; without one, to the end of the base64.
+_PEM = (
+    r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"
+    r"(\x0d?\x0a([A-Z][A-Za-z-]*:\x20[A-Za-z0-9,-]+\x0d?\x0a)+)?"
+    r"[A-Za-z0-9+/=\x0a\x0d\x5c]*(\x20*-----END ([A-Z]+ )?PRIVATE KEY-----)?"
+)
 MORE = (
     Rule("github", r"gh[opusr]_[A-Za-z0-9]+", lead=r"gh[opusr]_", least=20),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", lead=r"xox[abprs]-", least=10),
-    Rule("pem", r"-----BEGIN ([A-Z]+ )?PRIVATE KEY-----"),
+    Rule("pem", _PEM),
 )
 RULES = BASE + MORE
 

@@ -481,3 +481,16 @@ def test_embedding_audit_weighs_nodes_alike(spark):
     loose = spark.createDataFrame([(i, 0, v) for i, v in enumerate(data)], "node long, label int, v array<double>")
     links = spark.createDataFrame([(a, b) for b in range(60) for a in range(b)], "a long, b long")
     assert abs(_audit(loose, links) - 0.75) < 1e-9
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\\n"])
+@pytest.mark.parametrize("headers", [[], ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0A1B", ""]])
+def test_whole_key_blocks_are_secrets(end, headers):
+    if end == "\\n" and headers:
+        return
+    lines = ["-----BEGIN RSA PRIVATE KEY-----", *headers, "MIIE+/aB" * 8, "cdEF09==", "-----END RSA PRIVATE KEY-----"]
+    block = end.join(lines)
+    assert Scanner().spans(f"a {block} b") == [(2, 5, 2 + len(block))]
+    # No END line: the body goes all the same.
+    cut = end.join(lines[:-1])
+    assert Scanner().spans(f"a {cut} b") == [(2, 5, 2 + len(cut))]
