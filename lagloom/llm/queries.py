@@ -13,10 +13,12 @@ from lagloom.llm import bpe, language, quality
 from lagloom.llm.lines import dedup_lines
 from lagloom.llm.neighbours import near_duplicate_vectors
 from lagloom.llm.packing import pack_documents
+from lagloom.llm.runs import find_runs, tiled
 from lagloom.llm.secret_scan import BASE, find_secrets
 from lagloom.llm.shards import shuffled_shards
 from lagloom.llm.sketches import near_duplicates
 from lagloom.llm.topk import top_k, valid, whole_numbers
+from lagloom.llm.zones import cluster_vectors, usable, whole_vectors
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -229,6 +231,129 @@ from least l left join size s on s.doc_id = l.node
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
+# Runs as stretches of equal words q apart, found by joining equal words.
+_RUNS_SQL = r"""
+with word as (
+  select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
+    -- crc32 of the decimal id, a byte at a time.
+    xor(4294967295::bigint, list_reduce(
+      list_concat([4294967295::bigint], list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint)),
+      lambda c, b: list_reduce(list_concat([xor(c, b)], [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]),
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384)))) as h
+  from documents
+), sized as (
+  select doc_id, w, len(w) as n, h % 10 = 0 as tile, (h // 10) % len(w) as a,
+    1 + (len(w) - (h // 10) % len(w)) // (3 + (h // 10) % 8) as p
+  from word
+), planted as (
+  select doc_id, n, case when tile and n > 0 then
+    list_transform(range(n), lambda i: w[1 + case when i < a then i else a + (i - a) % p end]) else w end as w
+  from sized
+), place as (
+  select doc_id, n, unnest(w) as x, generate_subscripts(w, 1) - 1 as i from planted
+), same as (
+  select l.doc_id, r.i - l.i as q, l.i
+  from place l join place r on l.doc_id = r.doc_id and l.x = r.x and r.i > l.i and 4 * (r.i - l.i) <= l.n
+), stretch as (
+  select doc_id, q, min(i) as start, count(*) + q as length
+  from (select *, i - row_number() over (partition by doc_id, q order by i) as island from same)
+  group by doc_id, q, island having count(*) + q >= greatest(6, 4 * q)
+), run as (
+  select * from stretch s where not exists (
+    select 1 from stretch t where t.doc_id = s.doc_id and t.q < s.q and t.start <= s.start
+      and t.start + t.length >= s.start + s.length)
+), listed as (
+  select doc_id, count(*) as n_runs, string_agg(concat(start, ',', length, ',', q, chr(10)), '' order by start, q) as runs,
+    min(row(-length, start, q)) as best
+  from run group by doc_id
+), kept as (
+  select p.doc_id, string_agg(p.x, ' ' order by p.i) as words from place p where not exists (
+    select 1 from run r where r.doc_id = p.doc_id and p.i >= r.start + r.q and p.i < r.start + r.length)
+  group by p.doc_id
+)
+select d.doc_id, coalesce(l.n_runs, 0) as n_runs, l.best[2] as start, -l.best[1] as length, l.best[3] as period,
+  (-1000 * l.best[1]) // l.best[3] as exponent_milli, sha256(coalesce(l.runs, '')) as runs_sha256,
+  sha256(coalesce(k.words, '')) as collapsed_sha256
+from documents d left join listed l on l.doc_id = d.doc_id left join kept k on k.doc_id = d.doc_id
+"""
+
+
+def _stretch(r: Column) -> Column:
+    return F.concat_ws(",", r["start"], r["length"], r["period"])
+
+
+@query(_RUNS_SQL)
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    seed = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    found = find_runs(docs.select("doc_id", tiled(F.col("text"), seed).alias("text")))
+    # The longest, then the first, then the shortest period.
+    best = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("length"), -r["start"], -r["period"]))
+    )
+    listed = F.array_join(F.transform("runs", lambda r: F.concat(_stretch(r), F.lit("\n"))), "")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), listed.alias("listed"), "collapsed"
+    ).select(
+        "doc_id",
+        "n_runs",
+        (-F.col("best.col2")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.col3")).alias("period"),
+        F.expr("(1000 * best.length) div -best.col3").alias("exponent_milli"),
+        _sha(F.col("listed")).alias("runs_sha256"),
+        _sha(F.col("collapsed")).alias("collapsed_sha256"),
+    )
+
+
+def _rounds_sql(k: int, rounds: int) -> str:
+    """Lloyd's rounds in whole numbers, one pair of tables each."""
+    parts = [
+        f"""v as (
+  select vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x as double)) as bigint)) as v
+  from embeddings where embedding is not null and len(embedding) = 64
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), c0 as (
+  select cast(row_number() over (order by sha256('1:' || vec_id)) - 1 as integer) as cluster, v as c
+  from v order by sha256('1:' || vec_id) limit {k}
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} as (
+  select vec_id, any_value(v) as v, min(row(d, cluster)) as best from (
+    select vec_id, v, cluster,
+      cast(list_sum(list_transform(generate_series(1, 64), lambda j: (v[j] - c[j]) * (v[j] - c[j]))) as bigint) as d
+    from v cross join c{i}
+  ) group by vec_id
+)""")
+        if i < rounds:
+            parts.append(f"""m{i} as (
+  select cluster, list(x order by j) as c from (
+    select best[2] as cluster, j, cast(floor(sum(v[j]) / count(*)) as bigint) as x
+    from a{i}, (select unnest(generate_series(1, 64)) as j) group by all
+  ) group by cluster
+), c{i + 1} as (
+  select cluster, coalesce(m.c, o.c) as c from c{i} o left join m{i} m using (cluster)
+)""")
+    return "with " + ", ".join(parts) + f"""
+select a.vec_id, a.best[2] as cluster, a.best[1] as distance,
+  cast(sum(a.best[1]) over (partition by a.best[2]) as bigint) as cluster_inertia,
+  cast(sum(a.best[1]) over () as bigint) as inertia, sha256(array_to_string(c.c, ',')) as centroid_sha256
+from a{rounds} a join c{rounds} c on a.best[2] = c.cluster
+"""
+
+
+@query(_rounds_sql(16, 3))
+def op13_centroid_clustering(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "embeddings").where(usable(F.col("embedding"), 64))
+    vectors = rows.select(F.col("vec_id").alias("id"), whole_vectors(F.col("embedding"), 64).alias("vector"))
+    out = cluster_vectors(vectors, k=16, rounds=3, dims=64, seed=1)
+    joined = F.array_join(F.col("centroid").cast("array<string>"), ",")
+    return out.select(
+        F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia",
+        _sha(joined).alias("centroid_sha256"),
+    )
+
 
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
