@@ -13,6 +13,7 @@ from lagloom.llm import bpe, language, quality
 from lagloom.llm.lines import dedup_lines
 from lagloom.llm.neighbours import near_duplicate_vectors
 from lagloom.llm.packing import pack_documents
+from lagloom.llm.pitman_yor import language_model_scores
 from lagloom.llm.runs import find_runs, tiled
 from lagloom.llm.secret_scan import BASE, find_secrets
 from lagloom.llm.shards import shuffled_shards
@@ -231,6 +232,17 @@ from least l left join size s on s.doc_id = l.node
 def op9_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents").select("doc_id", "text"))
 
+@query()
+def op11_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    unseen = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1
+    scored = language_model_scores(docs, unseen)
+    return scored.select(
+        F.col("doc").alias("doc_id"), F.col("held").alias("held_out"), "n_tokens", "n_known", "train_tokens",
+        "base_score", "score",
+    )
+
+
 # Runs as stretches of equal words q apart, found by joining equal words.
 _RUNS_SQL = r"""
 with word as (
