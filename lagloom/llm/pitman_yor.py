@@ -15,7 +15,7 @@ Spark holds everything in partitions that grow in number with the corpus:
   neighbouring words to the partition of the first word; contexts with more than
   a quarter of a partition's tokens are spread over several by their second word,
 - a partition counts its pairs over all chunks and remembers where each chunk's
-  pairs are, so that probabilities go back as bare numbers in the chunk's order,
+  pairs are, so that seatings go back as bare numbers in the chunk's order,
 - only pairs seen twice or more have a seating to sample; a pair seen once has
   one table. Words and parent probabilities travel between the levels per round.
 
@@ -39,7 +39,7 @@ from lagloom.llm.runs import word_lists
 from lagloom.llm.shared import drop_scratch, scratch
 
 # Tokens of a chunk, and tokens per partition of pairs.
-CHUNK_TOKENS = 1 << 22
+CHUNK_TOKENS = 1 << 21
 PART_TOKENS = 3 << 20
 # Contexts with fewer tokens than this are never spread.
 SPREAD_FROM = 1 << 16
@@ -81,10 +81,6 @@ def _risen(blob: bytes) -> np.ndarray:
     return np.cumsum(unpacked(blob).view(np.uint64), dtype=np.uint64)
 
 
-def _floats(values: np.ndarray) -> bytes:
-    return np.asarray(values, "<f4").tobytes()
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     return (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F) >> np.uint64(8)
@@ -169,15 +165,18 @@ class Pairs:
 
     def __init__(self, tokens, lengths, hashes, learned, parts: int, hot: dict[int, int]):
         firsts = np.cumsum(lengths) - lengths
-        before = np.empty(len(tokens), np.int64)
-        before[1:] = tokens[:-1]
-        before[firsts] = len(hashes)
-        key = before * (len(hashes) + 1) + tokens
+        key = np.empty(len(tokens), np.int64)
+        key[1:] = tokens[:-1]
+        key[firsts] = len(hashes)
+        key *= len(hashes) + 1
+        key += tokens
         order = np.argsort(key, kind="stable")
-        new = _new(key[order])
-        first = key[order][new]
-        number = np.cumsum(new) - 1
-        counts = np.bincount(number, weights=learned[order], minlength=len(first)).astype(np.int64)
+        key = key[order]
+        new = _new(key)
+        first = key[new]
+        del key
+        number = np.cumsum(new, dtype=np.int32) - 1
+        counts = np.bincount(number[learned[order]], minlength=len(first))
         short = np.append(hashes, _START) >> _SHORT
         context, word = short[first // (len(hashes) + 1)], short[first % (len(hashes) + 1)]
         spread = np.zeros(len(first), np.uint64)
@@ -187,9 +186,9 @@ class Pairs:
         part = (_mix(context + (spread << np.uint64(50))) % np.uint64(parts)).astype(np.int64)
         by_part = np.argsort(part, kind="stable")
         self.part, self.context, self.word, self.counts = (x[by_part] for x in (part, context, word, counts))
-        place = np.empty(len(first), np.int64)
-        place[by_part] = np.arange(len(first))
-        self.of_token = np.empty(len(tokens), np.int64)
+        place = np.empty(len(first), np.int32)
+        place[by_part] = np.arange(len(first), dtype=np.int32)
+        self.of_token = np.empty(len(tokens), np.int32)
         self.of_token[order] = place[number]
 
 
@@ -293,20 +292,20 @@ def _pair_messages(parts: int, hot: dict[int, int]) -> Callable:
 
 _MESSAGES = "array<struct<q:int,words:binary,t:binary>>"
 _MESSAGE_TYPE = pa.list_(pa.struct([("q", pa.int32()), ("words", pa.binary()), ("t", pa.binary())]))
-# sizes, counts: of all pairs by context. once: words of the pairs seen once, for
-# the parent. place, word, c, context: of the pairs seen more often.
+# sizes, counts: of all pairs by context. place: the pairs seen more than once,
+# where: the second word of each among their distinct words. once, often: for the
+# parent, the words of the pairs seen once and their number, and the distinct
+# words of the others.
 PAIRS = (
     f"p int, sizes binary, counts binary, frequent_at array<int>, frequent array<long>, {_ASKS}, "
-    f"once {_MESSAGES}, place binary, word binary"
+    f"once {_MESSAGES}, often {_MESSAGES}, place binary, where binary"
 )
 
 
-def _messages(word: np.ndarray, tables: np.ndarray, parts: int) -> list[dict]:
-    """Tables per word, ascending, cut by the parent's partitions."""
-    words, where = np.unique(word, return_inverse=True)
-    t = np.bincount(where, weights=tables, minlength=len(words)).astype(np.int64)
+def _messages(words: np.ndarray, numbers: np.ndarray, parts: int) -> list[dict]:
+    """Ascending words with a number each, cut by the parent's partitions."""
     part = _word_part(words.astype(np.uint64) << _SHORT, parts)
-    return [{"q": q, "words": _rising(words[s]), "t": packed(t[s])} for q, s in _slices(part)]
+    return [{"q": q, "words": _rising(words[s]), "t": packed(numbers[s])} for q, s in _slices(part)]
 
 
 def _merge_pairs(parts: int, hot: dict[int, int]) -> Callable:
@@ -327,7 +326,8 @@ def _merge_pairs(parts: int, hot: dict[int, int]) -> Callable:
         names = context[first]
         frequent = np.flatnonzero(np.isin(names, np.array(list(hot), np.int64)))
         often = np.flatnonzero(counts > 1)
-        single = counts == 1
+        distinct, where = np.unique(word[often], return_inverse=True)
+        once = np.unique(word[counts == 1], return_counts=True)
         cuts = np.split(place, np.cumsum([len(w) for w in words])[:-1])
         # A chunk's pairs ascend here but for a text's start: keep them as they are.
         asks = [{"chunk": r["chunk"], "places": packed(np.diff(c, prepend=0) + len(word))} for r, c in zip(got, cuts, strict=True)]
@@ -339,9 +339,10 @@ def _merge_pairs(parts: int, hot: dict[int, int]) -> Callable:
                 "frequent_at": pa.array([frequent.tolist()], pa.list_(pa.int32())),
                 "frequent": pa.array([names[frequent].tolist()], pa.list_(pa.int64())),
                 "asks": pa.array([asks], _ASK_TYPE),
-                "once": pa.array([_messages(word[single], np.ones(int(single.sum())), parts)], _MESSAGE_TYPE),
+                "once": pa.array([_messages(*once, parts)], _MESSAGE_TYPE),
+                "often": pa.array([_messages(distinct, np.zeros(len(distinct)), parts)], _MESSAGE_TYPE),
                 "place": pa.array([_rising(often)], pa.binary()),
-                "word": pa.array([packed(word[often])], pa.binary()),
+                "where": pa.array([packed(where)], pa.binary()),
             }
         )
 
@@ -350,12 +351,17 @@ def _merge_pairs(parts: int, hot: dict[int, int]) -> Callable:
 
 _HIST = "hist array<struct<kind:string,bin:long,n:long,s:long>>"
 _HIST_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("bin", pa.int64()), ("n", pa.int64()), ("s", pa.int64())]))
-_STATE_NAMES = ["p", "word", "c", "context", "single", "total", "frequent_at", "frequent", "t", "sizes"]
-_STATE_NAMES += ["share", "rest", "messages", "hist", "frequent_t", "tables"]
+_FIXED = ["c", "context", "where", "single", "total"]
+_STATE_NAMES = ["p", *_FIXED, "frequent_at", "frequent", "cuts", "t", "sizes", "samples", "messages", "hist"]
+_STATE_NAMES += ["frequent_t", "tables"]
+_NUMBERS = "array<struct<q:int,t:binary>>"
+_SAMPLE = pa.struct([("t", pa.binary()), ("tables", pa.binary())])
+# c, t, sizes, context, where: of the pairs seen more than once; single, total:
+# pairs seen once and customers of each context. cuts: words by parent partition.
 STATE = (
-    "p int, word binary, c binary, context binary, single binary, total binary, frequent_at array<int>, "
-    f"frequent array<long>, t binary, sizes binary, share binary, rest array<binary>, messages {_MESSAGES}, "
-    f"{_HIST}, frequent_t array<long>, tables long"
+    "p int, c binary, context binary, where binary, single binary, total binary, frequent_at array<int>, "
+    "frequent array<long>, cuts array<struct<q:int,n:int>>, t binary, sizes binary, "
+    f"samples array<struct<t:binary,tables:binary>>, messages {_NUMBERS}, {_HIST}, frequent_t array<long>, tables long"
 )
 
 
@@ -366,34 +372,35 @@ def _hist_rows(kind: str, values: np.ndarray) -> list[dict]:
     ]
 
 
-def _state_row(x: dict, parts: int) -> pa.RecordBatch:
+def _state_row(x: dict) -> pa.RecordBatch:
     """A partition of contexts after a round, as a row."""
     local = np.ones(len(x["total"]), bool)
     local[x["frequent_at"]] = False
     tables = x["all_tables"]
     hist = _hist_rows("tables", tables[local]) + _hist_rows("customers", x["total"][local])
     hist += _hist_rows("sizes", x["sizes"][x["sizes"] > 1])
-    binaries = {c: packed(x[c]) for c in ("word", "c", "context", "single", "total", "t", "sizes")}
-    row = binaries | {
-        "p": x["p"],
-        "frequent_at": x["frequent_at"],
-        "frequent": x["frequent"],
-        "share": np.asarray(x["share"], "<f8").tobytes(),
-        "rest": x["rest"],
-        "messages": _messages(x["word"], x["t"], parts),
+    row = {c: packed(x[c]) for c in (*_FIXED, "t", "sizes")}
+    row |= {c: x[c] for c in ("p", "frequent_at", "frequent", "cuts", "samples")}
+    numbers = np.bincount(x["where"], weights=x["t"], minlength=sum(c["n"] for c in x["cuts"])).astype(np.int64)
+    row["messages"], at = [], 0
+    for c in x["cuts"]:
+        row["messages"].append({"q": c["q"], "t": packed(numbers[at : at + c["n"]])})
+        at += c["n"]
+    row |= {
         "hist": hist,
         "frequent_t": tables[x["frequent_at"]].astype(np.int64).tolist(),
         "tables": int(tables.sum()),
     }
     kinds = {"p": pa.int32(), "frequent_at": pa.list_(pa.int32()), "frequent": pa.list_(pa.int64())}
-    kinds |= {"rest": pa.list_(pa.binary()), "messages": _MESSAGE_TYPE, "hist": _HIST_TYPE}
+    kinds |= {"cuts": pa.list_(pa.struct([("q", pa.int32()), ("n", pa.int32())])), "samples": pa.list_(_SAMPLE)}
+    kinds |= {"messages": pa.list_(pa.struct([("q", pa.int32()), ("t", pa.binary())])), "hist": _HIST_TYPE}
     kinds |= {"frequent_t": pa.list_(pa.int64()), "tables": pa.int64()}
     return pa.RecordBatch.from_arrays(
         [pa.array([row[c]], kinds.get(c, pa.binary())) for c in _STATE_NAMES], names=_STATE_NAMES
     )
 
 
-def _first_state(parts: int, hot_counts: dict[int, int]) -> Callable:
+def _first_state(hot_counts: dict[int, int]) -> Callable:
     """One table per pair, before the first round."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -407,30 +414,32 @@ def _first_state(parts: int, hot_counts: dict[int, int]) -> Callable:
                 single = np.bincount(owner[counts == 1], minlength=n)
                 c, context = counts[place], owner[place]
                 x = {
-                    "p": r["p"], "word": unpacked(r["word"]), "c": c, "context": context, "single": single,
+                    "p": r["p"], "c": c, "context": context, "where": unpacked(r["where"]), "single": single,
                     "total": total, "frequent_at": r["frequent_at"], "frequent": r["frequent"],
-                    "t": np.ones(len(c), np.int64), "sizes": c, "share": np.zeros(len(c)), "rest": [],
+                    "cuts": [{"q": m["q"], "n": len(unpacked(m["t"]))} for m in r["often"]],
+                    "t": np.ones(len(c), np.int64), "sizes": c, "samples": [],
                     "all_tables": single + np.bincount(context, minlength=n),
                 }
-                yield _state_row(x, parts)
+                yield _state_row(x)
 
     return rows
 
 
-def _context_round(parts: int, level: dict, parent: dict, hot_tables: dict[int, int], turn: int, first: bool, sample: bool):
+def _context_round(level: dict, parent: dict, hot_tables: dict[int, int], turn: int, first: bool, sample: bool):
     """Seats the customers of the contexts of a partition once more."""
     d, strength = level["d"], level["s"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                x = {c: unpacked(r[c]) for c in ("word", "c", "context", "single", "total", "t", "sizes")}
-                x |= {c: r[c] for c in ("p", "frequent_at", "frequent", "rest")}
-                x["share"] = np.frombuffer(r["share"], "<f8").copy()
+                x = {c: unpacked(r[c]) for c in (*_FIXED, "t", "sizes")}
+                x |= {c: r[c] for c in ("p", "frequent_at", "frequent", "cuts", "samples")}
                 # Answers come by partition of the parent, in the order of the words.
-                told = [np.frombuffer(a["nums"], "<f4") for a in sorted(r["answers"] or [], key=lambda a: a["q"])]
-                _, where = np.unique(x["word"], return_inverse=True)
-                prob = _probability(np.concatenate(told) if told else np.empty(0), parent)[where]
+                told = sorted(r["answers"] or [], key=lambda a: a["q"])
+                customers, seats = (
+                    np.concatenate([np.empty(0, np.int64), *[unpacked(a[k]) for a in told]]) for k in ("c", "t")
+                )
+                prob = _probability(customers, seats, parent)[x["where"]]
                 rng = np.random.default_rng([SEED, turn, r["p"]])
                 n = len(x["total"])
                 tables = x["single"] + np.bincount(x["context"], weights=x["t"], minlength=n)
@@ -444,10 +453,9 @@ def _context_round(parts: int, level: dict, parent: dict, hot_tables: dict[int,
                 )
                 x["all_tables"] = tables - np.maximum(others, 0)
                 if sample:
-                    total = strength + x["total"]
-                    x["share"] += (x["c"] - d * x["t"]) / total[x["context"]]
-                    x["rest"] = [*x["rest"], _floats(np.minimum(1.0, (strength + d * tables) / total))]
-                yield _state_row(x, parts)
+                    seen = {"t": packed(x["t"]), "tables": packed(np.rint(tables))}
+                    x["samples"] = [*x["samples"], seen]
+                yield _state_row(x)
 
     return rows
 
@@ -472,32 +480,38 @@ def seat_round(c, t, sizes, restaurant, tables, prob, d, strength, rng, first: b
 # The parent
 
 
-def _probability(nums: np.ndarray, parent: dict) -> np.ndarray:
-    """Predictive probability in the parent of words with customers less
-    discounted tables `nums`."""
-    return (nums + (parent["s"] + parent["d"] * parent["tables"]) / (parent["v"] + 1)) / (
-        parent["s"] + parent["customers"]
-    )
+def _probability(customers: np.ndarray, tables: np.ndarray, parent: dict) -> np.ndarray:
+    """Predictive probability in the parent of words with so many customers and
+    tables there."""
+    base = (parent["s"] + parent["d"] * parent["tables"]) / (parent["v"] + 1)
+    return (customers - parent["d"] * tables + base) / (parent["s"] + parent["customers"])
 
 
-_ANSWERS = "array<struct<p:int,nums:binary>>"
-_ANSWER_TYPE = pa.list_(pa.struct([("p", pa.int32()), ("nums", pa.binary())]))
-PARENT = f"q int, words binary, once binary, samples array<binary>, answers {_ANSWERS}, {_HIST}, tables long, customers long"
+_ANSWERS = "array<struct<p:int,c:binary,t:binary>>"
+_ANSWER_TYPE = pa.list_(pa.struct([("p", pa.int32()), ("c", pa.binary()), ("t", pa.binary())]))
+_ASKED_TYPE = pa.list_(pa.struct([("p", pa.int32()), ("places", pa.binary())]))
+_SEAT = pa.struct([("c", pa.binary()), ("t", pa.binary())])
+# asked: which words the pairs of each context partition have.
+PARENT = (
+    "q int, words binary, once binary, asked array<struct<p:int,places:binary>>, "
+    f"samples array<struct<c:binary,t:binary>>, answers {_ANSWERS}, {_HIST}, tables long, customers long"
+)
 
 
-def _parent_row(q, words, once, samples, answers, t, sizes, customers) -> pa.RecordBatch:
+def _parent_row(q, words, once, asked, samples, answers, t, sizes, customers) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [
             pa.array([q], pa.int32()),
             pa.array([_rising(words)], pa.binary()),
             pa.array([packed(once)], pa.binary()),
-            pa.array([samples], pa.list_(pa.binary())),
+            pa.array([asked], _ASKED_TYPE),
+            pa.array([samples], pa.list_(_SEAT)),
             pa.array([answers], _ANSWER_TYPE),
             pa.array([_hist_rows("sizes", sizes[sizes > 1])], _HIST_TYPE),
             pa.array([int(t.sum())], pa.int64()),
             pa.array([int(customers.sum())], pa.int64()),
         ],
-        names=["q", "words", "once", "samples", "answers", "hist", "tables", "customers"],
+        names=["q", "words", "once", "asked", "samples", "answers", "hist", "tables", "customers"],
     )
 
 
@@ -514,12 +528,16 @@ def _parent_round(parent: dict, turn: int, sample: bool, first: bool) -> Callabl
                     once, samples = np.zeros(len(words), np.int64), []
                     for m in r["static"] or []:
                         once[np.searchsorted(words, _risen(m["words"]))] += unpacked(m["t"])
+                    asked = [
+                        {"p": m["p"], "places": _rising(np.searchsorted(words, _risen(m["words"])))}
+                        for m in r["often"] or []
+                    ]
                 else:
-                    words, once, samples = _risen(r["words"]), unpacked(r["once"]), r["samples"]
-                asked = [(m["p"], np.searchsorted(words, _risen(m["words"])), unpacked(m["t"])) for m in r["told"] or []]
+                    words, once, samples, asked = _risen(r["words"]), unpacked(r["once"]), r["samples"], r["asked"]
+                at = {a["p"]: _risen(a["places"]).astype(np.int64) for a in asked}
                 customers = once.copy()
-                for _, at, t in asked:
-                    customers[at] += t
+                for m in r["told"] or []:
+                    customers[at[m["p"]]] += unpacked(m["t"])
                 rng = np.random.default_rng([SEED + 1, turn, r["q"]])
                 prob = np.full(len(words), 1.0 / (parent["v"] + 1))
                 whole = np.array([parent["tables"]], float)
@@ -527,11 +545,10 @@ def _parent_round(parent: dict, turn: int, sample: bool, first: bool) -> Callabl
                 mass = (parent["s"] + parent["d"] * whole[0]) * prob
                 t, sizes = seat_afresh(customers, mass, rng)
                 t, sizes, _ = gibbs_moves(customers, t, sizes, one, whole, prob, parent["d"], parent["s"], rng)
-                nums = customers - parent["d"] * t
                 if sample:
-                    samples = [*samples, _floats(nums)]
-                answers = [{"p": p, "nums": _floats(nums[at])} for p, at, _ in asked]
-                yield _parent_row(r["q"], words, once, samples, answers, t, sizes, customers)
+                    samples = [*samples, {"c": packed(customers), "t": packed(t)}]
+                answers = [{"p": p, "c": packed(customers[w]), "t": packed(t[w])} for p, w in at.items()]
+                yield _parent_row(r["q"], words, once, asked, samples, answers, t, sizes, customers)
 
     return rows
 
@@ -561,84 +578,84 @@ def _totals(rows: DataFrame, *columns: str) -> list[int]:
     return [int(x or 0) for x in rows.agg(*[F.sum(c) for c in columns]).first()]
 
 
-def _context_answers(level: list[dict]) -> Callable:
-    """Per chunk and partition: the seated share of each pair and, per sample,
-    the part left to the parent of each context."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                counts, sizes = unpacked(r["counts"]), unpacked(r["sizes"])
-                owner = np.repeat(np.arange(len(sizes)), sizes)
-                total = unpacked(r["total"])
-                once = np.mean([(1 - x["d"]) / (x["s"] + total) for x in level], axis=0)
-                share = np.where(counts == 1, once[owner], 0.0)
-                share[_risen(r["place"]).astype(np.int64)] = np.frombuffer(r["share"], "<f8") / len(level)
-                rest = np.stack([np.frombuffer(b, "<f4") for b in r["rest"]])
-                for ask in r["asks"]:
-                    at = np.cumsum(unpacked(ask["places"]) - len(counts))
-                    mine = owner[at]
-                    yield _answer(ask["chunk"], 0, r["p"], _floats(share[at]), _floats(rest[:, mine[_new(mine)]]))
-
-    return rows
-
-
-_ANSWER_SCHEMA = "chunk long, level int, part int, x binary, y binary"
-
-
-def _answer(chunk, level, part, x, y) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-    values = (chunk, level, part, x, y)
+def _context_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Per chunk and partition: customers and, per sample, tables of each pair;
+    then the same of each context."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            counts, sizes = unpacked(r["counts"]), unpacked(r["sizes"])
+            owner = np.repeat(np.arange(len(sizes)), sizes)
+            total, place = unpacked(r["total"]), _risen(r["place"]).astype(np.int64)
+            tables = [unpacked(x["tables"]) for x in r["samples"]]
+            seated = []
+            for x in r["samples"]:
+                t = np.minimum(counts, 1)
+                t[place] = unpacked(x["t"])
+                seated.append(t)
+            for ask in r["asks"]:
+                at = np.cumsum(unpacked(ask["places"]) - len(counts))
+                mine = owner[at]
+                mine = mine[_new(mine)]
+                own = [x[at] for x in (counts, *seated)] + [x[mine] for x in (total, *tables)]
+                yield _answer(ask["chunk"], 0, r["p"], own)
+
+
+_ANSWER_SCHEMA = "chunk long, level int, part int, numbers array<binary>"
+
+
+def _answer(chunk: int, level: int, part: int, numbers: list[np.ndarray]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.binary()))
+    values = (chunk, level, part, [packed(x) for x in numbers])
     return pa.RecordBatch.from_arrays(
-        [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "level", "part", "x", "y"]
+        [pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["chunk", "level", "part", "numbers"]
     )
 
 
-def _word_answers(parents: list[dict]) -> Callable:
+def _word_answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per chunk and partition: the count of each word and, per sample, its
-    probability in the parent."""
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for r in batch.to_pylist():
-                hashes, counts = _risen(r["hashes"]) >> _SHORT, unpacked(r["counts"])
-                known = _risen(r["words"])
-                at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-                seen = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-                probs = []
-                for blob, parent in zip(r["samples"], parents, strict=True):
-                    nums = np.frombuffer(blob, "<f4")
-                    probs.append(_probability(np.where(seen, nums[at], 0.0) if len(nums) else np.zeros(len(hashes)), parent))
-                probs = np.stack(probs)
-                for ask in r["asks"]:
-                    mine = _risen(ask["places"]).astype(np.int64)
-                    yield _answer(ask["chunk"], 1, r["q"], packed(counts[mine]), _floats(probs[:, mine]))
-
-    return rows
+    customers and tables in the parent."""
+    for batch in batches:
+        for r in batch.to_pylist():
+            hashes, counts, known = _risen(r["hashes"]) >> _SHORT, unpacked(r["counts"]), _risen(r["words"])
+            at = np.searchsorted(known, hashes)
+            at[at == len(known)] = 0
+            seen = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
+            numbers = [counts]
+            for x in r["samples"]:
+                for k in ("c", "t"):
+                    values = np.zeros(len(hashes), np.int64)
+                    values[seen] = unpacked(x[k])[at[seen]]
+                    numbers.append(values)
+            for ask in r["asks"]:
+                mine = _risen(ask["places"]).astype(np.int64)
+                yield _answer(ask["chunk"], 1, r["q"], [x[mine] for x in numbers])
 
 
 SCORES = "doc long, held boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def _scores(parts: int, hot: dict[int, int], n: int, v: int, samples: int) -> Callable:
+def _scores(parts: int, hot: dict[int, int], n: int, v: int, levels: list[dict], parents: list[dict]) -> Callable:
+    s = len(levels)
+
     def score(key: tuple, streams: pa.Table, answers: pa.Table) -> pa.Table:
         got = sorted(answers.to_pylist(), key=lambda r: (r["level"], r["part"]))
+
+        def numbers(level: int, i: int) -> np.ndarray:
+            return np.concatenate([unpacked(r["numbers"][i]) for r in got if r["level"] == level])
+
         out = []
         for row, tokens, lengths, hashes, learned in _chunk_rows(streams.to_batches()):
             pairs = Pairs(tokens, lengths, hashes, learned, parts, hot)
-            share = np.concatenate([np.frombuffer(r["x"], "<f4") for r in got if r["level"] == 0])
-            contexts = _new(pairs.part, pairs.context)
-            rest = np.concatenate(
-                [np.frombuffer(r["y"], "<f4").reshape(samples, -1) for r in got if r["level"] == 0], axis=1
-            ).astype(float)
-            counts = np.concatenate([unpacked(r["x"]) for r in got if r["level"] == 1])
-            probs = np.concatenate(
-                [np.frombuffer(r["y"], "<f4").reshape(samples, -1) for r in got if r["level"] == 1], axis=1
-            ).astype(float)
-            context_of = (np.cumsum(contexts) - 1)[pairs.of_token]
-            p = share[pairs.of_token].astype(float)
-            for i in range(samples):
-                p += rest[i][context_of] * probs[i][tokens] / samples
+            context = np.cumsum(_new(pairs.part, pairs.context), dtype=np.int32) - 1
+            context, of_token = context[pairs.of_token], pairs.of_token
+            del pairs
+            c, total, p = numbers(0, 0), numbers(0, 1 + s), np.zeros(len(tokens))
+            for i, (level, parent) in enumerate(zip(levels, parents, strict=True)):
+                seated = c - level["d"] * numbers(0, 1 + i)
+                left = level["s"] + level["d"] * numbers(0, 2 + s + i)
+                up = _probability(numbers(1, 1 + 2 * i), numbers(1, 2 + 2 * i), parent)
+                p += (seated[of_token] + left[context] * up[tokens]) / (level["s"] + total[context])
+            counts = numbers(1, 0)
             base = np.log10((counts + 0.5) / (n + 0.5 * (v + 1)))
             firsts = np.cumsum(lengths) - lengths
             out.append(
@@ -648,7 +665,7 @@ def _scores(parts: int, hot: dict[int, int], n: int, v: int, samples: int) -> Ca
                     pa.array(lengths, pa.int64()),
                     pa.array(np.add.reduceat((counts > 0)[tokens].astype(np.int64), firsts)),
                     pa.array(np.add.reduceat(base[tokens], firsts)),
-                    pa.array(np.add.reduceat(np.log10(p), firsts)),
+                    pa.array(np.add.reduceat(np.log10(p / s), firsts)),
                 ]
             )
         names = ["doc", "held", "n_tokens", "n_known", "base_score", "score"]
@@ -716,27 +733,28 @@ def language_model_scores(
         "lm-pairs",
     )
     state = scratch(
-        pairs.select("p", "sizes", "counts", "frequent_at", "frequent", "place", "word").mapInArrow(
-            _first_state(word_parts, hot_counts), STATE
+        pairs.select("p", "sizes", "counts", "frequent_at", "frequent", "often", "place", "where").mapInArrow(
+            _first_state(hot_counts), STATE
         ),
         "lm-contexts",
     )
-    told = _gathered(state, "q", "messages", "p", ["words", "t"], "told")
+    told = _gathered(state, "q", "messages", "p", ["t"], "told")
+    often = _gathered(pairs, "q", "often", "p", ["words"], "often")
     static = _gathered(pairs, "q", "once", "p", ["words", "t"], "static")
     level = {"d": 0.5, "s": 1.0}
     parent = {"d": 0.5, "s": 1.0, "v": v, "tables": v, "customers": _totals(state, "tables")[0]}
-    known = words.select("q", "hashes", "counts").join(static, "q", "left").join(told, "q", "left")
+    known = words.select("q", "hashes", "counts").join(static, "q", "left").join(often, "q", "left").join(told, "q", "left")
     top = scratch(known.mapInArrow(_parent_round(parent, 0, False, True), PARENT), "lm-parent")
     parent["tables"] = _totals(top, "tables")[0]
     rng = np.random.default_rng(SEED)
     levels, parents, hot_tables = [], [], {}
     for turn in range(1, burn_in + samples + 1):
         sample = turn > burn_in
-        answers = _gathered(top, "p", "answers", "q", ["nums"], "answers")
+        answers = _gathered(top, "p", "answers", "q", ["c", "t"], "answers")
         after = scratch(
             state.drop("messages", "hist", "frequent_t", "tables")
             .join(answers, "p", "left")
-            .mapInArrow(_context_round(word_parts, level, dict(parent), hot_tables, turn, turn == 1, sample), STATE),
+            .mapInArrow(_context_round(dict(level), dict(parent), hot_tables, turn, turn == 1, sample), STATE),
             "lm-contexts",
         )
         drop_scratch(state)
@@ -757,7 +775,7 @@ def language_model_scores(
             seats["tables"] + spread, seats["customers"] + crowd, seats["sizes"], rng
         )
         parent["customers"] = _totals(state, "tables")[0]
-        told = _gathered(state, "q", "messages", "p", ["words", "t"], "told")
+        told = _gathered(state, "q", "messages", "p", ["t"], "told")
         after = scratch(
             top.drop("answers", "hist", "tables", "customers")
             .join(told, "q", "left")
@@ -774,19 +792,19 @@ def language_model_scores(
         )
     from_contexts = (
         pairs.select("p", "sizes", "counts", "asks", "place")
-        .join(state.select("p", "total", "share", "rest"), "p")
-        .mapInArrow(_context_answers(levels), _ANSWER_SCHEMA)
+        .join(state.select("p", "total", "samples"), "p")
+        .mapInArrow(_context_answers, _ANSWER_SCHEMA)
     )
     from_words = (
         words.select("q", "hashes", "counts", "asks")
         .join(top.select("q", "words", "samples"), "q")
-        .mapInArrow(_word_answers(parents), _ANSWER_SCHEMA)
+        .mapInArrow(_word_answers, _ANSWER_SCHEMA)
     )
     scored = (
         streams.drop("counts")
         .groupBy("chunk")
         .cogroup(from_contexts.unionByName(from_words).groupBy("chunk"))
-        .applyInArrow(_scores(parts, hot, n, v, samples), SCORES)
+        .applyInArrow(_scores(parts, hot, n, v, levels, parents), SCORES)
     )
     return scored.select(
         "*", F.lit(n).cast("long").alias("train_tokens"), F.expr("pow(10, -score / n_tokens)").alias("perplexity")
