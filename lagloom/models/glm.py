@@ -1,4 +1,5 @@
-"""Generalised linear models by iteratively reweighted sums."""
+"""Generalised linear models by iteratively reweighted least squares, each step
+one pass that factors the weighted rows in a tree."""
 
 from __future__ import annotations
 
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.models.fitted import Fitted
-from lagloom.models.moments import keep, pack, sum_vectors, unpack, whitening
+from lagloom.models.moments import keep, least_squares, pack, triangular_factors
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 
@@ -156,15 +157,13 @@ def fit_design(
     """Fit every model of a design (model, y, offset, w, x) together: one job
     per iteration for all of them. `labels` names the columns of each model."""
     fam = FAMILIES[family]
-    width = {m: len(v) for m, v in labels.items()}
 
-    def step(betas: dict[str, np.ndarray], turn: dict[str, np.ndarray]):
-        """Sums at the coefficients `betas` of the turned columns x T."""
+    def step(betas: dict[str, np.ndarray]):
+        """Triangular factor of the weighted rows (x, working response) and
+        sums at the coefficients `betas`, per model."""
 
-        def block(model: str, c: dict[str, np.ndarray]) -> np.ndarray:
+        def block(model: str, c: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
             x, y, w = c["x"], c["y"], c["w"]
-            if model in turn:
-                x = x @ turn[model]
             if model in betas:
                 eta = x @ betas[model] + c["offset"]
                 mu = fam.mean(eta)
@@ -173,50 +172,46 @@ def fit_design(
                 eta = fam.eta(mu) if fam.link != "log" else np.log(np.maximum(mu, 1e-8))
             slope = fam.slope(mu)
             var = fam.variance(mu)
-            iw = w * slope * slope / var
+            root = np.sqrt(w * slope * slope / var)
             z = eta - c["offset"] + (y - mu) / slope
-            xw = x * iw[:, None]
-            return pack(
-                xw.T @ x, xw.T @ z, np.sum(w * fam.deviance(y, mu)),
-                np.sum(w * (y - mu) ** 2 / var), np.sum(w * fam.loglik(y, mu)),
-                len(y), np.sum(w),
+            sums = pack(
+                np.sum(w * fam.deviance(y, mu)), np.sum(w * (y - mu) ** 2 / var),
+                np.sum(w * fam.loglik(y, mu)), len(y),
             )
+            return np.column_stack([x, z]) * root[:, None], sums
 
-        return sum_vectors(design, block, drop_incomplete=True)
+        return triangular_factors(design, block)
 
-    # The first pass finds the columns to work in; later passes use them.
-    turn = {}
-    for m, vec in step({}, {}).items():
-        turn[m] = whitening(vec[: width[m] ** 2].reshape(width[m], width[m]))
     beta: dict[str, np.ndarray] = {}
     last: dict[str, float] = {}
     done: dict[str, Fitted] = {}
     for iteration in range(max_iter):
-        sums = step(beta, turn)
-        for m, vec in sums.items():
-            t = turn[m]
-            r = t.shape[1]
-            gram, xz, dev, pearson, ll, n, _ = unpack(vec, (r, r), (r,), (), (), (), (), ())
-            inv = np.linalg.inv(gram)
-            settled = m in last and abs(dev - last[m]) <= tol * (abs(dev) + 0.1)
-            if m in beta and (settled or iteration == max_iter - 1) and m not in done:
+        found = step(beta)
+        for m, (upper, sums) in found.items():
+            dev, pearson, ll, n = (float(v) for v in sums)
+            if n == 0 or m in done:
+                continue
+            coef, root, _ = least_squares(upper)
+            if m in last and abs(dev - last[m]) <= tol * (abs(dev) + 0.1):
+                aliased = np.isnan(root).any(axis=1) if root.shape[1] else np.ones(len(coef), bool)
+                r = int((~aliased).sum())
                 df_resid = n - r
                 phi = pearson / df_resid if fam.scaled and df_resid > 0 else 1.0
                 if fam.name == "gaussian":
                     ll = -0.5 * n * (math.log(2 * math.pi * max(dev, 1e-300) / n) + 1.0)
-                cov = t @ inv @ t.T * phi
-                aliased = ~t.any(axis=1)
+                cov = root @ root.T * phi
                 cov[aliased, :] = cov[:, aliased] = np.nan
                 done[m] = Fitted(
-                    m, labels[m], t @ beta[m], cov, int(n), ll, dev, phi, df_resid,
-                    iterations=iteration, converged=settled, use_t=fam.scaled,
+                    m, labels[m], beta[m], cov, int(n), ll, dev, phi, df_resid,
+                    iterations=iteration, converged=True, use_t=fam.scaled,
                 )
-            last[m] = dev
+            elif m in beta:
+                last[m] = dev
             if m not in done:
-                beta[m] = inv @ xz
-        if set(done) == set(sums):
-            break
-    return done
+                beta[m] = coef
+        if set(done) == set(beta):
+            return done
+    raise ValueError(f"no convergence in {max_iter} steps: {sorted(set(beta) - set(done))}")
 
 
 def fit_glm(df: DataFrame, spec: GlmSpec, tol: float = 1e-10, max_iter: int = 50) -> Fitted:
@@ -234,18 +229,21 @@ def fit_glm(df: DataFrame, spec: GlmSpec, tol: float = 1e-10, max_iter: int = 50
 
 def wls_line(df: DataFrame, keys: list[str], x: str, y: str, weight: str) -> DataFrame:
     """Weighted straight line per group from one partial aggregate."""
-    w = F.col(weight)
+    # Sums about the overall means: group means far from zero cancel no digits.
+    at = df.agg(F.avg(x).alias("x"), F.avg(y).alias("y")).first()
+    x0, y0 = (F.lit(float(v or 0.0)) for v in at)
+    w, u, v = F.col(weight), F.col(x) - x0, F.col(y) - y0
     s = df.groupBy(*keys).agg(
         F.count("*").alias("n"),
         F.sum(w).alias("sw"),
-        F.sum(w * F.col(x)).alias("sx"),
-        F.sum(w * F.col(y)).alias("sy"),
-        F.sum(w * F.col(x) * F.col(x)).alias("sxx"),
-        F.sum(w * F.col(x) * F.col(y)).alias("sxy"),
+        F.sum(w * u).alias("sx"),
+        F.sum(w * v).alias("sy"),
+        F.sum(w * u * u).alias("sxx"),
+        F.sum(w * u * v).alias("sxy"),
     )
-    det = F.expr("sw * sxx - sx * sx")
-    slope = F.when(det != 0, F.expr("sw * sxy - sx * sy") / det)
+    det = F.expr("sxx - sx * sx / sw")
+    slope = F.when(det > 0, F.expr("sxy - sx * sy / sw") / det)
     return s.select(
         *keys, "n", slope.alias("slope"),
-        ((F.col("sy") - slope * F.col("sx")) / F.col("sw")).alias("intercept"),
+        (y0 + F.col("sy") / F.col("sw") - slope * (x0 + F.col("sx") / F.col("sw"))).alias("intercept"),
     )

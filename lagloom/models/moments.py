@@ -76,6 +76,23 @@ def _complete(cols: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {k: v[~bad] for k, v in cols.items()} if bad.any() else cols
 
 
+def _by_model(batch: pa.RecordBatch) -> Iterator[tuple[str, dict[str, np.ndarray]]]:
+    """The rows of each model of a batch, list columns as matrices."""
+    names = batch.column(0).dictionary_encode()
+    codes = names.indices.to_numpy(zero_copy_only=False)
+    cols = {}
+    for name, column in zip(batch.schema.names[1:], batch.columns[1:], strict=True):
+        kind = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
+        cols[name] = as_matrix(column) if kind else as_vector(column)
+    models = names.dictionary.to_pylist()
+    for code, model in enumerate(models):
+        if len(models) == 1:
+            yield model, cols
+        else:
+            hit = codes == code
+            yield model, {k: v[hit] for k, v in cols.items()}
+
+
 def sum_vectors(
     df: DataFrame,
     block: Callable[[str, dict[str, np.ndarray]], np.ndarray],
@@ -93,19 +110,7 @@ def sum_vectors(
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            names = batch.column(0).dictionary_encode()
-            codes = names.indices.to_numpy(zero_copy_only=False)
-            cols = {}
-            for name, column in zip(batch.schema.names[1:], batch.columns[1:], strict=True):
-                kind = pa.types.is_list(column.type) or pa.types.is_large_list(column.type)
-                cols[name] = as_matrix(column) if kind else as_vector(column)
-            models = names.dictionary.to_pylist()
-            for code, model in enumerate(models):
-                if len(models) == 1:
-                    part = cols
-                else:
-                    hit = codes == code
-                    part = {k: v[hit] for k, v in cols.items()}
+            for model, part in _by_model(batch):
                 if drop_incomplete:
                     part = _complete(part)
                 _merge(totals, model, block(model, part))
@@ -137,6 +142,106 @@ def sum_vectors(
     return totals
 
 
+# Partial factors that one task merges, and that reach the driver at most.
+_FAN = 32
+
+
+def _stacked(upper: np.ndarray | None, rows: np.ndarray) -> np.ndarray:
+    """The triangular factor of rows below another factor."""
+    return np.linalg.qr(rows if upper is None else np.vstack([upper, rows]), mode="r")
+
+
+def _fold(found: dict, model: str, upper: np.ndarray, sums: np.ndarray) -> None:
+    if model in found:
+        old, total = found[model]
+        found[model] = (_stacked(old, upper), total + sums)
+    else:
+        found[model] = (upper, sums)
+
+
+_FACTORS = "model string, width int, upper array<double>, sums array<double>"
+
+
+def _emit_factors(found: dict) -> pa.RecordBatch:
+    numbers = pa.list_(pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(list(found), pa.string()),
+            pa.array([u.shape[1] for u, _ in found.values()], pa.int32()),
+            pa.array([u.ravel().tolist() for u, _ in found.values()], numbers),
+            pa.array([t.tolist() for _, t in found.values()], numbers),
+        ],
+        names=["model", "width", "upper", "sums"],
+    )
+
+
+def _merge_factors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found: dict[str, tuple] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            _fold(found, r["model"], np.reshape(r["upper"], (-1, r["width"])), np.array(r["sums"]))
+    yield _emit_factors(found)
+
+
+def triangular_factors(
+    df: DataFrame, block: Callable[[str, dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
+) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Per model the triangular factor of all rows of `block(model, columns)`
+    and the sums of its second value; rows with a NaN are left out.
+
+    Each task factors its Arrow blocks one below the other and returns one
+    factor; the factors are merged in a tree of _FAN at a time, so no task and
+    not the driver holds more than _FAN of them per model. Nothing is squared:
+    the columns may be as close to collinear as double precision can tell."""
+
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, tuple] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            for model, cols in _by_model(batch):
+                cols = _complete(cols)
+                rows, sums = block(model, cols)
+                _fold(found, model, _stacked(None, rows), sums)
+        yield _emit_factors(found)
+
+    if df.columns[0] != "model":
+        df = df.select("model", *[c for c in df.columns if c != "model"])
+    parts = df.mapInArrow(per_partition, _FACTORS)
+    left = df.rdd.getNumPartitions()
+    while left > _FAN:
+        left = -(-left // _FAN)
+        parts = parts.repartition(left).mapInArrow(_merge_factors, _FACTORS)
+    found: dict[str, tuple] = {}
+    for r in parts.collect():  # at most _FAN factors of model size
+        _fold(found, r["model"], np.reshape(r["upper"], (-1, r["width"])), np.array(r["sums"]))
+    return found
+
+
+def least_squares(upper: np.ndarray, tol: float = 1e-11):
+    """Coefficients of the last column on the others from their triangular
+    factor, a matrix C with C C' the inverse cross products, and the residual
+    sum of squares. A column whose part across the earlier ones is below `tol`
+    of its length is aliased: coefficient 0, NaN in C."""
+    upper = np.vstack([upper, np.zeros((max(0, upper.shape[1] - len(upper)), upper.shape[1]))])
+    p = upper.shape[1] - 1
+    kept, across = [], np.zeros((len(upper), 0))
+    for j in range(p):
+        column, length = upper[:, j], np.linalg.norm(upper[:, j])
+        for _ in range(2):
+            column = column - across @ (across.T @ column)
+        if length > 0 and np.linalg.norm(column) > tol * length:
+            kept.append(j)
+            across = np.hstack([across, (column / np.linalg.norm(column))[:, None]])
+    coef, root = np.zeros(p), np.full((p, len(kept)), np.nan)
+    both = np.linalg.qr(upper[:, [*kept, p]], mode="r")
+    k = len(kept)
+    inverse = np.linalg.solve(both[:k, :k], np.eye(k)) if k else np.zeros((0, 0))
+    coef[kept] = inverse @ both[:k, k]
+    root[kept] = inverse
+    return coef, root, float((both[k:, k] ** 2).sum())
+
+
 def pack(*parts) -> np.ndarray:
     """Flatten matrices and scalars to one vector."""
     return np.concatenate([np.ravel(np.asarray(p, float)) for p in parts])
@@ -184,20 +289,6 @@ def independent_columns(gram: np.ndarray, tol: float = 1e-12) -> tuple[np.ndarra
     return np.array(kept, int), scale
 
 
-def whitening(gram: np.ndarray, tol: float = 1e-12) -> np.ndarray:
-    """Matrix T such that the columns of X T are nearly orthonormal; one column
-    per independent column of X. Sums over X T keep their precision when X is
-    close to collinear."""
-    kept, scale = independent_columns(gram, tol)
-    out = np.zeros((len(scale), len(kept)))
-    if len(kept):
-        sub = gram[np.ix_(kept, kept)] * np.outer(scale[kept], scale[kept])
-        values, vectors = np.linalg.eigh(sub)
-        values = np.maximum(values, 1e-14 * values.max())
-        out[kept] = scale[kept][:, None] * vectors / np.sqrt(values)
-    return out
-
-
 def solve_information(info: np.ndarray, score: np.ndarray, tol: float = 1e-12):
     """Solution and inverse of a symmetric system. Columns that depend on
     earlier ones are aliased: solution 0, inverse NaN there."""
