@@ -8,16 +8,27 @@ through, so no p x p matrix is kept per time."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.functions.tails import normal_p, normal_quantile
 from lagloom.models.fitted import Fitted
-from lagloom.models.moments import keep, pack, solve_information, sum_vectors, unpack, whole
+from lagloom.models.moments import (
+    grouped_sums,
+    keep,
+    pack,
+    solve_information,
+    sum_vectors,
+    unpack,
+    whole,
+)
 from lagloom.operators.scans import running_sums
+from lagloom.session import settled
 
 
 def cox_design(
@@ -28,16 +39,19 @@ def cox_design(
     model: Column | None = None,
     stratum: Column | None = None,
     entry: str | None = None,
+    count: str | None = None,
 ) -> DataFrame:
-    """Rows as (model, stratum, entry, exit, event, x); `parts` are array
-    columns, joined to one array. Rows whose array is missing or has a missing
-    element are left out by the fit."""
+    """Rows as (model, stratum, entry, exit, event, n, x); `parts` are array
+    columns, joined to one array. A row stands for `count` persons, of which
+    `event` have the event at `exit`. Rows whose array is missing or has a
+    missing element are left out by the fit."""
     rows = df.select(
         (model if model is not None else F.lit("model")).alias("model"),
         (stratum if stratum is not None else F.lit("")).cast("string").alias("stratum"),
         (F.col(entry) if entry else F.lit(None)).cast("double").alias("entry"),
         F.col(exit).cast("double").alias("exit"),
         F.col(event).cast("double").alias("event"),
+        (F.col(count) if count else F.lit(1)).cast("double").alias("n"),
         F.concat(*parts).alias("x"),
     )
     return rows.where(
@@ -90,24 +104,23 @@ def _time_table(
 ) -> DataFrame:
     """Time-level rows: risk sums, tied-event sums and the running baseline."""
     x = [F.get("x", F.lit(i)) for i in range(p)]
-    w, e = F.col("w"), F.col("event")
-    died = e == 1
+    w, e, n = F.col("w"), F.col("event"), F.col("n")
     cells = rows.groupBy("model", "stratum", F.col("exit").alias("time")).agg(
-        F.sum(w).alias("m0"),
-        *[F.sum(w * xi).alias(f"m1_{i}") for i, xi in enumerate(x)],
+        F.sum(n * w).alias("m0"),
+        *[F.sum(n * w * xi).alias(f"m1_{i}") for i, xi in enumerate(x)],
         F.sum(e).alias("d"),
-        F.sum(F.when(died, w).otherwise(0.0)).alias("d0"),
-        *[F.sum(F.when(died, w * xi).otherwise(0.0)).alias(f"d1_{i}") for i, xi in enumerate(x)],
-        *[F.sum(F.when(died, xi).otherwise(0.0)).alias(f"ex_{i}") for i, xi in enumerate(x)],
-        F.sum(F.when(died, F.col("eta")).otherwise(0.0)).alias("ee"),
+        F.sum(e * w).alias("d0"),
+        *[F.sum(e * w * xi).alias(f"d1_{i}") for i, xi in enumerate(x)],
+        *[F.sum(e * xi).alias(f"ex_{i}") for i, xi in enumerate(x)],
+        F.sum(e * F.col("eta")).alias("ee"),
     )
     if entry:
         late = (
             rows.where(F.col("entry").isNotNull())
             .groupBy("model", "stratum", F.col("entry").alias("time"))
             .agg(
-                (-F.sum(w)).alias("m0"),
-                *[(-F.sum(w * xi)).alias(f"m1_{i}") for i, xi in enumerate(x)],
+                (-F.sum(n * w)).alias("m0"),
+                *[(-F.sum(n * w * xi)).alias(f"m1_{i}") for i, xi in enumerate(x)],
             )
         )
         sums = [c for c in cells.columns if c not in {"model", "stratum", "time"}]
@@ -171,6 +184,54 @@ def _time_table(
     return running_sums(risk, keys, "time", {"lived": "c"}, bucket)
 
 
+def _at(rows: DataFrame, p: int) -> DataFrame:
+    """Rows with coefficients `_b` and centres `_c`: x about the centre, the
+    linear predictor and its exponential."""
+    moved = [f"x[{i}] - _c[{i}]" for i in range(p)]
+    rows = rows.withColumn("x", F.expr(f"array({', '.join(moved)})"))
+    rows = rows.withColumn("eta", F.expr(" + ".join(f"x[{i}] * _b[{i}]" for i in range(p))))
+    return rows.withColumn("w", F.exp("eta")).drop("_b", "_c")
+
+
+def _events_of(times: DataFrame) -> DataFrame:
+    return times.where("d > 0").select(
+        "model", "s1", "d1", "ex", "c", "rc", "q0", "q1", "q2", "ln_risk", "ee", "d"
+    )
+
+
+def _level_sums(_: str, c: dict[str, np.ndarray]) -> np.ndarray:
+    s, e = c["s1"], c["d1"]
+    score = c["ex"].sum(0) - c["c"] @ s + c["rc"] @ e
+    cross = (s * c["q1"][:, None]).T @ e
+    spread = (s * c["q0"][:, None]).T @ s - cross - cross.T
+    spread += (e * c["q2"][:, None]).T @ e
+    return pack(score, spread, np.sum(c["ee"] - c["ln_risk"]), c["d"].sum())
+
+
+def _row_sums(_: str, c: dict[str, np.ndarray]) -> np.ndarray:
+    x = c["x"]
+    return pack((x * (c["w"] * c["h"])[:, None]).T @ x)
+
+
+def _weighted_rows(rows: DataFrame, times: DataFrame, entry: bool) -> DataFrame:
+    """Rows with the baseline hazard they have lived through."""
+    marks = times.select(
+        F.col("model").alias("_m"), F.col("stratum").alias("_s"),
+        F.col("time").alias("_t"), "lived", "rc",
+    )
+    on = (F.col("model") == F.col("_m")) & (F.col("stratum") == F.col("_s"))
+    weighted = rows.join(marks, on & (F.col("exit") == F.col("_t"))).select(
+        "model", "stratum", "entry", "x", "w", "n",
+        (F.col("n") * F.col("lived") - F.col("event") * F.col("rc")).alias("h"),
+    )
+    if entry:
+        start = marks.withColumnRenamed("lived", "_lived0").drop("rc")
+        weighted = weighted.join(
+            start, on & (F.col("entry") == F.col("_t")), "left"
+        ).withColumn("h", F.col("h") - F.col("n") * F.coalesce("_lived0", F.lit(0.0)))
+    return weighted.select("model", "x", "w", "h")
+
+
 def cox_step(
     design: DataFrame,
     betas: dict[str, np.ndarray],
@@ -191,47 +252,11 @@ def cox_step(
         "model string, _b array<double>, _c array<double>",
     )
     # One row per model of the specification.
-    rows = design.where(whole("x")).join(F.broadcast(table), "model")
-    moved = [f"x[{i}] - _c[{i}]" for i in range(p)]
-    rows = rows.withColumn("x", F.expr(f"array({', '.join(moved)})"))
-    rows = rows.withColumn("eta", F.expr(" + ".join(f"x[{i}] * _b[{i}]" for i in range(p))))
-    rows = rows.withColumn("w", F.exp("eta")).drop("_b", "_c")
+    rows = _at(design.where(whole("x")).join(F.broadcast(table), "model"), p)
     times = _time_table(rows, p, ties, entry, bucket_width).persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        def at_times(_: str, c: dict[str, np.ndarray]) -> np.ndarray:
-            s, e = c["s1"], c["d1"]
-            score = c["ex"].sum(0) - c["c"] @ s + c["rc"] @ e
-            cross = (s * c["q1"][:, None]).T @ e
-            spread = (s * c["q0"][:, None]).T @ s - cross - cross.T
-            spread += (e * c["q2"][:, None]).T @ e
-            return pack(score, spread, np.sum(c["ee"] - c["ln_risk"]), c["d"].sum())
-
-        level = sum_vectors(
-            times.where("d > 0").select(
-                "model", "s1", "d1", "ex", "c", "rc", "q0", "q1", "q2", "ln_risk", "ee", "d"
-            ),
-            at_times,
-        )
-        marks = times.select(
-            F.col("model").alias("_m"), F.col("stratum").alias("_s"),
-            F.col("time").alias("_t"), "lived", "rc",
-        )
-        on = (F.col("model") == F.col("_m")) & (F.col("stratum") == F.col("_s"))
-        weighted = rows.join(marks, on & (F.col("exit") == F.col("_t"))).select(
-            "model", "stratum", "entry", "x", "w",
-            (F.col("lived") - F.col("event") * F.col("rc")).alias("h"),
-        )
-        if entry:
-            start = marks.withColumnRenamed("lived", "_lived0").drop("rc")
-            weighted = weighted.join(
-                start, on & (F.col("entry") == F.col("_t")), "left"
-            ).withColumn("h", F.col("h") - F.coalesce("_lived0", F.lit(0.0)))
-
-        def at_rows(_: str, c: dict[str, np.ndarray]) -> np.ndarray:
-            x = c["x"]
-            return pack((x * (c["w"] * c["h"])[:, None]).T @ x)
-
-        second = sum_vectors(weighted.select("model", "x", "w", "h"), at_rows)
+        level = sum_vectors(_events_of(times), _level_sums)
+        second = sum_vectors(_weighted_rows(rows, times, entry), _row_sums)
     finally:
         times.unpersist()
     out = {}
@@ -266,8 +291,8 @@ def fit_cox(
     padded = keep(design)
     try:
         sizes = sum_vectors(
-            padded.where(whole("x")).select("model", "x", "event"),
-            lambda _, c: pack(c["x"].sum(0), c["x"].shape[0], c["event"].sum()),
+            padded.where(whole("x")).select("model", "x", "event", "n"),
+            lambda _, c: pack(c["n"] @ c["x"], c["n"].sum(), c["event"].sum()),
         )
         count = {m: int(v[p]) for m, v in sizes.items()}
         deaths = {m: int(v[p + 1]) for m, v in sizes.items()}
@@ -287,7 +312,7 @@ def fit_cox(
                 loglik, score, info, _ = found[m]
                 old = best.get(m)
                 worse = old is not None and not loglik >= old[0] - tol * abs(old[0])
-                if worse and iteration < max_iter - 1:
+                if worse:
                     moves[m] = moves[m] / 2.0
                     trial[m] = current[m] + moves[m]
                     continue
@@ -298,7 +323,7 @@ def fit_cox(
                 best[m] = (loglik, score, info)
                 if settled:
                     current[m] = current[m] + sol
-                if settled or iteration == max_iter - 1:
+                if settled:
                     k = width[m]
                     done[m] = Fitted(
                         m, labels[m], current[m][:k], inv[:k, :k], count[m], loglik,
@@ -311,4 +336,123 @@ def fit_cox(
                 break
     finally:
         padded.unpersist()
+    if len(done) < len(labels):
+        raise ValueError(f"no convergence in {max_iter} steps: {sorted(set(labels) - set(done))}")
     return done
+
+
+# --- any number of models ---------------------------------------------------------
+
+_FIT = (
+    "model string, n double, n_event double, _c array<double>, beta array<double>, tried array<double>, "
+    "loglik double, cov array<double>, iterations int, converged boolean"
+)
+
+
+def _newton(p: int, tol: float):
+    """Next state of each model from its sums at the tried coefficients."""
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                score, spread, loglik, _ = unpack(np.asarray(r.level), (p,), (p, p), (), ())
+                beta, tried = np.asarray(r.beta), np.asarray(r.tried)
+                row = [r.model, r.n, r.n_event, r.c_]
+                if np.isfinite(r.loglik) and not loglik >= r.loglik - tol * abs(r.loglik):
+                    # Not better: half the step.
+                    out.append([*row, beta, (beta + tried) / 2, r.loglik, r.cov, r.iterations + 1, False])
+                    continue
+                move, inv = solve_information(np.asarray(r.second).reshape(p, p) - spread, score)
+                # Half the Newton decrement is the gain the next step would bring.
+                done = 0.5 * float(score @ move) <= tol * (abs(loglik) + 1e-3)
+                now = tried + move if done else tried
+                out.append([*row, now, tried + move, loglik, inv.ravel(), r.iterations + 1, bool(done)])
+            names = [part.split(" ")[0] for part in _FIT.split(", ")]
+            yield pd.DataFrame(out, columns=names)
+
+    return rows
+
+
+def fit_cox_models(
+    design: DataFrame,
+    p: int,
+    ties: str = "efron",
+    entry: bool = False,
+    bucket_width: float | None = None,
+    tol: float = 1e-10,
+    max_iter: int = 40,
+) -> DataFrame:
+    """Fits of all models in the rows of a design, as a table: model, n,
+    n_event, loglik, beta (array of p), cov (p x p, row by row, NaN for aliased
+    columns), iterations, converged.
+
+    Coefficients are a table keyed by model that every step joins to the rows;
+    sums are added up and solved by key, so the number of models may grow with
+    the data and nothing but the number of open models reaches the driver. `x`
+    of models with fewer columns is filled with zeros. Models without an event
+    have no row. A fit that does not settle is an error."""
+    rows = design.withColumn("x", F.expr(f"concat(x, array_repeat(0D, {p} - size(x)))"))
+    rows = keep(rows).where(whole("x"))
+    sums = grouped_sums(
+        rows.select("model", "x", "event", "n"),
+        lambda _, c: pack(c["n"] @ c["x"], c["n"].sum(), c["event"].sum()),
+    )
+    zero = F.array_repeat(F.lit(0.0), p)
+    state = settled(
+        sums.where(F.get("vec", F.lit(p + 1)) > 0).select(
+            "model",
+            F.get("vec", F.lit(p)).alias("n"),
+            F.get("vec", F.lit(p + 1)).alias("n_event"),
+            F.expr(f"transform(slice(vec, 1, {p}), v -> v / vec[{p}])").alias("_c"),
+            zero.alias("beta"),
+            zero.alias("tried"),
+            F.lit(float("-inf")).alias("loglik"),
+            F.array_repeat(F.lit(0.0), p * p).alias("cov"),
+            F.lit(0).alias("iterations"),
+            F.lit(False).alias("converged"),
+        )
+    )
+    for _ in range(max_iter):
+        open_ = state.where("not converged")
+        if open_.isEmpty():
+            break
+        at = _at(rows.join(open_.select("model", F.col("tried").alias("_b"), "_c"), "model"), p)
+        times = _time_table(at, p, ties, entry, bucket_width).persist(StorageLevel.MEMORY_AND_DISK)
+        found = grouped_sums(_events_of(times), _level_sums, "level").join(
+            grouped_sums(_weighted_rows(at, times, entry), _row_sums, "second"), "model"
+        )
+        moved = open_.join(found, "model").withColumnRenamed("_c", "c_").mapInPandas(_newton(p, tol), _FIT)
+        state = settled(moved.unionByName(state.where("converged")))
+        times.unpersist()
+    else:
+        left = [r["model"] for r in state.where("not converged").select("model").limit(5).collect()]
+        raise ValueError(f"no convergence in {max_iter} steps, among others: {left}")
+    return state.drop("_c", "tried")
+
+
+def model_coefficients(fits: DataFrame, terms: DataFrame, level: float = 0.95) -> DataFrame:
+    """Coefficient table of `fit_cox_models` for the terms (model, place, term):
+    estimate, error, statistic, p value and interval, also on the ratio scale.
+    Aliased terms have null values."""
+    half = normal_quantile(0.5 + level / 2.0)
+    rows = fits.join(terms, "model").withColumn("_v", F.expr("cov[place * size(beta) + place]"))
+    known = ~F.isnan("_v")
+    rows = rows.select(
+        "model", "place", "term",
+        F.when(known, F.expr("beta[place]")).alias("estimate"),
+        F.when(known, F.sqrt("_v")).alias("std_error"),
+        F.col("n").cast("long").alias("n"), F.col("n_event").cast("long").alias("n_event"),
+        "loglik", "converged",
+    )
+    rows = rows.withColumn("statistic", F.col("estimate") / F.col("std_error"))
+    rows = rows.withColumns(
+        {
+            "p_value": normal_p(F.col("statistic")),
+            "conf_low": F.col("estimate") - half * F.col("std_error"),
+            "conf_high": F.col("estimate") + half * F.col("std_error"),
+        }
+    )
+    return rows.withColumns(
+        {"exp_estimate": F.exp("estimate"), "exp_low": F.exp("conf_low"), "exp_high": F.exp("conf_high")}
+    )

@@ -142,6 +142,38 @@ def sum_vectors(
     return totals
 
 
+# Models whose partial sums a task holds before it sends them on.
+_HELD = 512
+
+
+def grouped_sums(
+    df: DataFrame, block: Callable[[str, dict[str, np.ndarray]], np.ndarray], out: str = "vec"
+) -> DataFrame:
+    """As `sum_vectors` for any number of models: a table (model, `out`). Each
+    task sends one partial vector per model it has met, at most _HELD at a time."""
+
+    def per_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[str, np.ndarray] = {}
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            for model, part in _by_model(batch):
+                _merge(totals, model, block(model, part))
+                if len(totals) >= _HELD:
+                    yield _emit(totals)
+                    totals = {}
+        yield _emit(totals)
+
+    def add_up(key: tuple, rows: pa.Table) -> pa.Table:
+        total = as_matrix(rows.column(1)).sum(axis=0)
+        return pa.table({"model": pa.array([key[0].as_py()]), out: pa.array([total.tolist()])})
+
+    if df.columns[0] != "model":
+        df = df.select("model", *[c for c in df.columns if c != "model"])
+    parts = df.mapInArrow(per_partition, "model string, vec array<double>")
+    return parts.groupBy("model").applyInArrow(add_up, f"model string, {out} array<double>")
+
+
 # Partial factors that one task merges, and that reach the driver at most.
 _FAN = 32
 

@@ -140,3 +140,39 @@ def followup_windows(
             "event": (F.col("_end") <= F.col("upper")).cast("long"),
         }
     ).drop("_w", "_end", "upper")
+
+
+def risk_cells(
+    df: DataFrame,
+    keys: Sequence[str],
+    start: str,
+    end: Column,
+    windows: Sequence[tuple[str, int, int]],
+) -> DataFrame:
+    """Persons at risk in every step of the time axis of every outcome window:
+    (window, keys, start, time, at_risk, events).
+
+    A person that starts at `start` and ends at the whole number `end` is at
+    risk at the times low + 1 to min(end, high) of each window (low, high] with
+    end > low; the event is at `end` if that is inside, later ends are censored.
+    A covariate that changes with time is a function of `start` and `time`, so
+    episodes need no row per person: persons are counted by (keys, start, end)
+    first, and only those counts are split into times."""
+    table = F.array(
+        *[
+            F.struct(F.lit(n).alias("window"), F.lit(int(a)).alias("_low"), F.lit(int(b)).alias("_high"))
+            for n, a, b in windows
+        ]
+    )
+    counted = (
+        df.withColumn("_end", end.cast("int"))
+        .where(F.col("_end").isNotNull() & F.col(start).isNotNull())
+        .groupBy(*keys, start, "_end")
+        .agg(F.count("*").alias("_n"))
+    )
+    split = counted.withColumn("_w", F.explode(table)).select("*", "_w.*").where("_end > _low")
+    split = split.withColumn("time", F.explode(F.expr("sequence(_low + 1, least(_end, _high))")))
+    return split.groupBy("window", *keys, start, "time").agg(
+        F.sum("_n").alias("at_risk"),
+        F.sum(F.when(F.col("time") == F.col("_end"), F.col("_n")).otherwise(0)).alias("events"),
+    )

@@ -21,9 +21,9 @@ from lagloom.operators import exposure
 from lagloom.operators.scans import exact_percentiles
 from lagloom.plans import fixtures as fx
 from lagloom.plans.cohort_plans import histories
-from lagloom.plans.exposure_plans import births_followed, births_with_window
+from lagloom.plans.exposure_plans import births_with_window
 from lagloom.plans.registry import analysis, rounded
-from lagloom.plans.sql_text import BIRTHS, DAILY, SUBJECT
+from lagloom.plans.sql_text import BIRTHS, DAILY, SUBJECT, floor_week
 
 # --- moments ------------------------------------------------------------------
 
@@ -415,21 +415,126 @@ def cox_dlnm_specs(spark, folder):
     return _tidy_columns(tidy(spark, [fits[m] for m in labels]))
 
 
+_WINDOWS = [("22-28", 22, 28), ("28-32", 28, 32), ("32-37", 32, 37), ("22-37", 22, 37)]
+
+
+def _weekly(spark, folder):
+    """Weekly exposure of each area with a week number `t`, and week 0."""
+    weekly = exposure.weekly_exposure(fx.area_daily(spark, folder), "area", "day", "x")
+    first = weekly.agg(F.min("week").alias("w")).scalar()
+    return weekly.withColumn("t", (F.datediff("week", first) / 7).cast("long")), first
+
+
+def _window_designs(weekly, var, lag):
+    """Per area and week a lagged design for each outcome window: as many weekly
+    lags as the window has weeks of pregnancy at its upper end."""
+    names, rows = {}, weekly
+    for i, (name, _, high) in enumerate(_WINDOWS):
+        cb = CrossBasis(var, lag(high - 1), high - 1)
+        rows = cb.on_series(rows, "t", "exposure", keys=["area"], out=f"cb{i}")
+        names[name] = cb
+    return names, rows.select("area", "t", *[f"cb{i}" for i in range(len(_WINDOWS))])
+
+
+def _risk_rows(spark, folder, designs, first, keys):
+    """Persons at risk by window and gestational week, counted, with the design
+    of the calendar week they were in."""
+    births = fx.eligible_births(spark, folder).withColumn(
+        "start",
+        (F.datediff(dates.floor_date(dates.conception_date("birth", "ga")), F.lit(first)) / 7).cast("long"),
+    )
+    cells = exposure.risk_cells(births, ["area", *keys], "start", F.col("ga") + 1, _WINDOWS)
+    rows = cells.withColumn("t", F.col("start") + F.col("time") - 1).join(designs, ["area", "t"])
+    cb = F.lit(None)
+    for i, (name, _, _) in enumerate(_WINDOWS):
+        cb = F.when(F.col("window") == name, F.col(f"cb{i}")).otherwise(cb)
+    # Each week of pregnancy is a risk set of its own, as the design changes with it.
+    week = F.concat_ws("|", *[k for k in keys if k != "sex"], F.col("time").cast("string"))
+    return rows.withColumns({"cb": cb, "set": week})
+
+
 @analysis()
 def cox_truncated(spark, folder):
-    """Each outcome window from its entry week, spline of the week's exposure."""
-    births = births_with_window(spark, folder).where("window_mean is not null")
-    var = fit_basis(births, "window_mean", BasisSpec("ns", df=3))
-    rows = births_followed(spark, folder, births).withColumn("b", var.column("window_mean"))
-    labels = [f"exposure{i + 1}" for i in range(var.width)] + ["sexO"]
+    """Each outcome window from its entry week: a spline of the weekly exposure
+    over all lags of the pregnancy, changing with gestational age."""
+    weekly, first = _weekly(spark, folder)
+    var = fit_basis(weekly, "exposure", BasisSpec("ns", df=3))
+    arms, designs = _window_designs(weekly, var, lambda n: lag_basis(BasisSpec("ns", df=2), n))
+    rows = _risk_rows(spark, folder, designs, first, ["birth_type", "sex"])
+    design = cox_design(
+        rows, "time", "events",
+        [F.col("cb"), F.array((F.col("sex") == "O").cast("double"))],
+        model=F.col("window"), stratum=F.col("set"), count="at_risk",
+    )
+    labels = {n: [*cb.terms, "sexO"] for n, cb in arms.items()}
+    fits = fit_cox(design, labels)
+    return _tidy_columns(tidy(spark, [fits[n] for n in labels]))
+
+
+def _newton_sql(rows: str, steps: int) -> str:
+    """Cox fits of two columns x1, x2 by unrolled Newton steps, ties after
+    Efron, from counted rows r(model, s, x1, x2, n, e)."""
+    parts = [rows, "b0 as (select distinct model, 0::double as b1, 0::double as b2 from r)"]
+    mean = lambda j: f"(s{j} - k / d * d{j})"
+    for i in range(steps + 1):
+        parts.append(f"""w{i} as materialized (select r.model, s, x1, x2, n, e, exp(b1 * x1 + b2 * x2) as w
+  from r join b{i} using (model)),
+t{i} as materialized (select model, s, sum(e)::double as d, sum(e * x1) as e1, sum(e * x2) as e2,
+    sum(n * w) as s0, sum(n * w * x1) as s1, sum(n * w * x2) as s2, sum(n * w * x1 * x1) as s11,
+    sum(n * w * x1 * x2) as s12, sum(n * w * x2 * x2) as s22, sum(e * w) as d0, sum(e * w * x1) as d1,
+    sum(e * w * x2) as d2, sum(e * w * x1 * x1) as d11, sum(e * w * x1 * x2) as d12, sum(e * w * x2 * x2) as d22
+  from w{i} group by all having sum(e) > 0),
+k{i} as materialized (select *, unnest(range(d::bigint)) as k from t{i}),
+g{i} as materialized (select model, sum(e1 / d - {mean(1)} / {mean(0)}) as u1, sum(e2 / d - {mean(2)} / {mean(0)}) as u2,
+    sum({mean(11)} / {mean(0)} - {mean(1)} * {mean(1)} / {mean(0)} / {mean(0)}) as i11,
+    sum({mean(12)} / {mean(0)} - {mean(1)} * {mean(2)} / {mean(0)} / {mean(0)}) as i12,
+    sum({mean(22)} / {mean(0)} - {mean(2)} * {mean(2)} / {mean(0)} / {mean(0)}) as i22
+  from k{i} group by model),
+b{i + 1} as materialized (select model, b1 + (i22 * u1 - i12 * u2) / (i11 * i22 - i12 * i12) as b1,
+    b2 + (i11 * u2 - i12 * u1) / (i11 * i22 - i12 * i12) as b2,
+    sqrt(i22 / (i11 * i22 - i12 * i12)) as se1, sqrt(i11 / (i11 * i22 - i12 * i12)) as se2
+  from b{i} join g{i} using (model))""")
+    return "with " + ", ".join(parts)
+
+
+_WEEKLY_SQL = f"""{BIRTHS},
+weekly as (select area, {floor_week("day")} as week, avg(x) as x from area_daily group by all),
+week0 as (select min(week) as w0 from weekly),
+series as materialized (select area, ((week - w0) // 7)::bigint as t, x from weekly, week0),
+windows(win, low, high) as (values ('22-28', 22, 28), ('28-32', 28, 32), ('32-37', 32, 37), ('22-37', 22, 37)),
+lagged as materialized (select win, a.area, a.t, sum(case when a.t - b.t < 4 then b.x end) as x1,
+    sum(case when a.t - b.t >= 4 then b.x end) as x2
+  from series a cross join windows join series b on b.area = a.area and b.t <= a.t and b.t > a.t - high
+  group by win, high, a.area, a.t having count(*) = high),
+people as (select area, birth_type, ({floor_week("(birth - cast(7 * ga as integer))")} - w0) // 7 as start,
+    cast(ga as bigint) + 1 as done from eligible, week0),
+split as (select win as model, birth_type || '|' || time as s, area, start + time - 1 as t, done, time
+  from people join windows on done > low, (select unnest(range(23, 38)) as time)
+  where time > low and time <= least(done, high)),
+r as materialized (select model, s, x1, x2, count(*)::double as n, sum(case when time = done then 1 else 0 end)::double as e
+  from split p join lagged l on l.win = p.model and l.area = p.area and l.t = p.t group by all)"""
+
+
+@analysis(
+    _newton_sql(_WEEKLY_SQL, 7)
+    + """ select model, unnest(['lag_0_3', 'lag_4_up']) as term, round(unnest([b1, b2]), 5) + 0 as estimate,
+      round(unnest([se1, se2]), 5) as std_error, (select cast(sum(n) as bigint) from r where r.model = b8.model) as n
+      from b8"""
+)
+def cox_weekly_lags(spark, folder):
+    """Each outcome window with linear weekly lags 0-3 and 4 up to the whole
+    pregnancy; n counts person-weeks at risk."""
+    weekly, first = _weekly(spark, folder)
+    var = fit_basis(weekly, "exposure", BasisSpec("lin"))
+    arms, designs = _window_designs(weekly, var, lambda n: strata([4], intercept=True))
+    rows = _risk_rows(spark, folder, designs, first, ["birth_type"])
     design = cox_design(
-        rows, "exit", "event",
-        [F.col("b"), F.array((F.col("sex") == "O").cast("double"))],
-        model=F.col("window"), stratum=F.col("birth_type"), entry="entry",
+        rows, "time", "events", [F.col("cb")], model=F.col("window"), stratum=F.col("set"), count="at_risk"
     )
-    names = ["22-28", "28-32", "32-37", "22-37"]
-    fits = fit_cox(design, {n: labels for n in names}, entry=True)
-    return _tidy_columns(tidy(spark, [fits[n] for n in names]))
+    fits = fit_cox(design, {n: ["lag_0_3", "lag_4_up"] for n in arms})
+    out = tidy(spark, [fits[n] for n in arms])
+    return out.select("model", "term", rounded("estimate", 5).alias("estimate"),
+                      rounded("std_error", 5).alias("std_error"), "n")
 
 
 # --- quantiles ----------------------------------------------------------------------

@@ -1,4 +1,5 @@
-"""Local session for the tests and the benchmark."""
+"""Shipping of the package, settled intermediate state, and a local session for
+the tests and the benchmark."""
 
 from __future__ import annotations
 
@@ -8,7 +9,7 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -34,6 +35,22 @@ def ship_package(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written to the checkpoint folder and read back: an iteration's state
+    without its history. The folder is spark.checkpoint.dir; where that is
+    unset, a temporary one, which only a local session can share with itself."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if base is None:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="lagloom-state-")
+        context.setCheckpointDir(base)
+    return df.checkpoint()
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
     return (

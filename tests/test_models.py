@@ -313,3 +313,99 @@ def test_grouped_time_series_fit_equals_filtered(spark):
         alone = cb.on_series(df.where(F.col("g") == g), "t", "x").collect()
         for r in alone:
             assert both[(g, r.t)] == r.cb
+
+
+def test_cox_counts_stand_for_rows(spark, data):
+    """A row with a count and several events equals that many rows."""
+    rng = np.random.default_rng(5)
+    rows = [
+        (float(rng.integers(1, 6)), float(e := rng.integers(0, n + 1)), float(n), [float(v) for v in rng.normal(size=2)])
+        for n in rng.integers(1, 5, 60)
+    ]
+    df = spark.createDataFrame(rows, "exit double, event double, n double, x array<double>")
+    one = [(t, 1.0 if i < e else 0.0, x) for t, e, n, x in rows for i in range(int(n))]
+    flat = spark.createDataFrame(one, "exit double, event double, x array<double>")
+    beta = {"model": np.array([0.4, -0.3])}
+    zero = {"model": np.zeros(2)}
+    got = cox_step(cox_design(df, "exit", "event", [F.col("x")], count="n"), beta, zero)["model"]
+    want = cox_step(cox_design(flat, "exit", "event", [F.col("x")]), beta, zero)["model"]
+    for a, b in zip(got, want, strict=True):
+        np.testing.assert_allclose(a, b, rtol=1e-9, atol=1e-9)
+
+
+def test_cox_models_by_key(spark, data):
+    """Many models as rows give the fits of the models one by one."""
+    from lagloom.models.cox import fit_cox_models, model_coefficients
+
+    rng = np.random.default_rng(12)
+    rows = [
+        (f"m{k}", str(i % 2), None, float(rng.integers(1, 9)), float(rng.random() < 0.6), 1.0,
+         [float(v) for v in rng.normal(size=1 + k % 3)])
+        for k in range(12) for i in range(60)
+    ]
+    rows += [("silent", "", None, 3.0, 0.0, 1.0, [0.1, 0.2])] * 4
+    schema = "model string, stratum string, entry double, exit double, event double, n double, x array<double>"
+    design = spark.createDataFrame(rows, schema)
+    fits = fit_cox_models(design, 3)
+    terms = spark.createDataFrame(
+        [(f"m{k}", i, f"x{i}") for k in range(12) for i in range(1 + k % 3)], "model string, place int, term string"
+    )
+    got = {(r.model, r.term): r for r in model_coefficients(fits, terms).collect()}
+    assert len(got) == 24 and all(r.converged and r.n == 60 for r in got.values())
+    for k in range(12):
+        one = fit_cox(design.where(F.col("model") == f"m{k}"), {f"m{k}": [f"x{i}" for i in range(1 + k % 3)]})[f"m{k}"]
+        for i in range(1 + k % 3):
+            r = got[f"m{k}", f"x{i}"]
+            np.testing.assert_allclose([r.estimate, r.std_error], [one.coef[i], one.cov[i, i] ** 0.5], rtol=1e-6)
+            np.testing.assert_allclose(r.loglik, one.loglik, rtol=1e-9)
+
+
+def test_risk_cells_against_persons(spark):
+    """Episodes from counts, and a covariate that changes with time, against a
+    dense fit on one row per person and week."""
+    from lagloom.operators.exposure import risk_cells
+
+    rng = np.random.default_rng(3)
+    windows = [("a", 2, 5), ("b", 5, 9), ("c", 2, 9)]
+    people = [(int(rng.integers(0, 3)), int(rng.integers(0, 6)), int(rng.integers(1, 12))) for _ in range(400)]
+    x = rng.normal(size=(3, 40))
+    df = spark.createDataFrame([*people, (1, None, 4), (1, 2, None)], "area int, start int, stop int")
+    cells = risk_cells(df, ["area"], "start", F.col("stop"), windows)
+    got = {(r.window, r.area, r.start, r.time): (r.at_risk, r.events) for r in cells.collect()}
+    want = {}
+    for area, start, stop in people:
+        for name, low, high in windows:
+            for t in range(low + 1, min(stop, high) + 1) if stop > low else ():
+                n, e = want.get((name, area, start, t), (0, 0))
+                want[name, area, start, t] = (n + 1, e + (t == stop))
+    assert got == want
+    values = spark.createDataFrame([(a, t, float(x[a, t])) for a in range(3) for t in range(40)], "area int, t int, v double")
+    rows = cells.withColumn("t", F.col("start") + F.col("time")).join(values, ["area", "t"])
+    design = cox_design(
+        rows, "time", "events", [F.array("v")], model=F.col("window"), stratum=F.col("time"), count="at_risk"
+    )
+    fits = fit_cox(design, {n: ["v"] for n, _, _ in windows})
+    for name, low, high in windows:
+        part = [(t, a, s, e) for a, s, e in people for t in range(low + 1, min(e, high) + 1) if e > low]
+        xs = np.array([[x[a, s + t]] for t, a, s, _ in part])
+        time, event = np.array([float(p[0]) for p in part]), np.array([float(p[0] == p[3]) for p in part])
+        b = np.zeros(1)
+        for _ in range(20):
+            _, u, info = _cox_dense(xs, np.full(len(part), -1.0), time, event, time, "efron", b)
+            b = b + u / info[0]
+        np.testing.assert_allclose(fits[name].coef, b, rtol=1e-6)
+        np.testing.assert_allclose(fits[name].cov[0, 0], 1 / info[0, 0], rtol=1e-6)
+
+
+def test_qr_tree_on_nearly_collinear_columns(spark):
+    """Powers of a variable far from zero: Gram matrices lose these digits."""
+    rng = np.random.default_rng(7)
+    u = rng.uniform(-1, 1, 3000)
+    x = np.column_stack([((25 + 6.5 * u) / 32) ** k for k in range(1, 7)])
+    y = 1 + np.sin(2 * u) + 0.1 * rng.normal(size=3000)
+    df = frame(spark, x, y=y).repartition(70)
+    fit = fit_glm(df, GlmSpec("y", "gaussian", (Term("p", "x", tuple(f"p{i}" for i in range(6))),)))
+    assert np.isfinite(fit.cov).all() and fit.df_model == 7
+    want = np.polynomial.polynomial.polyval(u, np.polynomial.polynomial.polyfit(u, y, 6))
+    got = fit.coef[0] + x @ fit.coef[1:]
+    np.testing.assert_allclose(got, want, atol=1e-6)
