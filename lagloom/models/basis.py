@@ -12,6 +12,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -340,6 +341,46 @@ def fit_bases(
     return out
 
 
+_PIECES = "model string, breaks array<double>, origins array<double>, coefs array<array<array<double>>>"
+
+
+def basis_table(df: DataFrame, col: str, group: str, models: DataFrame, fun: str, dfs: Sequence[int]) -> DataFrame:
+    """Bases as rows (model, breaks, origins, coefs), one per row of `models`
+    (model, `group`, df), with constants from the model's population in `df`.
+
+    Percentiles are searched for all populations together and the pieces are
+    built where the rows are, so the number of models may grow with the data.
+    `dfs` lists the sizes that occur."""
+    specs = {d: BasisSpec(fun, df=d) for d in dfs}
+    probs = sorted({0.0, 1.0, *(p for s in specs.values() for p in s.probs())})
+    names = {p: f"_q{i}" for i, p in enumerate(probs)}
+    found = exact_percentiles(df, [group], col, {n: p for p, n in names.items()}).select(
+        group, F.array(*names.values()).alias("_q")
+    )
+
+    def build(frames):
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                at = dict(zip(probs, r.q, strict=True))
+                b = build_basis(specs[r.df], at[0.0], at[1.0], [at[p] for p in specs[r.df].probs()])
+                coefs = [[c.tolist() for c in piece] for piece in b.coefs]
+                out.append((r.model, b.breaks.tolist(), b.origins.tolist(), coefs))
+            yield pd.DataFrame(out, columns=["model", "breaks", "origins", "coefs"])
+
+    rows = models.join(found, group).select("model", "df", F.col("_q").alias("q"))
+    return rows.mapInPandas(build, _PIECES)
+
+
+def piece_values_sql(x: str) -> str:
+    """SQL for the basis values at `x` by the columns of a `basis_table`."""
+    piece = f"size(filter(breaks, b -> {x} >= b))"
+    return (
+        f"transform(coefs[{piece}], c -> aggregate(reverse(c), 0D, "
+        f"(s, a) -> s * ({x} - origins[{piece}]) + a))"
+    )
+
+
 def lag_basis(spec: BasisSpec, max_lag: int) -> Basis:
     """Basis over the lags 0..max_lag; lag bases carry an intercept."""
     spec = replace(spec, intercept=True)

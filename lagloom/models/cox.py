@@ -359,7 +359,7 @@ def _newton(p: int, tol: float):
                 score, spread, loglik, _ = unpack(np.asarray(r.level), (p,), (p, p), (), ())
                 beta, tried = np.asarray(r.beta), np.asarray(r.tried)
                 row = [r.model, r.n, r.n_event, r.c_]
-                if np.isfinite(r.loglik) and not loglik >= r.loglik - tol * abs(r.loglik):
+                if np.isfinite(r.loglik) and not loglik >= r.loglik - 1e-10 * abs(r.loglik):
                     # Not better: half the step.
                     out.append([*row, beta, (beta + tried) / 2, r.loglik, r.cov, r.iterations + 1, False])
                     continue
@@ -380,7 +380,7 @@ def fit_cox_models(
     ties: str = "efron",
     entry: bool = False,
     bucket_width: float | None = None,
-    tol: float = 1e-10,
+    tol: float = 1e-14,
     max_iter: int = 40,
 ) -> DataFrame:
     """Fits of all models in the rows of a design, as a table: model, n,

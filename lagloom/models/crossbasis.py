@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lagloom.models.basis import Basis, BasisSpec, fit_basis, lag_basis
+from lagloom.models.basis import Basis, BasisSpec, fit_basis, lag_basis, piece_values_sql
 
 
 def _literal_rows(m: np.ndarray) -> str:
@@ -143,3 +143,24 @@ def history_cells(df: DataFrame, history: str = "history", keep: Sequence[str] =
     """All cells of all histories, one row each: the values that knots of a
     history design are computed on."""
     return df.select(*keep, F.explode(history).alias("x")).where("x is not null")
+
+
+def histories_by_table(
+    df: DataFrame, lag: Basis, max_lag: int, history: str = "history", out: str = "cb"
+) -> DataFrame:
+    """Designs from histories whose exposure basis comes with the row (the
+    columns of `basis_table`): every row may belong to another model. A history
+    that is short or has a null gives a null design."""
+    size = max_lag + 1
+    taken = f"slice({history}, 1, {size})"
+    whole = f"size({history}) >= {size} and not exists({taken}, x -> x is null)"
+    bases = f"transform({taken}, x -> {piece_values_sql('x')})"
+    dot = "aggregate(zip_with(bv, w, (p, q) -> p * q), 0D, (s, z) -> s + z)"
+    weights = _literal_rows(lag.values(np.arange(size)).T)
+    per_column = "transform(sequence(0, size(_bases[0]) - 1), i -> transform(_bases, b -> b[i]))"
+    joined = f"flatten(transform({per_column}, bv -> transform({weights}, w -> {dot})))"
+    return (
+        df.withColumn("_bases", F.expr(f"case when {whole} then {bases} end"))
+        .withColumn(out, F.expr(f"case when _bases is not null then {joined} end"))
+        .drop("_bases")
+    )

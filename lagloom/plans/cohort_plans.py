@@ -10,7 +10,7 @@ from lagloom.operators.cohort import bind_history, exposure_histories, history_l
 from lagloom.operators.scans import numbered
 from lagloom.plans import fixtures as fx
 from lagloom.plans.registry import analysis, rounded
-from lagloom.plans.sql_text import BIRTHS, SUBJECT
+from lagloom.plans.sql_text import BIRTHS, SUBJECT, VISITS
 
 L = fx.HISTORY
 
@@ -53,65 +53,60 @@ def lag_index(spark, folder):
 
 def histories(spark, folder, carry=()):
     return exposure_histories(
-        fx.person_period(spark, folder), "o_custkey", fx.ORDER, "exposure", L,
+        fx.visits(spark, folder), "subject", ["place"], "exposure", L,
         min_rows=fx.LOW, max_rows=fx.HIGH, carry=carry,
     )
 
 
-_HIST = f"""{SUBJECT},
-  hist as (select n.o_custkey, rn - 1 as lag, exposure as x from numbered n
-           join subj s on s.o_custkey = n.o_custkey where rn <= {L})"""
-
-
 @analysis(
-    f"with {_HIST} select o_custkey, "
+    f"with {VISITS} select subject, "
     + ", ".join(f"max(case when lag = {i} then round(x, 8) end) as lag{i}" for i in range(L))
     + " from hist group by 1"
 )
 def history_wide(spark, folder):
-    cells = history_long(histories(spark, folder), "o_custkey")
-    out = wide(cells, "o_custkey", "lag", "x", range(L), "lag")
-    return out.select("o_custkey", *[rounded(f"lag{i}", 8).alias(f"lag{i}") for i in range(L)])
+    cells = history_long(histories(spark, folder), "subject")
+    out = wide(cells, "subject", "lag", "x", range(L), "lag")
+    return out.select("subject", *[rounded(f"lag{i}", 8).alias(f"lag{i}") for i in range(L)])
 
 
 @analysis(
-    f"""with {_HIST} select s.o_custkey, cast(i as bigint) as lag, round(x, 8) as x
-    from subj s cross join range({L}) t(i)
-    left join hist h on h.o_custkey = s.o_custkey and h.lag = i""",
+    f"""with {VISITS} select s.subject, cast(i as bigint) as lag, round(x, 8) as x
+    from (select distinct subject from hist) s cross join range({L}) t(i)
+    left join hist h on h.subject = s.subject and h.lag = i""",
     name="history_long",
 )
 def history_long_rows(spark, folder):
-    return history_long(histories(spark, folder), "o_custkey").select(
-        "o_custkey", F.col("lag").cast("long").alias("lag"), rounded("x", 8).alias("x")
+    return history_long(histories(spark, folder), "subject").select(
+        "subject", F.col("lag").cast("long").alias("lag"), rounded("x", 8).alias("x")
     )
 
 
 @analysis(
-    f"""with {_HIST} select o_custkey, string_agg(cast(cast(round(x * 1000000) as bigint) as varchar),
+    f"""with {VISITS} select subject, string_agg(cast(cast(round(x * 1000000) as bigint) as varchar),
     ',' order by lag) as history, case when count(*) = {L} then 1 else 0 end as complete
     from hist group by 1"""
 )
 def history_array(spark, folder):
     micro = F.transform("history", lambda v: F.round(v * 1000000).cast("long").cast("string"))
     return histories(spark, folder).select(
-        "o_custkey",
+        "subject",
         F.array_join(micro, ",").alias("history"),
         F.col("history_complete").cast("long").alias("complete"),
     )
 
 
 @analysis(
-    f"""with {_HIST}, whole as (
-      select o_custkey, sum(x) as total from hist group by 1 having count(*) = {L})
-    select s.o_custkey, s.event, s.region, round(total, 8) as total
-    from subject s join whole w on w.o_custkey = s.o_custkey"""
+    f"""with {VISITS}, whole as (
+      select subject, sum(x) as total from hist group by 1 having count(*) = {L})
+    select s.subject, s.event, s.region, round(total, 8) as total
+    from episode s join whole w on w.subject = s.subject"""
 )
 def history_bound(spark, folder):
     """Histories bound to their outcome rows by key."""
     whole = histories(spark, folder).where("history_complete")
     total = F.aggregate("history", F.lit(0.0), lambda s, v: s + v)
-    return bind_history(whole, fx.subjects(spark, folder), "o_custkey").select(
-        "o_custkey", "event", "region", rounded(total, 8).alias("total")
+    return bind_history(whole, fx.episodes(spark, folder), "subject").select(
+        "subject", "event", "region", rounded(total, 8).alias("total")
     )
 
 

@@ -15,7 +15,7 @@ from lagloom.plans.registry import analysis, rounded
 from lagloom.plans.sql_text import (
     BIRTHS,
     DAILY,
-    SUBJECT,
+    VISITS,
     bspline,
     floor_week,
     natural_two_knots,
@@ -294,14 +294,12 @@ _NS = natural_two_knots("x", "t1", "t2", "lo", "hi")
 
 
 @analysis(
-    f"""with {SUBJECT},
-    hist as (select n.o_custkey, rn - 1 as lag, exposure as x from numbered n
-             join subj s on s.o_custkey = n.o_custkey where rn <= {fx.HISTORY}),
-    whole as (select o_custkey from hist group by 1 having count(*) = {fx.HISTORY}),
-    cells as (select h.* from hist h join whole w on w.o_custkey = h.o_custkey),
+    f"""with {VISITS},
+    whole as (select subject from hist group by 1 having count(*) = {fx.HISTORY}),
+    cells as (select h.* from hist h join whole w on w.subject = h.subject),
     k as (select min(x) as lo, max(x) as hi, quantile_cont(x, 1.0::double / 3) as t1,
           quantile_cont(x, 2.0::double / 3) as t2 from cells)
-    select o_custkey, """
+    select subject, """
     + ", ".join(
         f"round(sum({v} * ({w})), 10) as c{i * 2 + j + 1}"
         for i, v in enumerate(_NS)
@@ -316,7 +314,7 @@ def crossbasis_history(spark, folder):
     var = fit_basis(history_cells(h), "x", BasisSpec("ns", df=3))
     lag = lag_basis(BasisSpec("ns", df=2), fx.HISTORY - 1)
     cb = CrossBasis(var, lag, fx.HISTORY - 1)
-    return cb.on_histories(h).select("o_custkey", *_design_columns(cb.width))
+    return cb.on_histories(h).select("subject", *_design_columns(cb.width))
 
 
 _CASES = """

@@ -10,11 +10,15 @@ from lagloom.functions.dates import season
 from lagloom.functions.factors import classify
 from lagloom.operators.cohort import summarise_subjects
 from lagloom.operators.exposure import complete_calendar
+from lagloom.operators.scans import numbered
 from lagloom.sources.readers import load_named
 
 ORDER = ("o_orderdate", "o_orderkey")
 LOW, HIGH = 2, 21
-HISTORY = 6
+# Rows of a full history: lags 0 to 20.
+HISTORY = 21
+# Fixed value: an error event of this value or more is the outcome of a visit.
+SEVERE = 50
 
 # Preterm classes and their cut points in completed weeks.
 PRETERM_CUTS = [28, 32, 37]
@@ -67,6 +71,35 @@ def subjects(spark: SparkSession, folder: str) -> DataFrame:
     return people.join(subject_attributes(spark, folder), "o_custkey")
 
 
+def visits(spark: SparkSession, folder: str) -> DataFrame:
+    """Person-period rows: the events of a user in time order, cut into episodes
+    of up to HISTORY rows; `subject` is the episode, `place` the row in it."""
+    e = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    rows = numbered(e, ["user_id"], ["ts", "event_id"], F.to_date("ts"), "_row")
+    return rows.select(
+        (F.col("user_id") * 1_000_000 + F.expr(f"_row div {HISTORY}")).alias("subject"),
+        (F.col("_row") % HISTORY).alias("place"),
+        "user_id",
+        "event_type",
+        F.col("value").alias("exposure"),
+        ((F.col("event_type") == "error") & (F.col("value") >= SEVERE)).alias("had_event"),
+    )
+
+
+def episodes(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per episode followed for 2 periods or more: rows up to its first
+    severe error, or all of them, with the user's attributes."""
+    v = visits(spark, folder)
+    people = v.groupBy("subject").agg(
+        F.first("user_id").alias("o_custkey"),
+        F.coalesce(F.min(F.when(F.col("had_event"), F.col("place") + 1)), F.count("*")).alias("n_periods"),
+        F.max(F.col("had_event").cast("long")).alias("event"),
+        F.min_by("event_type", "place").alias("first_type"),
+    )
+    people = people.where(F.col("n_periods") >= LOW)
+    return people.join(subject_attributes(spark, folder), "o_custkey")
+
+
 def daily(spark: SparkSession, folder: str) -> DataFrame:
     """Completed daily series: count y, exposures x and z."""
     day = F.to_date("o_orderdate").alias("day")
@@ -137,8 +170,8 @@ def event_exposure(spark: SparkSession, folder: str) -> DataFrame:
     return e.groupBy(F.to_date("ts").alias("ref_day")).agg(F.avg("value").alias("exposure"))
 
 
-def arms(spark: SparkSession, folder: str) -> DataFrame:
-    """Study arm summaries: outcome p_type, study s_nationkey, arm line status."""
+def study_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Persons of the studies: outcome p_type, study s_nationkey, arm line status."""
     line = table(spark, folder, "lineitem").select(
         "l_partkey", "l_suppkey", "l_linestatus", "l_returnflag",
         "l_quantity", "l_extendedprice", "l_discount",
@@ -149,7 +182,12 @@ def arms(spark: SparkSession, folder: str) -> DataFrame:
     supplier = table(spark, folder, "supplier").select(
         F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").cast("long").alias("study")
     )
-    rows = line.join(part, "l_partkey").join(supplier, "l_suppkey")
+    return line.join(part, "l_partkey").join(supplier, "l_suppkey")
+
+
+def arms(spark: SparkSession, folder: str) -> DataFrame:
+    """Study arm summaries."""
+    rows = study_lines(spark, folder)
     return rows.groupBy("outcome", "study", F.col("l_linestatus").alias("arm")).agg(
         F.count("*").alias("n"),
         F.avg("l_extendedprice").alias("mean"),

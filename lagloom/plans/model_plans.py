@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from lagloom.functions import dates, factors
 from lagloom.functions.transforms import log_spaced_lags
 from lagloom.models import predict
-from lagloom.models.basis import BasisSpec, build_basis, fit_bases, fit_basis, lag_basis, strata
-from lagloom.models.cox import cox_design, cox_step, fit_cox
-from lagloom.models.crossbasis import CrossBasis, crossbasis, history_cells
+from lagloom.models.basis import BasisSpec, basis_table, build_basis, fit_basis, lag_basis, strata
+from lagloom.models.cox import cox_design, cox_step, fit_cox, fit_cox_models, model_coefficients
+from lagloom.models.crossbasis import CrossBasis, crossbasis, histories_by_table, history_cells
 from lagloom.models.fitted import tidy
 from lagloom.models.glm import GlmSpec, Term, fit_glm, wls_line
 from lagloom.models.matched import clogit_design, fit_clogit
@@ -350,69 +350,97 @@ _LAGS = fx.HISTORY - 1
 
 
 def _people(spark, folder):
-    """Subjects with complete histories and coded covariates."""
+    """Episodes with complete histories of 21 rows."""
     whole = histories(spark, folder).where("history_complete").drop("history_complete")
-    return fx.subjects(spark, folder).join(whole, "o_custkey")
+    return fx.episodes(spark, folder).join(whole, "subject")
 
 
-@analysis()
-def cox_strata(spark, folder):
+def _cox_strata(spark, folder):
     people = _people(spark, folder)
     var = fit_basis(history_cells(people), "x", BasisSpec("ns", df=3))
     cb = CrossBasis(var, lag_basis(BasisSpec("ns", df=2), _LAGS), _LAGS)
     rows = cb.on_histories(people)
     design = cox_design(rows, "n_periods", "event", [F.col("cb")], stratum=F.col("region"))
-    fit = fit_cox(design, {"model": cb.terms})["model"]
+    return cb, fit_cox(design, {"model": cb.terms})["model"]
+
+
+@analysis()
+def cox_strata(spark, folder):
+    _, fit = _cox_strata(spark, folder)
     return _tidy_columns(tidy(spark, [fit]))
 
 
-# Populations with the exposure df of the unadjusted and the adjusted model.
+@analysis()
+def cox_effects(spark, folder):
+    """Hazard ratios of the stratified model over exposures: the whole surface,
+    the running sums over lags, and overall (lag null), against the middle of
+    the range."""
+    cb, fit = _cox_strata(spark, folder)
+    at = predict.exposure_grid(cb.var, points=20)
+    arms = {
+        "surface": predict.lag_effects(spark, cb, fit, at),
+        "cumulative": predict.cumulative_effects(spark, cb, fit, at),
+        "overall": predict.overall_effects(spark, cb, fit, at).withColumn("lag", F.lit(None).cast("int")),
+    }
+    out = None
+    for kind, rows in arms.items():
+        rows = _effect_columns(rows.withColumn("kind", F.lit(kind)), "kind", "lag")
+        out = rows if out is None else out.unionByName(rows)
+    return out.withColumns({"at": rounded("at"), "cen": rounded("cen")})
+
+
+# Populations with the exposure df of the unadjusted and the
+# adjusted model.
 _POPULATIONS = {
     "all": (3, 2), "AFRICA": (2, 4), "AMERICA": (2, 1), "ASIA": (2, 2), "EUROPE": (1, 1),
 }
+_SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
+_TYPES = ["click", "error", "purchase", "signup", "view"]
 
 
 @analysis()
 def cox_dlnm_specs(spark, folder):
     """Ten models over one history table: every population, unadjusted and
-    adjusted, knots from its own histories, all fitted in the same passes."""
-    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    priorities = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    adjusted, knots from its own histories. Models, bases and coefficients are
+    rows joined by key; people are read once."""
+    specs = spark.createDataFrame(
+        [
+            (f"{p} {kind}", p, df[side], bool(side))
+            for p, df in _POPULATIONS.items()
+            for side, kind in enumerate(("unadjusted", "adjusted"))
+        ],
+        "model string, population string, df int, adjusted boolean",
+    )
     people = _people(spark, folder).withColumn(
         "population", F.explode(F.array(F.lit("all"), F.col("region")))
     )
-    people = people.where(F.col("population").isin(list(_POPULATIONS)))
     covariates = F.array(
-        *factors.indicators("segment", segments), *factors.indicators("first_priority", priorities),
+        *factors.indicators("segment", _SEGMENTS), *factors.indicators("first_type", _TYPES),
         (F.col("balance") < 0).cast("double"),
     )
-    names = [*segments[1:], *priorities[1:], "overdrawn"]
+    names = [*_SEGMENTS[1:], *_TYPES[1:], "overdrawn"]
     lag = lag_basis(BasisSpec("ns", df=2), _LAGS)
-    cells = history_cells(people, keep=["population"])
-    labels, arms = {}, []
-    stratum = F.when(F.col("population") == "all", F.col("region")).otherwise("")
-    for kind, side in (("unadjusted", 0), ("adjusted", 1)):
-        specs = {p: BasisSpec("ns", df=d[side]) for p, d in _POPULATIONS.items()}
-        for population, var in fit_bases(cells, "x", specs, "population").items():
-            cb = CrossBasis(var, lag, _LAGS)
-            model = f"{population} {kind}"
-            labels[model] = cb.terms + (names if side else [])
-            rows = cb.on_histories(people.where(F.col("population") == population))
-            parts = [F.col("cb"), covariates] if side else [F.col("cb")]
-            width = len(labels[model])
-            design = cox_design(
-                rows, "n_periods", "event", parts, model=F.lit(model), stratum=stratum
-            )
-            arms.append((design, width))
-    widest = max(w for _, w in arms)
-    stacked = None
-    for design, width in arms:
-        padded = design.withColumn(
-            "x", F.concat("x", F.array_repeat(F.lit(0.0), widest - width))
-        )
-        stacked = padded if stacked is None else stacked.unionByName(padded)
-    fits = fit_cox(stacked, labels)
-    return _tidy_columns(tidy(spark, [fits[m] for m in labels]))
+    bases = basis_table(
+        history_cells(people, keep=["population"]), "x", "population", specs, "ns",
+        sorted({d for pair in _POPULATIONS.values() for d in pair}),
+    )
+    rows = histories_by_table(people.join(specs, "population").join(bases, "model"), lag, _LAGS)
+    none = F.array().cast("array<double>")
+    design = cox_design(
+        rows, "n_periods", "event",
+        [F.col("cb"), F.when(F.col("adjusted"), covariates).otherwise(none)],
+        model=F.col("model"),
+        stratum=F.when(F.col("population") == "all", F.col("region")).otherwise(""),
+    )
+    widest = max(max(df) for df in _POPULATIONS.values()) * lag.width + len(names)
+    fits = fit_cox_models(design, widest)
+    # Terms of a model: v1_l1, v1_l2, v2_l1 ... and the covariates.
+    cells = F.expr(
+        f"flatten(transform(sequence(1, df), v -> transform(sequence(1, {lag.width}), l -> concat('cb_v', v, '_l', l))))"
+    )
+    listed = F.concat(cells, F.when(F.col("adjusted"), F.array(*map(F.lit, names))).otherwise(F.array().cast("array<string>")))
+    terms = specs.select("model", F.posexplode(listed).alias("place", "term"))
+    return _tidy_columns(model_coefficients(fits, terms))
 
 
 _WINDOWS = [("22-28", 22, 28), ("28-32", 28, 32), ("32-37", 32, 37), ("22-37", 22, 37)]

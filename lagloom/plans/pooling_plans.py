@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lagloom.functions.tails import normal_quantile
+from lagloom.models.cox import cox_design, fit_cox_models
 from lagloom.operators import effects, pooling
 from lagloom.plans import fixtures as fx
 from lagloom.plans.registry import analysis, rounded
@@ -114,18 +115,81 @@ def effect_irr(spark, folder):
     return _effect(effects.rate_ratio(fx.studies(spark, folder)), _KEYS)
 
 
+def _newton_one_sql(rows: str, steps: int) -> str:
+    """Cox fits of one column x by unrolled Newton steps, ties after Efron, from
+    counted risk sets risk(model, time, d, ex, x, e, n)."""
+    parts = [rows, "b0 as (select distinct model, 0::double as b from r)"]
+    mean = lambda j: f"(s{j} - k / d * d{j})"
+    for i in range(steps + 1):
+        parts.append(f"""t{i} as materialized (select model, time, any_value(d)::double as d, any_value(ex) as ex,
+    sum(n * exp(b * x)) as s0, sum(n * x * exp(b * x)) as s1, sum(n * x * x * exp(b * x)) as s2,
+    sum(n * e * exp(b * x)) as d0, sum(n * e * x * exp(b * x)) as d1, sum(n * e * x * x * exp(b * x)) as d2
+  from risk join b{i} using (model) group by all),
+g{i} as materialized (select model, sum(ex / d - {mean(1)} / {mean(0)}) as u,
+    sum({mean(2)} / {mean(0)} - {mean(1)} * {mean(1)} / {mean(0)} / {mean(0)}) as v
+  from (select *, unnest(range(d::bigint)) as k from t{i}) group by model),
+b{i + 1} as materialized (select model, b + u / v as b, 1 / v as var from b{i} join g{i} using (model))""")
+    return "with " + ", ".join(parts)
+
+
+_STUDY_SQL = f"""{ARMS},
+r as materialized (select p_type || '|' || s_nationkey as model, l_quantity as done, l_returnflag = 'R' as died,
+    case when l_linestatus = 'O' then 1.0::double else 0 end as x
+  from lineitem join part on p_partkey = l_partkey join supplier on s_suppkey = l_suppkey),
+ends as (select model, done as time, count(*) as d, sum(x) as ex from r where died group by all),
+risk as materialized (select r.model, time, any_value(d) as d, any_value(ex) as ex, x,
+    case when died and done = time then 1 else 0 end as e, count(*) as n
+  from r join ends on ends.model = r.model and done >= time group by all)"""
+
+
+def study_hazards(spark, folder):
+    """Per outcome and study the log hazard ratio of the arms, every study a
+    model of one grouped fit."""
+    line = fx.study_lines(spark, folder)
+    rows = line.withColumns(
+        {
+            "study_model": F.concat_ws("|", "outcome", F.col("study").cast("string")),
+            "died": (F.col("l_returnflag") == "R").cast("long"),
+            "x": F.array((F.col("l_linestatus") == "O").cast("double")),
+        }
+    )
+    fits = fit_cox_models(
+        cox_design(rows, "l_quantity", "died", [F.col("x")], model=F.col("study_model")), 1
+    )
+    name = F.split("model", r"\|")
+    return fits.select(
+        name[0].alias("outcome"), name[1].cast("long").alias("study"), "n", "n_event",
+        F.get("beta", F.lit(0)).alias("log_hr"), F.sqrt(F.get("cov", F.lit(0))).alias("se"),
+    ).where("se is not null and not isnan(se)")
+
+
 @analysis(
-    f"with {ARMS} {_IRR} select outcome, study, round(yi, 11) as yi, round(vi, 11) as vi from irr"
+    _newton_one_sql(_STUDY_SQL, 7)
+    + """ select split_part(model, '|', 1) as outcome, split_part(model, '|', 2)::bigint as study,
+      round(b, 6) + 0 as yi, round(var, 6) + 0 as vi from b8 where isfinite(var)"""
 )
 def effect_hr(spark, folder):
-    """Log ratios recovered from a published ratio and its 95% interval."""
-    r = effects.rate_ratio(fx.studies(spark, folder))
+    """Log hazard ratios of the arms from a Cox fit per study."""
+    fits = study_hazards(spark, folder)
+    return _effect(effects.hazard_ratio(fits, log_hr="log_hr", se="se"), _KEYS, 6)
+
+
+@analysis(
+    _newton_one_sql(_STUDY_SQL, 7)
+    + """ select split_part(model, '|', 1) as outcome, count(*) as k,
+      round(sum(b / var) / sum(1 / var), 6) + 0 as estimate, round(sqrt(1 / sum(1 / var)), 6) as std_error
+      from b8 where isfinite(var) group by 1"""
+)
+def pool_hr(spark, folder):
+    """Hazard ratios of the studies, fitted and pooled; published ratios and
+    their intervals give the same effects back."""
+    fits = effects.hazard_ratio(study_hazards(spark, folder), log_hr="log_hr", se="se")
     half = normal_quantile(0.975) * F.sqrt("vi")
-    published = r.select(
-        *_KEYS, F.exp("yi").alias("hr"), F.exp(F.col("yi") - half).alias("low"),
-        F.exp(F.col("yi") + half).alias("high"),
+    published = fits.select(
+        *_KEYS, F.exp("yi").alias("hr"), F.exp(F.col("yi") - half).alias("low"), F.exp(F.col("yi") + half).alias("high")
     )
-    return _effect(effects.hazard_ratio(published, hr="hr", low="low", high="high"), _KEYS)
+    out = pooling.pool_fixed(effects.hazard_ratio(published, hr="hr", low="low", high="high"), ["outcome"])
+    return out.select("outcome", "k", rounded("estimate").alias("estimate"), rounded("std_error").alias("std_error"))
 
 
 def _smd(spark, folder):

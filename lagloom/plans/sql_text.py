@@ -19,6 +19,24 @@ SUBJECT = f"""
     from subj s join customer on c_custkey = o_custkey
     join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey)"""
 
+VISITS = """
+  visit as (
+    select user_id * 1000000 + (rn - 1) // 21 as subject, user_id, (rn - 1) % 21 as lag, value as x,
+           event_type, case when event_type = 'error' and value >= 50 then 1 else 0 end as ev
+    from (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events)),
+  episode0 as (
+    select subject, any_value(user_id) as user_id, count(*) as n_rows, max(ev) as event,
+           coalesce(min(case when ev = 1 then lag + 1 end), count(*)) as n_periods,
+           max(case when lag = 0 then event_type end) as first_type
+    from visit group by subject),
+  episode as (
+    select e.*, r_name as region, c_mktsegment as segment, c_acctbal as balance
+    from episode0 e join customer on c_custkey = user_id
+    join nation on n_nationkey = c_nationkey join region on r_regionkey = n_regionkey
+    where n_periods >= 2),
+  hist as (select subject, lag, x from visit
+           where subject in (select subject from episode0 where n_rows between 2 and 21))"""
+
 DAILY = """
   per_day as (
     select cast(o_orderdate as date) as day, count(*) as y0, avg(o_totalprice) / 10000 as x,
