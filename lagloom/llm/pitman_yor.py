@@ -39,8 +39,8 @@ from lagloom.llm.runs import word_lists
 from lagloom.llm.shared import drop_scratch, scratch
 
 # Tokens of a chunk, and tokens per partition of pairs.
-CHUNK_TOKENS = 1 << 21
-PART_TOKENS = 3 << 20
+CHUNK_TOKENS = 1 << 20
+PART_TOKENS = 1 << 21
 # Contexts with fewer tokens than this are never spread.
 SPREAD_FROM = 1 << 16
 BURN_IN = 2
