@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.components import components
-from lagloom.llm.shared import scratch, small_side
+from lagloom.llm.shared import drop_scratch, scratch, small_side
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -109,6 +109,7 @@ def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ],
             names=["doc", "n", "mark", "head", "sketch"],
         )
+    _WORDS.clear()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,6 +118,7 @@ def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             part = batch.slice(at, 500)
             sets = _longs([shingle_set(t.as_py()) for t in part.column(1)])
             yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["doc", "set"])
+    _WORDS.clear()
 
 
 def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -293,9 +295,11 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, D
         .where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.lit(HEAD_SHARED) * F.col("k"))))
         .select("node")
     )
-    suspects = small_side(scratch(suspects, "suspects"), 16)
-    held = scratch(nodes.join(suspects, "node", "left_semi").select("node", "mark", "n"), "suspect-nodes")
-    # The only join that may shuffle all sketches. Texts under one id stay apart.
+    suspects = scratch(suspects, "suspects")
+    held = scratch(nodes.join(small_side(suspects, 16), "node", "left_semi").select("node", "mark", "n"), "suspect-nodes")
+    drop_scratch(suspects)
+    # The only join that may shuffle all sketches. Texts under one id stay apart,
+    # so each gets a number of its own.
     kept = scratch(
         small_side(held, 64)
         .join(
@@ -303,28 +307,30 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, D
             (F.col("mark") == F.col("_mark")) & (F.col("node") == F.col("_doc")),
         )
         .groupBy("node", "mark")
-        .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")),
+        .agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        .withColumn("id", F.monotonically_increasing_id()),
         "node-sketches",
     )
-    values = kept.select("node", "mark", "n", F.explode("sketch").alias("value"))
+    # Two longs a row through both exchanges; sizes are looked up by number.
+    values = kept.select("id", F.explode("sketch").alias("value"))
     known = values.groupBy("value").count().where("count > 1")
-    by_rarity = Window.partitionBy("node", "mark")
+    by_rarity = Window.partitionBy("id")
     ranked = values.join(known, "value").select(
-        "node",
+        "id",
         "value",
-        "n",
-        # Values that no other node retains come first in the order by rarity.
-        (
-            F.least("n", F.lit(SKETCH))
-            - F.count("*").over(by_rarity)
-            + F.row_number().over(by_rarity.orderBy("count", "value"))
-        ).alias("place"),
+        F.row_number().over(by_rarity.orderBy("count", "value")).alias("place"),
+        F.count("*").over(by_rarity).alias("shared"),
     )
-    wanted = F.least("n", F.lit(SKETCH)) - _needed(F.col("n")) + 1
-    listed = ranked.where(F.col("place") <= wanted).select("value", "node", "n")
-    listed = scratch(listed, "prefixes")
+    # Values that no other node retains come first in the order by rarity; they
+    # are not here, so places are counted from the common end.
+    names = kept.select("id", "node", "n")
+    listed = ranked.join(names, "id").where(F.col("place") <= F.col("shared") - _needed(F.col("n")) + 1)
+    listed = scratch(listed.select("value", "node", "n"), "prefixes")
     sizes = listed.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    return scratch(listed.join(sizes, "value"), "lists"), kept
+    lists = scratch(listed.join(sizes, "value"), "lists")
+    for done in (listed, held):
+        drop_scratch(done)
+    return lists, kept.drop("id")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
@@ -376,7 +382,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         .where("components and groups")
         .select("value")
     )
-    open_ = scratch(open_.join(spans, "value").select("value", "node", "n", "g", "component"), "open-lists")
+    open_ = open_rows = scratch(
+        open_.join(spans, "value").select("value", "node", "n", "g", "component"), "open-lists"
+    )
     per_node = scratch(
         open_.groupBy("node").agg(
             F.min_by("value", F.xxhash64(F.lit(1), "value")).alias("g1"),
@@ -411,6 +419,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
     more = _grouped_links(again, sets).unionByName(_verify(pairs.distinct(), sketches, sets))
     labels = components(links.unionByName(more))
+    for done in (lists, sets, largest, links, open_rows, per_node):
+        drop_scratch(done)
     named = nodes.select("mark", "node").join(labels, "node", "left").select(
         "mark", F.coalesce("component", "node").alias("component")
     )
