@@ -7,30 +7,39 @@ scores of all words of a text add up; the winner's share is the confidence.
 
 Statistics come from a bounded sample of labelled documents (SAMPLE_DOCS per
 language in expectation, chosen by a hash of the id) and the model keeps the
-MODEL_ROWS most frequent words and n-grams: it has one size for any corpus.
-Every document is then scored over its whole text."""
+MODEL_ROWS most frequent words and n-grams: it has one size for any corpus. It
+is held as sorted 64-bit hashes beside a matrix of log frequencies. Every
+document is then scored over its whole text, a thousand texts at a time."""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from lagloom.llm.shared import scratch, small_side
 
 SAMPLE_DOCS = 4_000
-MODEL_ROWS = 150_000
+MODEL_ROWS = 1_000_000
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _SMOOTH = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 _EDGE = "_"
-_CACHE = 200_000
-_SCORED: dict[str, dict] = {}
+# Fixed value: the seed of Spark's xxhash64.
+_SEED = 42
+
+
+def _hashes(tokens: list[str]) -> np.ndarray:
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(t.encode("utf-8", "surrogatepass"), _SEED) for t in tokens), np.uint64, len(tokens))
 
 
 def held_out(doc: Column) -> Column:
@@ -88,7 +97,7 @@ def learn(
         .persist()
     )
     langs = sorted(r["lang"] for r in words.select("lang").distinct().collect())
-    model: dict = {"langs": langs, "words": ({}, None), "grams": []}
+    model: dict = {"langs": langs, "words": None, "grams": []}
     if langs:
         model["words"] = _frequencies(words.select("lang", F.col("word").alias("token"), "n"), langs, model_rows)
         edged = F.concat(F.lit(_EDGE), "word", F.lit(_EDGE))
@@ -109,87 +118,110 @@ def learn(
     return model
 
 
-def _frequencies(counts: DataFrame, langs: list[str], rows: int) -> tuple[dict[str, int], np.ndarray]:
-    """token -> row, and rows of log frequencies by language, for the `rows`
+def _frequencies(counts: DataFrame, langs: list[str], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending hashes, and rows of log frequencies by language, of the `rows`
     most frequent tokens."""
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     top = (
-        counts.groupBy("token")
+        counts.groupBy(F.xxhash64("token").alias("token"))
         .agg(
             F.sum("n").alias("all"),
             *[F.sum(F.when(F.col("lang") == v, F.col("n"))).alias(f"l{i}") for i, v in enumerate(langs)],
         )
         .orderBy(F.desc("all"), "token")
         .limit(rows)
+        .drop("all")
         .toArrow()
     )
+    hashes = top.column("token").to_numpy().view(np.uint64)
     table = np.stack(
         [np.nan_to_num(top.column(f"l{i}").to_numpy().astype(float)) for i in range(len(langs))], axis=1
     )
     size = np.array([totals.get(v, 0) for v in langs]) + _SMOOTH * max(1, len(table))
-    logs = np.log((table + _SMOOTH) / size)
-    # Row numbers instead of one array per token keep the workers' copies small.
-    return dict(zip(top.column("token").to_pylist(), range(len(logs)), strict=True)), logs.astype(np.float32)
+    order = np.argsort(hashes)
+    return hashes[order], np.log((table[order] + _SMOOTH) / size).astype(np.float32)
 
 
-def backed_off(model: dict, word: str) -> np.ndarray:
-    """Scores of an unseen word by its longest known character n-grams."""
-    edged = f"{_EDGE}{word}{_EDGE}"
-    for order, (known, logs) in zip(ORDERS, model["grams"], strict=True):
-        found = [known[g] for i in range(len(edged) - order + 1) if (g := edged[i : i + order]) in known]
-        if found:
-            return logs[found].mean(axis=0)
-    return np.zeros(len(model["langs"]))
+def _found(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Places of the hashes among the known ones, -1 where unknown."""
+    at = np.searchsorted(known, hashes)
+    at[at == len(known)] = 0
+    return np.where(known[at] == hashes, at, -1) if len(known) else np.full(len(hashes), -1)
 
 
-def score_text(model: dict, cache: dict, text: str | None) -> tuple[str, float]:
-    """(language, share of the winner). Without letters or without a model:
-    (`und`, 0). Ties go to the first language in alphabetical order."""
-    found = _WORD.findall((text or "").lower())
+def word_scores(model: dict, words: list[str]) -> np.ndarray:
+    """A row of log frequencies per word: its own if it is known, else the mean
+    over its known character n-grams of the longest order that has any."""
+    out = np.zeros((len(words), len(model["langs"])), np.float32)
+    known, logs = model["words"]
+    at = _found(known, _hashes(words))
+    out[at >= 0] = logs[at[at >= 0]]
+    left = np.flatnonzero(at < 0)
+    for order, (known, logs) in zip(ORDERS, model["grams"], strict=True):
+        if not len(left):
+            break
+        edged = [f"{_EDGE}{words[i]}{_EDGE}" for i in left]
+        grams = [[w[i : i + order] for i in range(len(w) - order + 1)] for w in edged]
+        owner = np.repeat(np.arange(len(left)), [len(g) for g in grams])
+        at = _found(known, _hashes(list(chain.from_iterable(grams))))
+        owner, at = owner[at >= 0], at[at >= 0]
+        n = np.bincount(owner, minlength=len(left))
+        sums = np.stack([np.bincount(owner, weights=x, minlength=len(left)) for x in logs[at].T], axis=1)
+        some = n > 0
+        out[left[some]] = sums[some] / n[some, None]
+        left = left[~some]
+    return out
+
+
+def score_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """Language and share of the winner for each text. Without letters or
+    without a model: `und`, 0. Ties go to the first language in alphabetical
+    order."""
     langs = model["langs"]
-    if not found or not langs:
-        return UNKNOWN, 0.0
-    words, logs = model["words"]
-    for w in set(found).difference(cache):
-        known = words.get(w)
-        cache[w] = backed_off(model, w) if known is None else logs[known]
-    rows = list(map(cache.__getitem__, found))
-    total = np.sum(np.array(rows), axis=0, dtype=float)
-    best = int(np.argmax(total))
-    return langs[best], float(1.0 / np.exp(total - total[best]).sum())
+    names, shares = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if not langs:
+        return names, shares
+    found = [_WORD.findall((t or "").lower()) for t in texts]
+    place: dict[str, int] = {}
+    for words in found:
+        for w in words:
+            place.setdefault(w, len(place))
+    if not place:
+        return names, shares
+    scores = word_scores(model, list(place))
+    for i, words in enumerate(found):
+        if words:
+            rows = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
+            total = scores[rows].sum(axis=0, dtype=float)
+            best = int(np.argmax(total))
+            names[i], shares[i] = langs[best], 1.0 / np.exp(total - total[best]).sum()
+    return names, shares
 
 
 def _score(shared):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
-        # Words scored before, for the tasks of a worker that share the model.
-        if _SCORED.get("model") is not model:
-            _SCORED.update(model=model, words={})
-        cache = _SCORED["words"]
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                if len(cache) > _CACHE:
-                    cache.clear()
-                scored = [score_text(model, cache, t.as_py()) for t in part.column(part.num_columns - 1)]
+                names, shares = score_texts(model, part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        *part.columns[:-1],
-                        pa.array([s[0] for s in scored], pa.string()),
-                        pa.array([s[1] for s in scored], pa.float64()),
-                    ],
-                    names=[*part.schema.names[:-1], "lang_pred", "score"],
+                    [*part.columns, pa.array(names, pa.string()), pa.array(shares)],
+                    names=[*part.schema.names, "lang_pred", "score"],
                 )
 
     return rows
 
 
-def predict(docs: DataFrame, model: dict, text: str = "text") -> DataFrame:
-    """All columns of `docs` but `text`, and lang_pred and score (0 to 1).
+def predict(docs: DataFrame, model: dict, text: str = "text", keep_text: bool = False) -> DataFrame:
+    """All columns of `docs`, with the text only on demand, and lang_pred and
+    score (0 to 1).
 
     A text that is null or without a letter is `und` with score 0; so is every
-    text if nothing was learned. Columns named lang_pred or score are replaced."""
+    text if nothing was learned. Columns named lang_pred or score are replaced.
+    The text crosses to the workers once either way."""
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "lang_pred", "score")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`").alias("lang_pred"))
-    schema = rows.drop("lang_pred").schema.add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
+    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    out = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
+    return out if keep_text else out.drop(text)
