@@ -247,8 +247,9 @@ def encode_texts(docs: DataFrame, vocabulary: str, text: str = "text") -> DataFr
 
 def decode_ids(encoded: DataFrame, vocabulary: str, ids: str = "ids") -> DataFrame:
     """All columns of `encoded` (with `ids` last) and decoded; null ids decode
-    to null, no ids to an empty text. A column named decoded is replaced."""
-    rest = [c for c in encoded.columns if c not in (ids, "decoded")]
+    to null, no ids to an empty text. A column named decoded, in upper or lower
+    case, is replaced."""
+    rest = [c for c in encoded.columns if c.lower() not in (ids.lower(), "decoded")]
     rows = encoded.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{ids}`"))
     schema = StructType([*rows.schema.fields, StructField("decoded", StringType())])
     return rows.mapInArrow(_decoded(vocabulary), schema)

@@ -154,7 +154,9 @@ def _word_part(hashes: np.ndarray, parts: int) -> np.ndarray:
 
 def _slices(part: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Each number of an ascending array with its stretch."""
-    begins = np.flatnonzero(_new(part)) if len(part) else []
+    if not len(part):
+        return
+    begins = np.flatnonzero(_new(part))
     for a, b in zip(begins, [*begins[1:], len(part)], strict=True):
         yield int(part[a]), slice(int(a), int(b))
 

@@ -197,9 +197,9 @@ def _library(path, held={}):  # noqa: B006
 
 
 def test_bpe_frames(spark):
-    df = frame(spark, ODD).withColumn("decoded", df_lit("x"))
+    df = frame(spark, ODD).withColumn("Decoded", df_lit("x"))
     out = decode_ids(encode_texts(df, WORD), WORD)
-    assert out.columns == ["doc_id", "lang", "ids", "decoded"]
+    assert out.columns == ["doc_id", "lang", "ids", "decoded"] and out.select("decoded").columns
     t = Tokenizer.from_file(WORD)
     for r in out.collect():
         assert r.ids == t.encode(ODD[r.doc_id] or "", add_special_tokens=False).ids

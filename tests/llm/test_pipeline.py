@@ -25,7 +25,7 @@ def test_queries_match_sql(spark, name):
 
 
 def test_every_operator_has_a_query():
-    assert [f"op{n}" for n in range(1, 11)] == sorted({q.split("_")[0] for q in QUERIES} - {"pipeline"}, key=lambda q: int(q[2:]))
+    assert [f"op{n}" for n in range(1, 14)] == sorted({q.split("_")[0] for q in QUERIES} - {"pipeline"}, key=lambda q: int(q[2:]))
     assert "pipeline" in QUERIES and len(BASE_RX) == 3
 
 
@@ -98,6 +98,27 @@ def test_stages_on_odd_rows(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, SMALL).count() == 3
 
 
+def test_texts_under_one_id(spark):
+    """Unique texts stay whatever other texts share their id."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    near = b + " more"
+    stage = dict(corpus_pipeline.STAGES)["MinHash near-dedup"]
+    for rows, want in (
+        ([(5, a), (5, c), (1, a)], {(1, a), (5, c)}),
+        ([(5, a), (5, b), (7, near), (1, a)], {(1, a), (5, b), (7, near)}),
+        ([(5, a), (3, a + " z"), (5, b), (5, b)], {(3, a + " z"), (5, b), (5, a)}),
+        ([(None, a), (2, c), (2, c)], {(None, a), (2, c)}),
+    ):
+        docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], SCHEMA)
+        got = [(r.doc_id, r.text) for r in stage(spark, docs, SMALL).collect()]
+        assert len(got) == len(set(got)) and set(got) <= want
+        # One of b and its near copy, one of a and its near copy.
+        texts = {t for _, t in got}
+        assert (a in texts) + (a + " z" in texts) == ((a in {t for _, t in rows}))
+        assert (b in texts) + (near in texts) == (b in {t for _, t in rows})
+        assert (c in texts) == (c in {t for _, t in rows})
+
+
 def test_scratch_stays_in_the_shared_folder(spark):
     from lagloom.llm.shared import scratch, shared_folder
 
