@@ -31,7 +31,7 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     model = language.learn(docs)
     if not model["langs"]:
         return docs.where(F.col("text").isNotNull())
-    predicted = language.predict(docs.withColumn("_scored", F.col("text")), model, "_scored")
+    predicted = language.predict(docs, model, keep_text=True)
     return only(predicted.where(F.col("lang_pred") != language.UNKNOWN), docs.columns)
 
 
@@ -40,20 +40,28 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _measured(dedup_lines(docs), docs.columns)
 
 
+# Fixed value: numbers from here on stand for further texts under one id.
+_FURTHER = 1 << 62
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that with the smallest
-    id. Of rows with one id and one text the first stays; a null id is a
-    document of its own."""
-    groups = scratch(near_duplicates(docs).select("doc_id", "kept"), "near-duplicates")
-    gone = groups.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    left = docs.join(small_side(gone, 16), F.col("doc_id") == F.col("_gone"), "left_anti")
-    # Repeated ids are rare: only their rows are shuffled.
-    twice = groups.groupBy("doc_id").count().where("count > 1 and doc_id is not null")
-    twice = small_side(scratch(twice.select(F.col("doc_id").alias("_twice")), "repeated-ids"), 16)
-    same = F.col("doc_id") == F.col("_twice")
-    once = left.join(twice, same, "left_anti").unionByName(
-        left.join(twice, same, "left_semi").dropDuplicates(["doc_id"])
+    id. Texts under one id are documents of their own: the one with the smallest
+    hash has the id, the others come after all other documents. Of rows with one
+    id and one text one stays; a null id is a document of its own."""
+    body = F.xxhash64("text")
+    ids = docs.select(F.col("doc_id").cast("long").alias("_id"), body.alias("_body")).where("_id is not null")
+    # Repeated ids are rare: only for them are rows told apart by text.
+    twice = ids.groupBy("_id").agg(F.count("*").alias("n"), F.min("_body").alias("_first")).where("n > 1")
+    twice = small_side(scratch(twice.select("_id", "_first"), "repeated-ids"), 24)
+    further = F.lit(_FURTHER) + F.pmod(F.xxhash64("doc_id", body), F.lit(_FURTHER - 1))
+    keyed = docs.join(twice, F.col("doc_id").cast("long") == F.col("_id"), "left").withColumn(
+        "_key", F.when(F.col("_id").isNull() | (body == F.col("_first")), F.col("doc_id").cast("long")).otherwise(further)
     )
+    groups = near_duplicates(keyed.select("_key", "text"), doc="_key")
+    gone = scratch(groups.where(~F.col("kept")).select(F.col("_key").alias("_gone")), "near-duplicates").distinct()
+    left = keyed.join(small_side(gone, 16), F.col("_key") == F.col("_gone"), "left_anti")
+    once = left.where("_id is null").unionByName(left.where("_id is not null").dropDuplicates(["_key"]))
     return only(once, docs.columns)
 
 
