@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.dates import floor_date
+from lagloom.functions.tails import normal_p, t_p
 from lagloom.operators.scans import exact_percentiles
 
 
@@ -215,7 +216,8 @@ def binned_scatter(df: DataFrame, x: Column, y: Column, width_x: float, width_y:
 
 
 def correlations(df: DataFrame, cols: Sequence[str], na: str = "pairwise") -> DataFrame:
-    """Pairwise Pearson r and n for all column pairs, in one aggregate.
+    """Pairwise Pearson r, n and the p value of no correlation for all column
+    pairs, in one aggregate.
 
     `na='pairwise'` skips incomplete pairs; `na='propagate'` gives null for a
     pair with any missing value."""
@@ -234,7 +236,10 @@ def correlations(df: DataFrame, cols: Sequence[str], na: str = "pairwise") -> Da
         )
         for i, (a, b) in enumerate(pairs)
     ]
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    out = df.agg(*aggs).select(F.explode(F.array(*rows)).alias("p")).select("p.*")
+    free = F.col("n") - 2
+    t = F.abs("r") * F.sqrt(free / F.greatest(1 - F.col("r") * F.col("r"), F.lit(0.0)))
+    return out.withColumn("p_value", F.when((free > 0) & (F.abs("r") < 1), t_p(t, free)).when(free > 0, F.col("r") * 0))
 
 
 def summary_by(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -302,7 +307,7 @@ def trend_statistic(
     df: DataFrame, variables: dict[str, Column], score: Column
 ) -> DataFrame:
     """Linear-by-linear association of each scored variable with the class
-    score: (n - 1) r^2, chi-square with one degree of freedom.
+    score: (n - 1) r^2, chi-square with one degree of freedom, and its p value.
 
     The rows are counted per (variable, score pair) first; the statistic comes
     from those counts."""
@@ -320,15 +325,18 @@ def trend_statistic(
     cells = rows.groupBy(
         F.col("_v.variable").alias("variable"), F.col("_v.x").alias("x"), "_y"
     ).agg(F.count("*").alias("n"))
-    sums = cells.groupBy("variable").agg(
+    # About the means of each variable's counts, so that no digits cancel.
+    means = cells.groupBy("variable").agg(
+        (F.sum(F.expr("n * x")) / F.sum("n")).alias("_mx"), (F.sum(F.expr("n * _y")) / F.sum("n")).alias("_my")
+    )
+    sums = cells.join(means, "variable").groupBy("variable").agg(
         F.sum("n").alias("n"),
-        F.sum(F.expr("n * x")).alias("sx"),
-        F.sum(F.expr("n * _y")).alias("sy"),
-        F.sum(F.expr("n * x * x")).alias("sxx"),
-        F.sum(F.expr("n * _y * _y")).alias("syy"),
-        F.sum(F.expr("n * x * _y")).alias("sxy"),
+        F.sum(F.expr("n * (x - _mx) * (x - _mx)")).alias("sxx"),
+        F.sum(F.expr("n * (_y - _my) * (_y - _my)")).alias("syy"),
+        F.sum(F.expr("n * (x - _mx) * (_y - _my)")).alias("sxy"),
+    )
+    stat = F.when(
+        (F.col("sxx") > 0) & (F.col("syy") > 0), F.expr("(n - 1) * sxy * sxy / (sxx * syy)")
     )
-    cov = F.expr("n * sxy - sx * sy")
-    vx, vy = F.expr("n * sxx - sx * sx"), F.expr("n * syy - sy * sy")
-    stat = F.when((vx > 0) & (vy > 0), (F.col("n") - 1) * cov * cov / (vx * vy))
-    return sums.select("variable", "n", stat.alias("statistic"))
+    out = sums.select("variable", "n", stat.alias("statistic"))
+    return out.withColumn("p_value", normal_p(F.sqrt("statistic")))

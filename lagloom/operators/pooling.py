@@ -1,25 +1,27 @@
 """Pooling of study effects, many outcomes at once.
 
 Fixed-effect and moment estimates are plain aggregates. REML and ML scoring
-needs only weighted moments per outcome. Outcomes with at most
-`PACK_LIMIT` studies (a counted bound) are packed into one row each and solved
-where they are; larger outcomes take their moments from a grouped aggregate
-per scoring step, so no outcome, however large, is gathered in one task."""
+needs only weighted moments per outcome: tau^2 is a column of a table of
+outcomes, every scoring step one grouped aggregate of the studies of all open
+outcomes, and the small solves happen where an outcome's row is. No outcome,
+however large, is gathered in one task and none has a row on the driver."""
 
 from __future__ import annotations
 
 import math
-from collections.abc import Generator, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.functions.tails import chi2_upper, f_upper, t_quantile, t_two_sided
+from lagloom.functions.tails import chi2_p, chi2_upper, f_upper, t_quantile, t_two_sided
 from lagloom.models.moments import solve_information
+from lagloom.session import settled
 
-PACK_LIMIT = 20_000
+# Scoring steps after which an outcome that has not settled is an error.
+_STEPS = 200
 
 _RESULT = (
     "outcome string, k long, p long, tau2 double, q double, q_df long, q_p double, "
@@ -52,7 +54,7 @@ def pool_fixed(df: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def heterogeneity(df: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Q, its degrees of freedom, I^2 and H^2. Q is summed from the pooled
+    """Q, its degrees of freedom and p value, I^2 and H^2. Q is summed from the pooled
     effect in a second aggregate, not from a difference of large sums."""
     fixed = pool_moments(df, by)
     centre = fixed.select(
@@ -80,6 +82,7 @@ def heterogeneity(df: DataFrame, by: Sequence[str]) -> DataFrame:
         "k",
         "q",
         df_.cast("long").alias("q_df"),
+        F.when(df_ > 0, chi2_p(F.col("q"), df_)).alias("q_p"),
         F.when((F.col("q") > 0) & (df_ > 0), F.greatest(F.lit(0.0), (F.col("q") - df_) / F.col("q")))
         .otherwise(0.0)
         .alias("i2"),
@@ -174,32 +177,23 @@ class _Moments:
         return out + 0.5 * (log_x - log_w) - 0.5 * (self.k - p) * math.log(2 * math.pi)
 
 
-def _scoring(method: str) -> Generator[float, _Moments, tuple]:
-    """Yields tau^2 values and receives the moments there; returns the fit."""
-    at_zero = yield 0.0
-    spare = at_zero.k - at_zero.rank
-    tau2 = max(0.0, (at_zero.rwr - spare) / at_zero.tr_p) if spare > 0 and at_zero.tr_p > 0 else 0.0
-    now = (yield tau2) if tau2 > 0 else at_zero
-    rounds = 0
-    if spare > 0:
-        for _ in range(200):
-            if method == "REML":
-                move = (now.rwwr - now.tr_p) / now.tr_pp
-            elif method == "ML":
-                move = (now.rwwr - now.w1) / now.w2
-            else:
-                break
-            target = max(0.0, tau2 + move)
-            if abs(target - tau2) <= 1e-12 + 1e-10 * tau2:
-                break
-            tau2, rounds = target, rounds + 1
-            now = yield tau2
-    return at_zero, now, tau2, rounds
-
-
-def _result(outcome: str, fit: tuple, method: str, level: float) -> tuple:
-    """Knapp-Hartung intervals and tests, heterogeneity and fit statistics."""
-    at_zero, now, tau2, rounds = fit
+def _next_tau2(now: _Moments, tau2: float, method: str) -> float | None:
+    """The next tau^2 after a scoring step, None when it has settled."""
+    if method == "REML":
+        move = (now.rwwr - now.tr_p) / now.tr_pp
+    elif method == "ML":
+        move = (now.rwwr - now.w1) / now.w2
+    else:
+        return None
+    target = max(0.0, tau2 + move)
+    return None if abs(target - tau2) <= 1e-12 + 1e-10 * tau2 else target
+
+
+def _result(
+    outcome: str, now: _Moments, tau2: float, rounds: int, q: float, q_df: int, tr_p0: float, method: str, level: float
+) -> tuple:
+    """Knapp-Hartung intervals and tests, heterogeneity and fit statistics, from
+    the moments at the final tau^2 and a summary of those at zero."""
     p, k = now.rank, now.k
     spare = k - p
     if spare <= 0:
@@ -212,7 +206,6 @@ def _result(outcome: str, fit: tuple, method: str, level: float) -> tuple:
     with np.errstate(all="ignore"):
         t = now.coef / se
         pv = t_two_sided(t, spare) if spare > 0 else np.full_like(t, np.nan)
-    q, q_df = at_zero.rwr, k - at_zero.rank
     mods = np.arange(1, len(now.coef))
     mods = mods[np.isfinite(se[mods])] if len(mods) else mods
     fm = fm_p = None
@@ -220,7 +213,7 @@ def _result(outcome: str, fit: tuple, method: str, level: float) -> tuple:
         b = now.coef[mods]
         fm = float(b @ np.linalg.solve(cov[np.ix_(mods, mods)], b) / len(mods))
         fm_p = float(f_upper(fm, len(mods), spare))
-    typical = q_df / at_zero.tr_p if at_zero.tr_p > 0 and q_df > 0 else math.nan
+    typical = q_df / tr_p0 if tr_p0 > 0 and q_df > 0 else math.nan
 
     def clean(values):
         return [float(v) if math.isfinite(v) else None for v in values]
@@ -239,31 +232,12 @@ def _result(outcome: str, fit: tuple, method: str, level: float) -> tuple:
     )
 
 
-def _local_moments(y: np.ndarray, v: np.ndarray, x: np.ndarray, tau2: float) -> _Moments:
-    z = np.column_stack([x, y])
-    w = 1.0 / (v + tau2)
-    crosses = [(z * (w**k)[:, None]).T @ z for k in range(4)]
-    return _Moments(len(y), float(np.log(v + tau2).sum()), (w.sum(), (w * w).sum()), crosses)
-
-
-def _solve_packed(y, v, x, method: str):
-    run = _scoring(method)
-    tau2 = next(run)
-    while True:
-        try:
-            tau2 = run.send(_local_moments(y, v, x, tau2))
-        except StopIteration as stop:
-            return stop.value
-
-
-def _grouped_moments(rows: DataFrame, tau2: dict[str, float], p: int) -> dict[str, _Moments]:
-    """Moments of the named outcomes from one aggregate over their studies."""
-    spark = rows.sparkSession
-    table = spark.createDataFrame(list(tau2.items()), "outcome string, _tau2 double")
+def _moment_columns(p: int) -> list[Column]:
+    """Aggregates of the studies of one outcome at its tau^2."""
     z = [F.get("x", F.lit(i)) for i in range(p)] + [F.col("yi")]
-    total = F.col("vi") + F.col("_tau2")
+    total = F.col("vi") + F.col("tau2")
     pairs = [(i, j) for i in range(p + 1) for j in range(i, p + 1)]
-    aggs = [
+    out = [
         F.count("*").alias("k"), F.sum(F.ln(total)).alias("log_sum"),
         F.sum(1 / total).alias("w1"), F.sum(1 / (total * total)).alias("w2"),
     ]
@@ -271,35 +245,53 @@ def _grouped_moments(rows: DataFrame, tau2: dict[str, float], p: int) -> dict[st
         w = F.lit(1.0)
         for _ in range(power):
             w = w / total
-        aggs += [F.sum(w * z[i] * z[j]).alias(f"m{power}_{i}_{j}") for i, j in pairs]
-    # One row per outcome above PACK_LIMIT: at most rows / PACK_LIMIT of them.
-    found = rows.join(table, "outcome").groupBy("outcome").agg(*aggs).collect()
-    out = {}
-    for r in found:
-        crosses = []
-        for power in range(4):
-            m = np.zeros((p + 1, p + 1))
-            for i, j in pairs:
-                m[i, j] = m[j, i] = r[f"m{power}_{i}_{j}"]
-            crosses.append(m)
-        out[r.outcome] = _Moments(r.k, r.log_sum, (r.w1, r.w2), crosses)
+        out.append(F.array(*[F.sum(w * z[i] * z[j]) for i, j in pairs]).alias(f"m{power}"))
     return out
 
 
-def _solve_large(rows: DataFrame, outcomes: list[str], p: int, method: str) -> dict[str, tuple]:
-    runs = {o: _scoring(method) for o in outcomes}
-    ask = {o: next(run) for o, run in runs.items()}
-    done: dict[str, tuple] = {}
-    while ask:
-        got = _grouped_moments(rows, ask, p)
-        ask_next = {}
-        for o in ask:
-            try:
-                ask_next[o] = runs[o].send(got[o])
-            except StopIteration as stop:
-                done[o] = stop.value
-        ask = ask_next
-    return done
+# A row per outcome between steps: the tau^2 to look at, and Q, its degrees of
+# freedom and a trace at zero once they are known.
+_STATE = "tau2 double, rounds int, q double, q_df long, tr_p0 double"
+_OPEN = f"outcome string, {_STATE}, done boolean"
+
+
+def _score_step(p: int, method: str, level: float):
+    """The next state of each outcome from its moments; a settled outcome's row
+    carries its result."""
+    at = np.triu_indices(p + 1)
+    names = [part.split(" ")[0] for part in f"{_OPEN}, {_RESULT}".split(", ")]
+    # The result repeats the outcome and tau^2 under names of its own.
+    names = [n if i < len(_OPEN.split(", ")) else f"r_{n}" for i, n in enumerate(names)]
+
+    def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for r in frame.itertuples(index=False):
+                crosses = []
+                for m in (r.m0, r.m1, r.m2, r.m3):
+                    full = np.zeros((p + 1, p + 1))
+                    full[at] = m
+                    crosses.append(full + np.triu(full, 1).T)
+                now = _Moments(r.k, r.log_sum, (r.w1, r.w2), crosses)
+                tau2, rounds, q, q_df, tr_p0 = r.tau2, r.rounds, r.q, r.q_df, r.tr_p0
+                if rounds == 0:
+                    # At zero: heterogeneity, and the moment estimate as a start.
+                    q, q_df, tr_p0 = now.rwr, now.k - now.rank, now.tr_p
+                    start = max(0.0, (q - q_df) / tr_p0) if q_df > 0 and tr_p0 > 0 else 0.0
+                    target = start if start > 0 or q_df <= 0 else _next_tau2(now, 0.0, method)
+                    target = None if q_df <= 0 else target
+                else:
+                    target = _next_tau2(now, tau2, method)
+                q_df, rounds = int(q_df), int(rounds)
+                if target is not None:
+                    out.append((r.outcome, target, rounds + 1, q, q_df, tr_p0, False, *[None] * len(_columns())))
+                else:
+                    done = _result(r.outcome, now, tau2, rounds, q, q_df, tr_p0, method, level)
+                    out.append((r.outcome, tau2, rounds, q, q_df, tr_p0, True, *done))
+            yield pd.DataFrame(out, columns=names)
+
+    kinds = ", ".join(f"r_{part}" for part in _RESULT.split(", "))
+    return rows, f"{_OPEN}, {kinds}"
 
 
 def random_effects(
@@ -308,11 +300,11 @@ def random_effects(
     moderators: Sequence[str] = (),
     method: str = "REML",
     level: float = 0.95,
-    pack_limit: int = PACK_LIMIT,
 ) -> DataFrame:
     """Random-effects pooling or meta-regression of every outcome: one row per
     outcome with tau^2, Q, I^2, the moderator test and coefficient arrays
-    (intercept first) with Knapp-Hartung errors."""
+    (intercept first) with Knapp-Hartung errors. `method` is REML, ML or DL; an
+    outcome whose tau^2 does not settle is an error."""
     parts = [F.lit(1.0), *[F.col(m).cast("double") for m in moderators]]
     p = len(parts)
     rows = df.select(
@@ -321,41 +313,25 @@ def random_effects(
         F.col("vi").cast("double").alias("vi"),
         F.array(*parts).alias("x"),
     ).where("yi is not null and vi > 0 and outcome is not null and not exists(x, v -> v is null)")
-    sizes = rows.groupBy("outcome").agg(F.count("*").alias("_n"))
-    large = [r.outcome for r in sizes.where(F.col("_n") > pack_limit).collect()]
-    spark = df.sparkSession
-
-    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = [
-                _result(
-                    r.outcome,
-                    _solve_packed(
-                        np.array([s["yi"] for s in r.studies]),
-                        np.array([s["vi"] for s in r.studies]),
-                        np.array([list(s["x"]) for s in r.studies], float),
-                        method,
-                    ),
-                    method,
-                    level,
-                )
-                for r in frame.itertuples()
-            ]
-            yield pd.DataFrame(out, columns=_columns())
-
-    small = rows
-    if large:
-        names = spark.createDataFrame([(o,) for o in large], "outcome string")
-        small = rows.join(names, "outcome", "left_anti")
-    packed = small.groupBy("outcome").agg(
-        F.collect_list(F.struct("yi", "vi", "x")).alias("studies")
+    rows = rows.persist()
+    step, schema = _score_step(p, method, level)
+    results = [f"r_{c}" for c in _columns()]
+    state = rows.select("outcome").distinct().selectExpr(
+        "outcome", "0D as tau2", "0 as rounds", "0D as q", "0L as q_df", "0D as tr_p0"
     )
-    result = packed.mapInPandas(solve, _RESULT)
-    if large:
-        fits = _solve_large(rows, large, p, method)
-        rest = [_result(o, f, method, level) for o, f in fits.items()]
-        result = result.unionByName(spark.createDataFrame(rest, _RESULT))
-    return result
+    finished = None
+    try:
+        for _ in range(_STEPS):
+            moments = rows.join(state, "outcome").groupBy("outcome", "tau2", "rounds", "q", "q_df", "tr_p0")
+            after = settled(moments.agg(*_moment_columns(p)).mapInPandas(step, schema))
+            done = after.where("done").select(results)
+            finished = done if finished is None else finished.unionByName(done)
+            state = after.where("not done").drop("done", *results)
+            if state.isEmpty():
+                return finished.toDF(*_columns())
+    finally:
+        rows.unpersist()
+    raise ValueError(f"tau^2 has not settled in {_STEPS} steps")
 
 
 def _columns() -> list[str]:

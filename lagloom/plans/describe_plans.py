@@ -8,7 +8,7 @@ from lagloom.functions import dates, factors, text
 from lagloom.operators import clean, describe
 from lagloom.plans import fixtures as fx
 from lagloom.plans.registry import analysis, rounded
-from lagloom.plans.sql_text import BIRTHS, PRETERM, SEASON, floor_week
+from lagloom.plans.sql_text import BIRTHS, PRETERM, SEASON, floor_week, normal_p_sql, t_p_sql
 
 _WEEK = floor_week("cast(ts as date)")
 
@@ -282,8 +282,9 @@ def cross_table(spark, folder):
       union all select 'season', (month(birth) % 12) // 3, y from scored
       union all select 'band', case when price <= 24000 then 0 when price <= 48000 then 1
                                     when price <= 72000 then 2 else 3 end, y from scored)
-    select variable, count(*) as n,
-      round((count(*) - 1) * power(corr(x, y), 2), 5) as statistic from v group by 1"""
+    , s as (select variable, count(*) as n, (count(*) - 1) * power(corr(x, y), 2) as statistic from v group by 1)
+    select variable, n, round(statistic, 5) as statistic,
+      round({normal_p_sql("sqrt(statistic)")}, 7) as p_value from s"""
 )
 def trend_stat(spark, folder):
     levels = ["<=24k", "24k-48k", "48k-72k", ">72k"]
@@ -296,7 +297,8 @@ def trend_stat(spark, folder):
         },
         factors.level_order(fx.preterm(), fx.PRETERM_CLASSES) - 1,
     )
-    return out.select("variable", "n", rounded("statistic", 5).alias("statistic"))
+    return out.select("variable", "n", rounded("statistic", 5).alias("statistic"),
+                      rounded("p_value", 7).alias("p_value"))
 
 
 @analysis(
@@ -434,12 +436,14 @@ _CORR = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 @analysis(
-    " union all ".join(
-        f"select '{a}' as a, '{b}' as b, round(corr({a}, {b}), 8) as r, count(*) as n from lineitem"
+    "with c as ("
+    + " union all ".join(
+        f"select '{a}' as a, '{b}' as b, corr({a}, {b}) as r, count(*) as n from lineitem"
         for i, a in enumerate(_CORR)
         for b in _CORR[i + 1 :]
     )
+    + f") select a, b, round(r, 8) as r, n, round({t_p_sql('r * sqrt((n - 2) / (1 - r * r))', 'n - 2')}, 7) as p_value from c"
 )
 def correlations(spark, folder):
     out = describe.correlations(fx.table(spark, folder, "lineitem"), _CORR)
-    return out.withColumn("r", rounded("r", 8))
+    return out.withColumns({"r": rounded("r", 8), "p_value": rounded("p_value", 7)})

@@ -9,7 +9,8 @@ from lagloom.models.cox import cox_design, fit_cox_models
 from lagloom.operators import effects, pooling
 from lagloom.plans import fixtures as fx
 from lagloom.plans.registry import analysis, rounded
-from lagloom.plans.sql_text import ARMS
+from lagloom.plans.sql_text import ARMS, chi2_p_sql, t_p_sql
+from lagloom.session import settled
 
 _KEYS = ["outcome", "study"]
 
@@ -237,6 +238,16 @@ def pool_q_i2(spark, folder):
                       rounded("i2").alias("i2"), rounded("h2").alias("h2"))
 
 
+@analysis(
+    f"with {ARMS} {_FIXED} select outcome, k, round(q, 6) as q, k - 1 as q_df, "
+    f"round({chi2_p_sql('q', 'k - 1')}, 7) + 0 as q_p from t"
+)
+def pool_q_test(spark, folder):
+    """The test of equal effects."""
+    out = pooling.heterogeneity(_smd(spark, folder), ["outcome"])
+    return out.select("outcome", "k", rounded("q").alias("q"), "q_df", rounded("q_p", 7).alias("q_p"))
+
+
 def _scoring_sql(method: str) -> str:
     """Scoring steps of an intercept-only fit as a recursive query."""
     move = {
@@ -311,9 +322,52 @@ def metareg_fixed_tau(spark, folder):
                        rounded("intercept").alias("intercept"))
 
 
-@analysis()
+def _line_sql(source: str) -> str:
+    """Weighted lines of yi on mod_quantity: every study with its weight w, the
+    distance u from the weighted mean, the residual e and the sums sw, suu."""
+    over = "over (partition by outcome, i)"
+    return f"""(select *, v - suv / suu * u as e from (
+      select *, sum(w * u * u) {over} as suu, sum(w * u * v) {over} as suv from (
+        select *, x - sum(w * x) {over} / sw as u, yi - sum(w * yi) {over} / sw as v from (
+          select *, sum(w) {over} as sw from ({source}) s0) s1) s2) s3)"""
+
+
+_LINE_STEP = _line_sql(
+    "select s.outcome, s.i, s.tau2, m.yi, m.mod_quantity as x, 1 / (m.vi + s.tau2) as w "
+    "from mstep s join smd m on m.outcome = s.outcome where s.i < 60"
+)
+_AT = "select m.outcome, study, 0 as i, yi, mod_quantity as x, 1 / (vi + {0}) as w from smd m join mlast using (outcome)"
+# REML of one moderator: traces of P and P P from the weights and distances.
+_METAREG = _scoring_sql("REML") + f""",
+  mstep(outcome, i, tau2) as (
+    select outcome, 0, cast(tau2 as double) from t
+    union all
+    select outcome, i + 1, greatest(0, tau2 + (pp - (w1 - h2)) / (w2 - 2 * h3 + a * a + 2 * b * b + c * c)) from (
+      select outcome, i, any_value(tau2) as tau2, sum(w * w * e * e) as pp, sum(w) as w1, sum(w * w) as w2,
+        sum(w * w * (1 / sw + u * u / suu)) as h2, sum(w * w * w * (1 / sw + u * u / suu)) as h3,
+        sum(w * w) / any_value(sw) as a, sum(w * w * u) / sqrt(any_value(sw) * any_value(suu)) as b,
+        sum(w * w * u * u) / any_value(suu) as c
+      from {_LINE_STEP} g group by outcome, i)),
+  mlast as (select outcome, tau2 from mstep where i = 60),
+  fitted as (select * from {_line_sql(_AT.format("mlast.tau2"))} f),
+  zero as (select outcome, sum(w * e * e) as q, count(*) - 2 as q_df,
+      sum(w) - sum(w * w * (1 / sw + u * u / suu)) as tr from {_line_sql(_AT.format("0"))} z group by 1),
+  line as (select outcome, count(*) as k, any_value(suv / suu) as slope, any_value(yi - e - suv / suu * x) as a,
+      sqrt(sum(w * e * e) / (count(*) - 2) / any_value(suu)) as slope_se from fitted group by 1)"""
+
+
+@analysis(
+    f"""with recursive {ARMS} {_METAREG}
+    select l.outcome, k, round(m.tau2, 6) + 0 as tau2,
+      round(case when n.tau2 > 0 then greatest(0, 1 - m.tau2 / n.tau2) else 0 end, 6) + 0 as r2,
+      round(m.tau2 / (m.tau2 + q_df / tr), 6) + 0 as i2_resid, round(q, 6) as q,
+      round({chi2_p_sql("q", "q_df")}, 6) + 0 as q_p, round(power(slope / slope_se, 2), 6) as fm,
+      round({t_p_sql("slope / slope_se", "k - 2")}, 6) as fm_p, round(slope, 6) + 0 as slope,
+      round(slope_se, 6) as slope_se, round({t_p_sql("slope / slope_se", "k - 2")}, 6) as slope_p
+    from line l join zero z using (outcome) join mlast m using (outcome) join last n using (outcome)"""
+)
 def metareg_reml(spark, folder):
-    rows = _smd(spark, folder)
+    rows = settled(_smd(spark, folder))
     none = pooling.random_effects(rows, method="REML")
     fits = pooling.explained(
         pooling.random_effects(rows, moderators=["mod_quantity"], method="REML"), none
@@ -337,9 +391,14 @@ def metareg_ml(spark, folder):
     return out.select("outcome", "term", *[rounded(c, 5).alias(c) for c in nums])
 
 
-@analysis()
+@analysis(
+    f"""with recursive {ARMS} {_METAREG}
+    select outcome, study, round(x, 6) as mod_quantity, round(yi, 6) + 0 as yi,
+      round(100 * w / sw, 6) as weight_pct, round(a + slope * x, 6) + 0 as fitted
+    from fitted join line using (outcome)"""
+)
 def bubble(spark, folder):
-    rows = _smd(spark, folder)
+    rows = settled(_smd(spark, folder))
     fits = pooling.random_effects(rows, moderators=["mod_quantity"], method="REML")
     out = pooling.bubble_rows(rows, fits, "mod_quantity")
     return out.select(
@@ -347,9 +406,15 @@ def bubble(spark, folder):
     )
 
 
-@analysis()
+@analysis(
+    f"""with recursive {ARMS} {_METAREG},
+    span as (select outcome, min(x) as lo, max(x) as hi from fitted group by 1)
+    select outcome, round(lo + j * (hi - lo) / 19, 6) as mod_quantity,
+      round(a + slope * (lo + j * (hi - lo) / 19), 6) + 0 as fitted
+    from span join line using (outcome), range(20) r(j)"""
+)
 def bubble_line(spark, folder):
-    rows = _smd(spark, folder)
+    rows = settled(_smd(spark, folder))
     fits = pooling.random_effects(rows, moderators=["mod_quantity"], method="REML")
     out = pooling.bubble_line(rows, fits, "mod_quantity")
     return out.select("outcome", *[rounded(c, 6).alias(c) for c in ("mod_quantity", "fitted")])
@@ -357,7 +422,7 @@ def bubble_line(spark, folder):
 
 @analysis()
 def lrt(spark, folder):
-    rows = _smd(spark, folder)
+    rows = settled(_smd(spark, folder))
     small = pooling.random_effects(rows, moderators=["mod_quantity"], method="ML")
     large = pooling.random_effects(
         rows, moderators=["mod_quantity", "mod_discount"], method="ML"

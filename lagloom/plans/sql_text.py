@@ -142,3 +142,30 @@ def natural_two_knots(x: str, k1: str, k2: str, lo: str, hi: str) -> list[str]:
         f"({b[4]} - {fifth} / {fourth} * {b[3]})",
         f"({b[5]} - {last} / {fourth} * {b[3]})",
     ]
+
+
+def simpson(f: str, x: str, to: str, steps: int = 600) -> str:
+    """Integral of the SQL expression `f` of the lambda variable `x` from 0 to
+    `to`, by Simpson's rule."""
+    h = f"(({to}) / {steps}.0::double)"
+    inner = f.replace(f"@{x}", f"(i * {h})")
+    weight = f"(case when i = 0 or i = {steps} then 1 when i % 2 = 1 then 4 else 2 end)"
+    return f"(list_sum(list_transform(range({steps + 1}), lambda i: {weight} * ({inner}))) * {h} / 3)"
+
+
+def t_p_sql(t: str, df: str) -> str:
+    """Two-sided p of Student t: an integral over the angle atan(t / sqrt(df))."""
+    scale = f"(2 / sqrt(pi()) * exp(lgamma((({df}) + 1) / 2.0::double) - lgamma(({df}) / 2.0::double)))"
+    area = simpson(f"power(cos(@x), ({df}) - 1)", "x", f"atan(abs({t}) / sqrt({df}))")
+    return f"greatest(0, 1 - {scale} * {area})"
+
+
+def chi2_p_sql(q: str, df: str) -> str:
+    """Upper tail of chi-square, as an integral over the root of x."""
+    area = simpson(f"power(@x, ({df}) - 1) * exp(-@x * @x / 2)", "x", f"sqrt({q})")
+    return f"greatest(0, 1 - {area} / exp(lgamma(({df}) / 2.0::double) + ln(2) * (({df}) / 2.0::double - 1)))"
+
+
+def normal_p_sql(z: str) -> str:
+    """Two-sided p of a normal deviate."""
+    return f"greatest(0, 1 - sqrt(2 / pi()) * {simpson('exp(-@x * @x / 2)', 'x', f'abs({z})')})"

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lagloom.operators import effects, pooling
 
@@ -67,18 +68,25 @@ def test_fit_is_the_likelihood_maximum(spark, studies, method, mods):
         assert got["single"].tau2 == 0.0 and got["single"].std_error == [None]
 
 
+@pytest.mark.parametrize("method", ["REML", "ML", "DL"])
 @pytest.mark.parametrize("mods", [[], ["x"]])
-def test_large_outcomes_agree_with_packed_ones(spark, studies, mods):
-    df = spark.createDataFrame(studies, SCHEMA).repartition(5)
-    packed = {r.outcome: r for r in pooling.random_effects(df, moderators=mods).collect()}
-    split = {r.outcome: r for r in pooling.random_effects(df, moderators=mods, pack_limit=15).collect()}
-    assert set(packed) == set(split)
-    for o, r in packed.items():
-        s = split[o]
-        assert s.tau2 == pytest.approx(r.tau2, abs=1e-9)
+def test_outcomes_together_agree_with_one_by_one(spark, studies, mods, method):
+    """Each outcome settles at its own step; one has far more studies."""
+    rng = np.random.default_rng(4)
+    more = [("many", float(y), 0.2 + float(rng.random()), float(rng.random()), float(rng.random())) for y in rng.normal(size=3000)]
+    df = spark.createDataFrame([*studies, *more], SCHEMA).repartition(5)
+    together = {r.outcome: r for r in pooling.random_effects(df, moderators=mods, method=method).collect()}
+    for o in sorted(together)[:3] + ["many"]:
+        (alone,) = pooling.random_effects(df.where(F.col("outcome") == o), moderators=mods, method=method).collect()
+        assert alone.tau2 == pytest.approx(together[o].tau2, abs=1e-9)
         if o != "single":
-            np.testing.assert_allclose(s.estimate, r.estimate, rtol=1e-9)
-            np.testing.assert_allclose(s.conf_low, r.conf_low, rtol=1e-7)
+            np.testing.assert_allclose(alone.estimate, together[o].estimate, rtol=1e-9)
+
+
+def test_an_outcome_that_does_not_settle_is_an_error(spark, studies, monkeypatch):
+    monkeypatch.setattr(pooling, "_STEPS", 1)
+    with pytest.raises(ValueError, match="settled"):
+        pooling.random_effects(spark.createDataFrame(studies, SCHEMA))
 
 
 def test_heterogeneity_and_comparison(spark, studies):
