@@ -198,19 +198,25 @@ def score_texts(model: dict, texts: list[str | None]) -> tuple[list[str], np.nda
     return names, shares
 
 
+_SCORED = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+
+
 def _score(shared):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Language and score of each text; the texts themselves do not come back."""
+
+    def scored(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                names, shares = score_texts(model, part.column(part.num_columns - 1).to_pylist())
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(names, pa.string()), pa.array(shares)],
-                    names=[*part.schema.names, "lang_pred", "score"],
-                )
+            names, shares = [], []
+            for at in range(0, len(batch), 500):
+                n, s = score_texts(model, batch.slice(at, 500).to_pylist())
+                names += n
+                shares.append(s)
+            values = [pa.array(names, pa.string()), pa.array(np.concatenate([np.empty(0), *shares]))]
+            yield pa.StructArray.from_arrays(values, names=["lang_pred", "score"])
 
-    return rows
+    # Called once per row: Spark must not repeat it where its fields are used.
+    return F.arrow_udf(scored, _SCORED).asNondeterministic()
 
 
 def predict(docs: DataFrame, model: dict, text: str = "text", keep_text: bool = False) -> DataFrame:
@@ -219,9 +225,11 @@ def predict(docs: DataFrame, model: dict, text: str = "text", keep_text: bool =
 
     A text that is null or without a letter is `und` with score 0; so is every
     text if nothing was learned. Columns named lang_pred or score are replaced.
-    The text crosses to the workers once either way."""
+    The text goes to the workers once and does not come back."""
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "lang_pred", "score")]
+    score = _score(docs.sparkSession.sparkContext.broadcast(model))
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
-    schema = StructType([*rows.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
-    out = rows.mapInArrow(_score(docs.sparkSession.sparkContext.broadcast(model)), schema)
-    return out if keep_text else out.drop(text)
+    kept = [*rest, text] if keep_text else rest
+    return rows.withColumn("_ll_p", score(F.col(f"`{text}`"))).select(
+        *[F.col(f"`{c}`") for c in kept], "_ll_p.lang_pred", "_ll_p.score"
+    )

@@ -8,10 +8,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructType
 
 from lagloom.llm.automaton import Dfa
 from lagloom.llm.shared import with_replaced
@@ -106,10 +107,9 @@ class Scanner:
         found = [(a, r, b) for r in hits for a, b in self._spans(r, data)]
         if len(data) != len(text):
 
-            def points(at: int) -> int:
-                return len(data[:at].decode("utf-8", "surrogatepass"))
-
-            found = [(points(a), r, points(b)) for a, r, b in found]
+            # Code points up to each byte: all bytes but those that continue one.
+            points = np.cumsum(np.frombuffer(data, np.int8) >= -64).tolist()
+            found = [(points[a - 1] if a else 0, r, points[b - 1]) for a, r, b in found]
         return sorted(found)
 
 
@@ -122,22 +122,22 @@ def scanner(rules: tuple[Rule, ...]) -> Scanner:
 _SPANS = ArrayType(StructType().add("kind", StringType()).add("start", IntegerType()).add("end", IntegerType()))
 
 
+_KIND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
+
+
 def _scan(rules: tuple[Rule, ...]):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The spans of each text; the texts themselves do not come back."""
+
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scan = scanner(rules)
-        kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
-                found = [
-                    [{"kind": rules[r].kind, "start": a, "end": b} for a, r, b in scan.spans(t.as_py())]
-                    for t in part.column(part.num_columns - 1)
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(found, kind)], names=[*part.schema.names, "spans"]
-                )
+        for texts in batches:
+            found = [
+                [{"kind": rules[r].kind, "start": a, "end": b} for a, r, b in scan.spans(t.as_py())] for t in texts
+            ]
+            yield pa.array(found, _KIND)
 
-    return rows
+    # Called once per row: Spark must not repeat it where spans are used.
+    return F.arrow_udf(spans, _SPANS).asNondeterministic()
 
 
 def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -149,8 +149,7 @@ def find_secrets(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
     replaced."""
     rest = [c for c in docs.columns if c.lower() not in (text.lower(), "spans")]
     rows = docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text}`"))
-    schema = StructType([*rows.schema.fields, StructField("spans", _SPANS)])
-    return rows.mapInArrow(_scan(rules), schema)
+    return rows.withColumn("spans", _scan(rules)(F.col(f"`{text}`")))
 
 
 def masked(found: DataFrame, text: str = "text") -> DataFrame:
