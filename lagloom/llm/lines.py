@@ -9,7 +9,7 @@ words with a dropped line), and the texts are read once more to apply them."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.shared import partitions_for, scratch, small_side, with_replaced
@@ -57,12 +57,12 @@ def drop_bitmaps(hashes: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     A hash found in `min_docs` documents or more is kept only in its largest
     document. Documents that lose nothing have no row."""
     n = partitions_for(hashes.sparkSession)
-    ordered = hashes.repartitionByRange(n, "h1", "h2", F.desc("doc")).sortWithinPartitions(
-        "h1", "h2", F.desc("doc"), "pos"
-    )
-    # Range-partitioned by (hash, document): the first occurrence in each
-    # document needs no further exchange, a frequent hash meets as partial rows.
-    firsts = ordered.groupBy("h1", "h2", "doc").agg(F.min("pos").alias("first_pos"))
+    ordered = hashes.repartitionByRange(n, "h1", "h2", "doc").sortWithinPartitions("h1", "h2", "doc", "pos")
+    # Range-partitioned by (hash, document) and in order: equal hashes stream
+    # past and the first occurrence in each document is marked without another
+    # exchange; a frequent hash then meets as partial rows.
+    run = Window.partitionBy("h1", "h2", "doc").orderBy("pos")
+    firsts = ordered.withColumn("before", F.lag("pos").over(run)).where("before is null")
     repeated = (
         firsts.groupBy("h1", "h2")
         .agg(F.count("*").alias("n_docs"), F.max("doc").alias("keeper"))
