@@ -295,6 +295,8 @@ def fit_cox(
             lambda _, c: pack(c["n"] @ c["x"], c["n"].sum(), c["event"].sum()),
         )
         count = {m: int(v[p]) for m, v in sizes.items()}
+        lost_rows = padded.where(F.col("model").isin(list(labels)) & ~F.coalesce(whole("x"), F.lit(False)))
+        dropped = {r["model"]: int(r["n"]) for r in lost_rows.groupBy("model").agg(F.sum("n").alias("n")).collect()}
         deaths = {m: int(v[p + 1]) for m, v in sizes.items()}
         lost = sorted(set(labels) - {m for m, d in deaths.items() if d > 0})
         if lost:
@@ -327,7 +329,7 @@ def fit_cox(
                     k = width[m]
                     done[m] = Fitted(
                         m, labels[m], current[m][:k], inv[:k, :k], count[m], loglik,
-                        n_event=deaths[m], iterations=iteration, converged=bool(settled),
+                        n_event=deaths[m], iterations=iteration, n_dropped=dropped.get(m, 0),
                     )
                 else:
                     moves[m] = sol

@@ -24,6 +24,7 @@ class Fitted:
     n_event: int | None = None
     iterations: int = 0
     converged: bool = True
+    n_dropped: int = 0
     use_t: bool = False
 
     def block(self, terms: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -39,7 +40,7 @@ class Fitted:
 _TIDY = (
     "model string, term string, estimate double, std_error double, statistic double, "
     "p_value double, conf_low double, conf_high double, exp_estimate double, "
-    "exp_low double, exp_high double, n long"
+    "exp_low double, exp_high double, n long, n_dropped long, converged boolean"
 )
 
 
@@ -50,7 +51,7 @@ def _clean(v):
 
 def tidy(spark: SparkSession, fits: list[Fitted], level: float = 0.95) -> DataFrame:
     """Coefficient table: estimate, interval and p value, also on the ratio
-    scale. Aliased terms have null errors."""
+    scale, with the rows used and left out. Aliased terms have null errors."""
     rows = []
     for f in fits:
         se = np.sqrt(np.diag(f.cov))
@@ -71,7 +72,7 @@ def tidy(spark: SparkSession, fits: list[Fitted], level: float = 0.95) -> DataFr
                 ]
             rows.append(
                 (f.name, term, est, _clean(se[i]), _clean(z[i]), _clean(p[i]),
-                 _clean(lo[i]), _clean(hi[i]), *ratio, int(f.n))
+                 _clean(lo[i]), _clean(hi[i]), *ratio, int(f.n), int(f.n_dropped), bool(f.converged))
             )
     return spark.createDataFrame(rows, _TIDY)
 

@@ -188,7 +188,7 @@ def fit_design(
     for iteration in range(max_iter):
         found = step(beta)
         for m, (upper, sums) in found.items():
-            dev, pearson, ll, n = (float(v) for v in sums)
+            dev, pearson, ll, n, lost = (float(v) for v in sums)
             if n == 0 or m in done:
                 continue
             coef, root, _ = least_squares(upper)
@@ -203,7 +203,7 @@ def fit_design(
                 cov[aliased, :] = cov[:, aliased] = np.nan
                 done[m] = Fitted(
                     m, labels[m], beta[m], cov, int(n), ll, dev, phi, df_resid,
-                    iterations=iteration, converged=True, use_t=fam.scaled,
+                    iterations=iteration, use_t=fam.scaled, n_dropped=int(lost),
                 )
             elif m in beta:
                 last[m] = dev

@@ -1,8 +1,16 @@
-"""Conditional logistic regression on matched sets with one case each."""
+"""Conditional logistic regression on matched sets.
+
+A set with m cases contributes the probability that its cases are those and no
+other m members. Its denominator is an elementary symmetric polynomial of the
+members' exp(eta); the polynomials of two parts of a set multiply, so they are
+an aggregate: parts of a set are expanded in their tasks, then merged by set."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,27 +44,116 @@ def _set_sums(rows: DataFrame, p: int) -> DataFrame:
         *[F.sum(F.col("w") * x[i] * x[j]).alias(f"s2_{i}_{j}") for i, j in upper],
         *[F.sum(F.when(is_case, v).otherwise(0.0)).alias(f"ex_{i}") for i, v in enumerate(x)],
     )
-    return sums.where("cases = 1 and n > 1").select(
-        F.lit("model").alias("model"), "n", "s0", "ee",
+    return sums.where("cases >= 1 and cases < n").select(
+        F.lit("model").alias("model"), "set", "n", "cases", "s0", "ee",
         F.array(*[F.col(f"s1_{i}") for i in range(p)]).alias("s1"),
         F.array(*[F.col(f"s2_{i}_{j}") for i, j in upper]).alias("s2"),
         F.array(*[F.col(f"ex_{i}") for i in range(p)]).alias("ex"),
     )
 
 
+# Cases of one set: beyond, the scaled polynomials leave double precision.
+_CASES = 600
+# Sets whose polynomials a task holds before it sends them on.
+_HELD = 4096
+
+
+def _grown(poly: tuple, w: float, x: np.ndarray) -> tuple:
+    """Polynomial (values, first and second derivatives by the coefficients, per
+    degree) after one more member."""
+    e, s, q = poly
+    sx = s[:-1, :, None] * x
+    e2, s2, q2 = e.copy(), s.copy(), q.copy()
+    q2[1:] += w * (q[:-1] + sx + sx.transpose(0, 2, 1) + e[:-1, None, None] * np.outer(x, x))
+    s2[1:] += w * (s[:-1] + e[:-1, None] * x)
+    e2[1:] += w * e[:-1]
+    return e2, s2, q2
+
+
+def _multiplied(a: tuple, b: tuple) -> tuple:
+    """Polynomial of two parts of a set together."""
+    (e, s, q), (f, t, r) = a, b
+    out = np.zeros_like(e), np.zeros_like(s), np.zeros_like(q)
+    for j in range(len(e)):
+        n = len(e) - j
+        out[0][j:] += e[j] * f[:n]
+        out[1][j:] += s[j] * f[:n, None] + e[j] * t[:n]
+        cross = s[j][:, None] * t[:n, None, :]
+        out[2][j:] += q[j] * f[:n, None, None] + e[j] * r[:n] + cross + cross.transpose(0, 2, 1)
+    return out
+
+
+def _unit(m: int, p: int) -> tuple:
+    e = np.zeros(m + 1)
+    e[0] = 1.0
+    return e, np.zeros((m + 1, p)), np.zeros((m + 1, p, p))
+
+
+def _several_cases(rows: DataFrame, sets: DataFrame, p: int) -> DataFrame:
+    """(model, vec): log likelihood, score, information and size of every set
+    with several cases. exp(eta) enters in units of its sum over the cases, so
+    that polynomials stay in range."""
+    about = sets.where("cases > 1").select(F.col("set").alias("_set"), "cases", "s0", "ee", "ex", "n")
+    members = rows.join(about, F.col("set") == F.col("_set")).select(
+        F.to_json(F.struct("set")).alias("key"), F.expr("w * cases / s0").alias("u"), "x",
+        F.col("cases").cast("int").alias("m"),
+        F.concat(F.array("ee", "n", F.expr("ln(s0 / cases)")), "ex").alias("about"),
+    )
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
+
+        def emit() -> pa.RecordBatch:
+            kinds = [pa.string(), pa.int32(), pa.list_(pa.float64()), pa.list_(pa.float64())]
+            columns = [
+                list(held), [m for _, m, _ in held.values()],
+                [np.concatenate([part.ravel() for part in poly]).tolist() for poly, _, _ in held.values()],
+                [a for _, _, a in held.values()],
+            ]
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "m", "poly", "about"]
+            )
+
+        for batch in batches:
+            for r in batch.to_pylist():
+                poly, m, info = held.get(r["key"]) or (_unit(r["m"], p), r["m"], r["about"])
+                held[r["key"]] = (_grown(poly, r["u"], np.array(r["x"])), m, info)
+                if len(held) >= _HELD:
+                    yield emit()
+                    held.clear()
+        yield emit()
+
+    def merged(key: tuple, table: pa.Table) -> pa.Table:
+        total = None
+        for r in table.to_pylist():
+            m, flat = r["m"], np.array(r["poly"])
+            cuts = np.split(flat, [m + 1, (m + 1) * (1 + p)])
+            poly = cuts[0], cuts[1].reshape(m + 1, p), cuts[2].reshape(m + 1, p, p)
+            total = poly if total is None else _multiplied(total, poly)
+        e, s, q = total
+        ee, n, unit = r["about"][:3]
+        mean = s[m] / e[m]
+        vec = pack(ee - np.log(e[m]) - m * unit, np.array(r["about"][3:]) - mean, q[m] / e[m] - np.outer(mean, mean), n, 1.0)
+        return pa.table({"model": pa.array(["model"]), "vec": pa.array([vec.tolist()])})
+
+    polys = members.mapInArrow(parts, "key string, m int, poly array<double>, about array<double>")
+    return polys.groupBy("key").applyInArrow(merged, "model string, vec array<double>")
+
+
 def fit_clogit(
     design: DataFrame, labels: list[str], name: str = "clogit", tol: float = 1e-10,
     max_iter: int = 30,
 ) -> Fitted:
-    """Newton steps, each one aggregate by set and one global sum. Sets with
-    more than one case need another likelihood: they are an error."""
+    """Newton steps, each one aggregate by set and one global sum; sets with
+    several cases add theirs from the exact conditional likelihood. A set of n
+    members and m cases costs n m p^2 a step."""
     p = len(labels)
     upper = np.triu_indices(p)
     kept = keep(design)
-    many = kept.where(whole("x")).groupBy("set").agg(F.sum("case").alias("cases")).where("cases > 1").count()
-    if many:
+    most = kept.where(whole("x")).groupBy("set").agg(F.sum("case").alias("m")).agg(F.max("m")).first()[0] or 0
+    if most > _CASES:
         kept.unpersist()
-        raise ValueError(f"{many} matched sets have more than one case")
+        raise ValueError(f"a matched set has {int(most)} cases, more than {_CASES}")
 
     def step(beta: np.ndarray):
         terms = " + ".join(f"x[{i}] * {float(b)!r}D" for i, b in enumerate(beta))
@@ -70,16 +167,21 @@ def fit_clogit(
                 mean.T @ mean, c["n"].sum(), len(c["s0"]),
             )
 
-        vec = sum_vectors(_set_sums(rows, p), block)
-        if "model" not in vec:
-            raise ValueError("no matched set has one case and a control")
-        ll, score, tri, mm, n, sets = unpack(
-            vec["model"], (), (p,), (len(upper[0]),), (p, p), (), ()
-        )
-        full = np.zeros((p, p))
-        full[upper] = tri
-        full = full + np.triu(full, 1).T
-        return ll, score, full - mm, int(n), int(sets)
+        sets = _set_sums(rows, p)
+        vec = sum_vectors(sets.where("cases = 1").drop("set", "cases"), block)
+        total = np.zeros(3 + p + p * p)
+        if "model" in vec:
+            ll, score, tri, mm, n, k = unpack(vec["model"], (), (p,), (len(upper[0]),), (p, p), (), ())
+            full = np.zeros((p, p))
+            full[upper] = tri
+            total += pack(ll, score, full + np.triu(full, 1).T - mm, n, k)
+        if most > 1:
+            more = sum_vectors(_several_cases(rows, sets, p), lambda _, c: c["vec"].sum(0))
+            total += more.get("model", 0.0)
+        ll, score, info, n, k = unpack(total, (), (p,), (p, p), (), ())
+        if not k:
+            raise ValueError("no matched set has a case and a control")
+        return ll, score, info, int(n), int(k)
 
     try:
         beta = np.zeros(p)
@@ -96,6 +198,8 @@ def fit_clogit(
             ll, score, info, n, sets = trial
             if settled:
                 break
+        else:
+            raise ValueError(f"no convergence in {max_iter} steps")
         _, inv = solve_information(info, score)
     finally:
         kept.unpersist()

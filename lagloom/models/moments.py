@@ -219,7 +219,8 @@ def triangular_factors(
     df: DataFrame, block: Callable[[str, dict[str, np.ndarray]], tuple[np.ndarray, np.ndarray]]
 ) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Per model the triangular factor of all rows of `block(model, columns)`
-    and the sums of its second value; rows with a NaN are left out.
+    and the sums of its second value, followed by the number of rows that were
+    left out for a NaN.
 
     Each task factors its Arrow blocks one below the other and returns one
     factor; the factors are merged in a tree of _FAN at a time, so no task and
@@ -232,9 +233,11 @@ def triangular_factors(
             if batch.num_rows == 0:
                 continue
             for model, cols in _by_model(batch):
+                size = len(next(iter(cols.values())))
                 cols = _complete(cols)
+                lost = size - len(next(iter(cols.values())))
                 rows, sums = block(model, cols)
-                _fold(found, model, _stacked(None, rows), sums)
+                _fold(found, model, _stacked(None, rows), np.append(sums, lost))
         yield _emit_factors(found)
 
     if df.columns[0] != "model":

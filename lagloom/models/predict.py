@@ -55,30 +55,21 @@ def _effects(
     terms: list[str] | None,
 ) -> DataFrame:
     cen = default_centre(cb.var) if cen is None else cen
-    coef, cov = fit.block(terms or cb.terms)
-    if not np.all(np.isfinite(cov)):
-        raise ValueError("some terms of the design are aliased in this fit")
+    coef, cov = _usable(cb, fit, terms)
     base = _literal_rows(_centre_values(cb, cen)[None])
     grid = spark.createDataFrame([(float(v),) for v in at], "at double")
     lags = ", ".join(
         f"struct({k} as lag, array({', '.join(repr(float(v)) + 'D' for v in c)}) as c)"
         for k, c in lag_rows
     )
-    z = "flatten(transform(_d, v -> transform(c, w -> v * w)))"
     half = normal_quantile(0.5 + level / 2.0)
     out = (
         grid.withColumn("_b", cb.var.column("at"))
         .withColumn("_d", F.expr(f"zip_with(_b, {base}[0], (p, q) -> p - q)"))
         .withColumn("_g", F.explode(F.expr(f"array({lags})")))
         .select("at", "_d", "_g.*")
-        .withColumn("_z", F.expr(z))
-        .withColumn("fit", F.expr(_DOT.format(a="_z", b=f"{_literal_rows(coef[None])}[0]")))
-        .withColumn(
-            "_vz",
-            F.expr(f"transform({_literal_rows(cov)}, r -> {_DOT.format(a='r', b='_z')})"),
-        )
-        .withColumn("se", F.expr(f"sqrt(greatest({_DOT.format(a='_z', b='_vz')}, 0D))"))
     )
+    out = _with_effect(out, coef, cov)
     lo, hi = F.col("fit") - half * F.col("se"), F.col("fit") + half * F.col("se")
     return out.select(
         F.lit(fit.name).alias("model"),
@@ -93,6 +84,55 @@ def _effects(
     )
 
 
+def _usable(cb: CrossBasis, fit: Fitted, terms: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
+    coef, cov = fit.block(terms or cb.terms)
+    if not np.all(np.isfinite(cov)):
+        raise ValueError("some terms of the design are aliased in this fit")
+    return coef, cov
+
+
+def _with_effect(rows: DataFrame, coef: np.ndarray, cov: np.ndarray) -> DataFrame:
+    """fit = z'b and se = sqrt(z'Vz) for z from basis differences `_d` and lag
+    weights `c`."""
+    z = "flatten(transform(_d, v -> transform(c, w -> v * w)))"
+    return (
+        rows.withColumn("_z", F.expr(z))
+        .withColumn("fit", F.expr(_DOT.format(a="_z", b=f"{_literal_rows(coef[None])}[0]")))
+        .withColumn(
+            "_vz",
+            F.expr(f"transform({_literal_rows(cov)}, r -> {_DOT.format(a='r', b='_z')})"),
+        )
+        .withColumn("se", F.expr(f"sqrt(greatest({_DOT.format(a='_z', b='_vz')}, 0D))"))
+    )
+
+
+def contrast_rows(
+    df: DataFrame, cb: CrossBasis, fit: Fitted, at: str = "at", cen: str = "cen",
+    level: float = 0.95, terms: list[str] | None = None,
+) -> DataFrame:
+    """Every row of `df` with the effect of its own exposure `at` against its
+    own centre `cen`, sustained over all lags: fit, se, rr, rr_low, rr_high. A
+    null point or centre gives null effects. Any number of rows; nothing but the
+    coefficients is on the driver."""
+    coef, cov = _usable(cb, fit, terms)
+    half = normal_quantile(0.5 + level / 2.0)
+    weights = _literal_rows(cb.weights.sum(0)[None])
+    rows = (
+        df.withColumn("_b", cb.var.column(at))
+        .withColumn("_b0", cb.var.column(cen))
+        .withColumn("_d", F.expr("zip_with(_b, _b0, (p, q) -> p - q)"))
+        .withColumn("c", F.expr(f"{weights}[0]"))
+    )
+    out = _with_effect(rows, coef, cov).drop("_b", "_b0", "_d", "_z", "_vz", "c")
+    return out.withColumns(
+        {
+            "rr": F.exp("fit"),
+            "rr_low": F.exp(F.col("fit") - half * F.col("se")),
+            "rr_high": F.exp(F.col("fit") + half * F.col("se")),
+        }
+    )
+
+
 def lag_effects(
     spark, cb: CrossBasis, fit: Fitted, at, lags=None, cen=None, level=0.95, terms=None
 ) -> DataFrame:

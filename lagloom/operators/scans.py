@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lagloom.session import settled
+
 
 def running_sums(
     df: DataFrame,
@@ -91,6 +93,28 @@ def numbered(
     )
 
 
+def in_order(df: DataFrame, order: Sequence[Column | str], name: str = "position") -> DataFrame:
+    """All rows in one global order with their positions from 1.
+
+    Rows are range-partitioned and sorted inside; a row's position is its place
+    in its partition plus the rows of the partitions before. The partitions are
+    settled first, so that counting and numbering see the same ones. No window
+    holds more than one row per partition. Rows equal in `order` have their
+    positions in any order."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The upper bits of this number are the partition, the lower the place in it.
+    rows = settled(ranged.withColumn("_id", F.monotonically_increasing_id()))
+    part = F.shiftright("_id", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    # One row per partition.
+    placed = rows.join(F.broadcast(offsets), part == F.col("_part"))
+    place = F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.withColumn(name, F.col("_offset") + place + 1).drop("_id", "_part", "_offset")
+
+
 # Cells per power of two in the two searches for a rank. A group's first cells
 # number at most about 2^8 times the binary orders its values span; the second
 # search divides one of them into 2^18.

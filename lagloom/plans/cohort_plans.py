@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lagloom.operators import survival
 from lagloom.operators.clean import first_rows, group_size_filter, semi, wide
 from lagloom.operators.cohort import bind_history, exposure_histories, history_long
-from lagloom.operators.scans import numbered
+from lagloom.operators.scans import in_order, numbered
 from lagloom.plans import fixtures as fx
 from lagloom.plans.registry import analysis, rounded
 from lagloom.plans.sql_text import BIRTHS, SUBJECT, VISITS
@@ -51,6 +51,15 @@ def lag_index(spark, folder):
     return numbered(rows, ["o_custkey"], fx.ORDER, month).select("o_custkey", "o_orderkey", "lag")
 
 
+@analysis(
+    """select event_id, value, row_number() over (order by value desc, event_id) as position from events"""
+)
+def events_in_order(spark, folder):
+    """All events from the largest value to the smallest, numbered."""
+    rows = fx.table(spark, folder, "events").select("event_id", "value")
+    return in_order(rows, [F.desc("value"), F.col("event_id")])
+
+
 def histories(spark, folder, carry=()):
     return exposure_histories(
         fx.visits(spark, folder), "subject", ["place"], "exposure", L,

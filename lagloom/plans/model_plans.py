@@ -23,7 +23,7 @@ from lagloom.plans import fixtures as fx
 from lagloom.plans.cohort_plans import histories
 from lagloom.plans.exposure_plans import births_with_window
 from lagloom.plans.registry import analysis, rounded
-from lagloom.plans.sql_text import BIRTHS, DAILY, SUBJECT, floor_week
+from lagloom.plans.sql_text import BIRTHS, DAILY, SUBJECT, floor_week, newton_one_sql
 
 # --- moments ------------------------------------------------------------------
 
@@ -78,7 +78,8 @@ _DOW = Term("dow", "dow_code", tuple(f"dow{d}" for d in _DAYS[1:]))
 def _tidy_columns(out):
     nums = ["estimate", "std_error", "statistic", "p_value", "conf_low", "conf_high"]
     nums += ["exp_estimate", "exp_low", "exp_high"]
-    return out.select("model", "term", *[rounded(c, 6).alias(c) for c in nums], "n")
+    about = [c for c in ("n", "n_dropped", "converged") if c in out.columns]
+    return out.select("model", "term", *[rounded(c, 6).alias(c) for c in nums], *about)
 
 
 @analysis(
@@ -135,10 +136,10 @@ def gaussian_line(spark, folder):
 
 # --- distributed lags on the daily series -----------------------------------------
 
-# Lags of both exposures in days, the threshold of the second and
-# its lag strata, and the centre of the first.
+# Lags of both exposures in days, the centile of the second that is
+# its threshold and its lag strata, and the centre of the first.
 _TEMP_LAG, _OZONE_LAG = 30, 10
-_THRESHOLD, _STRATA, _CENTRE = 40.3, (2, 6), 25.0
+_THRESHOLD_AT, _STRATA, _CENTRE = 0.75, (2, 6), 25.0
 
 
 class _DailyModel:
@@ -154,8 +155,10 @@ class _DailyModel:
         self.x = crossbasis(
             base, "x", _TEMP_LAG, BasisSpec("bs", df=6, degree=3), self.lags, "x"
         )
+        ends = exact_percentiles(base, [], "z", {"low": 0.0, "cut": _THRESHOLD_AT, "high": 1.0}).first()
+        self.threshold, self.z_range = ends.cut, (ends.low, ends.high)
         self.z = crossbasis(
-            base, "z", _OZONE_LAG, BasisSpec("thr", at=(_THRESHOLD,), side="h"),
+            base, "z", _OZONE_LAG, BasisSpec("thr", at=(self.threshold,), side="h"),
             BasisSpec("strata", breaks=_STRATA), "z",
         )
         ends = base.agg(F.min("time").alias("a"), F.max("time").alias("b")).first()
@@ -206,11 +209,13 @@ def dlnm_overall(spark, folder):
     with _DailyModel(spark, folder) as m:
         fit = m.fit()
         x = predict.overall_effects(spark, m.x, fit, m.grid(), cen=_CENTRE)
-        z = predict.overall_effects(spark, m.z, fit, [*map(float, range(0, 56)), _THRESHOLD, _THRESHOLD + 10])
+        low, high = m.z_range
+        at = [low + (high - low) * i / 40 for i in range(41)]
+        z = predict.overall_effects(spark, m.z, fit, [*at, m.threshold])
         return _effect_columns(
             x.withColumn("exposure", F.lit("x")).unionByName(z.withColumn("exposure", F.lit("z"))),
             "exposure",
-        )
+        ).withColumn("at", rounded("at"))
 
 
 @analysis()
@@ -294,7 +299,8 @@ def dlnm_score_rows(spark, folder):
             sum((s2 - m2) * (y - my)) as c2 from lagged, m),
     b as (select (a22 * c1 - a12 * c2) / (a11 * a22 - a12 * a12) as b1,
             (a11 * c2 - a12 * c1) / (a11 * a22 - a12 * a12) as b2 from s)
-    select round(b1, 8) as lag_0_1, round(b2, 8) as lag_2_5, round(2 * b1 + 4 * b2, 8) as overall
+    select round(b1, 8) as lag_0_1, round(b2, 8) as lag_2_5, round(2 * b1 + 4 * b2, 8) as overall,
+      (select count(*) from lagged) as n_kept, (select count(*) from daily) - (select count(*) from lagged) as n_dropped
     from b"""
 )
 def dlm_gaussian(spark, folder):
@@ -309,6 +315,8 @@ def dlm_gaussian(spark, folder):
         rounded(F.lit(float(fit.coef[1])), 8).alias("lag_0_1"),
         rounded(F.lit(float(fit.coef[2])), 8).alias("lag_2_5"),
         rounded("fit", 8).alias("overall"),
+        F.lit(fit.n).cast("long").alias("n_kept"),
+        F.lit(fit.n_dropped).cast("long").alias("n_dropped"),
     )
 
 
@@ -472,7 +480,7 @@ def _risk_rows(spark, folder, designs, first, keys):
         (F.datediff(dates.floor_date(dates.conception_date("birth", "ga")), F.lit(first)) / 7).cast("long"),
     )
     cells = exposure.risk_cells(births, ["area", *keys], "start", F.col("ga") + 1, _WINDOWS)
-    rows = cells.withColumn("t", F.col("start") + F.col("time") - 1).join(designs, ["area", "t"])
+    rows = cells.withColumn("t", F.col("start") + F.col("time") - 1).join(designs, ["area", "t"], "left")
     cb = F.lit(None)
     for i, (name, _, _) in enumerate(_WINDOWS):
         cb = F.when(F.col("window") == name, F.col(f"cb{i}")).otherwise(cb)
@@ -546,7 +554,9 @@ r as materialized (select model, s, x1, x2, count(*)::double as n, sum(case when
 @analysis(
     _newton_sql(_WEEKLY_SQL, 7)
     + """ select model, unnest(['lag_0_3', 'lag_4_up']) as term, round(unnest([b1, b2]), 5) + 0 as estimate,
-      round(unnest([se1, se2]), 5) as std_error, (select cast(sum(n) as bigint) from r where r.model = b8.model) as n
+      round(unnest([se1, se2]), 5) as std_error, (select cast(sum(n) as bigint) from r where r.model = b8.model) as n,
+      (select count(*) from split where split.model = b8.model)
+        - (select cast(sum(n) as bigint) from r where r.model = b8.model) as n_dropped
       from b8"""
 )
 def cox_weekly_lags(spark, folder):
@@ -562,7 +572,7 @@ def cox_weekly_lags(spark, folder):
     fits = fit_cox(design, {n: ["lag_0_3", "lag_4_up"] for n in arms})
     out = tidy(spark, [fits[n] for n in arms])
     return out.select("model", "term", rounded("estimate", 5).alias("estimate"),
-                      rounded("std_error", 5).alias("std_error"), "n")
+                      rounded("std_error", 5).alias("std_error"), "n", "n_dropped")
 
 
 # --- quantiles ----------------------------------------------------------------------
@@ -725,6 +735,138 @@ def clogit_fit(spark, folder):
     return _tidy_columns(tidy(spark, [fit]))
 
 
+def _hypergeometric_sql(steps: int) -> str:
+    """Newton steps of one binary exposure: sets of n members, m cases, k
+    exposed, a exposed cases; j runs over the possible exposed cases."""
+    ways = "lgamma(k + 1) - lgamma(j + 1) - lgamma(k - j + 1) + lgamma(n - k + 1) - lgamma(m - j + 1) - lgamma(n - k - m + j + 1)"
+    parts = [f"""{BIRTHS},
+cells as materialized (select area, {floor_week("birth")} as week, count(*) as n,
+    sum(case when ga < 28 then 1 else 0 end) as m, sum(case when sex = 'O' then 1 else 0 end) as k,
+    sum(case when ga < 28 and sex = 'O' then 1 else 0 end) as a from eligible group by 1, 2
+  having sum(case when ga < 28 then 1 else 0 end) between 1 and count(*) - 1),
+grid as materialized (select *, {ways} as lw from (
+    select *, unnest(range(greatest(0, m + k - n)::bigint, least(k, m)::bigint + 1)) as j from cells)),
+b0 as (select 0::double as b)"""]
+    for i in range(steps + 1):
+        parts.append(f"""g{i} as materialized (select area, week, any_value(a) as a, sum(exp(lw + b * j)) as e0,
+    sum(j * exp(lw + b * j)) as e1, sum(j * j * exp(lw + b * j)) as e2 from grid, b{i} group by 1, 2),
+b{i + 1} as materialized (select any_value(b) + sum(a - e1 / e0) / sum(e2 / e0 - e1 * e1 / e0 / e0) as b,
+    1 / sqrt(sum(e2 / e0 - e1 * e1 / e0 / e0)) as se, count(*) as sets from g{i}, b{i})""")
+    return "with " + ", ".join(parts)
+
+
+@analysis(
+    _hypergeometric_sql(6) + " select round(b, 6) as estimate, round(se, 6) as std_error, sets from b7"
+)
+def clogit_several(spark, folder):
+    """Births of an area and week as a set: the extremely preterm ones, often
+    several, against the others, by sex."""
+    rows = fx.eligible_births(spark, folder).select(
+        F.struct("area", dates.floor_date("birth").alias("week")).alias("set"),
+        (F.col("ga") < 28).cast("long").alias("is_case"),
+        F.array((F.col("sex") == "O").cast("double")).alias("x"),
+    )
+    fit = fit_clogit(clogit_design(rows, "set", "is_case", [F.col("x")]), ["sexO"], tol=1e-13)
+    out = tidy(spark, [fit])
+    return out.select(
+        rounded("estimate", 6).alias("estimate"), rounded("std_error", 6).alias("std_error"),
+        F.lit(fit.n_event).cast("long").alias("sets"),
+    )
+
+
+# --- contrasts by area -----------------------------------------------------------------
+
+_CENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+
+
+def _area_points(spark, folder):
+    """High centiles of the weekly exposure of each area against its median."""
+    weekly, _ = _weekly(spark, folder)
+    found = exact_percentiles(weekly, ["area"], "exposure", _CENTILES)
+    high = F.array(*[F.struct(F.lit(c).alias("centile"), F.col(c).alias("at")) for c in _CENTILES if c != "p50"])
+    return found.select("area", F.col("p50").alias("cen"), F.explode(high).alias("h")).select("area", "cen", "h.*")
+
+
+def _week_of_birth_rows(spark, folder, var, first, weekly):
+    """Risk rows whose exposure is that of the current week."""
+    designs = weekly.select("area", "t", var.column("exposure").alias("cb0"))
+    births = fx.eligible_births(spark, folder).withColumn(
+        "start",
+        (F.datediff(dates.floor_date(dates.conception_date("birth", "ga")), F.lit(first)) / 7).cast("long"),
+    )
+    cells = exposure.risk_cells(births, ["area", "birth_type"], "start", F.col("ga") + 1, _WINDOWS[3:])
+    rows = cells.withColumn("t", F.col("start") + F.col("time") - 1).join(designs, ["area", "t"])
+    return rows.withColumn("set", F.concat_ws("|", "birth_type", F.col("time").cast("string")))
+
+
+_AREA_SQL = f"""{BIRTHS},
+weekly as (select area, {floor_week("day")} as week, avg(x) as x from area_daily group by all),
+week0 as (select min(week) as w0 from weekly),
+series as materialized (select area, ((week - w0) // 7)::bigint as t, x from weekly, week0),
+people as (select area, birth_type, ({floor_week("(birth - cast(7 * ga as integer))")} - w0) // 7 as start,
+    cast(ga as bigint) + 1 as done from eligible, week0),
+split as (select area, birth_type, time, start + time - 1 as t, case when time = done then 1 else 0 end as e
+  from people, (select unnest(range(23, 38)) as time) where time <= done),
+r0 as (select birth_type || '|' || time as time, x, count(*)::double as n0, sum(e)::double as e0
+  from split join series using (area, t) group by all),
+risk as materialized (select 'all' as model, time, x, n0 as n, e0 / n0 as e,
+    sum(e0) over (partition by time) as d, sum(e0 * x) over (partition by time) as ex from r0),
+centiles as (select area, quantile_cont(x, 0.5) as cen, quantile_cont(x, 0.9) as p90, quantile_cont(x, 0.95) as p95,
+    quantile_cont(x, 0.99) as p99 from weekly group by 1),
+points as (select area, cen, unnest(['p90', 'p95', 'p99']) as centile, unnest([p90, p95, p99]) as hi from centiles)"""
+
+
+@analysis(
+    newton_one_sql(_AREA_SQL + ", r as (select distinct model from risk)", 6, having="d > 0")
+    + """ select area, centile, round(hi, 8) as "at", round(cen, 8) as cen, round((hi - cen) * b, 7) + 0 as fit,
+      round(abs(hi - cen) * sqrt(var), 7) as se from points, b7"""
+)
+def area_contrasts_line(spark, folder):
+    """Hazards at each area's own high centiles against its own median, for a
+    linear exposure in the week at risk."""
+    weekly, first = _weekly(spark, folder)
+    var = fit_basis(weekly, "exposure", BasisSpec("lin"))
+    rows = _week_of_birth_rows(spark, folder, var, first, weekly)
+    design = cox_design(rows, "time", "events", [F.col("cb0")], stratum=F.col("set"), count="at_risk")
+    cb = CrossBasis(var, strata([], intercept=True), 0, "exposure")
+    fit = fit_cox(design, {"model": cb.terms}, tol=1e-13)["model"]
+    out = predict.contrast_rows(_area_points(spark, folder), cb, fit)
+    return out.select("area", "centile", rounded("at", 8).alias("at"), rounded("cen", 8).alias("cen"),
+                      rounded("fit", 7).alias("fit"), rounded("se", 7).alias("se"))
+
+
+@analysis()
+def area_contrasts(spark, folder):
+    """The week before birth in three designs, a spline with two inner knots
+    each, at every area's 90th, 95th and 99th centile against its median."""
+    weekly, first = _weekly(spark, folder)
+    var = fit_basis(weekly, "exposure", BasisSpec("ns", df=3))
+    cb = CrossBasis(var, strata([], intercept=True), 0, "exposure")
+    points = _area_points(spark, folder)
+    births = births_with_window(spark, folder).where("window_mean is not null")
+    taus = [0.1, 0.5]
+    rows = births.select(
+        F.lit("model").alias("model"), F.col("ga").cast("double").alias("y"),
+        F.concat(F.array(F.lit(1.0)), var.column("window_mean")).alias("x"),
+    )
+    fits = dict(zip([f"quantile {t}" for t in taus], fit_quantile(rows, ["intercept", *cb.terms], taus), strict=True))
+    at_risk = _week_of_birth_rows(spark, folder, var, first, weekly)
+    design = cox_design(at_risk, "time", "events", [F.col("cb0")], stratum=F.col("set"), count="at_risk")
+    fits["time to event"] = fit_cox(design, {"model": cb.terms})["model"]
+    cases = births.where("ga < 37").select("l_orderkey", "l_linenumber", "area", "birth")
+    sets = exposure.time_stratified_controls(cases, "birth").drop("birth").withColumnRenamed("ref_day", "birth")
+    sets = exposure.window_exposure(sets, fx.area_daily(spark, folder), "area", "birth", "day", "x")
+    matched = sets.where("window_mean is not null").select(
+        F.struct("l_orderkey", "l_linenumber").alias("set"), "is_case", var.column("window_mean").alias("x")
+    )
+    fits["case-crossover"] = fit_clogit(clogit_design(matched, "set", "is_case", [F.col("x")]), cb.terms)
+    out = None
+    for name, fit in fits.items():
+        part = predict.contrast_rows(points, cb, fit).withColumn("design", F.lit(name))
+        out = part if out is None else out.unionByName(part)
+    return out.select("design", "area", "centile", *[rounded(c, 5).alias(c) for c in ("at", "cen", "fit", "se")])
+
+
 # --- smooth trend -----------------------------------------------------------------------
 
 

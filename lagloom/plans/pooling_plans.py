@@ -9,7 +9,7 @@ from lagloom.models.cox import cox_design, fit_cox_models
 from lagloom.operators import effects, pooling
 from lagloom.plans import fixtures as fx
 from lagloom.plans.registry import analysis, rounded
-from lagloom.plans.sql_text import ARMS, chi2_p_sql, t_p_sql
+from lagloom.plans.sql_text import ARMS, chi2_p_sql, newton_one_sql, t_p_sql
 from lagloom.session import settled
 
 _KEYS = ["outcome", "study"]
@@ -116,23 +116,6 @@ def effect_irr(spark, folder):
     return _effect(effects.rate_ratio(fx.studies(spark, folder)), _KEYS)
 
 
-def _newton_one_sql(rows: str, steps: int) -> str:
-    """Cox fits of one column x by unrolled Newton steps, ties after Efron, from
-    counted risk sets risk(model, time, d, ex, x, e, n)."""
-    parts = [rows, "b0 as (select distinct model, 0::double as b from r)"]
-    mean = lambda j: f"(s{j} - k / d * d{j})"
-    for i in range(steps + 1):
-        parts.append(f"""t{i} as materialized (select model, time, any_value(d)::double as d, any_value(ex) as ex,
-    sum(n * exp(b * x)) as s0, sum(n * x * exp(b * x)) as s1, sum(n * x * x * exp(b * x)) as s2,
-    sum(n * e * exp(b * x)) as d0, sum(n * e * x * exp(b * x)) as d1, sum(n * e * x * x * exp(b * x)) as d2
-  from risk join b{i} using (model) group by all),
-g{i} as materialized (select model, sum(ex / d - {mean(1)} / {mean(0)}) as u,
-    sum({mean(2)} / {mean(0)} - {mean(1)} * {mean(1)} / {mean(0)} / {mean(0)}) as v
-  from (select *, unnest(range(d::bigint)) as k from t{i}) group by model),
-b{i + 1} as materialized (select model, b + u / v as b, 1 / v as var from b{i} join g{i} using (model))""")
-    return "with " + ", ".join(parts)
-
-
 _STUDY_SQL = f"""{ARMS},
 r as materialized (select p_type || '|' || s_nationkey as model, l_quantity as done, l_returnflag = 'R' as died,
     case when l_linestatus = 'O' then 1.0::double else 0 end as x
@@ -165,7 +148,7 @@ def study_hazards(spark, folder):
 
 
 @analysis(
-    _newton_one_sql(_STUDY_SQL, 7)
+    newton_one_sql(_STUDY_SQL, 7)
     + """ select split_part(model, '|', 1) as outcome, split_part(model, '|', 2)::bigint as study,
       round(b, 6) + 0 as yi, round(var, 6) + 0 as vi from b8 where isfinite(var)"""
 )
@@ -176,7 +159,7 @@ def effect_hr(spark, folder):
 
 
 @analysis(
-    _newton_one_sql(_STUDY_SQL, 7)
+    newton_one_sql(_STUDY_SQL, 7)
     + """ select split_part(model, '|', 1) as outcome, count(*) as k,
       round(sum(b / var) / sum(1 / var), 6) + 0 as estimate, round(sqrt(1 / sum(1 / var)), 6) as std_error
       from b8 where isfinite(var) group by 1"""

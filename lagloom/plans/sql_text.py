@@ -169,3 +169,20 @@ def chi2_p_sql(q: str, df: str) -> str:
 def normal_p_sql(z: str) -> str:
     """Two-sided p of a normal deviate."""
     return f"greatest(0, 1 - sqrt(2 / pi()) * {simpson('exp(-@x * @x / 2)', 'x', f'abs({z})')})"
+
+
+def newton_one_sql(rows: str, steps: int, having: str = "true") -> str:
+    """Cox fits of one column x by unrolled Newton steps, ties after Efron, from
+    counted risk sets risk(model, time, d, ex, x, e, n)."""
+    parts = [rows, "b0 as (select distinct model, 0::double as b from r)"]
+    mean = lambda j: f"(s{j} - k / d * d{j})"
+    for i in range(steps + 1):
+        parts.append(f"""t{i} as materialized (select model, time, any_value(d)::double as d, any_value(ex) as ex,
+    sum(n * exp(b * x)) as s0, sum(n * x * exp(b * x)) as s1, sum(n * x * x * exp(b * x)) as s2,
+    sum(n * e * exp(b * x)) as d0, sum(n * e * x * exp(b * x)) as d1, sum(n * e * x * x * exp(b * x)) as d2
+  from risk join b{i} using (model) where {having} group by all),
+g{i} as materialized (select model, sum(ex / d - {mean(1)} / {mean(0)}) as u,
+    sum({mean(2)} / {mean(0)} - {mean(1)} * {mean(1)} / {mean(0)} / {mean(0)}) as v
+  from (select *, unnest(range(d::bigint)) as k from t{i}) group by model),
+b{i + 1} as materialized (select model, b + u / v as b, 1 / v as var from b{i} join g{i} using (model))""")
+    return "with " + ", ".join(parts)

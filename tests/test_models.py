@@ -221,6 +221,38 @@ def test_clogit_matches_dense(spark):
     assert fit.n_event == 150
 
 
+def test_clogit_several_cases_by_enumeration(spark):
+    """Sets of 2 to 7 members with 1 to 3 cases, against all subsets."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(21)
+    rows, sets = [], []
+    for k in range(60):
+        n = int(rng.integers(2, 8))
+        m = int(rng.integers(1, min(4, n + 1)))
+        xs = rng.normal(size=(n, 2))
+        at = rng.choice(n, m, replace=False, p=(w := np.exp(xs[:, 0])) / w.sum())
+        sets.append((xs, tuple(sorted(at))))
+        rows += [(k, float(i in at), [float(v) for v in xs[i]]) for i in range(n)]
+    df = spark.createDataFrame(rows, "set int, case double, x array<double>").repartition(7)
+    fit = fit_clogit(clogit_design(df, "set", "case", [F.col("x")]), ["a", "b"])
+    b = np.zeros(2)
+    for _ in range(30):
+        ll, u, info = 0.0, np.zeros(2), np.zeros((2, 2))
+        for xs, at in sets:
+            sums = np.array([xs[list(c)].sum(0) for c in combinations(range(len(xs)), len(at))])
+            w = np.exp(sums @ b)
+            mean = w @ sums / w.sum()
+            own = xs[list(at)].sum(0)
+            ll += own @ b - np.log(w.sum())
+            u += own - mean
+            info += (sums * w[:, None]).T @ sums / w.sum() - np.outer(mean, mean)
+        b = b + np.linalg.solve(info, u)
+    np.testing.assert_allclose(fit.coef, b, atol=1e-7)
+    np.testing.assert_allclose(fit.cov, np.linalg.inv(info), rtol=1e-5)
+    np.testing.assert_allclose(fit.loglik, ll, rtol=1e-9)
+
+
 def _check_loss(y, x, b, tau):
     r = y - x @ b
     return np.sum(r * (tau - (r < 0)))
