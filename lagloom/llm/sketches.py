@@ -289,7 +289,7 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, D
     heads = nodes.select("node", F.size("head").alias("k"), F.explode("head").alias("value"))
     twice = heads.groupBy("value").count().where("count > 1").select("value")
     suspects = (
-        heads.join(twice, "value", "left_semi")
+        heads.join(twice.hint("merge"), "value", "left_semi")
         .groupBy("node")
         .agg(F.count("*").alias("hits"), F.first("k").alias("k"))
         .where(F.col("hits") >= F.greatest(F.lit(1), F.floor(F.lit(HEAD_SHARED) * F.col("k"))))
@@ -315,7 +315,8 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, D
     values = kept.select("id", F.explode("sketch").alias("value"))
     known = values.groupBy("value").count().where("count > 1")
     by_rarity = Window.partitionBy("id")
-    ranked = values.join(known, "value").select(
+    # Both sides grow with the documents: the same plan at every size.
+    ranked = values.join(known.hint("merge"), "value").select(
         "id",
         "value",
         F.row_number().over(by_rarity.orderBy("count", "value")).alias("place"),
@@ -327,7 +328,7 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, D
     listed = ranked.join(names, "id").where(F.col("place") <= F.col("shared") - _needed(F.col("n")) + 1)
     listed = scratch(listed.select("value", "node", "n"), "prefixes")
     sizes = listed.groupBy("value").agg(F.count("*").alias("size")).where("size > 1")
-    lists = scratch(listed.join(sizes, "value"), "lists")
+    lists = scratch(listed.join(sizes.hint("merge"), "value"), "lists")
     for done in (listed, held):
         drop_scratch(done)
     return lists, kept.drop("id")
