@@ -27,7 +27,7 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from lagloom.llm.shared import scratch, small_side
 
 SAMPLE_DOCS = 4_000
-MODEL_ROWS = 1_000_000
+MODEL_ROWS = 400_000
 ORDERS = (4, 3, 2, 1)
 UNKNOWN = "und"
 _SMOOTH = 0.5
@@ -139,7 +139,11 @@ def _frequencies(counts: DataFrame, langs: list[str], rows: int) -> tuple[np.nda
     )
     size = np.array([totals.get(v, 0) for v in langs]) + _SMOOTH * max(1, len(table))
     order = np.argsort(hashes)
-    return hashes[order], np.log((table[order] + _SMOOTH) / size).astype(np.float32)
+    known = hashes[order], np.log((table[order] + _SMOOTH) / size).astype(np.float32)
+    # The driver keeps the model only, not the buffers it came in.
+    del top, hashes, table
+    pa.default_memory_pool().release_unused()
+    return known
 
 
 def _found(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
