@@ -662,12 +662,11 @@ def quantile_spline(spark, folder):
 
 @analysis()
 def quantile_dlnm(spark, folder):
-    """Gestational age on weekly exposure lags before birth. The design is made
-    once per area and week and joined to the births."""
-    weekly = exposure.weekly_exposure(fx.area_daily(spark, folder), "area", "day", "x")
-    first = weekly.agg(F.min("week").alias("w")).scalar()
-    weekly = weekly.withColumn("t", (F.datediff("week", first) / 7).cast("long"))
-    cb = crossbasis(weekly, "exposure", 4, BasisSpec("ns", df=2), BasisSpec("ns", df=2), "weekly")
+    """Gestational age on the weekly exposure lags before birth that all these
+    pregnancies have, 0 to 21. The design is made once per area and week and
+    joined to the births."""
+    weekly, _ = _weekly(spark, folder)
+    cb = crossbasis(weekly, "exposure", 21, BasisSpec("ns", df=2), BasisSpec("ns", df=2), "weekly")
     design = cb.on_series(weekly, "t", "exposure", keys=["area"]).where("cb is not null")
     births = fx.eligible_births(spark, folder).withColumn("week", dates.floor_date("birth"))
     rows = births.join(design.select("area", "week", "cb"), ["area", "week"]).select(
