@@ -96,10 +96,10 @@ class Basis:
 # --- kinds -----------------------------------------------------------------
 
 
-def _single_piece(kind: str, columns: list[list[float]], about: dict) -> Basis:
+def _single_piece(kind: str, columns: list[list[float]], about: dict, origin: float = 0.0) -> Basis:
     size = max(len(c) for c in columns)
     coefs = np.array([[c + [0.0] * (size - len(c)) for c in columns]], float)
-    return Basis(kind, np.array([]), np.array([0.0]), coefs, about)
+    return Basis(kind, np.array([]), np.array([origin]), coefs, about)
 
 
 def linear(intercept: bool = False) -> Basis:
@@ -115,6 +115,21 @@ def polynomial(degree: int, scale: float, intercept: bool = False) -> Basis:
     )
 
 
+def chebyshev(degree: int, lo: float, hi: float, intercept: bool = False) -> Basis:
+    """Chebyshev polynomials over the range of the variable. Beside the constant
+    they span the same functions as the powers, but stay apart from each other
+    when the range is narrow and far from zero."""
+    middle, half = (lo + hi) / 2.0, (hi - lo) / 2.0
+    if not half > 0:
+        raise ValueError("Chebyshev polynomials need a variable that is not constant")
+    columns = []
+    for d in range(0 if intercept else 1, degree + 1):
+        powers = np.polynomial.chebyshev.cheb2poly([0.0] * d + [1.0])
+        columns.append([float(c) * half ** -float(k) for k, c in enumerate(powers)])
+    about = {"degree": degree, "boundary": [lo, hi], "intercept": intercept}
+    return _single_piece("cheb", columns, about, middle)
+
+
 def threshold(at: Sequence[float], side: str = "h", intercept: bool = False) -> Basis:
     """'h': max(x - c, 0); 'l': max(c - x, 0); 'd': the low line below the first
     value and the high line above the last."""
@@ -298,6 +313,8 @@ def build_basis(spec: BasisSpec, lo: float, hi: float, knots: Sequence[float]) -
         return linear(spec.intercept)
     if spec.fun == "poly":
         return polynomial(spec.degree, spec.scale or max(abs(lo), abs(hi)), spec.intercept)
+    if spec.fun == "cheb":
+        return chebyshev(spec.degree, lo, hi, spec.intercept)
     if spec.fun == "thr":
         return threshold(spec.at, spec.side, spec.intercept)
     if spec.fun == "strata":

@@ -441,3 +441,33 @@ def test_qr_tree_on_nearly_collinear_columns(spark):
     want = np.polynomial.polynomial.polyval(u, np.polynomial.polynomial.polyfit(u, y, 6))
     got = fit.coef[0] + x @ fit.coef[1:]
     np.testing.assert_allclose(got, want, atol=1e-6)
+
+
+def test_dlnm_compare_on_a_narrow_exposure(spark, tmp_path):
+    """Daily means of very many orders differ little and lie far from zero;
+    powers of them were collinear and the polynomial fit did not converge."""
+    from lagloom.plans.model_plans import dlnm_compare
+
+    rng = np.random.default_rng(5)
+    day = np.repeat(np.arange(500), 2 + rng.poisson(3, 500))
+    n = len(day)
+    pdf = pd.DataFrame({
+        "o_orderkey": np.arange(n), "o_custkey": np.arange(n) % 50,
+        "o_orderdate": pd.Timestamp("1995-01-01") + pd.to_timedelta(day, "D"),
+        "o_totalprice": 250_000 + rng.normal(0, 3000, n).round(2),
+    })
+    spark.createDataFrame(pdf).write.parquet(str(tmp_path / "orders.parquet"))
+    rows = dlnm_compare(spark, str(tmp_path)).where("model = 'polynomial' and lag is not null").collect()
+    assert [r.lag for r in sorted(rows, key=lambda r: r.lag)] == list(range(31))
+    assert all(np.isfinite([r.fit, r.se]).all() for r in rows)
+
+
+def test_chebyshev_spans_the_powers(spark):
+    x = np.linspace(24.0, 26.0, 41)
+    a = np.column_stack([np.ones(41), bs.chebyshev(4, 24.0, 26.0).values(x)])
+    powers = (x[:, None] - 25.0) ** np.arange(5)
+    np.testing.assert_allclose(a @ np.linalg.lstsq(a, powers, rcond=None)[0], powers, atol=1e-12)
+    assert np.linalg.cond(a) < 10
+    got = spark.createDataFrame([(float(v),) for v in x], "x double")
+    got = got.select(bs.chebyshev(4, 24.0, 26.0).column("x").alias("b")).collect()
+    np.testing.assert_allclose([r.b for r in got], a[:, 1:], atol=1e-12)
