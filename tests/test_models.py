@@ -287,6 +287,41 @@ def test_quantile_fit_with_many_ties(spark):
         assert np.allclose([f.coef[0], f.coef.sum()], want, atol=1e-5)
 
 
+@pytest.mark.parametrize("kind", ["smooth", "counts", "long tail"])
+def test_quantile_path_gets_the_rows_near_the_fit(spark, monkeypatch, kind):
+    """Of many rows only those near a fit go through the steps of its path; the
+    minimum is that of all rows."""
+    from lagloom.models import quantile
+
+    rng = np.random.default_rng(1)
+    n = 30_000
+    x = np.column_stack([np.ones(n), rng.random(n), rng.random(n) < 0.3]).astype(float)
+    y = {
+        "smooth": x @ [3.0, 2.0, -1.0] + rng.standard_normal(n) * (1 + x[:, 1]),
+        "counts": np.floor(50 * rng.random(n)),
+        "long tail": np.round(np.exp(3 * rng.standard_normal(n)), 2),
+    }[kind]
+    df = frame(spark, x, y=y, model=["m"] * n).repartition(4)
+    taus, sizes, solve = [0.1, 0.5], [], quantile._solve
+
+    def watched(rows, *rest):
+        sizes.append(rows.count())
+        return solve(rows, *rest)
+
+    monkeypatch.setattr(quantile, "_solve", watched)
+    monkeypatch.setattr(quantile, "_WHOLE", 10**9, raising=False)
+    whole = fit_quantile(df, ["one", "a", "b"], taus)
+    monkeypatch.setattr(quantile, "_WHOLE", 1000, raising=False)
+    monkeypatch.setattr(quantile, "_NEAR", 1000, raising=False)
+    sizes.clear()
+    for f, g, tau in zip(fit_quantile(df, ["one", "a", "b"], taus), whole, taus, strict=True):
+        best = _check_loss(y, x, f.coef, tau)
+        assert best == pytest.approx(-f.loglik, rel=1e-9)
+        assert best <= -g.loglik * (1 + 2e-9)
+        assert f.n == n
+    assert sizes[0] < n / 5
+
+
 def _small_dlnm(spark):
     rng = np.random.default_rng(21)
     n, lag = 900, 6
