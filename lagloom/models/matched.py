@@ -18,12 +18,13 @@ from lagloom.models.fitted import Fitted
 from lagloom.models.moments import keep, pack, solve_information, sum_vectors, unpack, whole
 
 
-def clogit_design(df: DataFrame, set_col: str, case: str, parts: list[Column]) -> DataFrame:
-    """Rows as (set, case, x); rows with a missing array or element are left
-    out by the fit."""
+def clogit_design(df: DataFrame, set_col: str, case: str, parts: list[Column], count: str | None = None) -> DataFrame:
+    """Rows as (set, case, x, many); rows with a missing array or element are
+    left out by the fit. With `count`, a set stands for that many equal sets;
+    the column is the same in all its rows."""
     rows = df.select(
         F.col(set_col).alias("set"), F.col(case).cast("double").alias("case"),
-        F.concat(*parts).alias("x"),
+        F.concat(*parts).alias("x"), (F.col(count) if count else F.lit(1.0)).cast("double").alias("many"),
     )
     return rows.where(F.col("set").isNotNull() & F.col("case").isNotNull())
 
@@ -37,6 +38,7 @@ def _set_sums(rows: DataFrame, p: int) -> DataFrame:
     upper = [(i, j) for i in range(p) for j in range(i, p)]
     sums = rows.groupBy("set").agg(
         F.count("*").alias("n"),
+        F.max("many").alias("many"),
         F.sum("case").alias("cases"),
         F.sum("w").alias("s0"),
         F.sum(F.when(is_case, F.col("eta")).otherwise(0.0)).alias("ee"),
@@ -45,7 +47,7 @@ def _set_sums(rows: DataFrame, p: int) -> DataFrame:
         *[F.sum(F.when(is_case, v).otherwise(0.0)).alias(f"ex_{i}") for i, v in enumerate(x)],
     )
     return sums.where("cases >= 1 and cases < n").select(
-        F.lit("model").alias("model"), "set", "n", "cases", "s0", "ee",
+        F.lit("model").alias("model"), "set", "n", "many", "cases", "s0", "ee",
         F.array(*[F.col(f"s1_{i}") for i in range(p)]).alias("s1"),
         F.array(*[F.col(f"s2_{i}_{j}") for i, j in upper]).alias("s2"),
         F.array(*[F.col(f"ex_{i}") for i in range(p)]).alias("ex"),
@@ -93,11 +95,11 @@ def _several_cases(rows: DataFrame, sets: DataFrame, p: int) -> DataFrame:
     """(model, vec): log likelihood, score, information and size of every set
     with several cases. exp(eta) enters in units of its sum over the cases, so
     that polynomials stay in range."""
-    about = sets.where("cases > 1").select(F.col("set").alias("_set"), "cases", "s0", "ee", "ex", "n")
+    about = sets.where("cases > 1").select(F.col("set").alias("_set"), "cases", "s0", "ee", "ex", "n", F.col("many").alias("_many"))
     members = rows.join(about, F.col("set") == F.col("_set")).select(
         F.to_json(F.struct("set")).alias("key"), F.expr("w * cases / s0").alias("u"), "x",
         F.col("cases").cast("int").alias("m"),
-        F.concat(F.array("ee", "n", F.expr("ln(s0 / cases)")), "ex").alias("about"),
+        F.concat(F.array("ee", "n", F.expr("ln(s0 / cases)"), "_many"), "ex").alias("about"),
     )
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -131,9 +133,10 @@ def _several_cases(rows: DataFrame, sets: DataFrame, p: int) -> DataFrame:
             poly = cuts[0], cuts[1].reshape(m + 1, p), cuts[2].reshape(m + 1, p, p)
             total = poly if total is None else _multiplied(total, poly)
         e, s, q = total
-        ee, n, unit = r["about"][:3]
+        ee, n, unit, many = r["about"][:4]
         mean = s[m] / e[m]
-        vec = pack(ee - np.log(e[m]) - m * unit, np.array(r["about"][3:]) - mean, q[m] / e[m] - np.outer(mean, mean), n, 1.0)
+        vec = pack(ee - np.log(e[m]) - m * unit, np.array(r["about"][4:]) - mean, q[m] / e[m] - np.outer(mean, mean), n, 1.0)
+        vec = many * vec
         return pa.table({"model": pa.array(["model"]), "vec": pa.array([vec.tolist()])})
 
     polys = members.mapInArrow(parts, "key string, m int, poly array<double>, about array<double>")
@@ -160,11 +163,11 @@ def fit_clogit(
         rows = kept.where(whole("x")).withColumn("eta", F.expr(terms)).withColumn("w", F.exp("eta"))
 
         def block(_: str, c: dict[str, np.ndarray]) -> np.ndarray:
-            mean = c["s1"] / c["s0"][:, None]
-            info = (c["s2"] / c["s0"][:, None]).sum(0)
+            mean, many = c["s1"] / c["s0"][:, None], c["many"]
+            info = many @ (c["s2"] / c["s0"][:, None])
             return pack(
-                np.sum(c["ee"] - np.log(c["s0"])), (c["ex"] - mean).sum(0), info,
-                mean.T @ mean, c["n"].sum(), len(c["s0"]),
+                many @ (c["ee"] - np.log(c["s0"])), many @ (c["ex"] - mean), info,
+                (mean * many[:, None]).T @ mean, many @ c["n"], many.sum(),
             )
 
         sets = _set_sums(rows, p)

@@ -854,12 +854,17 @@ def area_contrasts(spark, folder):
     design = cox_design(at_risk, "time", "events", [F.col("cb0")], stratum=F.col("set"), count="at_risk")
     fits["time to event"] = fit_cox(design, {"model": cb.terms})["model"]
     cases = births.where("ga < 37").select("l_orderkey", "l_linenumber", "area", "birth")
-    sets = exposure.time_stratified_controls(cases, "birth").drop("birth").withColumnRenamed("ref_day", "birth")
+    # Births of an area and day have equal sets: each is made once and counted.
+    sets = cases.groupBy("l_orderkey", "l_linenumber").agg(
+        F.sort_array(F.collect_list(F.struct("area", "birth"))).alias("set")
+    )
+    sets = sets.groupBy("set").agg(F.count("*").alias("many")).select("*", F.explode("set").alias("c")).select("set", "many", "c.*")
+    sets = exposure.time_stratified_controls(sets, "birth").drop("birth").withColumnRenamed("ref_day", "birth")
     sets = exposure.window_exposure(sets, fx.area_daily(spark, folder), "area", "birth", "day", "x")
     matched = sets.where("window_mean is not null").select(
-        F.struct("l_orderkey", "l_linenumber").alias("set"), "is_case", var.column("window_mean").alias("x")
+        "set", "many", "is_case", var.column("window_mean").alias("x")
     )
-    fits["case-crossover"] = fit_clogit(clogit_design(matched, "set", "is_case", [F.col("x")]), cb.terms)
+    fits["case-crossover"] = fit_clogit(clogit_design(matched, "set", "is_case", [F.col("x")], "many"), cb.terms)
     out = None
     for name, fit in fits.items():
         part = predict.contrast_rows(points, cb, fit).withColumn("design", F.lit(name))

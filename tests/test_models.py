@@ -253,6 +253,23 @@ def test_clogit_several_cases_by_enumeration(spark):
     np.testing.assert_allclose(fit.loglik, ll, rtol=1e-9)
 
 
+def test_clogit_counted_sets_stand_for_equal_sets(spark):
+    """Sets of one or several cases, each given once with its number."""
+    rng = np.random.default_rng(8)
+    sets, many = np.repeat(np.arange(40), 5), rng.integers(1, 6, 40)
+    x, case = rng.normal(size=(200, 2)), np.zeros(200)
+    for s in range(40):
+        case[5 * s + rng.choice(5, size=1 + s % 2, replace=False)] = 1
+    row = np.concatenate([np.flatnonzero(sets == s) for s in range(40) for _ in range(many[s])])
+    copy = np.repeat(np.arange(many.sum()), 5)
+    once = clogit_design(frame(spark, x, set=sets, case=case, n=many[sets]), "set", "case", [F.col("x")], "n")
+    all_ = clogit_design(frame(spark, x[row], set=copy, case=case[row]), "set", "case", [F.col("x")])
+    a, b = (fit_clogit(d, ["a", "b"]) for d in (once, all_))
+    np.testing.assert_allclose(a.coef, b.coef, atol=1e-9)
+    np.testing.assert_allclose(a.cov, b.cov, rtol=1e-7)
+    assert (a.n, a.n_event) == (b.n, b.n_event) == (5 * many.sum(), many.sum())
+
+
 def _check_loss(y, x, b, tau):
     r = y - x @ b
     return np.sum(r * (tau - (r < 0)))
