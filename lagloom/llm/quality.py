@@ -119,12 +119,12 @@ def gradient(grade: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights, ra
     return np.concatenate([[-np.log(p).sum()], by_raw, by_weight])
 
 
-def _summed(shared):
+def _summed(shared, places):
     """Sums of loss and gradient of each fit over the rows it learns from, and
     the loss over the rows it leaves out."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fits, kept = shared.value
+        fits, kept = shared.value, places.value
         total = None
         for batch in batches:
             if not batch.num_rows:
@@ -160,11 +160,12 @@ def _descend(rows: DataFrame, kept: np.ndarray, raw: np.ndarray, folds: list[int
     fits = [(np.zeros(width), raw.copy()) for _ in folds]
     seen = [np.full(len(raw) + width, 1e-8) for _ in folds]
     everything = sum(sizes.values())
+    places = context.broadcast(kept)
     for step in range(steps + 1):
-        shared = context.broadcast(([(w, r, f) for (w, r), f in zip(fits, folds, strict=True)], kept))
-        parts = rows.mapInArrow(_summed(shared), "sum binary").collect()  # _PARTS vectors of model size a fit
+        shared = context.broadcast([(w, r, f) for (w, r), f in zip(fits, folds, strict=True)])
+        parts = rows.mapInArrow(_summed(shared, places), "sum binary").collect()  # _PARTS vectors of model size a fit
         total = np.sum([np.frombuffer(r["sum"]).reshape(len(fits), -1) for r in parts], axis=0)
-        shared.unpersist()
+        shared.destroy()  # unpersisting alone leaves a file of every step on the driver's disk
         if step == steps:
             break
         for i, (weights, own) in enumerate(fits):
@@ -176,6 +177,7 @@ def _descend(rows: DataFrame, kept: np.ndarray, raw: np.ndarray, folds: list[int
             # The penalty pulls a weight towards zero and stops there.
             weights = np.sign(weights) * np.maximum(np.abs(weights) - pace[len(own) :] * penalties[i], 0.0)
             fits[i] = (weights, own - move[: len(own)])
+    places.destroy()
     losses = [total[i, 0] / max(1, sizes.get(f, 0)) for i, f in enumerate(folds)]
     return fits, losses
 

@@ -382,3 +382,19 @@ def test_scores_as_registered(spark):
     assert [r.doc_id for r in rows] == sorted(i for i, _ in docs)
     held = [r for r in rows if r.held_out]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
+
+
+def test_quality_fit_leaves_no_file_per_step(spark):
+    """Every step hands its weights over in a broadcast; its file goes with it."""
+    import os
+
+    from lagloom.llm import quality
+
+    rows = [(i, f"{'good words here' if i % 2 else 'bad noise there'} {i % 7}", i % 2) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    graded = spark.createDataFrame([(i, g) for i, _, g in rows], "doc_id long, grade int")
+    folder = spark.sparkContext._temp_dir
+    before = len(os.listdir(folder))
+    model = quality.fit_grades(docs, graded)
+    assert model["grades"] == [0, 1] and np.any(model["weights"])
+    assert len(os.listdir(folder)) - before < 10
