@@ -16,6 +16,7 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ class Bpe:
         self.strings = [""] * size
         for s, i in [*vocab.items(), *self.added.items()]:
             self.strings[i] = s
+        self.table = pa.array(self.strings, pa.string())
         letters = byte_letters()
         self.letter = [vocab.get(c) for c in letters]
         self.last = [vocab.get(c + self.end) for c in letters]
@@ -188,6 +190,14 @@ class Bpe:
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.strings.__getitem__, ids))
 
+    def decode_lists(self, ids: pa.ListArray) -> pa.Array:
+        """`decode` of every list, without a Python object per id; null stays null."""
+        ends = np.cumsum(np.concatenate([[0], pc.fill_null(pc.list_value_length(ids), 0).to_numpy()]))
+        ends = pa.array(ends.astype(np.int32))
+        words = self.table.take(ids.flatten())
+        lists = pa.ListArray.from_arrays(ends, words)
+        return pc.if_else(pc.is_valid(ids), pc.binary_join(lists, " "), pa.scalar(None, pa.string()))
+
 
 _LOADED: dict[str, Bpe] = {}
 
@@ -223,13 +233,8 @@ def _decoded(path: str):
         for batch in batches:
             for at in range(0, batch.num_rows, _AT_ONCE):
                 part = batch.slice(at, _AT_ONCE)
-                texts = [
-                    None if ids is None else bpe.decode(ids)
-                    for ids in part.column(part.num_columns - 1).to_pylist()
-                ]
-                yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, "decoded"]
-                )
+                texts = bpe.decode_lists(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*part.schema.names, "decoded"])
 
     return rows
 

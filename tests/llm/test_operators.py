@@ -494,3 +494,26 @@ def test_whole_key_blocks_are_secrets(end, headers):
     # No END line: the body goes all the same.
     cut = end.join(lines[:-1])
     assert Scanner().spans(f"a {cut} b") == [(2, 5, 2 + len(cut))]
+
+
+def test_bpe_lists_are_decoded_together():
+    import json
+    import tempfile
+
+    import pyarrow as pa
+
+    from lagloom.llm.bpe import Bpe
+
+    spec = {
+        "model": {"vocab": {"a": 0, "b": 1, "ab</w>": 2, "é": 3}, "merges": [], "end_of_word_suffix": "</w>"},
+        "added_tokens": [{"content": "<end>", "id": 4}],
+        "pre_tokenizer": {"pretokenizers": [{"pattern": {"Regex": r"\w+"}}]},
+    }
+    with tempfile.NamedTemporaryFile("w", suffix=".json") as f:
+        json.dump(spec, f)
+        f.flush()
+        bpe = Bpe(f.name)
+    lists = [[7], [0, 2], None, [], [4, 3, 1], [1], None]
+    ids = pa.array(lists, pa.list_(pa.int32())).slice(1)
+    want = [None if x is None else bpe.decode(x) for x in lists[1:]]
+    assert bpe.decode_lists(ids).to_pylist() == want == ["a ab</w>", None, "", "<end> é b", "b", None]
