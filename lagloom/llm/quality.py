@@ -121,16 +121,24 @@ def gradient(grade: np.ndarray, ends: np.ndarray, slots: np.ndarray, weights, ra
 
 def _summed(shared, places):
     """Sums of loss and gradient of each fit over the rows it learns from, and
-    the loss over the rows it leaves out."""
+    the loss over the rows it leaves out: one row a partition, with the slots
+    that its rows have. The gradient is zero in all others."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fits, kept = shared.value, places.value
-        total = None
+        sparse, kept = shared.value, places.value
+        width = int(kept.max(initial=-1)) + 1
+        fits = []
+        for nonzero, values, raw, out in sparse:
+            weights = np.zeros(width)
+            weights[nonzero] = values
+            fits.append((weights, raw, out))
+        total, met = None, np.zeros(width, dtype=bool)
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists = batch.column(2)
             at = kept[lists.flatten().to_numpy()]
+            met[at[at >= 0]] = True
             slots = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy())
             grade, fold = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             got = []
@@ -146,11 +154,29 @@ def _summed(shared, places):
             got = np.stack(got)
             total = got if total is None else total + got
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sum"])
+            places_met = np.flatnonzero(met).astype(np.int32)
+            sums = np.concatenate([total[:, :-width], total[:, -width:][:, places_met]], axis=1) if width else total
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([places_met.tobytes()], pa.binary()), pa.array([sums.tobytes()], pa.binary())],
+                names=["slots", "sum"],
+            )
 
     return rows
 
 
+def _added(parts: pa.Table, fits: int, own: int, width: int) -> np.ndarray:
+    """The sums of all partitions, one row a fit: two losses, `own` thresholds,
+    `width` weights."""
+    head = 2 + own
+    total = np.zeros((fits, head + width))
+    for slots, sums in zip(parts.column("slots"), parts.column("sum"), strict=True):
+        at = np.frombuffer(slots.as_buffer(), np.int32)
+        got = np.frombuffer(sums.as_buffer()).reshape(fits, -1)
+        total[:, :head] += got[:, :head]
+        total[:, head + at] += got[:, head:]
+    return total
+
+
 def _descend(rows: DataFrame, kept: np.ndarray, raw: np.ndarray, folds: list[int], penalties: list[float], steps: int, sizes: dict):
     """Fits with one penalty each, all in the same passes, each without the rows
     of its fold (-1: with all). Returns weights, raw thresholds and the mean loss
@@ -162,9 +188,14 @@ def _descend(rows: DataFrame, kept: np.ndarray, raw: np.ndarray, folds: list[int
     everything = sum(sizes.values())
     places = context.broadcast(kept)
     for step in range(steps + 1):
-        shared = context.broadcast([(w, r, f) for (w, r), f in zip(fits, folds, strict=True)])
-        parts = rows.mapInArrow(_summed(shared, places), "sum binary").collect()  # _PARTS vectors of model size a fit
-        total = np.sum([np.frombuffer(r["sum"]).reshape(len(fits), -1) for r in parts], axis=0)
+        # The penalty leaves few weights, so only those travel.
+        some = [np.flatnonzero(w) for w, _ in fits]
+        shared = context.broadcast([(at, w[at], r, f) for at, (w, r), f in zip(some, fits, folds, strict=True)])
+        # At most _PARTS vectors of model size a fit. As Arrow the driver hands
+        # them on as they came; rows would be unpacked and pickled there.
+        parts = rows.mapInArrow(_summed(shared, places), "slots binary, sum binary").toArrow()
+        total = _added(parts, len(fits), len(raw), width)
+        del parts
         shared.destroy()  # unpersisting alone leaves a file of every step on the driver's disk
         if step == steps:
             break

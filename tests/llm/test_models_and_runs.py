@@ -398,3 +398,38 @@ def test_quality_fit_leaves_no_file_per_step(spark):
     model = quality.fit_grades(docs, graded)
     assert model["grades"] == [0, 1] and np.any(model["weights"])
     assert len(os.listdir(folder)) - before < 10
+
+
+def test_quality_steps_send_only_the_slots_of_their_rows():
+    """The driver gets the sums of a partition for the slots that its rows have,
+    not a vector of model size; added up they are the sums over all rows."""
+    from types import SimpleNamespace
+
+    from lagloom.llm import quality
+
+    rng = np.random.default_rng(9)
+    width, raw = 5_000, np.array([-0.2, 0.1])
+    weights = np.where(rng.random(width) < 0.1, rng.normal(size=width), 0.0)
+    kept = np.full(1 << quality.BITS, -1, np.int64)
+    kept[7 : 7 + width] = np.arange(width)
+    nonzero = np.flatnonzero(weights)
+    shared = SimpleNamespace(value=[(nonzero, weights[nonzero], raw, out) for out in (0, -1)])
+    grades, folds = [0, 1, 2, 1, 2, 0], [0, 1, 0, 2, 1, 0]
+    lists = [np.sort(rng.choice(width + 20, 30, replace=False)).astype(np.int32) for _ in grades]
+    parts = []
+    for at in (slice(0, 4), slice(4, 6)):
+        columns = [pa.array(grades[at], pa.int32()), pa.array(folds[at], pa.int32()), pa.array(lists[at], pa.list_(pa.int32()))]
+        batch = pa.RecordBatch.from_arrays(columns, names=["grade", "fold", "slots"])
+        parts += quality._summed(shared, SimpleNamespace(value=kept))(iter([batch]))
+    assert sum(p.nbytes for p in parts) < 10_000
+    got = quality._added(pa.Table.from_batches(parts), 2, len(raw), width)
+
+    def by_hand(rows):
+        known = [kept[lists[i]][kept[lists[i]] >= 0] for i in rows]
+        ends = np.cumsum([0, *map(len, known)])
+        return quality.gradient(np.array([grades[i] for i in rows]), ends, np.concatenate(known), weights, raw)
+
+    for fit, out in zip(got, (0, -1), strict=True):
+        assert np.allclose(fit[1:], by_hand([i for i in range(6) if folds[i] != out]))
+        left_out = [i for i in range(6) if folds[i] == out]
+        assert np.isclose(fit[0], by_hand(left_out)[0] if left_out else 0.0)
