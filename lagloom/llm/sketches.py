@@ -248,6 +248,8 @@ def _grouped_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     )
+    # The sets then move once, to their blocks.
+    cut = small_side(scratch(cut.select("g", "node", "block", "other"), "blocks"), 40)
     return (
         cut.join(sets.select(F.col("doc").alias("node"), "set"), "node")
         .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
@@ -452,11 +454,13 @@ def _verify(pairs: DataFrame, sketches: DataFrame, sets: DataFrame) -> DataFrame
     )
     rated = scratch(close.mapInArrow(_estimates, "a long, b long, est double"), "estimates")
     sure = rated.where("est >= 1.5").select("a", "b")
-    open_ = rated.where((F.col("est") < 1.5) & (F.col("est") >= SIMILAR[0] / SIMILAR[1] - SLACK))
+    open_ = rated.where((F.col("est") < 1.5) & (F.col("est") >= SIMILAR[0] / SIMILAR[1] - SLACK)).select("a", "b")
+    ends = scratch(open_.select(F.col("a").alias("doc")).union(open_.select("b")).distinct(), "open-ends")
+    # Both joins move only the sets of open pairs.
+    asked = scratch(sets.join(small_side(ends, 16), "doc", "left_semi"), "open-sets")
     full = (
-        open_.select("a", "b")
-        .join(sets.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
+        open_.join(asked.select(F.col("doc").alias("a"), F.col("set").alias("x")), "a")
+        .join(asked.select(F.col("doc").alias("b"), F.col("set").alias("y")), "b")
         .withColumn("both", F.size(F.array_intersect("x", "y")))
         .where(_reaches(F.col("both"), F.size("x"), F.size("y")))
     )

@@ -146,6 +146,36 @@ def test_near_duplicates_edge_rows(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_move_only_the_sets_they_need(spark, monkeypatch):
+    from lagloom.llm import sketches
+
+    real, made = sketches.scratch, {}
+
+    def noted(df, name):
+        made[name] = real(df, name)
+        return made[name]
+
+    monkeypatch.setattr(sketches, "scratch", noted)
+    values = {i: list(range(1000 * i, 1000 * i + 200)) for i in range(30)}
+    values[1] = list(range(5, 205))
+    sets = spark.createDataFrame(list(values.items()), "doc long, set array<long>")
+    heads = [(i, 200, v[: sketches.SKETCH]) for i, v in values.items()]
+    heads = spark.createDataFrame(heads, "node long, n long, sketch array<long>")
+    pairs = spark.createDataFrame([(0, 1), (0, 3)], "a long, b long")
+    assert rows(sketches._verify(pairs, heads, sets), "a", "b") == [(0, 1)]
+    assert rows(made["open-sets"], "doc") == [(0,), (1,)]
+    # Members of groups come to the sets, which move to their blocks only.
+    groups = spark.createDataFrame([(7, i) for i in (0, 1, 3)] + [(8, 5)], "g long, node long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = sketches._grouped_links(groups, sets)
+        assert "SortMergeJoin" not in links._jdf.queryExecution().executedPlan().toString()
+        assert rows(links, "a", "b") == [(0, 1)]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_block_keeps_components():
     rng = np.random.default_rng(2)
     base = np.sort(rng.choice(2**62, 300, replace=False).astype(np.uint64))
