@@ -3,38 +3,35 @@
 Every step is a grouped minimum (partial rows before the shuffle, so a hub of
 any degree is one row per task) and a join; edges shrink towards stars around
 the smallest node, in a number of steps that grows with the logarithm of the
-longest path. Each step is written to the shared folder."""
+longest path. Each half of a step is written to the shared folder: nested in one
+plan the halves would multiply, and with them the broadcasts and scans that the
+driver holds."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.llm.shared import drop_scratch, scratch
 
 
+def _either(first: tuple[str, str], second: tuple[str, str]) -> Column:
+    """Two edges from one row: the table below is read and joined once."""
+    return F.explode(F.array(*[F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in (first, second)]))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    # Here and in _small_star every edge has a < b.
+    both = edges.select(_either(("a", "b"), ("b", "a")).alias("edge")).select("edge.a", "edge.b")
     least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
-    return (
-        both.where("b > a")
-        .join(least, "a")
-        .where("b <> m")
-        .select(F.col("m").alias("a"), "b")
-        .distinct()
-    )
+    return edges.join(least, "a").select(F.col("m").alias("a"), "b").distinct()
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    # Here every edge has a < b; b's smaller neighbours meet at the least one.
+    # b's smaller neighbours meet at the least one.
     least = edges.groupBy("b").agg(F.min("a").alias("m"))
-    moved = edges.join(least, "b")
-    return (
-        moved.select(F.col("m").alias("a"), F.col("a").alias("b"))
-        .unionByName(moved.select(F.col("m").alias("a"), "b"))
-        .where("a <> b")
-        .distinct()
-    )
+    moved = edges.join(least, "b").select(_either(("m", "a"), ("m", "b")).alias("edge"))
+    return moved.select("edge.a", "edge.b").where("a <> b").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -47,13 +44,15 @@ def components(edges: DataFrame) -> DataFrame:
     )
     mark = None
     while True:
-        after = scratch(_small_star(_large_star(now)), "stars")
+        large = scratch(_large_star(now), "large-stars")
+        after = scratch(_small_star(large), "stars")
         seen = tuple(
             after.agg(
                 F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
             ).first()
         )
         drop_scratch(now)
+        drop_scratch(large)
         now = after
         if seen == mark or not seen[0]:
             break

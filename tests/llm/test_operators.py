@@ -91,6 +91,23 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_steps_stay_small(spark, monkeypatch):
+    """No step of the contraction reads its edges more than twice."""
+    from lagloom.llm import components as steps
+
+    scans, write = [], steps.scratch
+
+    def counted(df, name):
+        scans.append((name, df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet")))
+        return write(df, name)
+
+    monkeypatch.setattr(steps, "scratch", counted)
+    hub = [(50, i) for i in range(100, 140)] + [(i, i + 1) for i in range(8)] + [(8, 120), (7, 7), (3, 2), (200, 201)]
+    got = dict(rows(steps.components(spark.createDataFrame(hub, "a long, b long")), "node", "component"))
+    assert got == {**{i: 0 for i in [*range(9), 50, *range(100, 140)]}, 200: 200, 201: 200}
+    assert max(n for name, n in scans if name.endswith("stars")) == 2
+
+
 def shingles_by_hand(text):
     w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").translate({c: c + 32 for c in range(65, 91)})) if x]
     if len(w) < 5:
