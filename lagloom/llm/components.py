@@ -34,6 +34,20 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.select("edge.a", "edge.b").where("a <> b").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether every node is either a least end or a leaf with one edge."""
+    ends = edges.select(
+        F.explode(
+            F.array(
+                F.struct(F.col("a").alias("node"), F.lit(0).alias("leaf")),
+                F.struct(F.col("b").alias("node"), F.lit(1).alias("leaf")),
+            )
+        ).alias("end")
+    )
+    seen = ends.groupBy("end.node").agg(F.sum("end.leaf").alias("edges"), F.min("end.leaf").alias("leaf"))
+    return seen.where("edges > leaf").agg(F.count("*")).first()[0] == 0
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of `edges` (columns a, b of type long):
     the smallest node reachable. Loops and repeated edges do no harm; nodes
@@ -42,21 +56,13 @@ def components(edges: DataFrame) -> DataFrame:
         edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(),
         "edges",
     )
-    mark = None
-    while True:
+    # Stars around their least nodes are the end: a step leaves them as they are.
+    while not _all_stars(now):
         large = scratch(_large_star(now), "large-stars")
         after = scratch(_small_star(large), "stars")
-        seen = tuple(
-            after.agg(
-                F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-            ).first()
-        )
         drop_scratch(now)
         drop_scratch(large)
         now = after
-        if seen == mark or not seen[0]:
-            break
-        mark = seen
     return now.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct()
     )

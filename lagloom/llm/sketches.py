@@ -8,7 +8,8 @@ shares most of its sketch, so only the rarest values of each sketch are listed
 documents quote out of the lists. Lists are not paired out: each node first
 joins the largest of its lists, whose members are compared in blocks, where the
 sketches' overlap filters and the full sets confirm, and a block returns only
-links that connect it. Lists that still span components are grouped again by
+links that connect it. Blocks of a large group meet in rounds, and from the second
+on only what earlier rounds left apart is compared. Lists that still span components are grouped again by
 their members' smallest hashed values; pairs that met in no group are joined at
 their smallest common value, rated by the sketch of the union and confirmed on
 the full sets."""
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.llm.components import components
-from lagloom.llm.shared import drop_scratch, scratch, small_side
+from lagloom.llm.shared import drop_scratch, scratch, small_batches, small_side
 
 WORDS = 5
 SIMILAR = (75, 100)
@@ -41,6 +42,10 @@ DEVIATIONS = 4.6
 SLACK = 0.2
 # Nodes compared at once inside a group.
 BLOCK = 512
+# A round compares blocks up to this many times as far apart as the one before.
+WIDER = 4
+# Texts that a worker holds as sets at once.
+SLICE = 500
 
 # Odd multipliers that mix five word hashes into one.
 _MIX = np.array(
@@ -92,33 +97,42 @@ def shingle_set(text: str | None) -> np.ndarray:
 
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, marks, heads, sketches = [], [], [], []
-        for text in batch.column(1):
-            s = shingle_set(text.as_py())
-            sizes.append(len(s))
-            marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            heads.append(s[:HEAD])
-            sketches.append(s[:SKETCH])
-        yield pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array(sizes, pa.int64()),
-                pa.array(marks, pa.binary()),
-                _longs(heads),
-                _longs(sketches),
-            ],
-            names=["doc", "n", "mark", "head", "sketch"],
-        )
-    _WORDS.clear()
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
+            sizes, marks, heads, sketches = [], [], [], []
+            for text in part.column(1):
+                s = shingle_set(text.as_py())
+                sizes.append(len(s))
+                marks.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                # A view would hold the whole set.
+                sketches.append(s[:SKETCH].copy())
+                heads.append(sketches[-1][:HEAD])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column(0),
+                    pa.array(sizes, pa.int64()),
+                    pa.array(marks, pa.binary()),
+                    _longs(heads),
+                    _longs(sketches),
+                ],
+                names=["doc", "n", "mark", "head", "sketch"],
+            )
+    _free()
 
 
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for at in range(0, batch.num_rows, 500):
-            part = batch.slice(at, 500)
+        for at in range(0, batch.num_rows, SLICE):
+            part = batch.slice(at, SLICE)
             sets = _longs([shingle_set(t.as_py()) for t in part.column(1)])
             yield pa.RecordBatch.from_arrays([part.column(0), sets], names=["doc", "set"])
+    _free()
+
+
+def _free() -> None:
+    """A worker outlives its task: it keeps neither words nor Arrow's buffers."""
     _WORDS.clear()
+    pa.default_memory_pool().release_unused()
 
 
 def _longs(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -192,9 +206,12 @@ def _overlaps(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np
     return out
 
 
-def linked_in_block(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+def linked_in_block(
+    nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray, component: np.ndarray | None = None
+) -> list[tuple[int, int]]:
     """Links that connect what is similar: between the two sides if there are
-    two, else among all. Pairs already connected here are not looked at again."""
+    two, else among all. Pairs already connected, here or by `component`, are not
+    looked at again."""
     across = side.min() != side.max()
     left = np.flatnonzero(side == side.min())
     right = np.flatnonzero(side == side.max())
@@ -208,9 +225,13 @@ def linked_in_block(nodes: np.ndarray, sets: list[np.ndarray], side: np.ndarray)
     ok &= ~whole | _reaches(common, na, nb)
     if not across:
         ok = np.triu(ok, 1)
+    leader = list(range(len(nodes)))
+    if component is not None:
+        _, first, member = np.unique(component, return_index=True, return_inverse=True)
+        leader = first[member].tolist()
+        ok &= component[left][:, None] != component[right][None, :]
     i, j = np.nonzero(ok)
     best = np.argsort(-common[i, j] / (n[left[i]] + n[right[j]]), kind="stable")
-    leader = list(range(len(nodes)))
 
     def lead(x: int) -> int:
         while leader[x] != x:
@@ -234,28 +255,108 @@ def _compare_block(key: tuple, rows: pa.Table) -> pa.Table:
             rows.column("node").to_numpy(),
             _hashes(rows.column("set").combine_chunks()),
             rows.column("block").to_numpy(),
+            rows.column("component").to_numpy(),
         )
     a, b = zip(*links, strict=True) if links else ([], [])
     return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _compared(cells: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between `block` and `other` of (g, node, component, block, other)."""
+    # The sets then move once, to their blocks.
+    return (
+        small_side(cells, 48)
+        .join(sets.select(F.col("doc").alias("node"), "set"), "node")
+        .select(
+            "g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"),
+            "block", "node", "component", "set",
+        )
+        .groupBy("g", "i", "j")
+        .applyInArrow(_compare_block, "a long, b long")
+    )
+
+
+def _dealt(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """(g, node, block, few, k, span): the nodes of groups that still span
+    components, dealt anew. Blocks 0 to few - 1 hold what lies outside the group's
+    largest component, the others up to k - 1 that component, whose nodes need not
+    meet each other. `span` is the farthest that blocks to compare lie apart, 0
+    if the first `few` are one and a single round returns few links."""
+    named = blocks.join(labels, "node", "left").select("g", "node", F.coalesce("component", "node").alias("component"))
+    per = named.groupBy("g", "component").agg(F.count("*").alias("n"))
+    parts = (
+        per.groupBy("g")
+        .agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("size"), F.count("*").alias("parts"))
+        .where("parts > 1")
+        .select(
+            "g",
+            F.col("most.component").alias("largest"),
+            F.ceil((F.col("size") - F.col("most.n")) / BLOCK).cast("int").alias("few"),
+            F.ceil(F.col("most.n") / BLOCK).cast("int").alias("rest"),
+        )
+    )
+    lot = F.xxhash64(F.lit(3), "node")
+    inside = F.col("component") == F.col("largest")
+    return named.join(parts, "g").select(
+        "g",
+        "node",
+        F.when(inside, F.col("few") + F.pmod(lot, F.col("rest"))).otherwise(F.pmod(lot, F.col("few"))).cast("int").alias("block"),
+        "few",
+        (F.col("few") + F.col("rest")).alias("k"),
+        F.when(F.col("few") > 1, F.expr("(few + rest) div 2")).otherwise(0).cast("int").alias("span"),
+    )
+
+
 def _grouped_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links inside the groups (g, node), by blocks of about BLOCK nodes."""
+    """Edges that connect what is similar inside the groups (g, node), by blocks
+    of about BLOCK nodes.
+
+    If every two blocks returned links of their own, a group would return them in
+    proportion to its square. So each block first meets itself and its neighbours
+    on a ring; then the components so far are a star each, nodes outside the
+    largest one meet all others in rounds of ever farther blocks, and a pair
+    connected by an earlier round is passed over. As blocks are drawn by hash, a
+    round samples the group's pairs, and of those in the next that are WIDER times
+    as many about WIDER times the nodes still connect anything, whatever the group."""
     sizes = groups.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    ring = F.array("block", F.expr("pmod(block + 1, blocks)"), F.expr("pmod(block + blocks - 1, blocks)"))
     cut = (
         groups.join(sizes, "g")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    )
-    # The sets then move once, to their blocks.
-    cut = small_side(scratch(cut.select("g", "node", "block", "other"), "blocks"), 40)
-    return (
-        cut.join(sets.select(F.col("doc").alias("node"), "set"), "node")
-        .select("g", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "set")
-        .groupBy("g", "i", "j")
-        .applyInArrow(_compare_block, "a long, b long")
+        .withColumn("other", F.explode(F.array_distinct(ring)))
     )
+    cut = scratch(cut.select("g", "node", F.col("node").alias("component"), "block", "other", "blocks"), "blocks")
+    links = _compared(cut.drop("blocks"), sets)
+    # On a ring of three all blocks are neighbours.
+    wide = cut.where("blocks > 3 and block = other").select("g", "node")
+    if wide.isEmpty():
+        return links
+    labels, dealt, low, high = components(links), None, 0, 2
+    while True:
+        star = labels.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        if dealt is None:
+            dealt = scratch(_dealt(wide, labels), "dealt")
+        farthest = dealt.agg(F.max("span")).first()[0]
+        if farthest is None or farthest < low:
+            return star
+        last = F.when(F.col("block") < F.col("few"), F.col("k")).otherwise(F.col("few")) - 1
+
+        def met_now(other: Column) -> Column:
+            apart = F.abs(F.col("block") - other)
+            apart = F.least(apart, F.col("k") - apart)
+            return ((apart >= low) & (apart < high)) | (F.col("span") == 0)
+
+        cells = (
+            dealt.where(F.col("span") >= low)
+            .withColumn("other", F.explode(F.filter(F.sequence(F.lit(0), last), met_now)))
+            .join(labels, "node", "left")
+            .select("g", "node", F.coalesce("component", "node").alias("component"), "block", "other")
+        )
+        links = star.unionByName(_compared(scratch(cells, "cells"), sets))
+        if farthest < high:
+            return links
+        labels, low, high = components(links), high, high * WIDER
 
 
 def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,7 +447,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
     one document with the links of each; a null id is a component of its own
     (component_id null, kept true) but its text still stands for equal texts.
     An empty table gives an empty result; other columns are ignored."""
-    base = scratch(sketch_documents(docs, text, doc), "sketches")
+    with small_batches(docs.sparkSession):
+        base = scratch(sketch_documents(docs, text, doc), "sketches")
     nodes = scratch(
         base.where("n > 0 and doc is not null")
         .groupBy("mark")
@@ -360,16 +462,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
     # built from the text again, for listed nodes only.
     long_ones = sketches.where(F.col("n") > SKETCH).select("node").distinct()
     whole = docs.select(F.col(f"`{doc}`").cast("long").alias("doc"), F.col(f"`{text}`").alias("text"))
-    sets = scratch(
+    sets = (
         whole.join(small_side(long_ones.withColumnRenamed("node", "doc"), 16), "doc", "left_semi")
         .mapInArrow(_set_rows, "doc long, set array<long>")
         .unionByName(
             sketches.where(F.col("n") <= SKETCH).select(
                 F.col("node").alias("doc"), F.col("sketch").alias("set")
             )
-        ),
-        "sets",
+        )
     )
+    with small_batches(docs.sparkSession):
+        sets = scratch(sets, "sets")
 
     # The largest list of each node first, then what still spans components.
     largest = lists.groupBy("node").agg(F.max(F.struct("size", "value")).getField("value").alias("g"))

@@ -193,6 +193,40 @@ def test_near_duplicates_move_only_the_sets_they_need(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_large_groups_return_few_edges(spark, monkeypatch):
+    """Whatever a group holds, its blocks return edges in proportion to its nodes."""
+    from lagloom.llm import sketches
+
+    monkeypatch.setattr(sketches, "BLOCK", 4)
+    rng = np.random.default_rng(8)
+    values = {}
+
+    def copies(n, start):
+        base = list(range(start, start + 60))
+        for i in range(n):
+            values[len(values)] = sorted([*base[: 57 + i % 4], start + 1000 + i])
+
+    copies(240, 0)  # one cluster
+    for c in range(40):  # many of the size of the number of blocks, and single texts
+        copies(12, 10_000 * (c + 1))
+    for c in range(30):
+        values[len(values)] = list(range(10**6 + 100 * c, 10**6 + 100 * c + 60))
+    names = rng.permutation(len(values)).tolist()
+    for kinds in (range(270), range(240, 750), range(750)):
+        kinds = [k if k < 240 or len(kinds) > 270 else 720 + k - 240 for k in kinds]
+        sets = spark.createDataFrame([(names[k], values[k]) for k in kinds], "doc long, set array<long>")
+        groups = spark.createDataFrame([(7, names[k]) for k in kinds], "g long, node long")
+        links = rows(sketches._grouped_links(groups, sets), "a", "b")
+        cluster = {names[k]: 0 if k < 240 else 1 + (k - 240) // 12 if k < 720 else k for k in kinds}
+        assert all(cluster[a] == cluster[b] for a, b in links)
+        lead = {}
+        for k in sorted(cluster):
+            lead.setdefault(cluster[k], k)
+        got = dict(rows(components(spark.createDataFrame(links, "a long, b long")), "node", "component"))
+        assert all(got.get(k, k) == lead[cluster[k]] for k in cluster)
+        assert len(links) < 6 * len(kinds)
+
+
 def test_block_keeps_components():
     rng = np.random.default_rng(2)
     base = np.sort(rng.choice(2**62, 300, replace=False).astype(np.uint64))
