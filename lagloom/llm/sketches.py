@@ -44,6 +44,8 @@ SLACK = 0.2
 BLOCK = 512
 # A round compares blocks up to this many times as far apart as the one before.
 WIDER = 4
+# Nodes in a list of up to FEW are grouped again by two values, others by more.
+FEW = 64
 # Texts that a worker holds as sets at once.
 SLICE = 500
 
@@ -437,6 +439,20 @@ def _inverted_lists(nodes: DataFrame, sketches: DataFrame) -> tuple[DataFrame, D
     return lists, kept.drop("id")
 
 
+def _drawn(values: Column, size: Column) -> Column:
+    """The values that group a node again: the smallest of its own by a hash, by
+    as many hashes as the logarithm of its largest list asks for. Each halves, or
+    nearly so, the pairs that share most values and yet met nowhere, so they grow
+    like the list and not like its square."""
+    draws = F.lit(2) + F.ceil(2 * F.log2(F.greatest(size, F.lit(FEW)) / FEW)).cast("int")
+
+    def smallest(seed: Column) -> Column:
+        rated = F.transform(values, lambda v: F.struct(F.xxhash64(seed, v).alias("hash"), v.alias("value")))
+        return F.array_min(rated).getField("value")
+
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), draws), smallest))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") -> DataFrame:
     """One row per row of `docs`: doc, n_shingles, component_id (the smallest
     id reachable over links at similarity 0.75 or more, itself included) and
@@ -489,14 +505,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         .select("value")
     )
     open_ = open_rows = scratch(
-        open_.join(spans, "value").select("value", "node", "n", "g", "component"), "open-lists"
+        open_.join(spans, "value").select("value", "size", "node", "n", "g", "component"), "open-lists"
     )
     per_node = scratch(
         open_.groupBy("node").agg(
-            F.min_by("value", F.xxhash64(F.lit(1), "value")).alias("g1"),
-            F.min_by("value", F.xxhash64(F.lit(2), "value")).alias("g2"),
-            F.collect_set("value").alias("values"),
-        ),
+            F.collect_set("value").alias("values"), F.max("size").alias("size")
+        ).withColumn("again", _drawn(F.col("values"), F.col("size"))),
         "open-groups",
     )
     # 32 bits of each retained value are enough to count what two nodes share.
@@ -505,13 +519,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         F.max(_needed(F.col("n"))).alias("need"),
     )
     known = per_node.join(short, "node")
-    again = per_node.select("node", F.col("g1").alias("g")).unionByName(
-        per_node.select("node", F.col("g2").alias("g"))
+    again = per_node.select("node", F.explode("again").alias("g"))
+    # What these groups connect is no pair any more.
+    joined = components(links.unionByName(_grouped_links(again, sets)))
+    open_ = (
+        open_.drop("component")
+        .join(joined, "node", "left")
+        .withColumn("component", F.coalesce("component", "node"))
     )
     x, y = (open_.join(known, "node").alias(c) for c in ("x", "y"))
-    met = F.lit(False)
-    for g in ("g", "g1", "g2"):
-        met = met | (F.col(f"x.{g}") == F.col(f"y.{g}"))
+    met = (F.col("x.g") == F.col("y.g")) | F.arrays_overlap("x.again", "y.again")
     first = F.array_min(F.array_intersect("x.values", "y.values"))
     pairs = x.join(
         y,
@@ -523,8 +540,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc: str = "doc_id") ->
         & (F.col("x.value") == first)
         & (F.size(F.array_intersect("x.short", "y.short")) >= F.greatest("x.need", "y.need")),
     ).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    more = _grouped_links(again, sets).unionByName(_verify(pairs.distinct(), sketches, sets))
-    labels = components(links.unionByName(more))
+    more = _verify(pairs.distinct(), sketches, sets)
+    labels = components(joined.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     for done in (lists, sets, largest, links, open_rows, per_node):
         drop_scratch(done)
     named = nodes.select("mark", "node").join(labels, "node", "left").select(
