@@ -42,6 +42,8 @@ DEVIATIONS = 4.6
 SLACK = 0.2
 # Nodes compared at once inside a group.
 BLOCK = 512
+# Groups of up to WIDE blocks meet in one round, larger ones in several.
+WIDE = 16
 # A round compares blocks up to this many times as far apart as the one before.
 WIDER = 4
 # Nodes in a list of up to FEW are grouped again by two values, others by more.
@@ -314,24 +316,25 @@ def _grouped_links(groups: DataFrame, sets: DataFrame) -> DataFrame:
     of about BLOCK nodes.
 
     If every two blocks returned links of their own, a group would return them in
-    proportion to its square. So each block first meets itself and its neighbours
+    proportion to its square. So in a group of more than WIDE blocks (others return
+    WIDE / 2 edges a node at most) each block first meets itself and its neighbours
     on a ring; then the components so far are a star each, nodes outside the
     largest one meet all others in rounds of ever farther blocks, and a pair
     connected by an earlier round is passed over. As blocks are drawn by hash, a
     round samples the group's pairs, and of those in the next that are WIDER times
     as many about WIDER times the nodes still connect anything, whatever the group."""
     sizes = groups.groupBy("g").agg(F.count("*").alias("size")).where("size > 1")
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
     ring = F.array("block", F.expr("pmod(block + 1, blocks)"), F.expr("pmod(block + blocks - 1, blocks)"))
     cut = (
         groups.join(sizes, "g")
         .withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
         .withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.array_distinct(ring)))
+        .withColumn("other", F.explode(F.when(F.col("blocks") > WIDE, F.array_distinct(ring)).otherwise(every)))
     )
     cut = scratch(cut.select("g", "node", F.col("node").alias("component"), "block", "other", "blocks"), "blocks")
     links = _compared(cut.drop("blocks"), sets)
-    # On a ring of three all blocks are neighbours.
-    wide = cut.where("blocks > 3 and block = other").select("g", "node")
+    wide = cut.where((F.col("blocks") > WIDE) & (F.col("block") == F.col("other"))).select("g", "node")
     if wide.isEmpty():
         return links
     labels, dealt, low, high = components(links), None, 0, 2

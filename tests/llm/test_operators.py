@@ -227,6 +227,21 @@ def test_large_groups_return_few_edges(spark, monkeypatch):
         assert len(links) < 6 * len(kinds)
 
 
+def test_nodes_of_large_lists_meet_by_more_values(spark):
+    """Pairs that met in no group must not grow with the square of their list."""
+    from lagloom.llm.sketches import _drawn
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(9)
+    nodes = [(i, sorted(rng.choice(60, 40, replace=False).tolist())) for i in range(120)]
+    df = spark.createDataFrame(nodes, "node long, values array<long>")
+    for size, most in ((64, 2), (4096, 14)):
+        drawn = [set(r[0]) for r in df.select(_drawn(F.col("values"), F.lit(size))).collect()]
+        assert max(map(len, drawn)) <= most
+        apart = sum(not a & b for i, a in enumerate(drawn) for b in drawn[:i])
+        assert (apart == 0) == (size > 64)
+
+
 def test_block_keeps_components():
     rng = np.random.default_rng(2)
     base = np.sort(rng.choice(2**62, 300, replace=False).astype(np.uint64))
