@@ -239,7 +239,8 @@ def test_nodes_of_large_lists_meet_by_more_values(spark):
         drawn = [set(r[0]) for r in df.select(_drawn(F.col("values"), F.lit(size))).collect()]
         assert max(map(len, drawn)) <= most
         apart = sum(not a & b for i, a in enumerate(drawn) for b in drawn[:i])
-        assert (apart == 0) == (size > 64)
+        # Each draw leaves about half of the 7,140 pairs apart.
+        assert apart < 30 if size > 64 else apart > 500
 
 
 def test_block_keeps_components():
