@@ -253,6 +253,76 @@ def test_clogit_several_cases_by_enumeration(spark):
     np.testing.assert_allclose(fit.loglik, ll, rtol=1e-9)
 
 
+def _drawn_together(eta, x, m):
+    """Log denominator, mean and covariance of the sum of x over m members of a
+    set, by its polynomial with a scale taken out after every member."""
+    p = x.shape[1]
+    e, s, q, scale = np.zeros(m + 1), np.zeros((m + 1, p)), np.zeros((m + 1, p, p)), 0.0
+    e[0] = 1.0
+    u = np.exp(eta - eta.mean()) * m / (len(eta) - m)
+    for w, v in zip(u, x):
+        sv = s[:-1, :, None] * v
+        q[1:] += w * (q[:-1] + sv + sv.transpose(0, 2, 1) + e[:-1, None, None] * np.outer(v, v))
+        s[1:] += w * (s[:-1] + e[:-1, None] * v)
+        e[1:] += w * e[:-1]
+        top = e.max()
+        e, s, q, scale = e / top, s / top, q / top, scale + np.log(top)
+    mean = s[m] / e[m]
+    log = np.log(e[m]) + scale + m * (eta.mean() - np.log(m / (len(eta) - m)))
+    return log, mean, q[m] / e[m] - np.outer(mean, mean)
+
+
+def _many_cases():
+    """Sets of one, few and more than 600 cases, with equal and different members."""
+    rng = np.random.default_rng(5)
+    sets = []
+    for n, m in ((1500, 700), (1300, 20), (40, 39), (9, 1), (6, 3)):
+        x = np.column_stack([rng.integers(0, 2, n), rng.normal(size=n) if n != 1500 else rng.integers(0, 3, n)])
+        case = np.zeros(n)
+        case[rng.choice(n, m, replace=False, p=(w := np.exp(0.5 * x[:, 0])) / w.sum())] = 1
+        sets.append((x.astype(float), case))
+    return sets
+
+
+def test_clogit_any_number_of_cases(spark):
+    sets = _many_cases()
+    x, case = np.concatenate([x for x, _ in sets]), np.concatenate([c for _, c in sets])
+    df = frame(spark, x, set=np.repeat(np.arange(len(sets)), [len(c) for _, c in sets]), case=case).repartition(4)
+    fit = fit_clogit(clogit_design(df, "set", "case", [F.col("x")]), ["a", "b"])
+    b = np.zeros(2)
+    for _ in range(12):
+        ll, u, info = 0.0, np.zeros(2), np.zeros((2, 2))
+        for xs, cs in sets:
+            below, mean, spread = _drawn_together(xs @ b, xs, int(cs.sum()))
+            ll, u, info = ll + cs @ xs @ b - below, u + cs @ xs - mean, info + spread
+        b = b + np.linalg.solve(info, u)
+    np.testing.assert_allclose(fit.coef, b, atol=1e-7)
+    np.testing.assert_allclose(fit.cov, np.linalg.inv(info), rtol=1e-6)
+    np.testing.assert_allclose(fit.loglik, ll, rtol=1e-10)
+    assert (fit.n, fit.n_event) == (len(x), len(sets))
+
+
+def test_clogit_large_sets_are_summed_apart(spark, monkeypatch):
+    """Sets of more different members than a row holds, and with a number of
+    their own, as the fit with every set in one row has them."""
+    from lagloom.models import matched
+
+    sets = _many_cases()
+    x, case = np.concatenate([x for x, _ in sets]), np.concatenate([c for _, c in sets])
+    many = np.repeat([2, 1, 3, 1, 1], [len(c) for _, c in sets])
+    key = np.repeat(np.arange(len(sets)), [len(c) for _, c in sets])
+    df = frame(spark, x, set=key, case=case, many=many).repartition(4)
+    design = clogit_design(df, "set", "case", [F.col("x")], "many")
+    monkeypatch.setattr(matched, "_VALUES", 10**6)
+    one_row = fit_clogit(design, ["a", "b"])
+    monkeypatch.setattr(matched, "_VALUES", 32)
+    apart = fit_clogit(design, ["a", "b"])
+    np.testing.assert_allclose(apart.coef, one_row.coef, atol=1e-9)
+    np.testing.assert_allclose(apart.cov, one_row.cov, rtol=1e-8)
+    np.testing.assert_allclose(apart.loglik, one_row.loglik, rtol=1e-11)
+    assert (apart.n, apart.n_event) == (one_row.n, one_row.n_event)
+
+
 def test_clogit_counted_sets_stand_for_equal_sets(spark):
     """Sets of one or several cases, each given once with its number."""
     rng = np.random.default_rng(8)
