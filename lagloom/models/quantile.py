@@ -38,6 +38,8 @@ _STEPS = 200
 # about _NEAR rows per quantile.
 _WHOLE = 200_000
 _NEAR = 100_000
+# Elements of the design of a band that one task holds.
+_TASK = 2_000_000
 # Half width of a band in widths of the smoothed loss, and passes that look for it.
 _REACH = 4.0
 _LOOKS = 60
@@ -69,20 +71,28 @@ class _Path:
         self.share = 1 - tau if sides is None else share
         self.steps: list[tuple[np.ndarray, float, float, float]] = []
         self.beta = start.copy()
-        self.gap = math.inf
+        self.gap = self.loss = math.inf
         self.settled = False
 
     def state(self, c: dict[str, np.ndarray]):
-        """Duals a (and their slack s) and multipliers z, v of a block of rows."""
+        """Duals a (and their slack s) and multipliers z, v of a block of rows.
+        A block that stays in memory, of one path alone, has a place for them,
+        `held`, from which the next steps go on."""
         x, y, w = c["x"], c["y"], c["w"]
-        a = self.share * w
-        s = w - a
-        r = x @ self.start - y
-        z = np.maximum(r, 0.0) + self.offset
-        v = z - r
-        for move, centre, primal, dual in self.steps:
+        held = c.get("held")
+        if held:
+            done, (a, s, z, v) = held
+        else:
+            a = self.share * w
+            s = w - a
+            r = x @ self.start - y
+            z = np.maximum(r, 0.0) + self.offset
+            done, v = 0, z - r
+        for move, centre, primal, dual in self.steps[done:]:
             da, dz, dv = _direction(x, a, s, z, v, move, centre)
             a, s, z, v = a + primal * da, s - primal * da, z + dual * dz, v + dual * dv
+        if "held" in c:
+            c["held"] = len(self.steps), (a, s, z, v)
         return a, s, z, v
 
 
@@ -91,10 +101,36 @@ def _direction(x, a, s, z, v, move, centre):
     return da, (centre - z * da) / a - z, (centre + v * da) / s - v
 
 
-def _solve(rows: DataFrame, paths: dict[float, _Path], scale, total, response, p) -> None:
-    """All quantiles at once, two passes a step; `total` and `response` are the
-    sums of all rows and responses. Rows belong to every path, or to the one
-    whose quantile they name as their model if it has `sides`."""
+def _solve(rows: DataFrame, paths: dict[float, _Path], scale, total, response, p, in_tasks=False) -> None:
+    """All quantiles at once, two passes a step. Rows belong to every path, or to
+    the one whose quantile they name as their model if it has `sides`; with
+    `in_tasks` those of such a path are few enough for one task."""
+    if in_tasks:
+        return _solve_in_tasks(rows, paths, scale, total, response, p)
+    _follow(lambda of: sum_vectors(rows, of), paths, scale, total, response, p)
+
+
+def _solve_in_tasks(rows: DataFrame, paths: dict[float, _Path], scale, total, response, p) -> None:
+    """A task takes all steps of its path."""
+
+    def solved(key: tuple, table: pa.Table) -> pa.Table:
+        name = key[0].as_py()
+        cols = {"x": as_matrix(table.column("x")), "held": None}
+        cols |= {c: as_vector(table.column(c)) for c in ("y", "w")}
+        mine = {t: path for t, path in paths.items() if repr(t) == name}
+        _follow(lambda of: {name: of(name, cols)}, mine, scale, total, response, p)
+        ((t, path),) = mine.items()
+        return pa.table({"tau": [t], "beta": [path.beta.tolist()], "gap": [path.gap], "loss": [path.loss], "settled": [path.settled]})
+
+    found = rows.groupBy("model").applyInArrow(solved, "tau double, beta array<double>, gap double, loss double, settled boolean")
+    for r in found.collect():  # one row per quantile
+        path = paths[r.tau]
+        path.beta, path.gap, path.loss, path.settled = np.array(r.beta), r.gap, r.loss, r.settled
+
+
+def _follow(summed, paths: dict[float, _Path], scale, total, response, p) -> None:
+    """The steps of the paths. `summed` gives the sums of a block function over
+    all rows; `total` and `response` are the sums of all rows and responses."""
     open_ = list(paths)
     banded = any(path.sides for path in paths.values())
     lean = np.zeros(p)
@@ -107,7 +143,7 @@ def _solve(rows: DataFrame, paths: dict[float, _Path], scale, total, response, p
             mine = [t for t in chosen if not banded or model == repr(t)]
             return pack(*[v for t in mine for v in block(paths[t], c)]) if mine else np.zeros(0)
 
-        found = sum_vectors(rows, of)
+        found = summed(of)
         if banded:
             return {t: found.get(repr(t), np.zeros(size)) for t in chosen}
         return dict(zip(chosen, np.split(next(iter(found.values())), len(chosen)), strict=True))
@@ -243,23 +279,26 @@ def _solve_near(rows: DataFrame, taus, start, scale, gram, total, response, n, p
                 at, half = bands[t]
                 r = c["y"] - c["x"] @ at
                 above, below = c["w"] * (r > half), c["w"] * (r < -half)
-                parts += [c["x"].T @ above, c["x"].T @ below, c["y"] @ above, c["y"] @ below, c["w"] @ (np.abs(r) <= half)]
+                parts += [c["x"].T @ above, c["x"].T @ below, c["y"] @ above, c["y"] @ below, np.sum(np.abs(r) <= half)]
             return pack(*parts)
 
         pieces = unpack(next(iter(sum_vectors(rows, outside).values())), *([(p,), (p,), (), (), ()] * len(open_)))
-        paths = {}
+        paths, most = {}, 0
         for i, t in enumerate(open_):
             sides = _Sides(p)
             sides.x_above, sides.x_below, sides.y_above, sides.y_below, inside = pieces[5 * i : 5 * i + 5]
+            most = max(most, inside)
             # Rows of the band above the fit, by the first column.
             first = total[0] - sides.x_above[0] - sides.x_below[0]
             share = ((1 - t) * total[0] - sides.x_above[0]) / first if first else 0.5
             at, half = bands[t]
             paths[t] = _Path(t, at, 0.5 * half, sides, min(0.9, max(0.1, share)))
 
-        band = keep(rows.mapInArrow(_in_bands({t: bands[t] for t in open_}), "model string, y double, x array<double>, w double"))
+        band = rows.mapInArrow(_in_bands({t: bands[t] for t in open_}), "model string, y double, x array<double>, w double")
+        small = most * p <= _TASK
+        band = band if small else keep(band)
         try:
-            _solve(band, paths, scale, total, response, p)
+            _solve(band, paths, scale, total, response, p, small)
         finally:
             band.unpersist()
 

@@ -3,7 +3,9 @@ sets and smooth trends."""
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.sql import functions as F
 
 from lagloom.functions import dates, factors
@@ -24,6 +26,7 @@ from lagloom.plans.cohort_plans import histories
 from lagloom.plans.exposure_plans import births_with_window
 from lagloom.plans.registry import analysis, rounded
 from lagloom.plans.sql_text import BIRTHS, DAILY, SUBJECT, floor_week, newton_one_sql
+from lagloom.session import settled
 
 # --- moments ------------------------------------------------------------------
 
@@ -455,9 +458,11 @@ def cox_dlnm_specs(spark, folder):
 _WINDOWS = [("22-28", 22, 28), ("28-32", 28, 32), ("32-37", 32, 37), ("22-37", 22, 37)]
 
 
-def _weekly(spark, folder):
-    """Weekly exposure of each area with a week number `t`, and week 0."""
-    weekly = exposure.weekly_exposure(fx.area_daily(spark, folder), "area", "day", "x")
+def _weekly(spark, folder, daily=None):
+    """Weekly exposure of each area with a week number `t`, and week 0; `daily`
+    is the areas' daily exposure if it is there already."""
+    daily = fx.area_daily(spark, folder) if daily is None else daily
+    weekly = exposure.weekly_exposure(daily, "area", "day", "x")
     first = weekly.agg(F.min("week").alias("w")).scalar()
     return weekly.withColumn("t", (F.datediff("week", first) / 7).cast("long")), first
 
@@ -779,9 +784,8 @@ def clogit_several(spark, folder):
 _CENTILES = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
 
 
-def _area_points(spark, folder):
+def _area_points(weekly):
     """High centiles of the weekly exposure of each area against its median."""
-    weekly, _ = _weekly(spark, folder)
     found = exact_percentiles(weekly, ["area"], "exposure", _CENTILES)
     high = F.array(*[F.struct(F.lit(c).alias("centile"), F.col(c).alias("at")) for c in _CENTILES if c != "p50"])
     return found.select("area", F.col("p50").alias("cen"), F.explode(high).alias("h")).select("area", "cen", "h.*")
@@ -830,29 +834,38 @@ def area_contrasts_line(spark, folder):
     design = cox_design(rows, "time", "events", [F.col("cb0")], stratum=F.col("set"), count="at_risk")
     cb = CrossBasis(var, strata([], intercept=True), 0, "exposure")
     fit = fit_cox(design, {"model": cb.terms}, tol=1e-13)["model"]
-    out = predict.contrast_rows(_area_points(spark, folder), cb, fit)
+    out = predict.contrast_rows(_area_points(weekly), cb, fit)
     return out.select("area", "centile", rounded("at", 8).alias("at"), rounded("cen", 8).alias("cen"),
                       rounded("fit", 7).alias("fit"), rounded("se", 7).alias("se"))
 
 
+def _side_by_side(spark, *steps):
+    """Results of steps that need nothing of each other, run at the same time:
+    their passes are too short to fill a cluster."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(f)) for f in steps]
+        return [r.result() for r in running]
+
+
 @analysis()
 def area_contrasts(spark, folder):
     """The week before birth in three designs, a spline with two inner knots
     each, at every area's 90th, 95th and 99th centile against its median."""
-    weekly, first = _weekly(spark, folder)
+    # Tables of areas and days, which all designs read.
+    daily = settled(fx.area_daily(spark, folder))
+    weekly, first = _weekly(spark, folder, daily)
+    weekly = settled(weekly)
     var = fit_basis(weekly, "exposure", BasisSpec("ns", df=3))
     cb = CrossBasis(var, strata([], intercept=True), 0, "exposure")
-    points = _area_points(spark, folder)
-    births = births_with_window(spark, folder).where("window_mean is not null")
+    births = exposure.window_exposure(fx.eligible_births(spark, folder), daily, "area", "birth", "day", "x")
+    births = births.where("window_mean is not null")
     taus = [0.1, 0.5]
     rows = births.select(
         F.lit("model").alias("model"), F.col("ga").cast("double").alias("y"),
         F.concat(F.array(F.lit(1.0)), var.column("window_mean")).alias("x"),
     )
-    fits = dict(zip([f"quantile {t}" for t in taus], fit_quantile(rows, ["intercept", *cb.terms], taus), strict=True))
     at_risk = _week_of_birth_rows(spark, folder, var, first, weekly)
     design = cox_design(at_risk, "time", "events", [F.col("cb0")], stratum=F.col("set"), count="at_risk")
-    fits["time to event"] = fit_cox(design, {"model": cb.terms})["model"]
     cases = births.where("ga < 37").select("l_orderkey", "l_linenumber", "area", "birth")
     # Births of an area and day have equal sets: each is made once and counted.
     sets = cases.groupBy("l_orderkey", "l_linenumber").agg(
@@ -860,11 +873,19 @@ def area_contrasts(spark, folder):
     )
     sets = sets.groupBy("set").agg(F.count("*").alias("many")).select("*", F.explode("set").alias("c")).select("set", "many", "c.*")
     sets = exposure.time_stratified_controls(sets, "birth").drop("birth").withColumnRenamed("ref_day", "birth")
-    sets = exposure.window_exposure(sets, fx.area_daily(spark, folder), "area", "birth", "day", "x")
+    sets = exposure.window_exposure(sets, daily, "area", "birth", "day", "x")
     matched = sets.where("window_mean is not null").select(
         "set", "many", "is_case", var.column("window_mean").alias("x")
     )
-    fits["case-crossover"] = fit_clogit(clogit_design(matched, "set", "is_case", [F.col("x")], "many"), cb.terms)
+    quantiles, hazard, crossover, points = _side_by_side(
+        spark,
+        lambda: fit_quantile(rows, ["intercept", *cb.terms], taus),
+        lambda: fit_cox(design, {"model": cb.terms})["model"],
+        lambda: fit_clogit(clogit_design(matched, "set", "is_case", [F.col("x")], "many"), cb.terms),
+        lambda: settled(_area_points(weekly)),
+    )
+    fits = dict(zip([f"quantile {t}" for t in taus], quantiles, strict=True))
+    fits |= {"time to event": hazard, "case-crossover": crossover}
     out = None
     for name, fit in fits.items():
         part = predict.contrast_rows(points, cb, fit).withColumn("design", F.lit(name))

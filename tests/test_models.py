@@ -593,3 +593,48 @@ def test_chebyshev_spans_the_powers(spark):
     got = spark.createDataFrame([(float(v),) for v in x], "x double")
     got = got.select(bs.chebyshev(4, 24.0, 26.0).column("x").alias("b")).collect()
     np.testing.assert_allclose([r.b for r in got], a[:, 1:], atol=1e-12)
+
+
+def test_quantile_bands_take_few_passes(spark, monkeypatch):
+    """A band that fits in a task is solved there, in one pass instead of two a
+    step, and gives the fit of the steps over distributed rows."""
+    from lagloom.models import quantile
+
+    rng = np.random.default_rng(4)
+    n = 20_000
+    x = np.column_stack([np.ones(n), rng.random(n), rng.random(n) < 0.4]).astype(float)
+    y = x @ [1.0, 2.0, -1.0] + rng.standard_normal(n) * (1 + x[:, 1])
+    df = frame(spark, x, y=y, model=["m"] * n).repartition(4)
+    passes, summed = [], quantile.sum_vectors
+
+    def watched(*args):
+        passes.append(1)
+        return summed(*args)
+
+    monkeypatch.setattr(quantile, "sum_vectors", watched)
+    monkeypatch.setattr(quantile, "_WHOLE", 5000)
+    monkeypatch.setattr(quantile, "_NEAR", 2500)
+    one_task = fit_quantile(df, ["one", "a", "b"], [0.1, 0.5])
+    few = len(passes)
+    monkeypatch.setattr(quantile, "_TASK", 0, raising=False)
+    spread = fit_quantile(df, ["one", "a", "b"], [0.1, 0.5])
+    assert few + 15 < len(passes) - few
+    for a, b, tau in zip(one_task, spread, (0.1, 0.5), strict=True):
+        assert _check_loss(y, x, a.coef, tau) == pytest.approx(_check_loss(y, x, b.coef, tau), rel=2e-9)
+        np.testing.assert_allclose(a.coef, b.coef, atol=1e-5)
+
+
+def test_fits_that_need_nothing_of_each_other_run_together(spark):
+    from threading import Barrier
+
+    from lagloom.plans.model_plans import _side_by_side
+
+    both = Barrier(2, timeout=60)
+
+    def step(n):
+        both.wait()
+        return spark.range(n).count()
+
+    assert _side_by_side(spark, lambda: step(3), lambda: step(5)) == [3, 5]
+    with pytest.raises(ValueError, match="lost"):
+        _side_by_side(spark, lambda: 1, lambda: (_ for _ in ()).throw(ValueError("lost")))
